@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import simhash
+from rangeloom.llm import simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,17 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document without its repeated windows."""
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every numbered query by name."""
-    return {"op2_simhash_pivots": op2_simhash_pivots}
+    return {
+        "op2_simhash_pivots": op2_simhash_pivots,
+        "op9_substring_suffix_trees": op9_substring_suffix_trees,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
