@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rangeloom.llm import simhash, substring
+from rangeloom.llm import language, mixing, packing, simhash, substring, token_output
+from rangeloom.llm.sql import OP7_SQL
+from rangeloom.operators.staging import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's token ids, read back from the files."""
+    path = scratch_path(spark, "tokens")
+    coded = token_output.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    token_output.write_tokens(coded, path)
+    return token_output.token_digest(token_output.read_tokens(spark, path))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the packed sequences."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.labelled_samples(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mixture takes."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken")
+    )
+
+
 def op9_substring_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without its repeated windows."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
@@ -26,11 +58,15 @@ def op9_substring_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every numbered query by name."""
     return {
+        "op1_token_output": op1_token_output,
         "op2_simhash_pivots": op2_simhash_pivots,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_language_id": op6_language_id,
+        "op7_weighted_fair_mix": op7_weighted_fair_mix,
         "op9_substring_suffix_trees": op9_substring_suffix_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op7_weighted_fair_mix": OP7_SQL}
