@@ -3,14 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from rangeloom.llm import language, mixing, packing, simhash, substring
+from rangeloom.operators.staging import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without any letter go."""
+    found = language.with_language(docs, language.labelled_samples(docs), lang_out="_lang", score_out="_score")
+    return found.where(F.col("_lang") != language.UNDETERMINED).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-equal fingerprints."""
+    return simhash.one_of_each_group(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occur earlier; ``n_chars`` follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = substring.remove_repeats(docs, keep=rest).withColumn("_cut", F.col("n_removed") > 0)
+    return kept.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+#: No engine's SQL expresses the cross-parsing of the first stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, applied to ``documents``."""
+    """The stages one after another over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

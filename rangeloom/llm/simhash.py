@@ -170,3 +170,20 @@ def simhash_groups(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row for each id.
+
+    Of rows that repeat such an id the first in the order of all orderable columns stays. Rows
+    with a null id stay, as nothing can stand for them.
+    """
+    groups = simhash_groups(docs, id_col, text_col, width, max_bits)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    met = docs.join(first, F.col(id_col).cast("long") == F.col("_first"), "left_semi")
+    order = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    rows = F.min_by(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]), F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)]))
+    kept = met.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(rows.alias("_row"))
+    kept = kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -22,12 +22,13 @@ task and not one per document.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rangeloom.llm.words import text_bytes
 from rangeloom.operators.staging import shuffle_partitions
@@ -304,11 +305,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _DOC_ROWS = "id long, tag int, at binary"
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, tag, text): id puts a null last, tag tells texts under one id apart."""
-    text = F.col(text_col).cast("string")
-    doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST_ID)).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+def _documents(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, id, tag, text, rest): id puts a null last, tag tells texts under one id apart, rest has the kept columns."""
+    text = F.col(f"`{text_col}`").cast("string")
+    doc = F.col(f"`{id_col}`").cast("long")
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST_ID)).alias("id"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -346,17 +348,20 @@ def _kept_words(text: bytes, starts: list[bytes], window: int) -> tuple[int, lis
     return len(words), [words[i] for i in np.flatnonzero(keep)]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """One row per document: (doc_id, text, n_words, n_removed, kept_sha256).
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per document: (doc_id, text, n_words, n_removed, kept_sha256), then the columns of ``keep`` as they are.
 
     A word goes if a window of ``window`` words that covers it starts earlier as
     well: in a document with a smaller id or earlier in its own. ``text`` is what
     stays, joined by one space, and unchanged (null included) where nothing
     goes. A null id sorts last; rows under one id are told apart by their text,
     and exact repeats of a row do not make each other go. Empty tables and texts
-    shorter than a window come back as they are. Other columns are ignored.
+    shorter than a window come back as they are. Columns outside ``keep`` are
+    ignored; those in it must not have the names of the new ones.
     """
-    table = _documents(docs, id_col, text_col)
+    table = _documents(docs, id_col, text_col, keep)
     found = repeated_windows(docs, id_col, text_col, window, prefix).select(F.col("id").alias("_i"), F.col("tag").alias("_t"), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,8 +375,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     col.append(x)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"]
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], batch.column(5)],
+                ["doc_id", "text", "n_words", "n_removed", "kept_sha256", "rest"],
             )
 
     met = table.join(found.hint("shuffle_hash"), (F.col("id") == F.col("_i")) & (F.col("tag") == F.col("_t")), "left")
-    return met.select("doc_id", "tag", "text", "starts", "id").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    rest = table.schema["rest"].dataType
+    kinds = StructType.fromDDL("doc_id long, text string, n_words long, n_removed long, kept_sha256 string").add("rest", rest)
+    done = met.select("doc_id", "tag", "text", "starts", "id", "rest").mapInArrow(run, kinds)
+    return done.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(keep)])
