@@ -37,6 +37,7 @@ WINDOW = 20
 PREFIX = 6
 _SLICE = 1 << 21
 _FLUSH = 1 << 20
+_ROWS = 1 << 12
 _LAST_ID = (1 << 63) - 1
 _POSITION = (1 << 24) - 1
 _BASE, _MIX, _FIRST, _SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -155,14 +156,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo += n
 
 
-def _by_document(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows (id, tag, at): the positions of each document as packed unsigned 32-bit integers."""
+_FOUND = "bucket int, ids binary, tags binary, pos binary"
+
+
+def _distinct(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows in order; rows that repeat a document repeat its positions."""
     order = np.lexsort((pos, tags, ids))
     ids, tags, pos = ids[order], tags[order], pos[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (pos[1:] != pos[:-1])
+    return ids[new], tags[new], pos[new]
+
+
+def _to_documents(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Positions packed by bucket of their document, so that a task sends a row per bucket and not per document."""
+    ids, tags, pos = _distinct(ids, tags, pos)
+    to = (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    rows: list[list] = [[], [], [], []]
+    for b in np.flatnonzero(np.diff(cuts)):
+        o = order[cuts[b] : cuts[b + 1]]
+        for col, cell in zip(rows, (int(b), np.diff(ids[o], prepend=0).tobytes(), tags[o].tobytes(), pos[o].astype("<u4").tobytes()), strict=True):
+            col.append(cell)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tag, at): the positions of each document as packed unsigned 32-bit integers."""
+    cols: list[list[np.ndarray]] = [[np.empty(0, k)] for k in (np.int64, np.int32, np.int64)]
+    for batch in batches:
+        for _, *row in zip(*batch.columns, strict=True):
+            step, tags, pos = (np.frombuffer(c.as_buffer(), k) for c, k in zip(row, (np.int64, np.int32, "<u4"), strict=True))
+            for to, x in zip(cols, (np.cumsum(step), tags, pos.astype(np.int64)), strict=True):
+                to.append(x)
+    ids, tags, pos = _distinct(*map(np.concatenate, cols))
     new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))) if len(ids) else np.empty(0, np.int64)
-    ends = np.concatenate((new, [len(ids)])).astype(np.int32) * 4
-    packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pos.astype("<u4").tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(tags[new], pa.int32()), packed], ["id", "tag", "at"])
+    for lo in range(0, len(new), _ROWS):
+        first = new[lo : lo + _ROWS]
+        end = int(new[lo + _ROWS]) if lo + _ROWS < len(new) else len(ids)
+        ends = (np.concatenate((first, [end])) - first[0]).astype(np.int32) * 4
+        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pos[first[0] : end].astype("<u4").tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), pa.array(tags[first], pa.int32()), packed], ["id", "tag", "at"])
 
 
 def _sorted_groups(keys: list[np.ndarray], ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,13 +287,17 @@ def _deal_suffixes(window: int, prefix: int, buckets: int):
     return run
 
 
-def _branching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _branching(buckets: int):
     """Reduce side of step 1: suffixes whose short prefix has another suffix."""
-    (key,), ids, tags, pos, known, settled = _members(batches, 1)
-    order, group, _ = _sorted_groups([key], ids, tags, pos)
-    hit = order[np.bincount(group)[group] > 1] if len(group) else order
-    hit = hit[~known[hit]]
-    yield _by_document(*(np.concatenate((a[hit], b)) for a, b in zip((ids, tags, pos), settled, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (key,), ids, tags, pos, known, settled = _members(batches, 1)
+        order, group, _ = _sorted_groups([key], ids, tags, pos)
+        hit = order[np.bincount(group)[group] > 1] if len(group) else order
+        hit = hit[~known[hit]]
+        yield _to_documents(*(np.concatenate((a[hit], b)) for a, b in zip((ids, tags, pos), settled, strict=True)), buckets)
+
+    return run
 
 
 def _deal_windows(window: int, prefix: int, buckets: int):
@@ -278,9 +317,8 @@ def _deal_windows(window: int, prefix: int, buckets: int):
             w = Windows([text_bytes(c) for c in batch.column(2)], window, prefix)
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             marked = np.zeros(len(w.words) + 1, bool)
-            for doc, lists in enumerate(batch.column(3)):
-                for at in lists:
-                    marked[w.base[doc] + np.frombuffer(at.as_buffer(), "<u4").astype(np.int64)] = True
+            for doc, at in enumerate(batch.column(3)):
+                marked[w.base[doc] + np.frombuffer(at.as_buffer(), "<u4").astype(np.int64)] = True
             pick = np.flatnonzero(marked[w.anchor + w.base[w.doc]]) if len(w.start) else w.start
             if len(pick):
                 parts.append((*w.identity(pick), ids[w.doc[pick]], tags[w.doc[pick]], w.pos[pick]))
@@ -294,12 +332,16 @@ def _deal_windows(window: int, prefix: int, buckets: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(buckets: int):
     """Reduce side of step 2: every member of a deep node but its first."""
-    keys, ids, tags, pos, _, settled = _members(batches, 2)
-    order, group, first = _sorted_groups(keys, ids, tags, pos)
-    late = _later(order, group, first, ids, tags, pos) if len(group) else order
-    yield _by_document(*(np.concatenate((a[late], b)) for a, b in zip((ids, tags, pos), settled, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, tags, pos, _, settled = _members(batches, 2)
+        order, group, first = _sorted_groups(keys, ids, tags, pos)
+        late = _later(order, group, first, ids, tags, pos) if len(group) else order
+        yield _to_documents(*(np.concatenate((a[late], b)) for a, b in zip((ids, tags, pos), settled, strict=True)), buckets)
+
+    return run
 
 
 _DOC_ROWS = "id long, tag int, at binary"
@@ -326,8 +368,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = _documents(docs, id_col, text_col)
 
     def reduced(dealt: DataFrame, by) -> DataFrame:
-        rows = dealt.repartition(parts, "bucket").mapInArrow(by, _DOC_ROWS)
-        return rows.groupBy("id", "tag").agg(F.collect_list("at").alias("at"))
+        found = dealt.repartition(parts, "bucket").mapInArrow(by(parts), _FOUND)
+        return found.repartition(parts, "bucket").mapInArrow(_by_document, _DOC_ROWS)
 
     suffixes = table.select("id", "tag", "text").mapInArrow(_deal_suffixes(window, prefix, buckets), _PACKED)
     branching = reduced(suffixes, _branching).select(F.col("id").alias("_i"), F.col("tag").alias("_t"), "at")
@@ -336,12 +378,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return reduced(windows, _repeated).select("id", "tag", F.col("at").alias("starts"))
 
 
-def _kept_words(text: bytes, starts: list[bytes], window: int) -> tuple[int, list[bytes]]:
+def _kept_words(text: bytes, starts: bytes | None, window: int) -> tuple[int, list[bytes]]:
     words = text.split()
-    if not starts:
+    if starts is None:
         return len(words), words
     edge = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(s, "<u4") for s in starts]).astype(np.int64))
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
     keep = np.cumsum(edge[:-1]) == 0
@@ -368,7 +410,7 @@ def remove_repeats(
         for batch in _runs(batches):
             out: list[list] = [[], [], [], []]
             for text, starts in zip(batch.column(2), batch.column(3), strict=True):
-                total, kept = _kept_words(text_bytes(text), [s.as_buffer().to_pybytes() for s in starts] if starts.is_valid else [], window)
+                total, kept = _kept_words(text_bytes(text), starts.as_py(), window)
                 joined = b" ".join(kept)
                 same = len(kept) == total
                 for col, x in zip(out, ((text.as_py() if same else joined.decode()), total, total - len(kept), hashlib.sha256(joined).hexdigest()), strict=True):
