@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import language, mixing, packing, simhash, substring, token_output
-from rangeloom.llm.sql import OP7_SQL
+from rangeloom.llm import images, language, mixing, packing, quality, simhash, substring, token_output, urls, vectors
+from rangeloom.llm.sql import OP4_SQL, OP7_SQL
 from rangeloom.operators.staging import scratch_path
 
 
@@ -30,6 +30,16 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of edited copies among the pictures of all vectors, as no table has images."""
+    return images.image_groups(images.vector_images(_table(spark, sf_dir, "embeddings")))
+
+
+def op4_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector."""
+    return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -50,23 +60,46 @@ def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed rules of the query.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; a page is labelled through the document whose number its path has."""
+    bad = F.greatest(F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0), F.col("toxic"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), bad.alias("bad"))
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op9_substring_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without its repeated windows."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its site is that of the page whose path has its number."""
+    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z]+)?(?:/|$)", 1).try_cast("long")
+    pages = _table(spark, sf_dir, "pages").select(urls.url_host("url").alias("host"), urls.url_path("url").alias("path"))
+    sites = pages.select(number.alias("doc_id"), "host", F.get(F.split("path", "/"), F.lit(1)).alias("path"))
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), sites)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every numbered query by name."""
     return {
         "op1_token_output": op1_token_output,
         "op2_simhash_pivots": op2_simhash_pivots,
+        "op3_image_copies": op3_image_copies,
+        "op4_pstable_vectors": op4_pstable_vectors,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op7_weighted_fair_mix": op7_weighted_fair_mix,
+        "op8_path_templates": op8_path_templates,
         "op9_substring_suffix_trees": op9_substring_suffix_trees,
+        "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op7_weighted_fair_mix": OP7_SQL}
+    return {"op4_pstable_vectors": OP4_SQL, "op7_weighted_fair_mix": OP7_SQL}

@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
+OP4_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT src AS node, src AS seen FROM links
+  UNION
+  SELECT r.node, l.dst FROM reach r JOIN links l ON r.seen = l.src),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+degree AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.src LEFT JOIN comp c ON e.vec_id = c.node
+"""
+
 OP7_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
