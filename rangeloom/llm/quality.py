@@ -14,6 +14,7 @@ counts cover all labels and scores all documents.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,20 +29,23 @@ from rangeloom.operators.staging import stage
 
 FIT_ROWS = 20_000
 FEATURES = 2048
-LEAST_Z = 8.0
+LEAST_EVIDENCE = 30.0
 LEAST_ODDS = 1.5
 EVIDENCE_LIMIT = 8.0
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
 def tokens(text: str | None) -> set[str]:
-    """Different tokens of a text: words in lower case, runs of marks, and a sign of shouting if half its cased letters are capitals."""
+    """Different tokens of a text: words in lower case, runs of marks, a sign of shouting if half its cased letters are capitals, and one of stammering if a fifth of its words repeat the one before."""
     if not text:
         return set()
     found = {t.lower() for t in _TOKEN.findall(text)}
     upper, lower = sum(map(str.isupper, text[::7])), sum(map(str.islower, text[::7]))
     if upper > lower:
         found.add("\x00shout")
+    words = text.split()
+    if 5 * sum(map(operator.eq, words, words[1:])) > len(words):
+        found.add("\x00stammer")
     return found
 
 
@@ -81,11 +85,11 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
 
 def fit_evidence(
-    labelled: DataFrame, text_col: str = "text", bad_col: str = "bad", fit_rows: int = FIT_ROWS, features: int = FEATURES, least_z: float = LEAST_Z, least_odds: float = LEAST_ODDS
+    labelled: DataFrame, text_col: str = "text", bad_col: str = "bad", fit_rows: int = FIT_ROWS, features: int = FEATURES, least_evidence: float = LEAST_EVIDENCE, least_odds: float = LEAST_ODDS
 ) -> dict[str, float]:
     """Log odds of each chosen token for rows (text, bad).
 
-    At most ``features`` tokens, those with the largest |z| of at least ``least_z``; tokens with
+    At most ``features`` tokens, those with the largest log-likelihood ratio, of at least ``least_evidence``; tokens with
     odds below ``least_odds`` either way are left out, as many weak ones that go together would count as strong.
     """
     total, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(bad_col), F.lit(0))).first()
@@ -99,10 +103,13 @@ def fit_evidence(
     if not n_good or not n_bad:
         return {}
     counts = sample.mapInArrow(_token_counts, "token string, good long, bad long").groupBy("token").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    p = (F.col("good") + F.col("bad")) / float(n)
-    z = (F.col("bad") / float(n_bad) - F.col("good") / float(n_good)) / F.sqrt(p * (1 - p) * (1.0 / n_bad + 1.0 / n_good) + 1e-12)
+    seen = F.col("good") + F.col("bad")
+    term = lambda found, of: F.when(found > 0, found * F.log(found / of)).otherwise(0.0)
+    present = term(F.col("bad"), seen * (n_bad / n)) + term(F.col("good"), seen * (n_good / n))
+    absent = term(n_bad - F.col("bad"), (n - seen) * (n_bad / n)) + term(n_good - F.col("good"), (n - seen) * (n_good / n))
+    ratio = 2 * (present + F.when(seen < n, absent).otherwise(0.0))
     odds = F.log(((F.col("bad") + 0.5) / (n_bad + 1.0)) / ((F.col("good") + 0.5) / (n_good + 1.0)))
-    best = counts.select("token", z.alias("z"), odds.alias("odds")).where((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).orderBy(F.abs("z").desc(), "token").limit(features)
+    best = counts.select("token", ratio.alias("ratio"), odds.alias("odds")).where((F.col("ratio") >= least_evidence) & (F.abs("odds") >= least_odds)).orderBy(F.col("ratio").desc(), "token").limit(features)
     return {r["token"]: r["odds"] for r in best.collect()}
 
 
