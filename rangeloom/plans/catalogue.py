@@ -2,9 +2,221 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from rangeloom.operators import analysis, bins, labels, metrics, neighbourhood, ordered, segments, spatial
+from rangeloom.plans import oracles
+from rangeloom.plans.models import classify_segments
+from rangeloom.sources.layouts import stride
+
+BREAK = 40.0
+RADIUS = 1.0
+KNN = 16
+
+
+def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a labelled point cloud of four scans."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    mod = lambda by, m, d: ((F.col("event_id") * by) % m).cast("double") / d
+    return e.select(
+        F.col("event_id").alias("point_counter"), (F.col("user_id") % 4).alias("scan_id"), (F.col("user_id") % 6).cast("int").alias("label"),
+        F.when(F.col("event_id") % 7 == 0, (F.col("user_id") + 1) % 6).otherwise(F.col("user_id") % 6).cast("int").alias("pred"),
+        mod(7919, 2001, 100.0).alias("x"), mod(104729, 2003, 100.0).alias("y"), mod(1299709, 997, 100.0).alias("z"),
+        (F.col("event_id").cast("double") / 50.0).alias("horiz_angle"), mod(29, 1800, 10.0).alias("vert_angle"), F.col("value").alias("rho"), ((F.col("event_id") * 31) % 256).cast("int").alias("red"),
+    )
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to ``places``, integers to long, for comparison across engines."""
+    plain = {"double": lambda c: F.round(c, places) + F.lit(0.0), "int": lambda c: F.col(c).cast("long")}
+    return df.select(*[plain[k](c).alias(c) if k in plain else F.col(c) for c, k in df.dtypes])
+
+
+def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.rho_differences(ordered.scanline_ids(cloud(spark, sf_dir)))
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.segment_ids(scanlines(spark, sf_dir), F.col("rho_diff") > BREAK)
+
+
+def angle_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ordered.adjust_angles(cloud(spark, sf_dir).withColumn("vert_angle", F.col("vert_angle") * 2)).select("point_counter", "vert_angle", "horiz_angle"))
+
+
+def scanline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanlines(spark, sf_dir).groupBy("scan_id", "scanline_id").agg(F.count("*").alias("n"), F.min("point_counter").alias("first_point"))
+
+
+def rho_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scanlines(spark, sf_dir).select("point_counter", "scanline_id", "rho_diff"))
+
+
+def gradient_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ordered.gradient(scanlines(spark, sf_dir), "rho", "curvature").select("point_counter", "curvature"))
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(segments.segment_statistics(segmented(spark, sf_dir), ["z", "rho"]))
+
+
+def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(segments.label_shares(segmented(spark, sf_dir)))
+
+
+def segment_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(segments.representatives(segmented(spark, sf_dir)))
+
+
+def range_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bins.range_profile(scanlines(spark, sf_dir), "rho_diff", 5.0))
+
+
+def expected_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0).select("point_counter", "expected_value", "expected_value_std"))
+
+
+def scanline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(neighbourhood.scanline_features(scanlines(spark, sf_dir), F.lit(3)), 4)
+
+
+def break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scanline flow with its own expected distances, variable neighbourhoods and two-fold break test."""
+    points = bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0)
+    width = neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0)
+    shape = neighbourhood.scanline_features(points, width).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "slope", "slope_lstsq", "roughness")
+    points = points.join(shape, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p")
+    bent = ordered.gradient(ordered.gradient(points, "slope_lstsq", "curvature_lstsq"), "slope", "curvature")
+    out = ordered.segment_ids(bent, ordered.break_flag(1.0, 30.0))
+    return _rounded(out.select("point_counter", "segment_id", "slope", "curvature", "roughness"), 4)
+
+
+def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    return _rounded(spatial.within_radius(points, points, RADIUS).groupBy("src").agg(F.count("*").alias("n"), F.avg("dist").alias("mean_dist")))
+
+
+def knn_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    near = spatial.nearest(points, points, KNN, RADIUS).where("rank > 0")
+    return _rounded(near.groupBy("src").agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("kth_dist")))
+
+
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(spatial.voxel_means(cloud(spark, sf_dir), 2.0))
+
+
+def voxel_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.snap_to_points(cloud(spark, sf_dir), 2.0)
+
+
+def neighbour_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    return _rounded(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)).drop("scan_id"), 9)
+
+
+def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    axes = spatial.principal_axes(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)))
+    view = spatial.view_vectors(points).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "vx", "vy", "vz")
+    met = spatial.oriented(axes.join(view, (F.col("scan_id") == F.col("_s")) & (F.col("src") == F.col("_p"))))
+    return met.select("src", "n", "curvature", "nx", "ny", "nz")
+
+
+def view_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(spatial.view_vectors(cloud(spark, sf_dir)).drop("scan_id"))
+
+
+def label_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    keys = ("x", "y", "z")
+    return _rounded(labels.attach_labels(points.select("point_counter", *keys), points.where("red < 128").select(*keys, "point_counter", "label"), keys).select("point_counter", "label"))
+
+
+def label_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = segmented(spark, sf_dir)
+    named = segments.label_shares(points).where("n > 1").select("scan_id", "segment_id", F.col("mode_label").alias("predicted"))
+    return _rounded(labels.unfold(points.select("scan_id", "segment_id", "point_counter"), named).select("point_counter", "predicted"))
+
+
+def drop_class_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.drop_class(cloud(spark, sf_dir), 2).groupBy("label", "code").agg(F.count("*").alias("n")))
+
+
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.class_weights(cloud(spark, sf_dir)))
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.stratified_sample(cloud(spark, sf_dir), ["scan_id", "label"], 300, F.col("point_counter")).select("point_counter")
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.confusion(cloud(spark, sf_dir)))
+
+
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.report(cloud(spark, sf_dir)))
+
+
+def impurity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.impurity_report(segments.label_shares(segmented(spark, sf_dir))))
+
+
+def describe_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.describe(cloud(spark, sf_dir), ["scan_id", "label"], "rho"))
+
+
+def pivot_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _rounded(analysis.pivot_with_margins(items, "l_returnflag", "l_linestatus", "l_quantity", ["F", "O"]))
+
+
+def drop_one_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = F.when(F.col("o_orderpriority").startswith("1"), "none").otherwise(F.col("o_orderpriority"))
+    runs = orders.groupBy("o_custkey", name.alias("drop_col")).agg(F.max("o_totalprice").alias("f1"))
+    return _rounded(analysis.importance(runs, ["o_custkey"], "drop_col", "f1"), 2)
+
+
+def linear_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.linear_fit(cloud(spark, sf_dir), ["scan_id"], "x", "z"))
+
+
+def scaled_top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean_price"))
+    return _rounded(analysis.closest_by_scaled_difference(runs, "n", "mean_price", 15, "o_custkey"))
+
+
+def running_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.running_point_ids(cloud(spark, sf_dir), "scan_id", ["point_counter"]).select("point_counter", "point_id")
+
+
+def stride_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirtieth row of chosen scanlines, as the sampling operator does it."""
+    return stride(scanlines(spark, sf_dir).where(F.col("scanline_id").isin(1, 100, 1000, 2000, 3000, 4000)), 30).select("point_counter", "scanline_id")
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str, thresholds: Sequence[float] = (40.0, 80.0, 120.0)) -> DataFrame:
+    """Number of segments for each threshold; the stages before the break test run once."""
+    lines = scanlines(spark, sf_dir)
+    sweep = [lines.groupBy("scan_id").agg(F.count_if(F.col("rho_diff") > t).alias("breaks"), F.count("*").alias("n")).withColumn("threshold", F.lit(t)) for t in thresholds]
+    out = sweep[0]
+    for more in sweep[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, range_profile, expected_distance, scanline_features,
+        break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
+        class_weights, stratified_sample, confusion_matrix, classification_report, impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, scaled_top_runs,
+        running_point_ids, stride_rows, threshold_sweep, classify_segments,
+    )
+}
+ORACLES: dict[str, str] = oracles.SQL
