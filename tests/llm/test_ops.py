@@ -258,11 +258,11 @@ def test_images(spark):
     pic = lambda seed: np.clip(images._resize(np.random.default_rng(seed).uniform(0, 255, (15, 18)), 8), 0, 255)
     made = {i: pic(i) for i in range(8)} | {100: pic(0)[10:110, 20:130], 101: pic(1) * 0.8 + 20, 102: np.rot90(pic(2)), 103: pic(3) + rng.normal(0, 4, pic(3).shape), 104: images._resize(pic(4), 0.75), 105: pic(5)}
     rows = [(i, a.shape[1], np.rint(np.clip(a, 0, 255)).astype(np.uint8).tobytes()) for i, a in made.items()]
-    rows += [(None, 10, b"x" * 100), (200, None, b"abc"), (201, 7, b"abc"), (202, 1, b""), (203, 0, b"q"), (204, 4, None)]
+    rows += [(None, 10, b"x" * 100), (200, None, b"abc"), (201, 7, b"abc"), (202, 1, b""), (203, 0, b"q"), (204, 4, None), (205, 40, bytes(1600))]
     table = spark.createDataFrame(rows, "image_id long, width int, pixels binary").withColumn("node", F.lit(1))
     got = images.image_groups(table).collect()
     by = {r.image_id: (r.n_copies, r.component_id) for r in got}
-    assert len(got) == len(rows) and all(by[100 + i] == (1, i) for i in range(6)) and by[6] == (0, 6) and by[None] == (0, None)
+    assert len(got) == len(rows) and all(by[100 + i] == (1, i) for i in range(6)) and by[6] == (0, 6) and by[205] == (0, 205) and by[None] == (0, None)
     assert images.image_groups(table.limit(0)).count() == 0
 
 
