@@ -281,3 +281,18 @@ def test_pipeline_stages_equal_brute_force(spark, data, docs):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, data)
     assert packed.agg(F.sum("n_words")).first()[0] == sum(len(words(r.text)) for r in kept.collect())
     assert corpus_pipeline.run(spark, data).count() == packed.count()
+
+
+def test_descriptor_matches(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (20, 256)).astype(bool)[np.arange(120) % 20]
+    for row in bits[:60]:
+        row[rng.choice(256, rng.integers(0, 18), replace=False)] ^= True
+    words = [[int(w) for w in np.packbits(row).view(">i8").astype(np.int64)] for row in bits]
+    corners = spark.createDataFrame([(i // 2, i % 2, *w) for i, w in enumerate(words)], "node long, corner int, w0 long, w1 long, w2 long, w3 long")
+    apart = (bits[:, None] != bits[None]).sum(2)
+    want = sorted((int(i) // 2, int(i) % 2, int(j) // 2, int(j) % 2) for i, j in zip(*np.nonzero(apart <= 15), strict=True) if i // 2 < j // 2)
+    assert sorted(map(tuple, images.descriptor_matches(corners, 15, 64).collect())) == want
+    crowded = set(map(tuple, images.descriptor_matches(corners, 15, 4).collect()))
+    assert crowded <= set(want)
+    assert {i for a in crowded for i in (a[0], a[2])} == set(range(30, 60)) | {i for a in crowded for i in (a[0], a[2]) if i < 30}
