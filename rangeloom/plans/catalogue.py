@@ -118,6 +118,11 @@ def neighbour_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)).drop("scan_id"), 9)
 
 
+def neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    return _rounded(spatial.neighbour_statistics(points, spatial.within_radius(points, points, RADIUS), ["rho", "red"]).drop("scan_id"))
+
+
 def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
     axes = spatial.principal_axes(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)))
@@ -214,7 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, range_profile, expected_distance, scanline_features,
-        break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
+        break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
         class_weights, stratified_sample, confusion_matrix, classification_report, impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, scaled_top_runs,
         running_point_ids, stride_rows, threshold_sweep, classify_segments,
     )

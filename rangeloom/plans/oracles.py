@@ -91,6 +91,12 @@ sums AS (
 fit AS (SELECT *, CASE WHEN abs(m * sxx - sx * sx) > 1e-9 THEN (m * sxy - sx * sy) / (m * sxx - sx * sx) ELSE (sx / m) * sy / m / ((sx / m) ** 2 + 1) END AS beta FROM sums)
 SELECT l.scan_id, l.point_counter, coalesce(round(slope, 4), 0) AS slope, coalesce(round(degrees(atan(beta)), 4), 0) AS slope_lstsq, coalesce(round(roughness, 4), 0) AS roughness FROM lines l LEFT JOIN fit USING (scan_id, point_counter)""",
     "radius_counts": f"WITH {NEAR} SELECT src, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM near GROUP BY 1",
+    "neighbour_statistics": f"WITH {NEAR} SELECT src, count(*) AS n, "
+    + ", ".join(
+        f"round(avg(o.{a}), 6) AS {a}_mean, round(stddev_pop(o.{a}), 6) AS {a}_std, " + ", ".join(f"round(quantile_cont(o.{a}::DOUBLE, {q}), 6) AS {a}_{t}" for t, q in (("perc2nd", 0.02), ("perc25th", 0.25), ("perc75th", 0.75), ("perc98th", 0.98)))
+        for a in ("rho", "red")
+    )
+    + " FROM near JOIN pcd o ON o.point_counter = near.dst GROUP BY 1",
     "knn_mean_distance": f"""WITH {PCD},
 d AS (SELECT q.point_counter AS src, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), 16) AS d FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id GROUP BY 1)
 SELECT src, round(list_sum(d[2:]) / len(d[2:]), 6) AS mean_dist, round(d[-1], 6) AS kth_dist FROM d WHERE len(d) > 1""",
