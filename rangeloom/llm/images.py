@@ -8,10 +8,9 @@ are parts agree on a part, so an equi-join finds them. Matches
 vote for the turn, scale and shift between two images, and pairs with enough agreeing
 votes are copies.
 
-Images with the same pixels are one node. A table entry that many images share
-says little about any one of them; entries of more than ``bucket_rows`` rows are refined by their
-other parts, one after another, and what stays that large after all parts is equal in
-every bit: there each member votes with the first one only.
+Images with the same pixels are one node, and so are equal descriptors, whose members all
+vote. A bucket that many images share is dealt into blocks of ``bucket_rows`` rows, and every pair of
+blocks is compared, so no pair is missed however crowded a bucket is.
 """
 
 from __future__ import annotations
@@ -117,62 +116,41 @@ def _bits_apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
 
 
-def _bucket(depth: int) -> Column:
-    """Bucket of a row with ``tab`` and ``_parts``, told by ``depth + 1`` parts from the table's own on."""
-    part = lambda d: F.get("_parts", F.pmod(F.col("tab") + d, F.lit(PARTS)))
-    each = BITS // PARTS
-    if depth <= 1:  # short keys, which compress better than hashes
-        own = F.shiftleft(F.col("tab").cast("long"), each).bitwiseOR(part(0))
-        return F.shiftleft(own, each).bitwiseOR(part(1)) if depth else own
-    return F.xxhash64("tab", *[part(d) for d in range(depth + 1)])
-
-
 def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
     """(a_node, a_corner, b_node, b_corner): corners of different images within ``max_bits`` bits, a's node before b's.
 
-    Buckets told by one part are at most ``PARTS * 2**(BITS // PARTS)``, about a million at any input, so their sizes
-    are broadcast. Entries of buckets told by two parts are counted without their descriptors, which only those that
-    met another entry take along. Buckets of equal descriptors cannot be refined and leave the loop.
+    Equal descriptors are one entry with a list of members. Every bucket is compared whole: its entries are dealt into
+    blocks of about ``bucket_rows``, and each pair of blocks is joined by itself, so the result does not depend on
+    ``bucket_rows``. A pair that meets in several tables counts in the first of them. Buckets are at most
+    ``PARTS * 2**(BITS // PARTS)``, about a million at any input, so their sizes are broadcast.
     """
     if not 0 <= max_bits < PARTS:
         raise ValueError(f"max_bits must be below {PARTS}")
     words = [f"w{i}" for i in range(WORDS)]
     key = ("node", "corner")
-    described = corners.select(*key, *words)
-    tables = described.withColumn("_parts", _parts()).withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    first = tables.withColumn("bucket", _bucket(0))
-    sizes = stage(first.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
-    few, many = sizes.where(F.col("n") <= bucket_rows).select("bucket"), sizes.where(F.col("n") > bucket_rows).select("bucket")
-    met = [first.join(F.broadcast(few), "bucket", "left_semi").select("bucket", *key, *words)]
-    stars = []
-    live = first.join(F.broadcast(many), "bucket", "left_semi").select(*key, "tab", _bucket(1).alias("bucket"))
-    for depth in range(1, PARTS):
-        if depth == 1:
-            sizes = stage(live.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
-            live = live.join(sizes, "bucket").join(described, [*key]).withColumn("same", F.lit(False))
-        else:
-            print_of = F.xxhash64(*words)
-            sizes = live.groupBy("bucket").agg(F.count("*").alias("n"), (F.min(print_of) == F.max(print_of)).alias("same")).where("n > 1")
-            live = live.join(stage(sizes, "entry-sizes"), "bucket")
-        live = stage(live.select("bucket", *key, "tab", *words, "n", "same"), "entries")
-        crowded = F.col("n") > bucket_rows
-        met.append(live.where(~crowded).select("bucket", *key, *words))
-        stuck = crowded & F.col("same") if depth < PARTS - 1 else crowded
-        stars.append(live.where(stuck).select("bucket", *key))
-        live = live.where(crowded & ~F.col("same")).select(*key, "tab", *words)
-        if live.isEmpty():
-            break
-        live = live.withColumn("_parts", _parts()).select(*key, "tab", *words, _bucket(depth + 1).alias("bucket"))
-    pairs = []
-    for rows in met:
-        a, b = rows.alias("a"), rows.alias("b")
-        here = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (_bits_apart("a", "b") <= max_bits))
-        pairs.append(here.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in key]))
-    for rows in stars:
-        lead = rows.groupBy(F.col("bucket").alias("_b")).agg(F.min(F.struct(*key)).alias("lead"))
-        star = rows.join(lead, F.col("bucket") == F.col("_b")).where(F.col("lead.node") < F.col("node"))
-        pairs.append(star.select(*[F.col(f"lead.{c}").alias(f"a_{c}") for c in key], *[F.col(c).alias(f"b_{c}") for c in key]))
-    return reduce(DataFrame.unionByName, pairs).distinct()
+    described = corners.groupBy(*words).agg(F.collect_list(F.struct(*key)).alias("members"))
+    described = stage(described.withColumn("entry", F.monotonically_increasing_id()), "descriptors")
+    each = BITS // PARTS
+    tables = described.select("entry", *words, F.posexplode(_parts()).alias("tab", "part"))
+    tables = tables.select(F.shiftleft(F.col("tab").cast("long"), each).bitwiseOR(F.col("part")).alias("bucket"), "entry", *words)
+    sizes = stage(tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
+    split = F.ceil(F.col("n") / bucket_rows).cast("int")
+    dealt = tables.join(F.broadcast(sizes), "bucket").withColumn("own", F.pmod(F.xxhash64("entry"), split).cast("int"))
+    a = dealt.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), split - 1)).alias("j"), "entry", *words).alias("a")
+    b = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "i", "j")])
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.entry") < F.col("b.entry"))
+    near = a.join(b, same & once & (_bits_apart("a", "b") <= max_bits))
+    near = near.select(F.shiftright("a.bucket", each).alias("tab"), F.col("a.entry").alias("one"), F.col("b.entry").alias("two"), *[F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).alias(w) for w in words])
+    near = near.where(F.array_position(_parts(), F.lit(0).cast("long")) == F.col("tab") + 1).select("one", "two")
+    equal = described.where(F.size("members") > 1).select(F.col("entry").alias("one"), F.col("entry").alias("two"))
+    pairs = stage(near.unionByName(equal), "near-descriptors")
+    for t in ("one", "two"):
+        pairs = pairs.join(described.select(F.col("entry").alias(t), F.explode("members").alias(f"{t}_of")), t)
+    first = F.col("one_of.node") < F.col("two_of.node")
+    turned = (F.col("one") != F.col("two")) & (F.col("one_of.node") > F.col("two_of.node"))
+    pairs = pairs.where(first | turned).select(F.when(first, F.col("one_of")).otherwise(F.col("two_of")).alias("a"), F.when(first, F.col("two_of")).otherwise(F.col("one_of")).alias("b"))
+    return pairs.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in key])
 
 
 def _placed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
@@ -184,7 +162,7 @@ def _placed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
 
 
 def image_groups(
-    images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels", max_bits: int = 15, votes: int = 6, cell: float = 12.0, bucket_rows: int = 64
+    images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels", max_bits: int = 15, votes: int = 6, cell: float = 12.0, bucket_rows: int = 4096
 ) -> DataFrame:
     """One row per image: (image_id, n_copies, component_id).
 

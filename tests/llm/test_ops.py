@@ -296,3 +296,16 @@ def test_descriptor_matches(spark):
     crowded = set(map(tuple, images.descriptor_matches(corners, 15, 4).collect()))
     assert crowded <= set(want)
     assert {i for a in crowded for i in (a[0], a[2])} == set(range(30, 60)) | {i for a in crowded for i in (a[0], a[2]) if i < 30}
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 4, 4096])
+def test_crowded_buckets_equal_brute_force(spark, bucket_rows):
+    rng = np.random.default_rng(4)
+    bits = np.tile(rng.integers(0, 2, 256).astype(bool), (60, 1))
+    for row in bits[:50]:
+        row[rng.choice(256, rng.integers(0, 16), replace=False)] ^= True
+    words = [[int(w) for w in np.packbits(row).view(">i8").astype(np.int64)] for row in bits]
+    corners = spark.createDataFrame([(i // 2, i, *w) for i, w in enumerate(words)], "node long, corner int, w0 long, w1 long, w2 long, w3 long")
+    apart = (bits[:, None] != bits[None]).sum(2)
+    want = sorted((int(i) // 2, int(i), int(j) // 2, int(j)) for i, j in zip(*np.nonzero(apart <= 15), strict=True) if i // 2 < j // 2)
+    assert sorted(map(tuple, images.descriptor_matches(corners, 15, bucket_rows).collect())) == want
