@@ -18,6 +18,7 @@ import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,19 @@ EVIDENCE_LIMIT = 8.0
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
+@lru_cache(maxsize=1)
+def _case() -> np.ndarray:
+    """1 for each capital, -1 for each small letter, 0 for the other characters."""
+    every = list(map(chr, range(0x110000)))
+    return np.fromiter(map(str.isupper, every), np.int8, len(every)) - np.fromiter(map(str.islower, every), np.int8, len(every))
+
+
 def tokens(text: str | None) -> set[str]:
-    """Different tokens of a text: words in lower case, runs of marks, a sign of shouting if half its cased letters are capitals, and one of stammering if a fifth of its words repeat the one before."""
+    """Different tokens of a text: words in lower case, runs of marks, a sign of shouting if over half of its cased letters are capitals, and one of stammering if a fifth of its words repeat the one before."""
     if not text:
         return set()
     found = {t.lower() for t in _TOKEN.findall(text)}
-    upper, lower = sum(map(str.isupper, text[::7])), sum(map(str.islower, text[::7]))
-    if upper > lower:
+    if _case()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].sum(dtype=np.int64) > 0:
         found.add("\x00shout")
     words = text.split()
     if 5 * sum(map(operator.eq, words, words[1:])) > len(words):

@@ -309,3 +309,9 @@ def test_crowded_buckets_equal_brute_force(spark, bucket_rows):
     apart = (bits[:, None] != bits[None]).sum(2)
     want = sorted((int(i) // 2, int(i), int(j) // 2, int(j)) for i, j in zip(*np.nonzero(apart <= 15), strict=True) if i // 2 < j // 2)
     assert sorted(map(tuple, images.descriptor_matches(corners, 15, bucket_rows).collect())) == want
+
+
+def test_shouting_counts_the_whole_text():
+    assert "\x00shout" not in quality.tokens("This.") | quality.tokens("De.") | quality.tokens("Die tz.")
+    assert "\x00shout" in quality.tokens("SHOUTS " * 50) and "\x00shout" in quality.tokens("ÉCOLE été É")
+    assert "\x00shout" in quality.tokens("aBCDEFG" * 50)
