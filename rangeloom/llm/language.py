@@ -2,9 +2,10 @@
 
 A suffix automaton of each language's labelled text yields longest matches. A
 text is parsed greedily into phrases, each the longest that occurs in the
-language's text (a letter that never occurs is a phrase by itself); phrases times
-the bits of a position in the language's text, per letter, estimate the cross
-entropy, and the language with the fewest such bits wins.
+language's text (a letter that never occurs is a phrase by itself). A phrase costs
+the bits of a position in the language's text, a letter that never occurs those of any
+character there is; bits per letter estimate the cross entropy, and the language
+with the fewest wins.
 
 Texts are lower-cased and every run of other characters than letters counts as one
 space. Parsing restarts at fixed intervals, so many stretches advance together
@@ -18,7 +19,6 @@ stretch of a row each.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +33,8 @@ STRETCH = 500
 UNDETERMINED = "und"
 _STEP = 512
 _LANES = 8192
-_SYMBOLS = 128
-_PAD, _UNKNOWN = _SYMBOLS - 1, _SYMBOLS - 2
+_DENSE = 1 << 24
+_LETTER_BITS = float(np.log2(0x110000))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -79,41 +79,91 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
-def parse_table(text: str, alphabet: dict[str, int]) -> np.ndarray:
-    """For each state and symbol: the offset of the next state's row times 4, plus the phrases that the step ends."""
-    moves = suffix_automaton(text)
-    table = np.zeros((len(moves), _SYMBOLS), np.int64)
-    start = np.zeros(_SYMBOLS, np.int64)
-    known = np.zeros(_SYMBOLS, bool)
-    for c, to in moves[0].items():
-        start[alphabet[c]], known[alphabet[c]] = to * _SYMBOLS * 4, True
-    table[:] = np.where(known, start + 1, 2)
-    table[0] = np.where(known, start, 1)
-    for state, out in enumerate(moves):
-        for c, to in out.items():
-            table[state, alphabet[c]] = to * _SYMBOLS * 4
-    table[:, _PAD] = np.arange(len(moves)) * _SYMBOLS * 4
-    return table.ravel().astype(np.int32)
+class ParseTable:
+    """Steps of an automaton over the letters of its own text; the next to last symbol is any other letter, the last is none.
+
+    A step is the next state times 4, plus the phrases that it ends. Small alphabets have a row for each state;
+    wide ones keep only the transitions that exist, hashed, as all others are those of the start.
+    """
+
+    def __init__(self, text: str, dense: int = _DENSE):
+        moves = suffix_automaton(text)
+        self.alphabet = {c: i for i, c in enumerate(sorted(moves[0]))}
+        self.width = len(self.alphabet) + 2
+        start = np.full(self.width, 2, np.int64)
+        for c, to in moves[0].items():
+            start[self.alphabet[c]] = to * 4 + 1
+        self.start = start
+        kept = np.array([(state * self.width + self.alphabet[c], to * 4) for state, out in enumerate(moves) for c, to in out.items()], np.int64).reshape(-1, 2)
+        self.table = None
+        if len(moves) * self.width <= dense:
+            table = np.tile(start, (len(moves), 1))
+            table[0] = start - 1
+            table.ravel()[kept[:, 0]] = kept[:, 1]
+            table[:, -1] = np.arange(len(moves)) * 4
+            self.table = ((table >> 2) * self.width * 4 + (table & 3)).ravel().astype(np.int32)
+            return
+        self.shift = np.uint64(64 - max(4, (len(kept) * 4).bit_length()))
+        slots = 1 << (64 - int(self.shift))
+        self.probes = 0
+        self.keys, self.next = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+        left, at = np.arange(len(kept)), self._slot(kept[:, 0])
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = kept[left[free], 0]
+            put = self.keys[at] == kept[left, 0]
+            self.next[at[put]] = kept[left[put], 1]
+            left, at = left[~put], (at[~put] + 1) % slots
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def run(self, symbols: np.ndarray, live: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(open, ended): whether a phrase is open at the end of each lane, and phrases that ended; the first ``live`` lanes take each step."""
+        lanes = symbols.shape[1]
+        if self.table is not None:
+            state, ended = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+            for row, n in zip(symbols, live, strict=True):
+                move = self.table.take(state[:n] + row[:n])
+                ended[:n] += move & 3
+                np.right_shift(move, 2, out=state[:n])
+            return state > 0, ended
+        state, ended = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+        for row, n in zip(symbols, live, strict=True):
+            now, key = state[:n], state[:n] * self.width + row[:n]
+            move, at = self.start[row[:n]] - (now == 0), self._slot(key)
+            for _ in range(self.probes):
+                hit = self.keys[at] == key
+                move[hit] = self.next[at[hit]]
+                at = (at + 1) % len(self.keys)
+            ended[:n] += (move & 3).astype(np.int32)
+            state[:n] = move >> 2
+        return state > 0, ended
 
 
 class Parser:
     """Cross-parsing of texts against a sample of each language."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        seen = Counter(c for _, text in samples for c in text)
-        order = sorted(seen, key=lambda c: (-seen[c], c))[:_UNKNOWN]
-        alphabet = {c: i for i, c in enumerate(order)}
+    def __init__(self, samples: tuple[tuple[str, str], ...], dense: int = _DENSE):
         self.languages = [name for name, _ in samples]
-        texts = ["".join(c for c in text if c in alphabet) for _, text in samples]
-        self.tables = [parse_table(t, alphabet) for t in texts]
-        self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
-        self.codes = np.full(0x110000, _UNKNOWN, np.uint8)
-        for c, i in alphabet.items():
-            self.codes[ord(c)] = i
+        self.tables = [ParseTable(text, dense) for _, text in samples]
+        self.bits = np.array([np.log2(max(2, len(text))) for _, text in samples])
+        letters_of = sorted(set().union(*(t.alphabet for t in self.tables)))
+        self.codes = np.full(0x110000, len(letters_of), np.int32)
+        self.codes[[ord(c) for c in letters_of]] = np.arange(len(letters_of))
+        #: For each language: its own symbol of each code, then of other letters and of none.
+        self.own = [np.array([*(t.alphabet.get(c, t.width - 2) for c in letters_of), t.width - 2, t.width - 1], np.int32) for t in self.tables]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) in each language, and letters of each text; of texts that ``letters`` has made."""
+        counts, _, sizes = self.parsed(texts)
+        return counts, sizes
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each text (rows) in each language, those of them that are letters the language lacks, and letters of each text."""
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
+        unseen = np.zeros_like(counts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         base = np.cumsum(sizes) - sizes
@@ -129,16 +179,14 @@ class Parser:
             steps = np.arange(depth)[:, None]
             inside = steps < size[lanes]
             at = np.where(inside, begin[lanes] + steps, 0)
-            symbols = np.where(inside, self.codes[raw[at]], np.uint8(_PAD))
-            live = inside.sum(axis=1)
+            symbols = np.where(inside, self.codes[raw[at]], -1)
+            live = inside.sum(axis=1).tolist()
             for k, table in enumerate(self.tables):
-                state, ended = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
-                for row, n in zip(symbols, live.tolist(), strict=True):
-                    move = table.take(state[:n] + row[:n])
-                    ended[:n] += move & 3
-                    np.right_shift(move, 2, out=state[:n])
-                np.add.at(counts[:, k], owner[lanes], ended + (state > 0))
-        return counts, sizes
+                own = self.own[k][symbols]
+                is_open, ended = table.run(own, live)
+                np.add.at(counts[:, k], owner[lanes], ended + is_open)
+                np.add.at(unseen[:, k], owner[lanes], (own == table.width - 2).sum(axis=0))
+        return counts, unseen, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: 1 - bits of the best language / bits of the second; und and 0 without letters."""
@@ -149,8 +197,8 @@ class Parser:
             while hi < len(clean) and (hi == lo or held + len(clean[hi]) <= _STEP * _LANES):
                 held += len(clean[hi])
                 hi += 1
-            counts, sizes = self.phrases(clean[lo:hi])
-            cost = counts * self.bits
+            counts, unseen, sizes = self.parsed(clean[lo:hi])
+            cost = (counts - unseen) * self.bits + unseen * _LETTER_BITS
             for row, n in zip(cost, sizes, strict=True):
                 if not n or not len(row):
                     names.append(UNDETERMINED)

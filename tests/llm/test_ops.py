@@ -315,3 +315,25 @@ def test_shouting_counts_the_whole_text():
     assert "\x00shout" not in quality.tokens("This.") | quality.tokens("De.") | quality.tokens("Die tz.")
     assert "\x00shout" in quality.tokens("SHOUTS " * 50) and "\x00shout" in quality.tokens("ÉCOLE été É")
     assert "\x00shout" in quality.tokens("aBCDEFG" * 50)
+
+
+@pytest.mark.parametrize("dense", [0, language._DENSE])
+def test_languages_of_many_letters(dense):
+    rng = np.random.default_rng(6)
+    scripts = {"han": (0x4E00, 900), "hangul": (0xAC00, 900), "kana": (0x3041, 80), "cyrillic": (0x430, 32), "latin": (0x61, 26)}
+    made = {name: ["".join(chr(first + int(i)) for i in rng.integers(0, n, 3)) for _ in range(300)] for name, (first, n) in scripts.items()}
+    text = lambda name, n: " ".join(rng.choice(made[name], n))
+    samples = tuple((name, text(name, 2000)) for name in sorted(made)) + (("zz", "e"),)
+    parser = language.Parser(samples, dense)
+    assert all((t.table is None) == (dense == 0) for t in parser.tables)
+    assert parser.predict([text(name, 20) for name in made])[0] == list(made)
+    texts = [text("han", 9), text("latin", 9), text("han", 3) + "e" + text("kana", 3)]
+    for row, t in zip(parser.phrases(texts)[0], texts, strict=True):
+        for n, (_, sample) in zip(row, samples, strict=True):
+            rest, want = t, 0
+            while rest:
+                k = 1
+                while k < len(rest) and rest[: k + 1] in sample:
+                    k += 1
+                rest, want = rest[k:], want + 1
+            assert n == want
