@@ -10,9 +10,13 @@ from rangeloom.operators.staging import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
-    found = language.with_language(docs, language.labelled_samples(docs), lang_out="_lang", score_out="_score")
-    return found.where(F.col("_lang") != language.UNDETERMINED).select(docs.columns)
+    """Documents that fit a learned language by their bits per letter; gibberish, other languages and those without any letter go.
+
+    Every document stays where too little is labelled to learn from.
+    """
+    samples = language.labelled_samples(docs)
+    found = language.with_language(docs, samples, lang_out="_lang", score_out="_score", fits_out="_fits", usual=language.usual_bits(samples))
+    return found.where("_fits").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

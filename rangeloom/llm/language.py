@@ -34,6 +34,7 @@ UNDETERMINED = "und"
 _STEP = 512
 _LANES = 8192
 _DENSE = 1 << 24
+_PIECE, _LEAST_PIECES, _FAR = 64, 32, 6.0
 _LETTER_BITS = float(np.log2(0x110000))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -190,8 +191,17 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: 1 - bits of the best language / bits of the second; und and 0 without letters."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None], usual: tuple[float, float] | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """``predict``, each text's bits per letter in its language, and whether those fit it.
+
+        ``usual`` is what ``usual_bits`` finds. More than ``_FAR`` deviations above the mean do not fit, nor does a text
+        without letters. Texts shorter than a piece deviate more, by the root of their length. What letters drawn evenly from the
+        language's alphabet would cost always fits, and so does everything without ``usual``.
+        """
         clean = [letters(t) if t else "" for t in texts]
-        names, scores, lo = [], [], 0
+        names, scores, rates, fits, lo = [], [], [], [], 0
         while lo < len(clean):
             hi, held = lo, 0
             while hi < len(clean) and (hi == lo or held + len(clean[hi]) <= _STEP * _LANES):
@@ -203,13 +213,30 @@ class Parser:
                 if not n or not len(row):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
+                    rates.append(0.0)
+                    fits.append(usual is None)
                     continue
                 best = int(np.argmin(row))
                 rest = np.delete(row, best)
                 names.append(self.languages[best])
                 scores.append(1.0 if not len(rest) else float(1 - row[best] / rest.min()))
+                rates.append(float(row[best] / n))
+                fits.append(usual is None or rates[-1] <= max(np.log2(max(2, self.tables[best].width - 2)), usual[0] + _FAR * usual[1] * max(1.0, (_PIECE / n) ** 0.5)))
             lo = hi
-        return names, np.array(scores, float)
+        return names, np.array(scores, float), np.array(rates, float), np.array(fits, bool)
+
+
+def usual_bits(samples: tuple[tuple[str, str], ...]) -> tuple[float, float] | None:
+    """Mean and deviation of the bits per letter of pieces of each language's second half, parsed against the first halves.
+
+    None where there are too few pieces to tell, as without any language.
+    """
+    halves = [(lang, text[: len(text) // 2], text[len(text) // 2 :]) for lang, text in samples]
+    pieces = [rest[i : i + _PIECE] for _, _, rest in halves for i in range(0, len(rest) - _PIECE + 1, _PIECE)]
+    if len(pieces) < _LEAST_PIECES:
+        return None
+    rates = Parser(tuple((lang, learned) for lang, learned, _ in halves)).judge(pieces)[2]
+    return float(rates.mean()), float(rates.std())
 
 
 @lru_cache(maxsize=2)
@@ -242,20 +269,24 @@ def labelled_samples(
     return tuple((lang, text) for lang, text in samples if text)
 
 
-def with_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def with_language(
+    docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fits_out: str | None = None, usual: tuple[float, float] | None = None
+) -> DataFrame:
     """``docs`` with the language of every whole text and its score.
 
     Null, empty and letterless texts are ``und`` with score 0, and so is every text if
     there are no samples. Equal bits go to the first language in code point
     order. Only the text is looked at; columns that have the names of the new ones are replaced.
+    ``fits_out`` names a column that tells whether the text fits its language, as ``Parser.judge`` has it.
     """
-    empty = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    empty = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("fits", pa.bool_())])
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, fits boolean")
     def predicted(text: pa.Array) -> pa.Array:
-        names, scores = _parser(samples).predict(text.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(empty))
+        names, scores, _, fits = _parser(samples).judge(text.to_pylist(), usual)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], fields=list(empty))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
+    new = {lang_out: "lang", score_out: "score"} | ({fits_out: "fits"} if fits_out else {})
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     met = docs.select(*kept, predicted(F.col(text_col).cast("string")).alias("_language"))
-    return met.select(*kept, F.col("_language.lang").alias(lang_out), F.col("_language.score").alias(score_out))
+    return met.select(*kept, *[F.col(f"_language.{c}").alias(out) for out, c in new.items()])

@@ -337,3 +337,18 @@ def test_languages_of_many_letters(dense):
                     k += 1
                 rest, want = rest[k:], want + 1
             assert n == want
+
+
+def test_pipeline_drops_what_fits_no_language(spark, data):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    junk = ["".join(np.random.default_rng(7).choice(list("abcdefghijklmnopqrstuvwxyz    "), 300)), "привет мир как дела", "7844 !!"]
+    short = ["De.", "Avec."]
+    rows = [(-1 - i, t, None, "x", len(t)) for i, t in enumerate(junk + short)]
+    more = table.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes]))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, more, data).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3} and kept >= {-4, -5}
+    assert sum(r.doc_id in kept for r in table.select("doc_id").collect()) >= 0.98 * table.count()
+    unknown = more.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unknown, data).count() == more.count()
