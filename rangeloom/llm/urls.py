@@ -14,6 +14,8 @@ not of pages, so a host with a third of all pages is summed up before it moves.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,18 +54,27 @@ def rule_of(host: Column, path: Column, rules: Rules) -> Column:
     return found
 
 
-def path_templates(paths: DataFrame, depth: int, support: int, z: float) -> DataFrame:
+def path_templates(paths: DataFrame, depth: int | None, support: int, z: float) -> DataFrame:
     """(host, path, template) for rows (host, path, n, labelled, bad) of distinct paths.
 
-    ``depth`` levels are told apart; deeper segments count as the last level's wildcard.
+    Levels are told apart down to the longest path, or ``depth`` of them, with deeper segments as one more wildcard.
+    A path leaves the loop when it has no segment left, or when the pages that share its template are fewer than ``support``
+    or have no labels of both kinds: then whatever follows merges into wildcards.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    at = paths.withColumn("_parts", parts).withColumn("_template", F.lit(""))
-    for level in range(depth):
+    live = paths.withColumn("_parts", parts).withColumn("_template", F.lit("")).withColumn("_open", F.lit(True))
+    size = F.size("_parts") if depth is None else F.least(F.size("_parts"), F.lit(depth + 1))
+    done = []
+    for level in count():
+        ends = (size <= level) | F.lit(level == depth) | ~F.col("_open")
+        template = F.concat("_template", F.repeat(F.lit("/" + WILDCARD), size - level))
+        done.append(live.where(ends).select("host", "path", "n", "labelled", "bad", template.alias("template")))
+        if level == depth or live.where(~ends).isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        live = live.where(~ends).drop("_open")
         segment = F.get("_parts", F.lit(level))
         plain = F.when(segment.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(segment)
-        at = stage(at.withColumn("_segment", plain), f"level-{level}")
-        inner = at.where(F.col("_segment").isNotNull())
+        inner = stage(live.withColumn("_segment", plain), f"level-{level}")
         child = inner.groupBy("host", "_template", "_segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         child = stage(child, f"children-{level}")
         parent = child.groupBy(F.col("host").alias("_h"), F.col("_template").alias("_t")).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -74,11 +85,12 @@ def path_templates(paths: DataFrame, depth: int, support: int, z: float) -> Data
         apart = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rest_bad / F.greatest(rest, F.lit(1)))
         alike = (F.col("labelled") == 0) | (rest == 0) | (apart <= F.lit(z) * error)
         merged = F.when((F.col("n") < support) | alike, F.lit(WILDCARD)).otherwise(F.col("_segment"))
-        names = stage(both.select(F.col("host").alias("_h"), F.col("_template").alias("_t"), F.col("_segment").alias("_s"), merged.alias("_name")), f"names-{level}")
-        met = at.join(names, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_segment") == F.col("_s")), "left")
-        at = met.withColumn("_template", F.when(F.col("_name").isNotNull(), F.concat("_template", F.lit("/"), "_name")).otherwise(F.col("_template"))).drop("_h", "_t", "_s", "_name", "_segment")
-    deeper = F.when(F.size("_parts") > depth, F.concat("_template", F.lit("/" + WILDCARD))).otherwise(F.col("_template"))
-    return at.select("host", "path", "n", "labelled", "bad", deeper.alias("template"))
+        names = stage(both.select(F.col("host").alias("_h"), F.col("_template").alias("_t"), F.col("_segment").alias("_s"), merged.alias("_name"), "n", "labelled", "bad"), f"names-{level}")
+        group = names.groupBy(F.col("_h").alias("_gh"), F.concat("_t", F.lit("/"), "_name").alias("_g")).agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
+        group = group.where((F.col("_n") >= support) & (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled"))).select("_gh", "_g")
+        met = inner.join(names.drop("n", "labelled", "bad"), (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_segment") == F.col("_s")))
+        met = met.withColumn("_template", F.concat("_template", F.lit("/"), "_name")).join(group, (F.col("host") == F.col("_gh")) & (F.col("_template") == F.col("_g")), "left")
+        live = stage(met.withColumn("_open", F.col("_gh").isNotNull()).drop("_h", "_t", "_s", "_name", "_segment", "_gh", "_g"), f"placed-{level}")
 
 
 def judge_urls(
@@ -87,7 +99,7 @@ def judge_urls(
     rules: Rules = (),
     id_col: str = "page_id",
     url_col: str = "url",
-    depth: int = 4,
+    depth: int | None = None,
     support: int = 20,
     z: float = 2.0,
     weight: float = 10.0,

@@ -352,3 +352,17 @@ def test_pipeline_drops_what_fits_no_language(spark, data):
     assert sum(r.doc_id in kept for r in table.select("doc_id").collect()) >= 0.98 * table.count()
     unknown = more.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.identify_language(spark, unknown, data).count() == more.count()
+
+
+def test_urls_split_at_any_depth(spark):
+    rows = [(i, f"http://deep.test/2024/05/12/news/{'spam' if i % 2 else 'politics'}/{i}.html") for i in range(120)] + [(500, "http://deep.test"), (501, "http://deep.test/2024")]
+    taught = spark.createDataFrame([(i, i % 2) for i in range(120)], "key long, bad int")
+    # A page's key is the first run of digits that fills a segment, so dates are spelt out here.
+    rows = [(i, u.replace("2024/05/12", "y2024/m05/d12")) for i, u in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_urls(pages, taught, support=5).collect()
+    assert len(got) == len(rows)
+    assert all((r.verdict == "block") == ("/spam/" in r.path) for r in got if r.page_id < 500)
+    assert {r.template for r in got} == {"/*/*/*/*/spam/*", "/*/*/*/*/politics/*", "", "/*"}
+    cut = {r.template for r in urls.judge_urls(pages, taught, support=5, depth=4).collect()}
+    assert cut == {"/*/*/*/*/*", "", "/*"}
