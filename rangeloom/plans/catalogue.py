@@ -84,8 +84,22 @@ def scanline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scanline flow with its own expected distances, variable neighbourhoods and two-fold break test."""
-    points = bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0)
+    """The scanline flow with variable neighbourhoods and two-fold break test; expected distances are those of ``rho_diff``, not the reference's."""
+    return _broken(bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0))
+
+
+def knn_break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scanline flow, its expected distances those of each point's mean distance to its nearest neighbours, as in the reference."""
+    return _broken(bins.expected_values(with_mean_distance(scanlines(spark, sf_dir)), "mean_dist"))
+
+
+def with_mean_distance(points: DataFrame) -> DataFrame:
+    """``points`` with the mean distance to the nearest ``KNN`` points of their scan, less the point itself."""
+    near = spatial.nearest(points, points, KNN, RADIUS).where("rank > 0").groupBy(F.col("scan_id").alias("_s"), F.col("src").alias("_p")).agg(F.avg("dist").alias("mean_dist"))
+    return points.join(near, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p")), "left").drop("_s", "_p")
+
+
+def _broken(points: DataFrame) -> DataFrame:
     width = neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0)
     shape = neighbourhood.scanline_features(points, width).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "slope", "slope_lstsq", "roughness")
     points = points.join(shape, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p")
@@ -219,7 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, range_profile, expected_distance, scanline_features,
-        break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
+        break_segments, knn_break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
         class_weights, stratified_sample, confusion_matrix, classification_report, impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, scaled_top_runs,
         running_point_ids, stride_rows, threshold_sweep, classify_segments,
     )

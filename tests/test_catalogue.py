@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from rangeloom.plans import catalogue
@@ -27,3 +28,16 @@ def test_break_segments_cover_all_points(spark, data):
 
 def test_forest_predicts_known_labels(spark, data):
     assert {r.predicted for r in catalogue.classify_segments(spark, data).collect()} <= set(range(6))
+
+
+def test_mean_distance_equals_brute_force(spark, data):
+    cloud = catalogue.cloud(spark, data).where("scan_id = 0").limit(80).localCheckpoint()
+    rows = catalogue.with_mean_distance(cloud).collect()
+    xyz = np.array([(r.x, r.y, r.z) for r in rows])
+    apart = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, 1 : catalogue.KNN]
+    assert len(rows) == 80 and np.allclose([r.mean_dist for r in rows], apart.mean(1))
+
+
+def test_knn_break_segments_cover_all_points(spark, data):
+    rows = catalogue.knn_break_segments(spark, data).collect()
+    assert len(rows) == catalogue.cloud(spark, data).count() and all(r.segment_id >= 1 for r in rows)
