@@ -8,31 +8,41 @@ both sides, where adaptive execution can split a skewed partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_ONE_MACHINE = re.compile(r"local(\[.*\])?")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder where it is unset."""
-    app = spark.sparkContext.applicationId
+    """The application's folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one machine sets it to a new local folder; a cluster has no such folder, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="rangeloom-")
-        base = _OWN[app]
-    return f"{base.rstrip('/')}/rangeloom-{app}"
+        if not _ONE_MACHINE.fullmatch(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rangeloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/rangeloom-{spark.sparkContext.applicationId}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the scratch folder, removed when the driver ends."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _hadoop_path(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
@@ -41,7 +51,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete the files of tables that ``stage`` has made and whose readers have all run."""
+    for df in staged:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            target, files = _hadoop_path(df.sparkSession, path)
+            files.delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
