@@ -121,6 +121,54 @@ def test_substring_equals_brute_force(spark, data, docs):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op9_substring_suffix_trees(spark, data).collect()} == want
 
 
+def removed_by_brute_force(rows, window=20):
+    """n_removed of each of the rows (id, text) in order."""
+    seen, out = set(), []
+    for _, text in rows:
+        w, gone = words(text), set()
+        for a in range(len(w) - window + 1):
+            key = tuple(w[a : a + window])
+            if key in seen:
+                gone.update(range(a, a + window))
+            seen.add(key)
+        out.append(len(gone))
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [1, 7, 100_000])
+def test_substring_groups_of_any_size(spark, group_rows):
+    rng = np.random.default_rng(8)
+    line = "one very common line of some words that many texts begin with"
+    few = [f"w{i}" for i in range(6)]
+    texts = [" ".join([*rng.choice(few, 30), line, *rng.choice(few, rng.integers(0, 60)), line, "a " * 30]) for _ in range(40)]
+    texts += [texts[3], texts[5] + " tail", "a " * 200, " ".join(rng.choice(few, 500))]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(table, group_rows=group_rows).collect()}
+    assert [got[i] for i, _ in rows] == removed_by_brute_force(rows)
+
+
+def test_substring_compares_words_and_not_hashes(spark):
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    morse = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    shared = " ".join(f"word{i}" for i in range(19))
+    rows = [(1, f"{shared} {thue}"), (2, f"{shared} {morse}"), (3, f"{shared} {thue}")]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    # Equal routing keys must not matter either: one group of different words.
+    n = np.zeros(3, np.int64)
+    texts = [r[1].encode() for r in rows]
+    found = substring.repeats_of_group(np.arange(1, 4), n, n, n + 1, n, texts, 20, 6)
+    assert [x.tolist() for x in found] == [[3], [0], [0]]
+
+
+def test_substring_largest_id_is_not_null(spark):
+    text = " ".join(f"x{i}" for i in range(25))
+    rows = [(2**63 - 1, text), (None, text), (None, text + " y")]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.values()) == 50 and got[(2**63 - 1, 25)] == 0
+
+
 def test_substring_odd_rows(odd):
     rows = substring.remove_repeats(odd, keep=["source", "id", "node"]).collect()
     assert len(rows) == odd.count() and all(r.id == "x" and r.node == 3 for r in rows)
