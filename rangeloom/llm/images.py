@@ -2,14 +2,15 @@
 
 Each image is searched for corners at several scales. A corner has a main
 direction, along which 256 comparisons of smoothed brightness are turned, so
-that a descriptor survives rotation. Descriptors are split into equal parts,
-one Hamming table each: two descriptors that differ in fewer bits than there
+that a descriptor survives rotation. Both places of a comparison lie equally far along that
+direction, as brightness rises along it anyway and such a comparison would tell little.
+Descriptors are split into equal parts, one Hamming table each: two descriptors that differ in fewer bits than there
 are parts agree on a part, so an equi-join finds them. Matches
 vote for the turn, scale and shift between two images, and pairs with enough agreeing
 votes are copies.
 
-Images with the same pixels are one node, and so are equal descriptors, whose members all
-vote. A bucket that many images share is dealt into blocks of ``bucket_rows`` rows, and every pair of
+Images with the same pixels are one node, and equal descriptors are one entry of the tables, whose members all
+vote. A bucket with many entries is dealt into blocks of ``bucket_rows`` rows, and every pair of
 blocks is compared, so no pair is missed however crowded a bucket is.
 """
 
@@ -24,15 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.operators.components import connected_components
-from rangeloom.operators.staging import stage
+from rangeloom.operators.staging import release, stage
 
 SCALES = (1.0, 0.75, 0.5)
-BITS, PARTS = 256, 16
+BITS, PARTS = 256, 8
 RADIUS = 12
 WORDS = BITS // 64
 _CORNER = "print string, node long, corner int, x float, y float, scale float, turn float, " + ", ".join(f"w{i} long" for i in range(WORDS))
 _RNG = np.random.Generator(np.random.PCG64(11))
-_TESTS = np.clip(_RNG.normal(0, RADIUS / 2.5, (BITS, 4)), -RADIUS + 2, RADIUS - 2)
+_TESTS = np.clip(_RNG.normal(0, RADIUS / 1.7, (BITS, 4)), -RADIUS + 2, RADIUS - 2)
+_TESTS[:, 2] = _TESTS[:, 0]
 _GRID = np.arange(-RADIUS, RADIUS + 1)
 _DISC = _GRID[:, None] ** 2 + _GRID[None, :] ** 2 <= RADIUS * RADIUS
 
@@ -109,7 +111,7 @@ def _parts() -> Column:
     """The descriptor's parts as an array, first bits first."""
     each = BITS // PARTS
     held = 64 // each
-    return F.array(*[F.shiftrightunsigned(f"w{t // held}", 64 - each * (t % held + 1)).bitwiseAND((1 << each) - 1) for t in range(PARTS)])
+    return F.array(*[F.shiftrightunsigned(f"w{t // held}", 64 - each * (t % held + 1)).bitwiseAND(F.lit((1 << each) - 1)) for t in range(PARTS)])
 
 
 def _bits_apart(a: str, b: str) -> Column:
@@ -119,38 +121,38 @@ def _bits_apart(a: str, b: str) -> Column:
 def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
     """(a_node, a_corner, b_node, b_corner): corners of different images within ``max_bits`` bits, a's node before b's.
 
-    Equal descriptors are one entry with a list of members. Every bucket is compared whole: its entries are dealt into
+    Equal descriptors are one entry of the tables. Every bucket is compared whole: its entries are dealt into
     blocks of about ``bucket_rows``, and each pair of blocks is joined by itself, so the result does not depend on
-    ``bucket_rows``. A pair that meets in several tables counts in the first of them. Buckets are at most
-    ``PARTS * 2**(BITS // PARTS)``, about a million at any input, so their sizes are broadcast.
+    ``bucket_rows``. A pair that meets in several tables counts in the first of them. Each pair of
+    corners comes out, so the rows grow as the square of the different images that share one descriptor.
     """
     if not 0 <= max_bits < PARTS:
         raise ValueError(f"max_bits must be below {PARTS}")
     words = [f"w{i}" for i in range(WORDS)]
-    key = ("node", "corner")
-    described = corners.groupBy(*words).agg(F.collect_list(F.struct(*key)).alias("members"))
-    described = stage(described.withColumn("entry", F.monotonically_increasing_id()), "descriptors")
-    each = BITS // PARTS
+    described = stage(corners.groupBy(*words).agg(F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "descriptors")
+    members = stage(corners.join(described, words).select("entry", "node", "corner"), "members")
     tables = described.select("entry", *words, F.posexplode(_parts()).alias("tab", "part"))
-    tables = tables.select(F.shiftleft(F.col("tab").cast("long"), each).bitwiseOR(F.col("part")).alias("bucket"), "entry", *words)
-    sizes = stage(tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
+    tables = tables.select(F.col("tab").cast("byte").alias("tab"), "part", "entry", *words)
+    sizes = stage(tables.groupBy("tab", "part").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
     split = F.ceil(F.col("n") / bucket_rows).cast("int")
-    dealt = tables.join(F.broadcast(sizes), "bucket").withColumn("own", F.pmod(F.xxhash64("entry"), split).cast("int"))
-    a = dealt.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), split - 1)).alias("j"), "entry", *words).alias("a")
-    b = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
-    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "i", "j")])
+    dealt = tables.join(sizes, ["tab", "part"]).withColumn("own", F.pmod(F.xxhash64("entry"), split).cast("int"))
+    dealt = stage(dealt.select("tab", "part", "n", "own", "entry", *words), "dealt")
+    a = dealt.select("tab", "part", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), split - 1)).alias("j"), "entry", *words).alias("a")
+    b = dealt.select("tab", "part", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tab", "part", "i", "j")])
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.entry") < F.col("b.entry"))
     near = a.join(b, same & once & (_bits_apart("a", "b") <= max_bits))
-    near = near.select(F.shiftright("a.bucket", each).alias("tab"), F.col("a.entry").alias("one"), F.col("b.entry").alias("two"), *[F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).alias(w) for w in words])
+    near = near.select(F.col("a.tab").alias("tab"), F.col("a.entry").alias("one"), F.col("b.entry").alias("two"), *[F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).alias(w) for w in words])
     near = near.where(F.array_position(_parts(), F.lit(0).cast("long")) == F.col("tab") + 1).select("one", "two")
-    equal = described.where(F.size("members") > 1).select(F.col("entry").alias("one"), F.col("entry").alias("two"))
+    equal = described.where("n > 1").select(F.col("entry").alias("one"), F.col("entry").alias("two"))
     pairs = stage(near.unionByName(equal), "near-descriptors")
+    release(dealt, sizes)
     for t in ("one", "two"):
-        pairs = pairs.join(described.select(F.col("entry").alias(t), F.explode("members").alias(f"{t}_of")), t)
+        pairs = pairs.join(members.select(F.col("entry").alias(t), F.struct("node", "corner").alias(f"{t}_of")), t)
     first = F.col("one_of.node") < F.col("two_of.node")
     turned = (F.col("one") != F.col("two")) & (F.col("one_of.node") > F.col("two_of.node"))
     pairs = pairs.where(first | turned).select(F.when(first, F.col("one_of")).otherwise(F.col("two_of")).alias("a"), F.when(first, F.col("two_of")).otherwise(F.col("one_of")).alias("b"))
-    return pairs.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in key])
+    return pairs.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("node", "corner")])
 
 
 def _placed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def _placed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
 
 
 def image_groups(
-    images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels", max_bits: int = 15, votes: int = 6, cell: float = 12.0, bucket_rows: int = 4096
+    images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels", max_bits: int = 7, votes: int = 6, cell: float = 12.0, bucket_rows: int = 4096
 ) -> DataFrame:
     """One row per image: (image_id, n_copies, component_id).
 
@@ -202,21 +204,21 @@ def image_groups(
 
 
 def vector_images(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 8, zoom: int = 8) -> DataFrame:
-    """(image_id, width, pixels): each vector drawn as ``side`` x ``side`` tiles, smoothly enlarged, brightness by value.
+    """(image_id, width, pixels): each vector drawn as rows of ``side`` tiles, smoothly enlarged, brightness by value.
 
-    Vectors that are null, shorter than the tiles, or hold null or non-finite components have null pixels.
+    All components are drawn; the last row is filled up with zeros, and there are ``side`` rows at least. Vectors that are null, empty, or hold null or non-finite components have null pixels.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                x = np.array(v if v is not None and None not in v else [], np.float64)[: side * side]
-                if len(x) < side * side or not np.isfinite(x).all():
+                x = np.array(v if v is not None and None not in v else [], np.float64)
+                if not len(x) or not np.isfinite(x).all():
                     out.append(None)
                     continue
-                spread = np.abs(x).max() or 1.0
-                out.append(np.rint(127.5 + 127.5 * _resize(x.reshape(side, side) / spread, zoom)).astype(np.uint8).tobytes())
+                tiles = np.pad(x, (0, max(side, -(-len(x) // side)) * side - len(x))).reshape(-1, side) / (np.abs(x).max() or 1.0)
+                out.append(np.rint(127.5 + 127.5 * _resize(tiles, zoom)).astype(np.uint8).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([side * zoom] * n, pa.int32()), pa.array(out, pa.binary())], ["image_id", "width", "pixels"])
 

@@ -335,15 +335,54 @@ def test_descriptor_matches(spark):
     rng = np.random.default_rng(3)
     bits = rng.integers(0, 2, (20, 256)).astype(bool)[np.arange(120) % 20]
     for row in bits[:60]:
-        row[rng.choice(256, rng.integers(0, 18), replace=False)] ^= True
+        row[rng.choice(256, rng.integers(0, 10), replace=False)] ^= True
     words = [[int(w) for w in np.packbits(row).view(">i8").astype(np.int64)] for row in bits]
     corners = spark.createDataFrame([(i // 2, i % 2, *w) for i, w in enumerate(words)], "node long, corner int, w0 long, w1 long, w2 long, w3 long")
     apart = (bits[:, None] != bits[None]).sum(2)
-    want = sorted((int(i) // 2, int(i) % 2, int(j) // 2, int(j) % 2) for i, j in zip(*np.nonzero(apart <= 15), strict=True) if i // 2 < j // 2)
-    assert sorted(map(tuple, images.descriptor_matches(corners, 15, 64).collect())) == want
-    crowded = set(map(tuple, images.descriptor_matches(corners, 15, 4).collect()))
-    assert crowded <= set(want)
-    assert {i for a in crowded for i in (a[0], a[2])} == set(range(30, 60)) | {i for a in crowded for i in (a[0], a[2]) if i < 30}
+    for most in (0, 3, 7):
+        want = sorted((int(i) // 2, int(i) % 2, int(j) // 2, int(j) % 2) for i, j in zip(*np.nonzero(apart <= most), strict=True) if i // 2 < j // 2)
+        assert want and sorted(map(tuple, images.descriptor_matches(corners, most, 64).collect())) == want
+
+
+def test_images_that_share_a_corner_set(spark):
+    """Two hundred different images with one set of corners: every pair is linked, as in brute force over all pairs."""
+    patch = np.clip(images._resize(np.random.default_rng(9).uniform(0, 255, (12, 12)), 8), 0, 255)
+    rows = []
+    for i in range(200):
+        made = np.zeros((120, 120))
+        made[4:100, 4:100] = patch
+        made[118, i % 119] = 1 + i
+        rows.append((i, 120, np.rint(made).astype(np.uint8).tobytes()))
+    got = images.image_groups(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()
+    assert [(r.n_copies, r.component_id) for r in got] == [(199, 0)] * 200
+
+
+def test_image_links_equal_brute_force(spark, data):
+    """Links of drawn vectors and planted edits against all pairs of corners of all images."""
+    rng = np.random.default_rng(10)
+    made = [np.clip(images._resize(np.random.default_rng(i).uniform(0, 255, (9, 9)), 8), 0, 255) for i in range(12)]
+    made += [np.rot90(made[0]), made[1] + rng.normal(0, 3, made[1].shape), made[2][5:, 4:], made[3] * 0.7 + 10]
+    rows = [(i, a.shape[1], np.rint(np.clip(a, 0, 255)).astype(np.uint8)) for i, a in enumerate(made)]
+    seen = [images.describe(p) for _, _, p in rows]
+    want = set()
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            (ax, ay, ascale, aturn, abits), (bx, by, bscale, bturn, bbits) = ([c.astype(np.float32) if c.dtype != bool else c for c in s] for s in (seen[i], seen[j]))
+            votes = {}
+            for a, b in zip(*np.nonzero((abits[:, None] != bbits[None]).sum(2) <= 7), strict=True):
+                turn, ratio = float(bturn[b]) - float(aturn[a]), float(ascale[a]) / float(bscale[b])
+                key = (int(np.floor(turn / (np.pi / 6) + 0.5)) % 12, int(np.floor(2 * np.log2(ratio) + 0.5)))
+                dx = np.floor((bx[b] - ratio * (np.cos(turn) * ax[a] - np.sin(turn) * ay[a])) / 12)
+                dy = np.floor((by[b] - ratio * (np.cos(turn) * ay[a] + np.sin(turn) * ax[a])) / 12)
+                for x in (dx, dx + 1):
+                    for y in (dy, dy + 1):
+                        votes.setdefault((*key, x, y), set()).add(a)
+            if any(len(v) >= 6 for v in votes.values()):
+                want.add((i, j))
+    assert want >= {(0, 12), (1, 13), (2, 14), (3, 15)}
+    table = spark.createDataFrame([(i, w, p.tobytes()) for i, w, p in rows], "image_id long, width int, pixels binary")
+    degree = Counter(i for pair in want for i in pair)
+    assert {r.image_id: r.n_copies for r in images.image_groups(table).collect()} == {i: degree[i] for i in range(len(rows))}
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 4, 4096])
@@ -351,12 +390,12 @@ def test_crowded_buckets_equal_brute_force(spark, bucket_rows):
     rng = np.random.default_rng(4)
     bits = np.tile(rng.integers(0, 2, 256).astype(bool), (60, 1))
     for row in bits[:50]:
-        row[rng.choice(256, rng.integers(0, 16), replace=False)] ^= True
+        row[rng.choice(256, rng.integers(0, 8), replace=False)] ^= True
     words = [[int(w) for w in np.packbits(row).view(">i8").astype(np.int64)] for row in bits]
     corners = spark.createDataFrame([(i // 2, i, *w) for i, w in enumerate(words)], "node long, corner int, w0 long, w1 long, w2 long, w3 long")
     apart = (bits[:, None] != bits[None]).sum(2)
-    want = sorted((int(i) // 2, int(i), int(j) // 2, int(j)) for i, j in zip(*np.nonzero(apart <= 15), strict=True) if i // 2 < j // 2)
-    assert sorted(map(tuple, images.descriptor_matches(corners, 15, bucket_rows).collect())) == want
+    want = sorted((int(i) // 2, int(i), int(j) // 2, int(j)) for i, j in zip(*np.nonzero(apart <= 7), strict=True) if i // 2 < j // 2)
+    assert sorted(map(tuple, images.descriptor_matches(corners, 7, bucket_rows).collect())) == want
 
 
 def test_shouting_counts_the_whole_text():
