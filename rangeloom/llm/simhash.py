@@ -1,24 +1,24 @@
 """SimHash near-duplicates found through pivot distance tables.
 
-Every fingerprint gets its Hamming distances to a set of reference
-fingerprints, each split by blocks of bits. Two fingerprints that differ in at
-most ``max_bits`` bits agree on all but ``max_bits`` of the blocks, hence have
-equal distances there to every reference; one table per choice of agreeing
-blocks turns that into an equi-join. By the triangle inequality whole distances
-to a reference differ by no more than the fingerprints themselves do, so a pair
-with a larger coordinate difference is discarded, and survivors are verified by
-their own Hamming distance. No pair within the limit is missed.
-
-A bucket with more than ``bucket_rows`` different fingerprints would make too
-many pairs. Its members are linked through midpoints instead: two fingerprints
-within two bits share one that is at most one bit from either, and at most 65
-fingerprints lie that near to a midpoint. That path is exact too and linear in
-the members.
+A fingerprint consists of blocks of bits. Its Hamming distances to many reference
+fingerprints are computed once, block by block, and stored: the distances of a
+block to all references fill one long. Two fingerprints that differ in at most
+``max_bits`` bits agree on all but ``max_bits`` of the blocks, hence have equal
+distances there; one table per choice of agreeing blocks turns that into an
+equi-join on the stored distances. In the other blocks a distance to a reference moves by no more
+than the bits that differ, so a pair is discarded when the largest coordinate
+differences of its blocks add up to more than ``max_bits``, and survivors are verified
+by their own Hamming distance. No pair within the limit is missed.
+
+Buckets of every size go one way: each is dealt into blocks of ``bucket_rows``
+fingerprints, every pair of blocks is a cell, and a cell returns an edge for each
+fingerprint that has a link there, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.words import text_bytes
 from rangeloom.operators.components import connected_components
-from rangeloom.operators.staging import stage
+from rangeloom.operators.staging import shuffle_partitions, stage
 
 BITS = 64
 BLOCKS = 4
-REFERENCES = 16
+REFERENCES = 12
+_WIDE = 5
+_PAIRS = 1 << 20
 _SLICE = 1 << 17
 
 
@@ -42,11 +44,6 @@ def reference_fingerprints(n: int = REFERENCES) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(f"reference {i}".encode())).astype(np.int64)) for i in range(n)]
 
 
-def _block_masks() -> list[int]:
-    width = BITS // BLOCKS
-    return [int(np.uint64(((1 << width) - 1) << (width * b)).astype(np.int64)) for b in range(BLOCKS)]
-
-
 def _fold(hashes: list[int], starts: list[int], owners: list[int], counts: np.ndarray) -> None:
     """Add the set bits of ``hashes``, in runs that begin at ``starts``, to their owners' counts."""
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -100,57 +97,129 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return picked.mapInArrow(run, "id long, fp long")
 
 
-def _pivot_distances(fp: Column, mask: int | None = None) -> list[Column]:
-    return [F.bit_count(fp.bitwiseXOR(F.lit(p)) if mask is None else fp.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(mask))) for p in reference_fingerprints()]
+def with_distances(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``d0`` to ``d3``: each block's distances to all references, ``_WIDE`` bits each, the first reference lowest."""
+    width = BITS // BLOCKS
+    out = {}
+    for b in range(BLOCKS):
+        mask = F.lit(((1 << width) - 1) << (width * b) if b < BLOCKS - 1 else -(1 << (width * b)))
+        each = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(mask)).cast("long"), _WIDE * i) for i, p in enumerate(reference_fingerprints())]
+        out[f"d{b}"] = reduce(Column.bitwiseOR, each)
+    return nodes.withColumns(out)
 
 
 def pivot_tables(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Each fingerprint once per table: (node, fp, tab, key), key being a hash of its block distances to the references."""
-    masks = _block_masks()
+    """(tab, key, node): each fingerprint once per table, keyed by the stored distances of the blocks that must agree."""
     tables = [
-        F.struct(F.lit(t).cast("byte").alias("tab"), F.xxhash64(*[d for b in kept for d in _pivot_distances(F.col("fp"), masks[b])]).alias("key"))
+        F.struct(F.lit(t).cast("byte").alias("tab"), F.array(*[F.col(f"d{b}") for b in kept]).alias("key"))
         for t, kept in enumerate(combinations(range(BLOCKS), BLOCKS - max_bits))
     ]
-    return nodes.select("node", "fp", F.explode(F.array(*tables)).alias("t")).select("node", "fp", "t.tab", "t.key")
+    return nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("t.tab", "t.key", "node")
+
+
+def _pairs_of_cells(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of all rows of one cell, for rows sorted by cell, a bounded number at a time."""
+    ends = np.searchsorted(cell, cell, side="right")
+    after = ends - np.arange(len(cell)) - 1
+    lo = 0
+    while lo < len(cell):
+        n = max(1, int(np.searchsorted(np.cumsum(after[lo:]), _PAIRS, side="right")))
+        one = np.repeat(np.arange(lo, lo + n), after[lo : lo + n])
+        yield one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after[lo : lo + n]) - after[lo : lo + n], after[lo : lo + n])
+        lo += n
+
+
+def close_pairs(fp: np.ndarray, distances: list[np.ndarray], one: np.ndarray, two: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within ``max_bits`` bits: those that the distances to the references leave, verified by the fingerprints."""
+    most = np.zeros(len(one), np.int64)
+    for d in distances:
+        largest = np.zeros(len(one), np.int64)
+        for i in range(REFERENCES):
+            at = (d >> np.int64(_WIDE * i)) & np.int64((1 << _WIDE) - 1)
+            np.maximum(largest, np.abs(at[one] - at[two]), out=largest)
+        most += largest
+    left = np.flatnonzero(most <= max_bits)
+    one, two = one[left], two[left]
+    near = np.bitwise_count(fp[one].view(np.uint64) ^ fp[two].view(np.uint64)) <= max_bits
+    return one[near], two[near]
+
+
+def _roots(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` rows reaches over the pairs."""
+    root = np.arange(n)
+    while len(one):
+        old = root.copy()
+        low = np.minimum(root[one], root[two])
+        np.minimum.at(root, one, low)
+        np.minimum.at(root, two, low)
+        root = root[root]
+        if (root == old).all():
+            break
+    return root
+
+
+def _cells(max_bits: int):
+    """(src, dst) of the linked rows of each cell; a cell's rows follow each other, and whole cells are held in pieces of a batch or more."""
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cell = np.cumsum(np.concatenate(([0], t.column(0).to_numpy()[1:] != t.column(0).to_numpy()[:-1])))
+        side, node, fp, *distances = (t.column(i).to_numpy() for i in range(1, 4 + BLOCKS))
+        found = []
+        for one, two in _pairs_of_cells(cell):
+            # A pair within one block of two is left to that block's own cell.
+            own = (side[one] == 0) | (side[one] != side[two])
+            found.append(close_pairs(fp, distances, one[own], two[own], max_bits))
+        one, two = map(np.concatenate, zip(*found, strict=True))
+        root = _roots(t.num_rows, one, two)
+        at = np.flatnonzero(node[root] != node)
+        return pa.RecordBatch.from_arrays([pa.array(node[root[at]]), pa.array(node[at])], ["src", "dst"])
 
-
-def fingerprint_links(nodes: DataFrame, max_bits: int = 2, bucket_rows: int = 32) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:
+                held.append(batch.slice(0, cut))
+            if held and (cut or held[-1].column(0)[-1].as_py() != cell[-1]):
+                yield links(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def fingerprint_links(nodes: DataFrame, max_bits: int = 2, bucket_rows: int = 1024) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs within ``max_bits`` bits.
 
-    ``nodes`` has different fingerprints ``fp`` with an id ``node`` each. Small
-    buckets give every linked pair; in larger ones the midpoint edges connect
-    exactly what the pairs would connect. ``max_bits`` is 0, 1 or 2.
+    ``nodes`` has different fingerprints ``fp`` with an id ``node`` each. ``max_bits`` is below the number of blocks.
+    The result does not depend on ``bucket_rows``.
     """
-    if max_bits not in (0, 1, 2):
-        raise ValueError("max_bits must be 0, 1 or 2")
-    entries = pivot_tables(nodes, max_bits)
-    sizes = stage(entries.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    live = stage(entries.join(sizes, ["tab", "key"]), "live")
-    cold = live.where(F.col("n") <= bucket_rows)
-    a, b = cold.alias("a"), cold.alias("b")
-    x, y = F.col("a.fp"), F.col("b.fp")
-    apart = F.greatest(*[F.abs(p - q) for p, q in zip(_pivot_distances(x), _pivot_distances(y), strict=True)])
-    pairs = a.join(
-        b,
-        (F.col("a.tab") == F.col("b.tab"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (x < y)
-        & (apart <= max_bits)
-        & (F.bit_count(x.bitwiseXOR(y)) <= max_bits),
-    ).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    hot = live.where(F.col("n") > bucket_rows).select("node", "fp").distinct()
-    reach = [0] if max_bits == 0 else [0, *(int(np.uint64(1 << i).astype(np.int64)) for i in range(BITS))]
-    near = hot.select("node", "fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in reach])).alias("mid"))
-    if max_bits == 1:
-        near = near.select("node", F.least("fp", "mid").alias("lo"), F.greatest("fp", "mid").alias("mid"))
-        near = near.select("node", F.struct("lo", "mid").alias("mid"))
-    stars = near.groupBy("mid").agg(F.min("node").alias("src"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
-    stars = stars.select("src", F.explode("all").alias("dst")).where("src <> dst")
-    return pairs.unionByName(stars)
+    if not 0 <= max_bits < BLOCKS:
+        raise ValueError(f"max_bits must be below {BLOCKS}")
+    stored = stage(with_distances(nodes), "distances")
+    entries = pivot_tables(stored, max_bits)
+    sizes = stage(entries.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    split = F.ceil(F.col("n") / bucket_rows).cast("int")
+    dealt = entries.join(sizes, ["tab", "key"]).select("bucket", "node", split.alias("split"), F.pmod(F.xxhash64("node"), split).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2).cast("byte")
+    cells = stage(dealt.select(F.struct("bucket", low.alias("i"), high.alias("j")).alias("cell"), side.alias("side"), "node"), "cells")
+    numbered = stage(cells.groupBy("cell").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()).select("cell", "number"), "cell-numbers")
+    cells = cells.join(numbered, "cell").select("number", "side", "node").join(stored, "node")
+    met = cells.select("number", "side", "node", "fp", *[f"d{b}" for b in range(BLOCKS)])
+    met = met.repartition(shuffle_partitions(nodes.sparkSession), "number").sortWithinPartitions("number")
+    return met.mapInArrow(_cells(max_bits), "src long, dst long")
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, bucket_rows: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, bucket_rows: int = 1024
 ) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id).
 
@@ -179,11 +248,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with a null id stay, as nothing can stand for them.
     """
     groups = simhash_groups(docs, id_col, text_col, width, max_bits)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "first-of-group")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    met = docs.join(first, F.col(id_col).cast("long") == F.col("_first"), "left_semi")
-    order = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
-    rows = F.min_by(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]), F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)]))
-    kept = met.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(rows.alias("_row"))
-    kept = kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    doc = F.col(f"`{id_col}`").cast("long")
+    packed = docs.select(doc.alias("id"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]).alias("row"))
+    once = packed.join(first.where("n = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("row")
+    order = [i for i, f in enumerate(docs.schema) if f.dataType.typeName() not in ("map", "variant")]
+    several = packed.join(first.where("n > 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    several = several.groupBy("id").agg(F.min_by("row", F.struct(*[F.col(f"row.c{i}") for i in order])).alias("row")).select("row")
+    kept = once.unionByName(several).unionByName(packed.where("id is null").select("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

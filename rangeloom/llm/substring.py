@@ -31,6 +31,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -183,8 +184,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
         yield batch, s, batch.column(0).to_numpy(zero_copy_only=False)[s.doc], batch.column(1).to_numpy(zero_copy_only=False)[s.doc]
 
 
+_TEXT = pa.Codec("zstd", 1)
 #: A row has the members of one bucket as packed columns. ``kind`` 1: runs of positions that a task has settled; 2: keys of large groups.
-_ROW = "bucket int, kind int, key binary, id binary, tag binary, pos binary, n binary, more binary, text binary"
+_ROW = "bucket int, kind int, key binary, id binary, tag binary, pos binary, n binary, more binary, text binary, long int"
 _TYPES = (np.uint64, np.int64, np.int64, "<u4", "<u4", "<u4")
 _NONE = np.empty(0, np.uint64)
 
@@ -195,14 +197,15 @@ def _pack(buckets: np.ndarray, kind: int, key, ids, tags, pos, n, more, texts: l
     to = buckets[order]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
     columns = [x[order].astype(t) if len(x) else np.empty(0, t) for x, t in zip((key, ids, tags, pos, n, more), _TYPES, strict=True)]
-    rows: list[list] = [[] for _ in range(9)]
+    rows: list[list] = [[] for _ in range(10)]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         cells = [c[a:b] for c in columns]
         cells[1] = np.diff(cells[1], prepend=0)
-        put = [int(to[a]), kind, *[c.tobytes() for c in cells], b" ".join([texts[i] for i in order[a:b]]) if texts else b""]
+        text = b" ".join([texts[i] for i in order[a:b]]) if texts else b""
+        put = [int(to[a]), kind, *[c.tobytes() for c in cells], _TEXT.compress(text, asbytes=True) if text else b"", len(text)]
         for col, x in zip(rows, put, strict=True):
             col.append(x)
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7, pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -218,14 +221,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list]]:
             now = bucket.as_py()
             got = [np.frombuffer(c.as_buffer(), t) for c, t in zip(cells, _TYPES, strict=False)]
             got[1] = np.cumsum(got[1])
-            held.setdefault(kind.as_py(), []).append([*got, cells[6].as_buffer().to_pybytes()])
+            text, long = cells[6].as_buffer(), cells[7].as_py()
+            held.setdefault(kind.as_py(), []).append([*got, _TEXT.decompress(text, long, asbytes=True) if long else b""])
     if held:
         yield {k: _joined(rows) for k, rows in held.items()}
 
 
 def _joined(rows: list[list]) -> list:
     *columns, texts = zip(*rows, strict=True)
-    return [*(np.concatenate(c).astype(np.int64 if i > 2 else c[0].dtype) for i, c in enumerate(columns)), texts]
+    return [*(np.concatenate(c).astype(np.int64 if i > 2 else c[0].dtype) for i, c in enumerate(columns)), b" ".join(texts)]
 
 
 def _to_documents(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -268,7 +272,7 @@ def _deal_prefixes(window: int, prefix: int, buckets: int):
         rep = order[first]
         yield _pack((key[rep] % np.uint64(buckets)).astype(np.int64), 0, key[rep], ids[rep], tags[rep], pos[rep], count, _NONE)
         mine = order[np.repeat(count > 1, count)]
-        yield _pack((key[mine] % np.uint64(buckets)).astype(np.int64), 1, _NONE, ids[mine], tags[mine], pos[mine], np.ones(len(mine), np.int64), _NONE)
+        yield _pack(np.full(len(mine), TaskContext.get().partitionId() % buckets), 1, _NONE, ids[mine], tags[mine], pos[mine], np.ones(len(mine), np.int64), _NONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -334,7 +338,7 @@ def _deal_suffixes(window: int, prefix: int, buckets: int, large: np.ndarray, la
         rep = order[first]
         yield _pack((key[rep] % np.uint64(buckets)).astype(np.int64), 0, key[rep], ids[rep], tags[rep], lo[rep], n[rep], off[rep], [texts[i] for i in rep])
         late = order[(ids[order] != ids[head]) | (tags[order] != tags[head]) | (lo[order] != lo[head])]
-        yield _pack((key[late] % np.uint64(buckets)).astype(np.int64), 1, _NONE, ids[late], tags[late], lo[late], n[late], _NONE)
+        yield _pack(np.full(len(late), TaskContext.get().partitionId() % buckets), 1, _NONE, ids[late], tags[late], lo[late], n[late], _NONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, texts, held = [], [], 0
@@ -384,13 +388,13 @@ def _nodes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats_of_group(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray, texts: Sequence[bytes], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats_of_group(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray, text: bytes, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, tag, start) of the windows that a group's suffixes stand for and that occur earlier in the group.
 
-    A suffix stands for ``n`` windows from position ``lo`` on and begins ``off`` words later; the texts have the windows' words one after another.
+    A suffix stands for ``n`` windows from position ``lo`` on and begins ``off`` words later; the text has the words of all windows, suffix after suffix.
     """
     codes = _Codes()
-    words = np.fromiter(map(codes.__getitem__, b" ".join(texts).split()), np.int32)
+    words = np.fromiter(map(codes.__getitem__, text.split()), np.int32)
     held = n + window - 1
     row = np.repeat(np.arange(len(n)), held)
     left = window - prefix
@@ -420,8 +424,8 @@ def _repeated(window: int, prefix: int, buckets: int):
                 _, ids, tags, lo, n, _, _ = held[1]
                 yield _to_documents(ids, tags, lo, n, buckets)
             if 0 in held:
-                _, ids, tags, lo, n, off, texts = held[0]
-                ids, tags, start = repeats_of_group(ids, tags, lo, n, off, texts, window, prefix)
+                _, ids, tags, lo, n, off, text = held[0]
+                ids, tags, start = repeats_of_group(ids, tags, lo, n, off, text, window, prefix)
                 yield _to_documents(ids, tags, start, np.ones(len(start), np.int64), buckets)
 
     return run
@@ -448,7 +452,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = shuffle_partitions(docs.sparkSession)
     table = _documents(docs, id_col, text_col)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * parts, -(-size // (_BYTES_A_SUFFIX * group_rows)))
+    buckets = max(parts, -(-size // (_BYTES_A_SUFFIX * group_rows)))
 
     def met(dealt: DataFrame) -> DataFrame:
         return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")

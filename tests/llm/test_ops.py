@@ -81,8 +81,8 @@ def test_simhash_equals_brute_force(spark, data, docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash_pivots(spark, data).collect()} == {i: (f"{prints[i]:016x}", low[i]) for i in prints}
 
 
-@pytest.mark.parametrize("bucket_rows", [2, 1000])
-@pytest.mark.parametrize("max_bits", [0, 1, 2])
+@pytest.mark.parametrize("bucket_rows", [1, 3, 1000])
+@pytest.mark.parametrize("max_bits", [0, 2, 3])
 def test_fingerprint_links_small_and_large_buckets(spark, bucket_rows, max_bits):
     from rangeloom.operators.components import connected_components
 
@@ -97,6 +97,22 @@ def test_fingerprint_links_small_and_large_buckets(spark, bucket_rows, max_bits)
     assert [got.get(i, i) for i in range(len(prints))] == low
 
 
+def test_reference_distances_are_stored_and_bound_the_bits(spark):
+    rng = np.random.default_rng(12)
+    prints = rng.integers(-(2**63), 2**63 - 1, 200)
+    prints[100:] = prints[:100] ^ (1 << rng.integers(0, 63, 100)) ^ (1 << rng.integers(0, 63, 100))
+    rows = simhash.with_distances(spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints)], "node long, fp long")).orderBy("node").collect()
+    stored = [np.array([r[f"d{b}"] for r in rows]) for b in range(simhash.BLOCKS)]
+    for i, p in enumerate(simhash.reference_fingerprints()):
+        whole = sum((d >> (5 * i)) & 31 for d in stored)
+        assert whole.tolist() == [((int(x) ^ p) & (2**64 - 1)).bit_count() for x in prints]
+    one, two = np.triu_indices(200, 1)
+    apart = np.bitwise_count(prints[one].view(np.uint64) ^ prints[two].view(np.uint64))
+    for most in (0, 1, 2, 3):
+        got = simhash.close_pairs(prints, stored, one, two, most)
+        assert set(zip(*map(np.ndarray.tolist, got), strict=True)) == {(int(a), int(b)) for a, b, n in zip(one, two, apart, strict=True) if n <= most}
+
+
 def test_simhash_odd_rows(odd):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id in (2, 3, 4)} == {2}
@@ -157,8 +173,7 @@ def test_substring_compares_words_and_not_hashes(spark):
     assert got == {1: 0, 2: 0, 3: 20}
     # Equal routing keys must not matter either: one group of different words.
     n = np.zeros(3, np.int64)
-    texts = [r[1].encode() for r in rows]
-    found = substring.repeats_of_group(np.arange(1, 4), n, n, n + 1, n, texts, 20, 6)
+    found = substring.repeats_of_group(np.arange(1, 4), n, n, n + 1, n, b" ".join(r[1].encode() for r in rows), 20, 6)
     assert [x.tolist() for x in found] == [[3], [0], [0]]
 
 
