@@ -7,18 +7,19 @@ the bits of a position in the language's text, a letter that never occurs those
 character there is; bits per letter estimate the cross entropy, and the language
 with the fewest wins.
 
-Texts are lower-cased and every run of other characters than letters counts as one
-space. Parsing restarts at fixed intervals, so many stretches advance together
-in array operations, with memory bounded however long a text is.
+Texts are lower-cased and every run of other characters than letters and their marks counts as one
+space. A whole text is one parse. Stretches of it advance together in array operations, each as
+if it began a phrase; then those whose predecessor ended within a phrase are
+parsed again from there, up to where both parses meet.
 
 The labelled text is a bounded sample (``letters_in_all`` letters, shared by
-the languages): rows drawn by hash at a rate that corpus counts set, one
-stretch of a row each.
+the languages, ``LEAST_LETTERS`` for each at least): different texts drawn by hash at a rate that corpus counts set, one
+stretch of a text each.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.operators.names import fresh
 from rangeloom.operators.staging import stage
 
-LETTERS_IN_ALL = 160_000
+LETTERS_IN_ALL, LEAST_LETTERS = 160_000, 4_000
 STRETCH = 500
 UNDETERMINED = "und"
 _STEP = 512
@@ -36,7 +38,6 @@ _LANES = 8192
 _DENSE = 1 << 24
 _PIECE, _LEAST_PIECES, _FAR = 64, 32, 6.0
 _LETTER_BITS = float(np.log2(0x110000))
-_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,9 +45,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """1 for each letter, 2 for each mark, 0 for the other characters."""
+    return np.fromiter(({"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def cleaned(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, sizes): characters of all texts end to end and their number in each.
+
+    Lower case, each run of characters that are neither letters nor marks as one space, none at either end; nothing of a text without a letter.
+    """
+    low = [(t or "").lower() for t in texts]
+    sizes = np.fromiter(map(len, low), np.int64, len(low))
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds, of = _kinds()[codes], np.repeat(np.arange(len(low)), sizes)
+    with_letter = np.bincount(of[kinds == 1], minlength=len(low)) > 0
+    at = np.flatnonzero((kinds > 0) & with_letter[of])
+    gap = np.flatnonzero((np.diff(at) > 1) & (of[at[1:]] == of[at[:-1]])) + 1
+    return np.insert(codes[at], gap, ord(" ")), np.bincount(of[at], minlength=len(low)) + np.bincount(of[at[gap]], minlength=len(low))
+
+
 def letters(text: str) -> str:
-    """Lower case, each run of characters that are no letters as one space."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip()
+    """One text as ``cleaned`` has it."""
+    return cleaned([text])[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -120,27 +142,47 @@ class ParseTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def run(self, symbols: np.ndarray, live: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(open, ended): whether a phrase is open at the end of each lane, and phrases that ended; the first ``live`` lanes take each step."""
-        lanes = symbols.shape[1]
+    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The steps that states take with a symbol each; a quarter of a step is its next state."""
         if self.table is not None:
-            state, ended = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-            for row, n in zip(symbols, live, strict=True):
-                move = self.table.take(state[:n] + row[:n])
-                ended[:n] += move & 3
-                np.right_shift(move, 2, out=state[:n])
-            return state > 0, ended
-        state, ended = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
-        for row, n in zip(symbols, live, strict=True):
-            now, key = state[:n], state[:n] * self.width + row[:n]
-            move, at = self.start[row[:n]] - (now == 0), self._slot(key)
-            for _ in range(self.probes):
-                hit = self.keys[at] == key
-                move[hit] = self.next[at[hit]]
-                at = (at + 1) % len(self.keys)
-            ended[:n] += (move & 3).astype(np.int32)
-            state[:n] = move >> 2
-        return state > 0, ended
+            return self.table.take(state + row)
+        key = state * self.width + row
+        move, at = self.start[row] - (state == 0), self._slot(key)
+        for _ in range(self.probes):
+            hit = self.keys[at] == key
+            move[hit] = self.next[at[hit]]
+            at = (at + 1) % len(self.keys)
+        return move
+
+    def run(self, symbols: np.ndarray, live: list[int], after: np.ndarray, carry: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ended, state at the end) of each lane; the first ``live`` lanes take each step.
+
+        ``after`` has the lane that each lane goes on from, -1 for one that begins a text and -2 for one that goes on from state ``carry``.
+        """
+        kind = np.int64 if self.table is None else np.int32
+        moves = np.zeros(symbols.shape, kind)
+        state = np.zeros(symbols.shape[1], kind)
+        for t, n in enumerate(live):
+            moves[t, :n] = self.step(state[:n], symbols[t, :n])
+            np.right_shift(moves[t, :n], 2, out=state[:n])
+        begun = np.zeros(len(state), kind)
+        depth = np.searchsorted(-np.array(live), -np.arange(1, len(state) + 1), side="right")
+        while True:
+            want = np.where(after >= 0, state[after], np.where(after == -2, carry, 0)).astype(kind)
+            lanes = np.flatnonzero(want != begun)
+            if not len(lanes):
+                return (moves & 3).sum(axis=0), state
+            begun[lanes] = now = want[lanes]
+            for t in range(len(live)):
+                move = self.step(now, symbols[t, lanes])
+                apart = (move >> 2) != (moves[t, lanes] >> 2)
+                moves[t, lanes] = move
+                last = apart & (depth[lanes] == t + 1)
+                state[lanes[last]] = move[last] >> 2
+                go = apart & ~last
+                lanes, now = lanes[go], move[go] >> 2
+                if not len(lanes):
+                    break
 
 
 class Parser:
@@ -156,38 +198,35 @@ class Parser:
         #: For each language: its own symbol of each code, then of other letters and of none.
         self.own = [np.array([*(t.alphabet.get(c, t.width - 2) for c in letters_of), t.width - 2, t.width - 1], np.int32) for t in self.tables]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text (rows) in each language, and letters of each text; of texts that ``letters`` has made."""
-        counts, _, sizes = self.parsed(texts)
-        return counts, sizes
-
-    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases of each text (rows) in each language, those of them that are letters the language lacks, and letters of each text."""
-        counts = np.zeros((len(texts), len(self.languages)), np.int64)
+    def parsed(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text (rows) in each language, and those of them that are letters the language lacks; of what ``cleaned`` returns."""
+        counts = np.zeros((len(sizes), len(self.languages)), np.int64)
         unseen = np.zeros_like(counts)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        base = np.cumsum(sizes) - sizes
         stretches = -(-sizes // _STEP)
-        owner = np.repeat(np.arange(len(texts)), stretches)
-        begin = (np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * _STEP
-        size = np.minimum(sizes[owner] - begin, _STEP)
-        begin += base[owner]
-        order = np.argsort(-size, kind="stable")
-        for lo in range(0, len(order), _LANES):
-            lanes = order[lo : lo + _LANES]
-            depth = int(size[lanes[0]])
-            steps = np.arange(depth)[:, None]
+        owner = np.repeat(np.arange(len(sizes)), stretches)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        size = np.minimum(sizes[owner] - nth * _STEP, _STEP)
+        begin = nth * _STEP + (np.cumsum(sizes) - sizes)[owner]
+        carry = [0] * len(self.tables)
+        for lo in range(0, len(owner), _LANES):
+            hi = min(lo + _LANES, len(owner))
+            lanes = lo + np.argsort(-size[lo:hi], kind="stable")
+            place = np.empty(hi - lo, np.int64)
+            place[lanes - lo] = np.arange(hi - lo)
+            after = np.where(nth[lanes] == 0, -1, place[lanes - lo - 1])
+            after[(nth[lanes] > 0) & (lanes == lo)] = -2
+            final = nth[lanes] == stretches[owner[lanes]] - 1
+            steps = np.arange(int(size[lanes[0]]))[:, None]
             inside = steps < size[lanes]
-            at = np.where(inside, begin[lanes] + steps, 0)
-            symbols = np.where(inside, self.codes[raw[at]], -1)
+            symbols = np.where(inside, self.codes[codes[np.where(inside, begin[lanes] + steps, 0)]], -1)
             live = inside.sum(axis=1).tolist()
             for k, table in enumerate(self.tables):
                 own = self.own[k][symbols]
-                is_open, ended = table.run(own, live)
-                np.add.at(counts[:, k], owner[lanes], ended + is_open)
+                ended, state = table.run(own, live, after, carry[k])
+                carry[k] = int(state[place[-1]])
+                np.add.at(counts[:, k], owner[lanes], ended + (final & (state > 0)))
                 np.add.at(unseen[:, k], owner[lanes], (own == table.width - 2).sum(axis=0))
-        return counts, unseen, sizes
+        return counts, unseen
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: 1 - bits of the best language / bits of the second; und and 0 without letters."""
@@ -200,14 +239,14 @@ class Parser:
         without letters. Texts shorter than a piece deviate more, by the root of their length. What letters drawn evenly from the
         language's alphabet would cost always fits, and so does everything without ``usual``.
         """
-        clean = [letters(t) if t else "" for t in texts]
         names, scores, rates, fits, lo = [], [], [], [], 0
-        while lo < len(clean):
+        while lo < len(texts):
             hi, held = lo, 0
-            while hi < len(clean) and (hi == lo or held + len(clean[hi]) <= _STEP * _LANES):
-                held += len(clean[hi])
+            while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= _STEP * _LANES):
+                held += len(texts[hi] or "")
                 hi += 1
-            counts, unseen, sizes = self.parsed(clean[lo:hi])
+            codes, sizes = cleaned(texts[lo:hi])
+            counts, unseen = self.parsed(codes, sizes)
             cost = (counts - unseen) * self.bits + unseen * _LETTER_BITS
             for row, n in zip(cost, sizes, strict=True):
                 if not n or not len(row):
@@ -249,21 +288,25 @@ def labelled_samples(
 ) -> tuple[tuple[str, str], ...]:
     """(language, labelled text) by language, from documents that are not held out.
 
-    Corpus counts per language give the rate at which rows are drawn by hash of
-    their id and text. A row gives one stretch of at most ``stretch`` characters from its
-    middle. Languages get equal shares of ``letters_in_all`` letters, the bound
-    on what reaches the driver and each worker.
+    A text gives one stretch of at most ``stretch`` characters from its
+    middle. Corpus counts of the different stretches of a language give the rate at which they are drawn by
+    hash, so neither copies nor equal or null ids count more than once. Languages get equal shares of
+    ``letters_in_all`` letters or ``LEAST_LETTERS``, the bound on what reaches the driver and each worker; each gets
+    one stretch at least.
     """
     can_teach = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col))
     long = F.length(text_col)
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    rows = docs.where(can_teach).select(F.col(lang_col).alias("lang"), F.least(long, F.lit(stretch)).alias("size"), drawn.alias("drawn"), F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((long - stretch) / 2).cast("int")), F.lit(stretch)).alias("part"))
-    totals = stage(rows.groupBy("lang").agg(F.sum("size").alias("held")), "languages")
-    share = letters_in_all // max(1, totals.count())
-    rate = totals.select(F.col("lang").alias("_lang"), (F.lit(1.5 * share) / F.col("held")).alias("rate"))
-    found = rows.join(rate, F.col("lang") == F.col("_lang")).where("drawn < rate")
+    part = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((long - stretch) / 2).cast("int")), F.lit(stretch))
+    rows = docs.where(can_teach).select(F.col(lang_col).alias("lang"), part.alias("part"))
+    drawn = F.pmod(F.xxhash64("part", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.select("lang", F.length("part").alias("size"), drawn.alias("drawn"), "part")
+    different = rows.groupBy("lang", "drawn").agg(F.first("size").alias("size"))
+    totals = stage(different.groupBy("lang").agg(F.sum("size").alias("held"), F.min("drawn").alias("first")), "languages")
+    share = max(LEAST_LETTERS, letters_in_all // max(1, totals.count()))
+    rate = totals.select(F.col("lang").alias("_lang"), F.greatest(F.lit(1.5 * share) / F.col("held"), F.col("first")).alias("rate"))
+    found = rows.join(rate, F.col("lang") == F.col("_lang")).where("drawn <= rate")
     texts: dict[str, list[str]] = {}
-    for lang, part in sorted((r["lang"], r["part"]) for r in found.select("lang", "part").distinct().collect()):
+    for lang, part in sorted((r["lang"], r["part"]) for r in found.groupBy("lang", "drawn").agg(F.min("part").alias("part")).collect()):
         texts.setdefault(lang, []).append(letters(part))
     samples = ((lang, " ".join(parts)[:share].strip()) for lang, parts in sorted(texts.items()))
     return tuple((lang, text) for lang, text in samples if text)
@@ -288,5 +331,6 @@ def with_language(
 
     new = {lang_out: "lang", score_out: "score"} | ({fits_out: "fits"} if fits_out else {})
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    met = docs.select(*kept, predicted(F.col(text_col).cast("string")).alias("_language"))
-    return met.select(*kept, *[F.col(f"_language.{c}").alias(out) for out, c in new.items()])
+    (found,) = fresh(docs.columns, "_language")
+    met = docs.select(*kept, predicted(F.col(f"`{text_col}`").cast("string")).alias(found))
+    return met.select(*kept, *[F.col(f"{found}.{c}").alias(out) for out, c in new.items()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -200,23 +201,71 @@ def test_language_held_out_accuracy(spark, data, docs):
     assert sum(a == b for a, b in truth) >= 0.95 * len(truth)
 
 
-def test_phrases_equal_brute_force():
-    samples = (("aa", "abracadabra arba"), ("bb", "banana bandana nab"))
-    parser = language.Parser(samples)
-    texts = ["abra nab", "zzz", "banana", "a" * 700]
-    got, sizes = parser.phrases(texts)
-    for row, text in zip(got, texts, strict=True):
-        for n, (_, sample) in zip(row, samples, strict=True):
-            want = 0
-            for lo in range(0, len(text), language._STEP):
-                rest = text[lo : lo + language._STEP]
-                while rest:
-                    k = 1
-                    while k < len(rest) and rest[: k + 1] in sample:
-                        k += 1
-                    rest, want = rest[k:], want + 1
-            assert n == want
-    assert sizes.tolist() == [8, 3, 6, 700]
+def brute_phrases(text, sample):
+    """Phrases of a greedy parse, and those of them that are letters the sample lacks."""
+    n = lacking = 0
+    while text:
+        k = 1
+        while k < len(text) and text[: k + 1] in sample:
+            k += 1
+        lacking += text[0] not in sample
+        text, n = text[k:], n + 1
+    return n, lacking
+
+
+def brute_letters(text):
+    kinds = [unicodedata.category(c)[0] for c in text.lower()]
+    return " ".join("".join(c if k in "LM" else " " for c, k in zip(text.lower(), kinds, strict=True)).split()) if "L" in kinds else ""
+
+
+@pytest.mark.parametrize("dense", [0, language._DENSE])
+@pytest.mark.parametrize("lanes", [3, 8192])
+def test_phrases_equal_brute_force(dense, lanes, monkeypatch):
+    monkeypatch.setattr(language, "_LANES", lanes)
+    monkeypatch.setattr(language, "_STEP", 16)
+    rng = np.random.default_rng(5)
+    samples = (("aa", "abracadabra arba " + "".join(rng.choice(list("ab c"), 200))), ("bb", "banana bandana nab"), ("cc", "aaaa" * 30))
+    parser = language.Parser(samples, dense)
+    texts = ["abra nab", "zzz", "banana", "a" * 700, "".join(rng.choice(list("ab cd"), 900)).strip(), "".join(rng.choice(list("aab"), 333)), samples[0][1] * 3, ""]
+    codes, sizes = language.cleaned(texts)
+    assert codes.tobytes().decode("utf-32-le") == "".join(map(brute_letters, texts)) and sizes.tolist() == [len(brute_letters(t)) for t in texts]
+    counts, unseen = parser.parsed(codes, sizes)
+    for row, lacking, text in zip(counts, unseen, texts, strict=True):
+        assert list(zip(row.tolist(), lacking.tolist(), strict=True)) == [brute_phrases(brute_letters(text), sample) for _, sample in samples]
+
+
+def test_language_query_equals_brute_force(spark, data, docs):
+    samples = language.labelled_samples(spark.read.parquet(f"{data}/documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op6_language_id(spark, data).collect()}
+    some = sorted(docs, key=lambda d: len(d[1] or ""))
+    for i, text, *_ in some[:90:2] + some[-1:]:
+        clean, costs = brute_letters(text or ""), []
+        for _, sample in samples:
+            n, lacking = brute_phrases(clean[:4000], sample) if len(clean) <= 4000 else (None, None)
+            costs.append(None if n is None else (n - lacking) * np.log2(len(sample)) + lacking * np.log2(0x110000))
+        if None in costs:
+            continue
+        if not clean:
+            assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+            continue
+        best = int(np.argmin(costs))
+        assert rows[i].lang_pred == samples[best][0] and rows[i].score == pytest.approx(1 - costs[best] / min(c for j, c in enumerate(costs) if j != best))
+
+
+def test_numbers_are_no_letters():
+    parser = language.Parser((("en", "one half of it"), ("fr", "une moitié")))
+    assert parser.predict(["½ ²", "Ⅷ ①", "\u0301", None, "", "12 _"])[0] == ["und"] * 6 and parser.predict(["half"])[0] == ["en"]
+
+
+def test_every_language_teaches_whatever_its_ids(spark):
+    rng = np.random.default_rng(4)
+    words_of = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(30)] for k in range(60)}
+    rows = [(None if i % 3 else 7, " ".join(rng.choice(words_of[lang], 40)), lang) for lang in words_of for i in range(6)]
+    rows += [(None, "the same text again and again", "l000")] * 3000
+    samples = language.labelled_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), letters_in_all=6000)
+    assert [lang for lang, _ in samples] == sorted(words_of) and all(100 <= len(t) <= language.LEAST_LETTERS for _, t in samples)
+    held = spark.createDataFrame([(None, f"{lang} {i}", lang) for i in range(4000) for lang in ("aa", "bb")], "doc_id long, text string, lang string")
+    assert sum(len(t) for _, t in language.labelled_samples(held, letters_in_all=8000)) <= 8000
 
 
 def test_language_odd_rows(odd):
@@ -430,15 +479,8 @@ def test_languages_of_many_letters(dense):
     assert all((t.table is None) == (dense == 0) for t in parser.tables)
     assert parser.predict([text(name, 20) for name in made])[0] == list(made)
     texts = [text("han", 9), text("latin", 9), text("han", 3) + "e" + text("kana", 3)]
-    for row, t in zip(parser.phrases(texts)[0], texts, strict=True):
-        for n, (_, sample) in zip(row, samples, strict=True):
-            rest, want = t, 0
-            while rest:
-                k = 1
-                while k < len(rest) and rest[: k + 1] in sample:
-                    k += 1
-                rest, want = rest[k:], want + 1
-            assert n == want
+    for row, t in zip(parser.parsed(*language.cleaned(texts))[0], texts, strict=True):
+        assert row.tolist() == [brute_phrases(t, sample)[0] for _, sample in samples]
 
 
 def test_pipeline_drops_what_fits_no_language(spark, data):
