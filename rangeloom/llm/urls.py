@@ -2,13 +2,14 @@
 
 Per host, the segments of a path form a tree. Going down it, a segment with a digit
 becomes a wildcard, and so does any segment that fewer than ``support``
-pages share under its parent; siblings whose share of bad labels does not differ from that of the
-rest under their parent are merged into the wildcard too. The paths that
+pages share under its parent or that has no labels. Siblings are then compared by their counts: each stands
+in one of ``BANDS`` bands by its share of bad labels, shrunk to its parent's; neighbouring bands whose shares do not
+differ beyond chance are one group, and a group of several siblings is one branch. The paths that
 remain are templates. A template is rejected when its smoothed purity, the share
 of bad labels shrunk to its host's and that to the whole table's, passes a limit.
 
 Everything is DataFrame functions: levels are aggregates of distinct templates,
-not of pages, so a host with a third of all pages is summed up before it moves.
+not of pages, so a host with a third of all pages is summed up before it moves, and windows hold one parent's bands.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.operators.staging import stage
+from rangeloom.operators.staging import release, stage
 
 WILDCARD = "*"
+BANDS = 64
 #: (verdict, host and path)
 Rules = Sequence[tuple[str, str]]
 
@@ -54,7 +56,42 @@ def rule_of(host: Column, path: Column, rules: Rules) -> Column:
     return found
 
 
-def path_templates(paths: DataFrame, depth: int | None, support: int, z: float) -> DataFrame:
+def branch_names(children: DataFrame, support: int, z: float, weight: float) -> DataFrame:
+    """(_h, _t, _s, _name) for rows (host, _template, _segment, n, labelled, bad): what each segment is called below its parent.
+
+    A group of alike siblings that takes in the wildcard, or all siblings there are, is the wildcard; a sibling alone keeps its segment; other groups are numbered.
+    """
+    plain = F.when((F.col("n") < support) | (F.col("labelled") == 0), F.lit(WILDCARD)).otherwise(F.col("_segment"))
+    keys = ("host", "_template")
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    children = children.withColumn("_plain", plain)
+    parent = children.groupBy(*[F.col(k).alias(f"_of{k}") for k in keys]).agg(F.sum("labelled").alias("_all"), F.sum("bad").alias("_all_bad"))
+    member = children.groupBy(*keys, "_plain").agg(*sums).where("labelled > 0")
+    rate = (F.col("_all_bad") + 1) / (F.col("_all") + 2)
+    share = (F.col("bad") + F.lit(weight) * rate) / (F.col("labelled") + F.lit(weight))
+    member = member.join(parent, (F.col("host") == F.col("_ofhost")) & (F.col("_template") == F.col("_of_template")))
+    member = member.withColumn("_band", F.least(F.floor(share * BANDS), F.lit(BANDS - 1)).cast("int"))
+    bands = member.groupBy(*keys, "_band").agg(*sums, F.count("*").alias("_members"), F.min("_plain").alias("_first"), F.max((F.col("_plain") == WILDCARD).cast("int")).alias("_wild"))
+    along = Window.partitionBy(*keys).orderBy("_band")
+    labelled, bad = F.lag("labelled").over(along), F.lag("bad").over(along)
+    pooled = (F.col("bad") + bad + 1) / (F.col("labelled") + labelled + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / labelled))
+    parts = F.coalesce(F.abs(F.col("bad") / F.col("labelled") - bad / labelled) > F.lit(z) * error, F.lit(False))
+    bands = bands.withColumn("_parts", parts.cast("int")).withColumn("_group", F.sum("_parts").over(along))
+    group, whole = Window.partitionBy(*keys, "_group"), Window.partitionBy(*keys)
+    name = (
+        F.when((F.max("_wild").over(group) == 1) | (F.max("_group").over(whole) == 0), F.lit(WILDCARD))
+        .when(F.sum("_members").over(group) == 1, F.min("_first").over(group))
+        .otherwise(F.concat(F.lit(WILDCARD), F.col("_group").cast("string")))
+    )
+    bands = bands.select(F.col("host").alias("_bh"), F.col("_template").alias("_bt"), F.col("_band").alias("_bb"), name.alias("_name"))
+    named = member.join(bands, (F.col("host") == F.col("_bh")) & (F.col("_template") == F.col("_bt")) & (F.col("_band") == F.col("_bb")))
+    named = named.select(F.col("host").alias("_h"), F.col("_template").alias("_t"), F.col("_plain").alias("_p"), "_name")
+    met = children.join(named, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_plain") == F.col("_p")), "left")
+    return met.select(F.col("host").alias("_h"), F.col("_template").alias("_t"), F.col("_segment").alias("_s"), F.coalesce("_name", F.lit(WILDCARD)).alias("_name"))
+
+
+def path_templates(paths: DataFrame, depth: int | None, support: int, z: float, weight: float) -> DataFrame:
     """(host, path, template) for rows (host, path, n, labelled, bad) of distinct paths.
 
     Levels are told apart down to the longest path, or ``depth`` of them, with deeper segments as one more wildcard.
@@ -71,26 +108,18 @@ def path_templates(paths: DataFrame, depth: int | None, support: int, z: float)
         done.append(live.where(ends).select("host", "path", "n", "labelled", "bad", template.alias("template")))
         if level == depth or live.where(~ends).isEmpty():
             return reduce(DataFrame.unionByName, done)
-        live = live.where(~ends).drop("_open")
         segment = F.get("_parts", F.lit(level))
         plain = F.when(segment.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(segment)
-        inner = stage(live.withColumn("_segment", plain), f"level-{level}")
-        child = inner.groupBy("host", "_template", "_segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        child = stage(child, f"children-{level}")
-        parent = child.groupBy(F.col("host").alias("_h"), F.col("_template").alias("_t")).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-        both = child.join(parent, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")))
-        rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-        apart = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rest_bad / F.greatest(rest, F.lit(1)))
-        alike = (F.col("labelled") == 0) | (rest == 0) | (apart <= F.lit(z) * error)
-        merged = F.when((F.col("n") < support) | alike, F.lit(WILDCARD)).otherwise(F.col("_segment"))
-        names = stage(both.select(F.col("host").alias("_h"), F.col("_template").alias("_t"), F.col("_segment").alias("_s"), merged.alias("_name"), "n", "labelled", "bad"), f"names-{level}")
-        group = names.groupBy(F.col("_h").alias("_gh"), F.concat("_t", F.lit("/"), "_name").alias("_g")).agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
+        inner = stage(live.where(~ends).drop("_open").withColumn("_segment", plain), f"level-{level}")
+        child = stage(inner.groupBy("host", "_template", "_segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), f"children-{level}")
+        names = stage(branch_names(child, support, z, weight), f"names-{level}")
+        found = child.join(names, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_segment") == F.col("_s")))
+        group = found.groupBy(F.col("host").alias("_gh"), F.concat("_template", F.lit("/"), "_name").alias("_g")).agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
         group = group.where((F.col("_n") >= support) & (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled"))).select("_gh", "_g")
-        met = inner.join(names.drop("n", "labelled", "bad"), (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_segment") == F.col("_s")))
+        met = inner.join(names, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")) & (F.col("_segment") == F.col("_s")))
         met = met.withColumn("_template", F.concat("_template", F.lit("/"), "_name")).join(group, (F.col("host") == F.col("_gh")) & (F.col("_template") == F.col("_g")), "left")
         live = stage(met.withColumn("_open", F.col("_gh").isNotNull()).drop("_h", "_t", "_s", "_name", "_segment", "_gh", "_g"), f"placed-{level}")
+        release(inner, child, names)
 
 
 def judge_urls(
@@ -120,7 +149,7 @@ def judge_urls(
     counted = paths.join(known, F.col("_key") == F.col("_label"), "left").select(
         "host", "path", "n", F.when(F.col("_bad").isNotNull(), F.col("n")).otherwise(0).cast("long").alias("labelled"), (F.coalesce("_bad", F.lit(0)) * F.col("n")).cast("long").alias("bad")
     )
-    placed = stage(path_templates(counted, depth, support, z), "templates")
+    placed = stage(path_templates(counted, depth, support, z, weight), "templates")
     by_template = placed.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     by_template = stage(by_template, "purity")
     total, bad = by_template.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -135,4 +164,4 @@ def judge_urls(
     met = rows.join(per_path, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") >= limit, F.lit("block")).otherwise(F.lit("allow"))
-    return met.withColumn("_rule", rule).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "template", "purity")
+    return met.withColumn("_rule", rule).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "template", F.round("purity", 9).alias("purity"))

@@ -498,6 +498,41 @@ def test_pipeline_drops_what_fits_no_language(spark, data):
     assert corpus_pipeline.identify_language(spark, unknown, data).count() == more.count()
 
 
+def test_siblings_merge_by_their_counts(spark):
+    """Two bad branches alike to each other and unlike two good ones are one branch, and so are the good ones; what has no labels is the wildcard."""
+    parts = {"spam": 0.9, "ads": 0.9, "news": 0.05, "blog": 0.05, "plain": None}
+    rows, taught, n = [], [], 0
+    for name, share in parts.items():
+        for i in range(100):
+            n += 1
+            rows.append((n, f"http://h.test/{name}/{n}.html"))
+            if share is not None:
+                taught.append((n, int(i < 100 * share)))
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(taught, "key long, bad int")).collect()
+    templates = {r.path.split("/")[1]: r.template for r in got}
+    assert templates["spam"] == templates["ads"] != templates["news"] == templates["blog"] and templates["plain"] == "/*/*"
+    assert all((r.verdict == "block") == (r.path.split("/")[1] in ("spam", "ads")) for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_urls_equal_sql_on_deep_paths(spark, seed):
+    import duckdb
+
+    rng = np.random.default_rng(seed)
+    rows = [(i, f"https://{rng.choice(['a.test', 'b.test', 'C.example.com'])}/" + "/".join(rng.choice(["x", "y", "zz", "q1", "w"], rng.integers(0, 5))) + f"/{i}") for i in range(3000)] + [(-1, None), (-2, "x")]
+    bad = lambda u: int("/x" in u) ^ int(rng.random() < 0.1)
+    labels = [(i, 1, bad(u)) for i, u in rows[:2000]]
+    con = duckdb.connect()
+    import pandas as pd
+
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]))
+    want = con.execute(queries.oracle_sql()["op8_path_templates"]).fetchall()
+    taught = spark.createDataFrame([(i, t) for i, _, t in labels], "key long, bad int")
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), taught, queries.URL_RULES).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r.template for r in got}) > 10
+
+
 def test_urls_split_at_any_depth(spark):
     rows = [(i, f"http://deep.test/2024/05/12/news/{'spam' if i % 2 else 'politics'}/{i}.html") for i in range(120)] + [(500, "http://deep.test"), (501, "http://deep.test/2024")]
     taught = spark.createDataFrame([(i, i % 2) for i in range(120)], "key long, bad int")
