@@ -5,11 +5,13 @@ whose presence tells bad documents from good ones most surely, near copies count
 prior: the share of bad labels of its path, shrunk to that of its host, which is
 shrunk to that of all hosts. How strongly sparse sites are shrunk is estimated
 from the spread between sites by grouped aggregation. Prior and evidence meet
-in log odds.
+in log odds. A document's own label is left out of the counts of its path and host, so that
+its score says the same as that of a document without a label.
 
 The labelled documents that the classifier is fitted on are a bounded sample
-(``fit_rows``, drawn by hash at a rate that the count of labels sets); site
-counts cover all labels and scores all documents.
+(``fit_rows``, drawn row by row at a rate that the count of labels sets); site
+counts cover all labels and scores all documents, each over its whole text. Evidence is kept within ``EVIDENCE_LIMIT``
+log odds (one in 3,000): tokens of one text go together, and their sum would claim more certainty than there is.
 """
 
 from __future__ import annotations
@@ -92,17 +94,19 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
 
 def fit_evidence(
-    labelled: DataFrame, text_col: str = "text", bad_col: str = "bad", fit_rows: int = FIT_ROWS, features: int = FEATURES, least_evidence: float = LEAST_EVIDENCE, least_odds: float = LEAST_ODDS
+    labelled: DataFrame, text_col: str = "text", bad_col: str = "bad", id_col: str | None = None, fit_rows: int = FIT_ROWS, features: int = FEATURES, least_evidence: float = LEAST_EVIDENCE, least_odds: float = LEAST_ODDS
 ) -> dict[str, float]:
     """Log odds of each chosen token for rows (text, bad).
 
-    At most ``features`` tokens, those with the largest log-likelihood ratio, of at least ``least_evidence``; tokens with
+    About ``fit_rows`` rows are drawn, each by hash of its id and text, so that no text comes in as a whole. At most ``features`` tokens,
+    those with the largest log-likelihood ratio, of at least ``least_evidence``; tokens with
     odds below ``least_odds`` either way are left out, as many weak ones that go together would count as strong.
     """
     total, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(bad_col), F.lit(0))).first()
     if not bad or bad == total:
         return {}
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit("fit")), F.lit(1 << 40)) / float(1 << 40)
+    row = [F.coalesce(F.col(text_col), F.lit("")), *([F.col(id_col)] if id_col else [])]
+    drawn = F.pmod(F.xxhash64(*row, F.lit("fit")), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.where(drawn < min(1.0, fit_rows / total)).select(F.col(text_col).alias("text"), F.col(bad_col).cast("int").alias("bad"))
     sample = stage(_one_of_copies(sample), "fit-rows")
     n, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -147,18 +151,24 @@ def _strength(rates: DataFrame, prior: str, n: str = "n", bad: str = "bad") -> f
     return float(min(1000.0, max(1.0, 1 / between - 1))) if between > 0 else 1000.0
 
 
-def site_priors(labelled: DataFrame) -> DataFrame:
-    """(host, path, prior) from rows (host, path, bad): posterior share of bad labels of each path."""
+def site_priors(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Counts (host, path, n, bad, host_n, host_bad) of all sites from rows (host, path, bad), and the strengths and rate that priors need."""
     by_path = stage(labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad")), "by-path")
     total, bad = by_path.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (bad + 1) / (total + 2)
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(overall))
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     by_host = stage(by_host, "by-host")
-    m = _strength(by_host, "prior")
-    hosts = by_host.select(F.col("host").alias("_host"), ((F.col("bad") + F.lit(m * overall)) / (F.col("n") + F.lit(m))).alias("host_prior"))
-    paths = stage(by_path.join(hosts, F.col("host").eqNullSafe(F.col("_host"))), "paths")
-    k = _strength(paths, "host_prior")
-    return paths.select("host", "path", "host_prior", ((F.col("bad") + F.lit(k) * F.col("host_prior")) / (F.col("n") + F.lit(k))).alias("prior"))
+    m = _strength(by_host.withColumn("prior", F.lit(overall)), "prior", "host_n", "host_bad")
+    hosts = by_host.select(F.col("host").alias("_host"), "host_n", "host_bad")
+    paths = stage(by_path.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "paths")
+    how = {"overall": overall, "host_strength": m}
+    how["path_strength"] = _strength(paths.withColumn("prior", _host_prior(how)), "prior")
+    return paths, how
+
+
+def _host_prior(how: dict[str, float], own: Column | int = 0, known: Column | int = 0) -> Column:
+    """Share of bad labels of a host, without ``known`` labels of which ``own`` are bad."""
+    return (F.col("host_bad") - own + F.lit(how["host_strength"] * how["overall"])) / (F.col("host_n") - known + F.lit(how["host_strength"]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sites: DataFrame, limit: float = 0.5, **fit) -> DataFrame:
@@ -169,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sites: DataFrame, limit:
     a document is good, ``keep`` whether that is above ``limit``. An unlabelled path takes its host's
     prior, an unlabelled host that of all; a document without a site has null host and path, which are a
     site of their own. Labels with both columns null are ignored; a document with
-    several labels is bad if one says so, one with several sites belongs to the first. Null and empty texts
+    several labels is bad if one says so, one with several sites belongs to the first. The label of a document is left out of its own prior. Null and empty texts
     have no evidence. Repeated rows each come back, a null id has no label. Without labels of both kinds
     evidence is 0. Empty tables give an empty result; other columns are ignored.
     """
@@ -179,16 +189,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sites: DataFrame, limit:
     site = sites.select(F.col("doc_id").cast("long").alias("_id"), F.struct("host", "path").alias("site")).where("_id is not null").groupBy("_id").agg(F.min("site").alias("site"))
     site = stage(site.select("_id", "site.host", "site.path"), "sites")
     known = stage(known, "labels")
-    weights = fit_evidence(rows.join(known, F.col("doc_id") == F.col("_doc")).select("text", "bad"), **fit)
+    weights = fit_evidence(rows.join(known, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "bad"), id_col="doc_id", **fit)
     seen = rows.select("doc_id").join(known, F.col("doc_id") == F.col("_doc")).join(site, F.col("doc_id") == F.col("_id"), "left")
-    priors = stage(site_priors(seen.select("host", "path", "bad")), "priors")
-    overall = seen.agg((F.sum("bad") + 1) / (F.count("*") + 2)).first()[0]
-    overall = 0.5 if overall is None else overall
-    of_path = priors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "prior")
-    of_host = priors.groupBy(F.col("host").alias("_hh")).agg(F.first("host_prior").alias("host_prior"))
+    sites_seen, how = site_priors(seen.select("host", "path", "bad"))
+    of_path = sites_seen.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", F.col("bad").alias("path_bad"))
+    of_host = stage(sites_seen.groupBy(F.col("host").alias("_hh")).agg(F.first("host_n").alias("host_n"), F.first("host_bad").alias("host_bad")), "hosts")
     own = rows.select("doc_id", evidence("text", weights).alias("evidence")).join(site, F.col("doc_id") == F.col("_id"), "left")
+    own = own.join(known.select("_doc", F.col("bad").alias("own")), F.col("doc_id") == F.col("_doc"), "left")
     own = own.join(of_path, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left").join(of_host, F.col("host").eqNullSafe(F.col("_hh")), "left")
-    prior = F.coalesce("prior", "host_prior", F.lit(overall))
-    odds = F.log(prior / (1 - prior)) + F.col("evidence")
-    score = 1 / (1 + F.exp(odds))
+    is_known, is_bad = F.col("own").isNotNull().cast("int"), F.coalesce("own", F.lit(0))
+    host_prior = F.coalesce(_host_prior(how, is_bad, is_known), F.lit(how["overall"]))
+    strength = F.lit(how["path_strength"])
+    prior = F.coalesce((F.col("path_bad") - is_bad + strength * host_prior) / (F.col("n") - is_known + strength), host_prior)
+    score = 1 / (1 + F.exp(F.log(prior / (1 - prior)) + F.col("evidence")))
     return own.select("doc_id", "host", "path", "evidence", prior.alias("prior"), score.alias("score"), (score > limit).alias("keep"))

@@ -365,6 +365,78 @@ def test_quality_odd_and_planted(spark, odd):
     assert quality.quality_scores(odd.limit(0), labels.limit(0), sites.limit(0)).count() == 0
 
 
+def test_quality_equals_brute_force(spark, data, docs):
+    """Tokens, evidence and posteriors of every document, counted again in Python."""
+    texts = {i: t for i, t, *_ in docs}
+    labels = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    sites = {}
+    for r in sorted(spark.read.parquet(f"{data}/pages.parquet").collect(), key=lambda r: r.page_id):
+        rest = r.url.partition("://")[2]
+        host, path = re.split("[/?#]", rest)[0].lower(), re.match("[^/?#]*([^?#]*)", rest)[1]
+        number = re.search(r"/([0-9]{1,18})(?:\.[A-Za-z]+)?(?:/|$)", path)
+        if number:
+            site = (host, path.split("/")[1])
+            sites[int(number[1])] = min(site, sites.get(int(number[1]), site))
+    known = {i: b for i, b in labels.items() if i in texts}
+    first = {}
+    for i, b in known.items():
+        first.setdefault(quality._signature(texts[i]), []).append((texts[i], b))
+    assert all(len({t for t, _ in rows}) == 1 or len({b for _, b in rows}) == 1 for rows in first.values())
+    fitted = [rows[0] for rows in first.values()]
+    n, n_bad = len(fitted), sum(b for _, b in fitted)
+    counts = {}
+    for text, b in fitted:
+        for t in quality.tokens(text):
+            counts.setdefault(t, [0, 0])[b] += 1
+    term = lambda x, y: x * np.log(x / y) if x else 0.0
+    weights = {}
+    for t, (good, bad) in counts.items():
+        seen = good + bad
+        ratio = 2 * (term(bad, seen * n_bad / n) + term(good, seen * (n - n_bad) / n) + (term(n_bad - bad, (n - seen) * n_bad / n) + term(n - n_bad - good, (n - seen) * (n - n_bad) / n) if seen < n else 0))
+        odds = np.log(((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n - n_bad + 1)))
+        if ratio >= 5 and abs(odds) >= quality.LEAST_ODDS:
+            weights[t] = odds
+    of = {i: sites.get(i, (None, None)) for i in texts}
+    paths, hosts = {}, {}
+    for i, b in known.items():
+        for table, key in ((paths, of[i]), (hosts, of[i][0])):
+            c = table.setdefault(key, [0, 0])
+            c[0], c[1] = c[0] + 1, c[1] + b
+
+    def strength(rows):
+        total, squares = sum(r[0] for r in rows), sum(r[0] ** 2 for r in rows)
+        found, chance = sum(m * (b / m - p) ** 2 for m, b, p in rows), sum(p * (1 - p) for *_, p in rows)
+        if len(rows) < 2:
+            return 10.0
+        room = (total - squares / total) * chance / len(rows)
+        between = max(0.0, (found - chance) / room) if room > 0 else 0.0
+        return min(1000.0, max(1.0, 1 / between - 1)) if between > 0 else 1000.0
+
+    overall = (sum(known.values()) + 1) / (len(known) + 2)
+    m = strength([(c, b, overall) for c, b in hosts.values()])
+    host_prior = lambda h, b=0, c=0: (hosts[h][1] - b + m * overall) / (hosts[h][0] - c + m) if h in hosts else overall
+    k = strength([(c, b, host_prior(h)) for (h, _), (c, b) in paths.items()])
+    table = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    site_rows = spark.createDataFrame([(i, *s) for i, s in sites.items()], "doc_id long, host string, path string")
+    got = {r.doc_id: r for r in quality.quality_scores(table("documents"), table("labels"), site_rows, least_evidence=5.0).collect()}
+    assert len(weights) > 3 and set(got) == set(texts)
+    for i, text in texts.items():
+        b, c = (known[i], 1) if i in known else (0, 0)
+        prior = host_prior(of[i][0], b, c)
+        if of[i] in paths:
+            prior = (paths[of[i]][1] - b + k * prior) / (paths[of[i]][0] - c + k)
+        told = float(np.clip(sum(weights.get(t, 0.0) for t in quality.tokens(text)), -quality.EVIDENCE_LIMIT, quality.EVIDENCE_LIMIT))
+        assert got[i].evidence == pytest.approx(told, abs=1e-9) and got[i].prior == pytest.approx(prior, abs=1e-9)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(np.log(prior / (1 - prior)) + told)), abs=1e-9) and (got[i].host, got[i].path) == of[i]
+
+
+def test_fit_draws_rows_and_not_texts(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"), (F.col("id") % 2).cast("int").alias("bad"))
+    drawn = F.pmod(F.xxhash64("text", "doc_id", F.lit("fit")), F.lit(1 << 40)) / float(1 << 40)
+    assert 300 <= rows.where(drawn < 0.1).count() <= 500
+    assert quality.fit_evidence(rows, id_col="doc_id", fit_rows=400) == {}
+
+
 def test_images(spark):
     rng = np.random.default_rng(3)
     pic = lambda seed: np.clip(images._resize(np.random.default_rng(seed).uniform(0, 255, (15, 18)), 8), 0, 255)
