@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import language, mixing, packing, simhash, substring
-from rangeloom.operators.staging import stage
+from rangeloom.operators.names import fresh
+from rangeloom.operators.staging import release, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +16,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every document stays where too little is labelled to learn from.
     """
     samples = language.labelled_samples(docs)
-    found = language.with_language(docs, samples, lang_out="_lang", score_out="_score", fits_out="_fits", usual=language.usual_bits(samples))
-    return found.where("_fits").select(docs.columns)
+    lang, score, fits = fresh(docs.columns, "_lang", "_score", "_fits")
+    found = language.with_language(docs, samples, lang_out=lang, score_out=score, fits_out=fits, usual=language.usual_bits(samples))
+    return found.where(fits).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur earlier; ``n_chars`` follows the text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = substring.remove_repeats(docs, keep=rest).withColumn("_cut", F.col("n_removed") > 0)
-    return kept.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = substring.remove_repeats(docs.select("doc_id", "text", row.alias("row")), keep=["row"])
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long"))}
+    return kept.select(*[F.coalesce(new[c], F.col(f"row.c{i}")).alias(c) if c in new else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        done = stage(step(spark, docs, sf_dir), name)
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
