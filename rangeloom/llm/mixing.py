@@ -25,8 +25,8 @@ MAX_EPOCHS = 3
 
 def _place(id_col: str, text_col: str, size: Column) -> Column:
     """Where a document stands in the shuffle; rows that agree in id and text are peers."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return F.struct(F.md5(name).alias("shuffle"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("text"))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    return F.struct(F.md5(name).alias("shuffle"), size.alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
 def source_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_epochs: int) -> DataFrame:
     """(source, source_size, target, epochs, last): documents up to place ``last`` are taken ``epochs`` times, later ones once less."""
     size = word_count(text_col)
-    sizes = docs.select(F.col(source_col).alias("source"), size.alias("size"), _place(id_col, text_col, size).alias("place"))
+    sizes = docs.select(F.col(f"`{source_col}`").alias("source"), size.alias("size"), _place(id_col, text_col, size).alias("place"))
     sizes = stage(sizes, "sizes")
     targets = stage(source_targets(sizes, weights, max_epochs), "targets")
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
@@ -84,30 +84,34 @@ def source_cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, we
     )
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS
-) -> DataFrame:
+def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(row, mix_size, mix_source_size, mix_target, mix_times): each row of ``docs`` as a struct c0, c1, ..., with what ``mix`` tells about it."""
+    cuts = stage(source_cuts(docs, id_col, text_col, source_col, weights, max_epochs), "cuts")
+    cuts = cuts.select(*[F.col(c).alias(f"cut_{c}") for c in cuts.columns])
+    size = word_count(text_col)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    met = docs.select(row.alias("row"), F.col(f"`{source_col}`").alias("source"), size.alias("mix_size"), _place(id_col, text_col, size).alias("place"))
+    met = met.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    late = F.when(F.col("place") > F.col("cut_last"), 1).otherwise(0)
+    times = F.greatest(F.col("cut_epochs") - late, F.lit(0)).cast("int")
+    return met.select("row", "mix_size", F.col("cut_source_size").alias("mix_source_size"), F.col("cut_target").alias("mix_target"), times.alias("mix_times"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with (mix_size, mix_source_size, mix_target, mix_times): how often the mixture takes each document.
 
-    Size is the number of words (null text: 0); a null source is a source of its
+    ``how``: id_col, text_col, source_col, weights, max_epochs. Size is the number of words (null text: 0); a null source is a source of its
     own. All sizes together are the budget; what a source is given comes within a
     document of its target. Repeated rows are peers and share one decision; an
     empty table gives an empty result. The shuffle depends on the id alone, so
-    reruns agree. Extra columns are kept; ``docs`` is read twice, for sizes and result.
+    reruns agree. Extra columns are kept, those that have the names of the new ones are replaced; ``docs`` is read twice, for sizes and result.
     """
-    cuts = stage(source_cuts(docs, id_col, text_col, source_col, weights, max_epochs), "cuts")
-    cuts = cuts.select(*[F.col(c).alias(f"_cut_{c}") for c in cuts.columns])
-    size = word_count(text_col)
-    met = docs.withColumn("mix_size", size).withColumn("_cut_place", _place(id_col, text_col, F.col("mix_size")))
-    met = met.join(cuts, F.col(source_col).eqNullSafe(F.col("_cut_source")), "left")
-    late = F.when(F.col("_cut_place") > F.col("_cut_last"), 1).otherwise(0)
-    times = F.greatest(F.col("_cut_epochs") - late, F.lit(0)).cast("int")
-    return met.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "mix_size", F.col("_cut_source_size").alias("mix_source_size"), F.col("_cut_target").alias("mix_target"), times.alias("mix_times")
-    )
+    new = ("mix_size", "mix_source_size", "mix_target", "mix_times")
+    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in new]
+    return _drawn(docs, **how).select(*kept, *new)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as it is taken."""
-    drawn = mix(docs, **how).where("mix_times > 0")
-    return drawn.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture itself: each row of ``docs``, whatever its columns, as often as it is taken."""
+    drawn = _drawn(docs, **how).where("mix_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("turn"))
+    return drawn.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

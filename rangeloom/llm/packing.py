@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.words import word_count
 from rangeloom.operators.prefix import running_total
+from rangeloom.operators.staging import stage
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
@@ -146,7 +147,8 @@ def pack(
         raise ValueError("capacities must be positive, costs one for each of them")
     n = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)) if size is not None else word_count(text_col)
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"), F.lit(1).alias("one"))
-    placed = running_total(sizes, "one", [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n")], "at")
+    # Words are counted once: a range partitioning reads its input twice.
+    placed = running_total(stage(sizes, "sizes"), "one", [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n")], "at")
     shards = placed.select(F.floor((F.col("at") - 1) / shard_rows).cast("long").alias("shard"), "doc_id", "n")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

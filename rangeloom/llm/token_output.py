@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.operators.staging import shuffle_partitions
+from rangeloom.operators.staging import shuffle_partitions, stage
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -154,7 +154,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    placed = rows.join(files, F.col("part") == F.col("_part"))
+    # Staged, so that its size is known and the token lists are not shuffled to meet a row per file.
+    placed = rows.join(stage(files, "token-files"), F.col("part") == F.col("_part"))
     return placed.select("doc_id", (F.col("_base") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 

@@ -28,7 +28,7 @@ from rangeloom.operators.staging import shuffle_partitions, stage
 COSINE = 0.93
 TABLES, HASHES, WIDTH = 40, 16, 2.0
 BLOCK = 256
-_KEYED = "node long, label long, copies long, keys array<long>, unit binary"
+_KEYED = "node long, label long, copies long, dim int, keys array<long>, raw binary"
 _LINKED = "node long, links long, root long"
 
 
@@ -45,6 +45,20 @@ def bucket_keys(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, wi
     return (cell * mix).sum(axis=2)
 
 
+def _raw(v: list[float]) -> bytes:
+    """A vector's components, as 32-bit floats where those are exact."""
+    wide = np.array(v, np.float64)
+    small = wide.astype(np.float32)
+    return b"f" + small.tobytes() if (small == wide).all() else b"d" + wide.tobytes()
+
+
+def _units(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors in double precision of packed ones of one dimension."""
+    x = np.stack([np.frombuffer(v, "<f4" if v[:1] == b"f" else "<f8", offset=1).astype(np.float64) for v in raw])
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _keyed(tables: int, hashes: int, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,25 +67,25 @@ def _keyed(tables: int, hashes: int, width: float):
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, rows in by_dim.items():
-                x = np.array([vectors[i] for i in rows], np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = bucket_keys(x, tables, hashes, width)
+                raw = [_raw(vectors[i]) for i in rows]
+                keys = bucket_keys(_units(raw), tables, hashes, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 picked = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2), lists, pa.array([v.tobytes() for v in x], pa.binary())], [c.split()[0] for c in _KEYED.split(", ")])
+                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2), pa.array([dim] * len(rows), pa.int32()), lists, pa.array(raw, pa.binary())], [c.split()[0] for c in _KEYED.split(", ")])
 
     return run
 
 
-def _cell_links(nodes: np.ndarray, labels: np.ndarray, copies: np.ndarray, keys: np.ndarray, units: list[bytes], blocks: np.ndarray, tab: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, links, root) of the members of one cell that have links; a pair within one block of two is left to that block's own cell."""
+def _cell_links(nodes: np.ndarray, labels: np.ndarray, copies: np.ndarray, keys: np.ndarray, raw: list[bytes], dims: np.ndarray, blocks: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, root) of the members of one cell that have links; ``keys`` are those of the tables before the cell's.
+
+    A pair within one block of two is left to that block's own cell, and a pair that met in an earlier table is counted there.
+    """
     links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
     hit = np.zeros(len(nodes), bool)
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        x = np.frombuffer(b"".join(units[i] for i in rows), np.float64).reshape(len(rows), -1)
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        x = _units([raw[i] for i in rows])
         same = (labels[rows][:, None] == labels[rows][None, :]) & (x @ x.T >= cosine)
         if blocks.max() != blocks.min():
             same &= blocks[rows][:, None] != blocks[rows][None, :]
@@ -79,7 +93,7 @@ def _cell_links(nodes: np.ndarray, labels: np.ndarray, copies: np.ndarray, keys:
         if not len(one):
             continue
         one, two = rows[one], rows[two]
-        first = np.argmax(keys[one] == keys[two], axis=1) == tab
+        first = ~(keys[one] == keys[two]).any(axis=1)
         np.add.at(links, one, np.where(first, copies[two], 0))
         np.add.at(links, two, np.where(first, copies[one], 0))
         hit[one] = hit[two] = True
@@ -100,9 +114,8 @@ def _cells(cosine: float):
 
     def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        n = t.num_rows
-        keys = t.column(6).flatten().to_numpy().reshape(n, -1)
-        found = _cell_links(*(t.column(i).to_numpy() for i in (3, 4, 5)), keys, t.column(7).to_pylist(), t.column(8).to_numpy(), t.column(9)[0].as_py(), cosine)
+        keys = t.column(6).flatten().to_numpy().reshape(t.num_rows, -1)
+        found = _cell_links(*(t.column(i).to_numpy() for i in (3, 4, 5)), keys, t.column(7).to_pylist(), t.column(8).to_numpy(), t.column(9).to_numpy(), cosine)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +170,7 @@ def vector_groups(
     nodes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = stage(nodes, "vector-nodes")
     keyed = stage(nodes.select("node", "label", "copies", "v").mapInArrow(_keyed(tables, hashes, width), _KEYED), "vector-keys")
-    entries = keyed.select("node", "label", F.length("unit").alias("dim"), F.posexplode("keys").alias("tab", "key"))
+    entries = keyed.select("node", "label", "dim", F.posexplode("keys").alias("tab", "key"))
     entries = entries.select("node", "tab", F.xxhash64("label", "dim", "tab", "key").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = entries.join(stage(sizes, "vector-buckets"), "bucket")
@@ -167,7 +180,7 @@ def vector_groups(
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "tab", "own")
     dealt = stage(dealt, "vector-cells")
     met = dealt.join(keyed.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
-    met = met.select("bucket", "i", "j", "node", "label", "copies", "keys", "unit", "own", "tab")
+    met = met.select("bucket", "i", "j", "node", "label", "copies", F.slice("keys", F.lit(1), F.col("tab")).alias("keys"), "raw", "dim", "own")
     parts = shuffle_partitions(vectors.sparkSession)
     found = met.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_cells(cosine), _LINKED)
     found = stage(found, "vector-links")

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from rangeloom.llm import images, language, mixing, packing, quality, queries, simhash, substring, token_output, urls, vectors
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, id string, bin_id int, node int"
+#: Beside the columns of documents, names that operators use inside or give out.
+CLASHING = ("_language", "_first", "mix_size", "_turn", "_cut", "_cut_size", "_lang", "_fits", "row", "c0", "tag", "runs", "_row")
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, id string, bin_id int, node int, " + ", ".join(f"{c} int" for c in CLASHING)
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows and ids, and columns whose names clash with working ones."""
-    rest = (0.5, 1, "x", 2, 3)
+    rest = (0.5, 1, "x", 2, 3, *range(70, 70 + len(CLASHING)))
     rows = [(1, "Hello there big world", "en", "a", 4), (1, "Hello there big world", "en", "a", 4), (1, "other words here", "fr", "b", 1), (2, None, None, None, None), (None, "no id at all", "en", "a", 3),
             (3, "", "en", "b", 0), (4, " \t\n", None, "b", 3), (5, LONG, "en", None, 9), (6, LONG + " tail", "en", "a", 9), (None, None, None, None, None), (7, "日本語 😀 \x1c x", "ja", "c", 2)]
     return spark.createDataFrame([(*r, *rest) for r in rows], DOC)
@@ -283,6 +285,98 @@ def test_mix_odd_rows(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def clashing(rows):
+    """Whether every row still has the values of the clashing columns."""
+    return all([r[c] for c in CLASHING] == list(range(70, 70 + len(CLASHING))) for r in rows)
+
+
+def test_clashing_columns_stay_as_they_are(spark, odd, data):
+    import corpus_pipeline
+
+    assert clashing(simhash.one_of_each_group(odd).collect()) and clashing(mixing.mixed_documents(odd).collect())
+    assert clashing(language.with_language(odd, language.labelled_samples(odd)).collect())
+    assert all([r[c] for c in CLASHING if c != "mix_size"] == [70 + i for i, c in enumerate(CLASHING) if c != "mix_size"] for r in mixing.mix(odd).collect())
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        done = step(spark, odd, data)
+        assert done.columns == odd.columns and clashing(done.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count()
+
+
+def test_token_files_have_small_groups_pages_indexes_and_encodings(spark, data, tmp_path):
+    import pyarrow.parquet as pq
+
+    # The writer looks at the size of a row group every hundred rows.
+    many = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").crossJoin(spark.range(5).select(F.col("id").alias("copy")))
+    coded = token_output.encode_documents(many, public_tokenizers.path("word_bpe_49k.json"), 1, partitions=2)
+    token_output.write_tokens(coded, str(tmp_path / "t"), row_group_bytes=1 << 18, page_bytes=1 << 12)
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    assert len(files) == 2
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups > 1
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            tokens = columns["tokens.list.element"]
+            assert tokens.has_offset_index and columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
+            assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(tokens.encodings) and columns["doc_id"].statistics.has_min_max
+            assert sum(c.total_compressed_size for n, c in columns.items() if not n.startswith("tokens")) < tokens.total_compressed_size
+    plan = token_output.read_tokens(spark, str(tmp_path / "t")).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:" not in plan.split("ReadSchema", 1)[1].replace("n_tokens:", "")
+
+
+def brute_best_fit(sizes, capacities):
+    """(used, final capacity) of every bin, by search through all bins and all pieces."""
+    bins, stamp = [], 0
+    for at, s in enumerate(sizes):
+        open_bins = [b for b in bins if b[0] >= s]
+        if open_bins:
+            best = max((b for b in open_bins if b[0] == min(o[0] for o in open_bins)), key=lambda b: b[2])
+        else:
+            prices = []
+            for capacity in capacities:
+                if capacity >= s:
+                    room = capacity - s
+                    for piece in sizes[at + 1 :]:
+                        room -= piece if piece <= room else 0
+                    prices.append((capacity / (capacity - room), -capacity))
+            best = [-min(prices)[1], 0, 0]
+            bins.append(best)
+        stamp += 1
+        best[0], best[1], best[2] = best[0] - s, best[1] + s, stamp
+    return sorted((b[1], min(c for c in capacities if c >= b[1])) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(1, 60, 120).tolist(), reverse=True)
+    bins, _, caps = packing.best_fit(sizes, [16, 32, 64])
+    used = Counter()
+    for b, s in zip(bins, sizes, strict=True):
+        used[b] += s
+    assert sorted((used[b], c) for b, c in enumerate(caps)) == brute_best_fit(sizes, [16, 32, 64])
+
+
+def test_packing_query_equals_brute_force(spark, data, docs):
+    """Shards by hashed id, whole sequences first, then the rests by best fit."""
+    rows = queries.op5_best_fit_packing(spark, data).collect()
+    hashes = {r.doc_id: r.h for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    sizes = {i: len(words(t)) for i, t, *_ in docs}
+    assert len(sizes) <= packing.SHARD_ROWS and sorted(hashes) == sorted(sizes)
+    rests = sorted((n % 4096 for n in sizes.values() if n % 4096), reverse=True)
+    want = brute_best_fit(rests, packing.CAPACITIES) + [(4096, 4096)] * sum(n // 4096 for n in sizes.values())
+    used, caps = Counter(), {}
+    for r in rows:
+        if r.bin_id is not None:
+            used[r.bin_id] += r.n_words
+            caps[r.bin_id] = r.capacity
+    assert sorted((used[b], caps[b]) for b in used) == sorted(want)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.start, r.n_words))
+    assert all(sum(n for _, n in by[i]) == n and [a for a, _ in sorted(by[i])] == list(range(0, max(1, n), 4096)) for i, n in sizes.items())
+
+
 def test_packing_places_every_word(spark, data, odd):
     pieces = packing.pack(odd).collect()
     assert Counter(r.doc_id for r in pieces if r.n_words == 0) == {2: 1, 3: 1, 4: 1, None: 1}
