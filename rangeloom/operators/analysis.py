@@ -47,3 +47,16 @@ def closest_by_scaled_difference(runs: DataFrame, a: str, b: str, most: int, tie
     ends = runs.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for f, n in ((F.min, "lo"), (F.max, "hi"))])
     scaled = {c: (F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0)) for c in (a, b)}
     return runs.crossJoin(F.broadcast(ends)).withColumn("gap", F.abs(scaled[a] - scaled[b])).orderBy("gap", tie).limit(most).select(*runs.columns, "gap")
+
+
+def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, corr) of every pair of columns, each with itself too, in one pass."""
+    pairs = [(a, b) for a in columns for b in columns]
+    cells = rows.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("cells"))
+    return cells.select(F.explode("cells").alias("c")).select("c.a", "c.b", "c.corr")
+
+
+def ranking(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mean, place): groups by falling mean, place 1 first, equal means by key."""
+    means = rows.groupBy(key).agg(F.avg(value).alias("mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean").desc_nulls_last(), key)).cast("long"))

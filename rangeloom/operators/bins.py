@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.operators.staging import stage
+
 
 def range_bin(rho: str | Column, size: float) -> Column:
     """Bins from 1 on, each closed below."""
@@ -37,5 +39,5 @@ def range_profile(points: DataFrame, value: str, size: float = 0.5, aligned: boo
 
 def expected_values(points: DataFrame, value: str, size: float = 0.5) -> DataFrame:
     """``points`` with (expected_value, expected_value_std) of their range; null where the profile has none."""
-    profile = range_profile(points, value, size).select(F.col("scan_id").alias("_scan"), F.col("bin").alias("_bin"), F.col("profile_max").alias("expected_value"), F.col("profile_std").alias("expected_value_std"))
+    profile = stage(range_profile(points, value, size), "profile").select(F.col("scan_id").alias("_scan"), F.col("bin").alias("_bin"), F.col("profile_max").alias("expected_value"), F.col("profile_std").alias("expected_value_std"))
     return points.join(profile, (F.col("scan_id") == F.col("_scan")) & (range_bin("rho", size) == F.col("_bin")), "left").drop("_scan", "_bin")

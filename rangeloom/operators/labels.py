@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,3 +53,37 @@ def stratified_sample(points: DataFrame, strata: Sequence[str], most: int, order
             raise ValueError(f"stratum with {short['count']} rows, {most} asked for")
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(order))
     return points.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def row_weights(points: DataFrame, label: str = "label") -> DataFrame:
+    """``points`` with the weight of their class."""
+    w = class_weights(points, label).select(F.col(label).alias("_l"), "weight")
+    return points.join(w, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+
+
+def drawn_share(key: Column, seed: int = 42) -> Column:
+    """A fixed number from 0 to 1 for each integer key, spread evenly over consecutive keys."""
+    return F.pmod(key.cast("long") * F.lit(2_654_435_761) + F.lit(seed * 40_503), F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+
+def split_rows(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """``rows`` with ``part``: train for the given share of keys, test for the rest; reruns agree."""
+    return rows.withColumn("part", F.when(drawn_share(F.col(key), seed) < share, "train").otherwise("test"))
+
+
+def fold_pairs(files: Sequence, folds: int, seed: int = 42) -> list[tuple]:
+    """Pairs of different files, one pair for each fold, in the order of a seeded shuffle; no file is in two pairs."""
+    order = sorted(files)
+    random.Random(seed).shuffle(order)
+    if 2 * folds > len(order):
+        raise ValueError(f"{folds} folds need {2 * folds} files")
+    return [tuple(sorted(order[2 * i : 2 * i + 2])) for i in range(folds)]
+
+
+def fold_roles(rows: DataFrame, file_col: str, pairs: Sequence[tuple]) -> DataFrame:
+    """``rows`` once for each fold, with ``fold`` (from 1) and ``role``: test for the files of the fold's pair, train for all others."""
+    held = F.when(F.lit(False), F.lit(False))
+    folds = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))))
+    for i, pair in enumerate(pairs, 1):
+        held = held.when(F.col("fold") == i, F.coalesce(F.col(file_col).isin(*pair), F.lit(False)))
+    return folds.withColumn("role", F.when(held, "test").otherwise("train"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +39,26 @@ def report(rows: DataFrame, truth: str = "label", predicted: str = "pred") -> Da
     means = [all_rows.select(F.lit(n).alias("name"), *[F.col(f"{p}_{s}").alias(s) for s in scores], "support") for n, p in (("macro avg", "m"), ("weighted avg", "w"))]
     classes = per.select(F.col("truth").cast("string").alias("name"), *scores, "support")
     return classes.unionByName(accuracy).unionByName(means[0]).unionByName(means[1])
+
+
+def summed(confusions: DataFrame) -> DataFrame:
+    """(truth, pred, n, share) of the sum of several matrices (truth, pred, n)."""
+    total = confusions.groupBy("truth", "pred").agg(F.sum("n").cast("long").alias("n"))
+    row = F.sum("n").over(Window.partitionBy("truth"))
+    return total.select("truth", "pred", "n", F.round(F.coalesce(F.col("n") / F.nullif(row, F.lit(0)), F.lit(0.0)), 4).alias("share"))
+
+
+def union_reports(reports: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows of all reports with what each is of as column ``name``."""
+    return reduce(DataFrame.unionByName, [r.withColumn(name, F.lit(k)) for k, r in reports.items()])
+
+
+def reports_by(rows: DataFrame, key: str, values: Sequence, truth: str = "label", predicted: str = "pred") -> DataFrame:
+    """A report for each of a few values of a column."""
+    return union_reports({str(v): report(rows.where(F.col(key) == v), truth, predicted) for v in values}, key)
+
+
+def mean_percentage_error(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(n, mape): mean of the error's share of the truth, in percent, over the rows whose truth is not 0."""
+    share = F.abs(F.col(predicted) - F.col(truth)) / F.abs(F.nullif(F.col(truth).cast("double"), F.lit(0.0)))
+    return rows.agg(F.count(share).alias("n"), (100 * F.avg(share)).alias("mape"))

@@ -1,16 +1,20 @@
 """Ordered operators along a scan: scanlines, differences, gradients and segments.
 
 Every window is keyed by scan and ends its order with ``point_counter``, so ties
-cannot reorder rows. Counters over a whole scan are running totals over a range
-partitioning, so a long scan is not one task.
+cannot reorder rows. What runs over a whole scan (scanline and segment ids) goes by range
+partitions, so a long scan is not one task; other windows hold one scanline.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.operators.prefix import running_total
+from rangeloom.operators.prefix import ranged, running_total, with_neighbours
+from rangeloom.operators.staging import stage
 
 
 def adjust_angles(points: DataFrame) -> DataFrame:
@@ -34,8 +38,12 @@ def _breaks_before(points: DataFrame, flag: Column, order: list[str], out: str)
 
 def scanline_ids(points: DataFrame, threshold: float = 80.0) -> DataFrame:
     """A jump of theta in phi order ends a scanline; the row of the jump still belongs to it."""
-    jump = points.withColumn("_jump", neighbour_difference("vert_angle", ["scan_id"], ["horiz_angle", "point_counter"]))
-    return _breaks_before(jump, F.col("_jump") > threshold, ["horiz_angle", "point_counter"], "scanline_id").drop("_jump")
+    order = ["horiz_angle", "point_counter"]
+    met = with_neighbours(ranged(points, [F.col(c) for c in order], ["scan_id"]), "vert_angle", order, "_prior", "_next", ["scan_id"])
+    jump = F.coalesce(F.abs(F.col("_next") - F.col("vert_angle")), F.abs(F.col("vert_angle") - F.col("_prior")))
+    flagged = stage(met.withColumn("_flag", F.coalesce((jump > threshold).cast("int"), F.lit(0))).drop("_prior", "_next"), "flagged")
+    total = running_total(flagged, "_flag", [F.col(c) for c in order], "_upto", by=["scan_id"], slot="_slot")
+    return total.withColumn("scanline_id", (F.col("_upto") - F.col("_flag") + 1).cast("long")).drop("_flag", "_upto")
 
 
 def rho_differences(points: DataFrame) -> DataFrame:
@@ -65,3 +73,26 @@ def running_point_ids(points: DataFrame, file_col: str, order: list[str]) -> Dat
     """Ids from 0 over files in name order and rows in ``order``."""
     numbered = running_total(points.withColumn("_one", F.lit(1)), "_one", [F.col(c) for c in (file_col, *order)], "_n")
     return numbered.withColumn("point_id", (F.col("_n") - 1).cast("long")).drop("_one", "_n")
+
+
+def every_nth(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first of every ``n`` rows in ``order``."""
+    numbered = running_total(rows.withColumn("_one", F.lit(1)), "_one", [F.col(c) for c in order], "_n")
+    return numbered.where((F.col("_n") - 1) % n == 0).drop("_one", "_n")
+
+
+#: The parameters of the segmentation sweep.
+SWEEP_CURVATURE = (20.0, 30.0, 40.0, 50.0, 60.0, 70.0)
+SWEEP_STD = (1.0, 15.0, 25.0, 35.0, 50.0, 65.0, 75.0, 85.0, 100.0)
+SWEEP_NEIGHBOURHOOD = (1.0, 1.25, 1.5, 1.75, 2.0)
+
+
+def segment_counts(bent: DataFrame, stds: Sequence[float] = SWEEP_STD, curvatures: Sequence[float] = SWEEP_CURVATURE, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """(keys, std_multiplier, curvature_threshold, segments) of every pair of thresholds, from one pass over points with their curvature."""
+    place = F.struct("scanline_id", "vert_angle", "point_counter")
+    cells = []
+    for s, c in product(stds, curvatures):
+        flag = break_flag(s, c).cast("long")
+        # The break of the last row begins no segment.
+        cells.append(F.struct(F.lit(s).alias("std_multiplier"), F.lit(c).alias("curvature_threshold"), (1 + F.sum(flag) - F.max_by(flag, place)).alias("segments")))
+    return bent.groupBy(*keys).agg(F.array(*cells).alias("_cells")).select(*keys, F.explode("_cells").alias("_c")).select(*keys, "_c.*")

@@ -1,4 +1,8 @@
-"""Running totals over a global order without a single-task window."""
+"""Running totals and neighbours along a global order without a single-task window.
+
+Rows are range-partitioned on key and order, so a key that holds a third of all rows spreads over many
+partitions. What a partition needs to know of the others is one row per partition and key.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +14,53 @@ from pyspark.sql import functions as F
 from rangeloom.operators.staging import shuffle_partitions, stage
 
 
-def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str, by: Sequence[str] = ()) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), slot: str = "_slot") -> DataFrame:
+    """``df`` range-partitioned by key and order and staged, with the partition's number as ``slot``."""
+    keys = [F.col(f"`{c}`") for c in by]
+    return stage(df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order).withColumn(slot, F.spark_partition_id()), "ranged")
+
+
+def _of_slot(slot: str, by: Sequence[str]) -> tuple[list[Column], Column]:
+    """Columns that name a slot and its keys as (_s, _k0, ...), and the condition that a row belongs there."""
+    same = F.col(slot) == F.col("_s")
+    for i, c in enumerate(by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}"))
+    return [F.col(slot).alias("_s"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(by)]], same
+
+
+def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str, by: Sequence[str] = (), slot: str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order``, restarted for each ``by`` key.
 
-    Rows are range-partitioned on the key and the order, so a key that holds a
-    third of all rows spreads over many partitions. Each partition's sums per
-    key form a table of at most partitions + keys rows; its running totals are
+    Each partition's sums per key form a table of at most partitions + keys rows; its running totals are
     the offsets that the rows of a partition start from. ``order`` should be
     total up to rows that are interchangeable. A null value counts as zero, null
-    keys form one group, an empty table gives an empty result.
+    keys form one group, an empty table gives an empty result. ``slot`` names the column of a table that
+    ``ranged`` has made in this order; it is dropped.
     """
     keys = [F.col(f"`{c}`") for c in by]
-    slot, base = f"_{out}_slot", f"_{out}_base"
-    ranged = stage(
-        df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order).withColumn(slot, F.spark_partition_id()),
-        "ranged",
-    )
-    sums = ranged.groupBy(slot, *keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias(base))
+    base = f"_{out}_base"
+    if slot is None:
+        slot = f"_{out}_slot"
+        df = ranged(df, order, by, slot)
+    names, same = _of_slot(slot, by)
+    sums = df.groupBy(slot, *keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias(base))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(slot, *by, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
-    offsets = offsets.select(F.col(slot).alias("_s"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(by)], base)
+    offsets = sums.select(*names, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
     inside = Window.partitionBy(slot, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn(out, F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside))
-    same = F.col(slot) == F.col("_s")
-    for i, c in enumerate(by):
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}"))
-    joined = local.join(offsets, same).withColumn(out, F.col(out) + F.col(base))
+    local = df.withColumn(out, F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside))
+    joined = local.join(stage(offsets, "offsets"), same).withColumn(out, F.col(out) + F.col(base))
     return joined.drop(slot, "_s", base, *[f"_k{i}" for i in range(len(by))])
+
+
+def with_neighbours(df: DataFrame, value: str, order: Sequence[str], before: str, after: str, by: Sequence[str] = (), slot: str = "_slot") -> DataFrame:
+    """``df``, which ``ranged`` has made in this total order, with ``value`` of the row before and after each row of its key; null at the ends."""
+    keys = [F.col(f"`{c}`") for c in by]
+    names, same = _of_slot(slot, by)
+    held, place = F.struct(F.col(value).alias("v")), F.struct(*order)
+    ends = df.groupBy(slot, *keys).agg(F.min_by(held, place).alias("_first"), F.max_by(held, place).alias("_last"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(slot)
+    ends = stage(ends.select(*names, F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")), "slot-ends")
+    inside = Window.partitionBy(slot, *keys).orderBy(*order)
+    local = df.withColumns({before: F.lag(held).over(inside), after: F.lead(held).over(inside)})
+    met = local.join(ends, same).withColumns({before: F.coalesce(before, "_before")["v"], after: F.coalesce(after, "_after")["v"]})
+    return met.drop("_s", "_before", "_after", *[f"_k{i}" for i in range(len(by))])

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.operators.columns import side_by_side
+from rangeloom.operators.staging import stage
+
 STATISTICS = ("std", "perc2nd", "perc98th", "perc25th", "perc75th", "skewness")
 _SHARES = {"perc2nd": 0.02, "perc98th": 0.98, "perc25th": 0.25, "perc75th": 0.75}
 
@@ -46,3 +49,12 @@ def representatives(points: DataFrame, keys: Sequence[str] = ("scan_id", "segmen
         square = sum((F.col(c) - F.col(f"_{c}_{t}")) * (F.col(c) - F.col(f"_{c}_{t}")) for c in "xyz")
         best.append(F.min_by(F.struct("x", "y", "z"), F.struct(square, F.col("point_counter"))).alias(t))
     return met.groupBy(*keys).agg(*best).select(*keys, *[F.col(f"{t}.{c}").alias(f"{c}_{t}_nn") for t in targets for c in "xyz"])
+
+
+def segment_table(points: DataFrame, attributes: Sequence[str], statistics: Sequence[str] = STATISTICS) -> DataFrame:
+    """One wide row per segment: nearest points, statistics, mode label, impurity and count; z counts from the lowest point of the scan, save in coordinates."""
+    low = stage(points.groupBy(F.col("scan_id").alias("_scan")).agg(F.min("z").alias("_low")), "lowest")
+    raised = points.join(low, F.col("scan_id") == F.col("_scan")).withColumn("z", F.col("z") - F.col("_low")).drop("_scan", "_low")
+    keys = ("scan_id", "segment_id")
+    table = side_by_side(representatives(points), segment_statistics(raised, attributes, statistics).drop("n"), keys)
+    return side_by_side(table, label_shares(points), keys)

@@ -3,46 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.operators import analysis, bins, labels, metrics, neighbourhood, ordered, segments, spatial
-from rangeloom.plans import oracles
-from rangeloom.plans.models import classify_segments
-from rangeloom.sources.layouts import stride
+from rangeloom.operators import analysis, bins, columns, labels, metrics, neighbourhood, ordered, segments, spatial
+from rangeloom.operators.staging import stage
+from rangeloom.plans import files, oracles, training
+from rangeloom.plans.cloud import cloud, rounded as _rounded, scanlines, segmented
+from rangeloom.sources.layouts import LABEL_NAMES
 
-BREAK = 40.0
 RADIUS = 1.0
 KNN = 16
 
 
-def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a labelled point cloud of four scans."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    mod = lambda by, m, d: ((F.col("event_id") * by) % m).cast("double") / d
-    return e.select(
-        F.col("event_id").alias("point_counter"), (F.col("user_id") % 4).alias("scan_id"), (F.col("user_id") % 6).cast("int").alias("label"),
-        F.when(F.col("event_id") % 7 == 0, (F.col("user_id") + 1) % 6).otherwise(F.col("user_id") % 6).cast("int").alias("pred"),
-        mod(7919, 2001, 100.0).alias("x"), mod(104729, 2003, 100.0).alias("y"), mod(1299709, 997, 100.0).alias("z"),
-        (F.col("event_id").cast("double") / 50.0).alias("horiz_angle"), mod(29, 1800, 10.0).alias("vert_angle"), F.col("value").alias("rho"), ((F.col("event_id") * 31) % 256).cast("int").alias("red"),
-    )
-
-
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to ``places``, integers to long, for comparison across engines."""
-    plain = {"double": lambda c: F.round(c, places) + F.lit(0.0), "int": lambda c: F.col(c).cast("long")}
-    return df.select(*[plain[k](c).alias(c) if k in plain else F.col(c) for c, k in df.dtypes])
-
-
-def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.rho_differences(ordered.scanline_ids(cloud(spark, sf_dir)))
-
-
-def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.segment_ids(scanlines(spark, sf_dir), F.col("rho_diff") > BREAK)
-
-
 def angle_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ordered.adjust_angles(cloud(spark, sf_dir).withColumn("vert_angle", F.col("vert_angle") * 2)).select("point_counter", "vert_angle", "horiz_angle"))
 
@@ -99,20 +74,37 @@ def with_mean_distance(points: DataFrame) -> DataFrame:
     return points.join(near, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p")), "left").drop("_s", "_p")
 
 
-def _broken(points: DataFrame) -> DataFrame:
-    width = neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0)
+def _bent(points: DataFrame, multiplier: float = 2.0) -> DataFrame:
+    """``points`` with slopes, roughness and both curvatures from neighbourhoods as wide as their expected distance asks for."""
+    width = neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0, multiplier)
     shape = neighbourhood.scanline_features(points, width).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "slope", "slope_lstsq", "roughness")
-    points = points.join(shape, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p")
-    bent = ordered.gradient(ordered.gradient(points, "slope_lstsq", "curvature_lstsq"), "slope", "curvature")
-    out = ordered.segment_ids(bent, ordered.break_flag(1.0, 30.0))
+    met = points.join(shape, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p")
+    return ordered.gradient(ordered.gradient(met, "slope_lstsq", "curvature_lstsq"), "slope", "curvature")
+
+
+def _broken(points: DataFrame) -> DataFrame:
+    out = ordered.segment_ids(_bent(points), ordered.break_flag(1.0, 30.0))
     return _rounded(out.select("point_counter", "segment_id", "slope", "curvature", "roughness"), 4)
 
 
+def segmentation_sweep(spark: SparkSession, sf_dir: str, multipliers: Sequence[float] = ordered.SWEEP_NEIGHBOURHOOD) -> DataFrame:
+    """Number of segments of each scan for every combination of the three parameters; only the neighbourhoods are computed once a multiplier."""
+    points = stage(bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0), "expected")
+    bent = [_bent(points, m).withColumn("neighborhood_multiplier", F.lit(m)) for m in multipliers]
+    return _rounded(ordered.segment_counts(reduce(DataFrame.unionByName, bent), keys=("scan_id", "neighborhood_multiplier")))
+
+
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
     return _rounded(spatial.within_radius(points, points, RADIUS).groupBy("src").agg(F.count("*").alias("n"), F.avg("dist").alias("mean_dist")))
 
 
+def radius_counts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours nearer than the radius; coordinates are on a grid, so some lie just at it."""
+    points = cloud(spark, sf_dir)
+    return spatial.within_radius(points, points, 0.5, strict=True).groupBy("src").agg(F.count("*").alias("n"))
+
+
 def knn_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
     near = spatial.nearest(points, points, KNN, RADIUS).where("rank > 0")
@@ -129,20 +121,49 @@ def voxel_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
-    return _rounded(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)).drop("scan_id"), 9)
+    return _rounded(spatial.covariances(points, spatial.within_radius(points, points, RADIUS, carry=("x", "y", "z"))).drop("scan_id"), 9)
 
 
 def neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = cloud(spark, sf_dir)
-    return _rounded(spatial.neighbour_statistics(points, spatial.within_radius(points, points, RADIUS), ["rho", "red"]).drop("scan_id"))
+    points, names = cloud(spark, sf_dir), ("z", "red", "green", "vert_angle", "rho")
+    return _rounded(spatial.neighbour_statistics(points, spatial.within_radius(points, points, RADIUS, carry=names), names).drop("scan_id"))
 
 
 def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface of each point's neighbours within a radius."""
+    points = cloud(spark, sf_dir)
+    return spatial.surface(points, spatial.within_radius(points, points, RADIUS, carry=("x", "y", "z"))).drop("scan_id")
+
+
+def knn_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface of each point's nearest neighbours, itself included."""
     points = cloud(spark, sf_dir)
-    axes = spatial.principal_axes(spatial.covariances(points, spatial.within_radius(points, points, RADIUS)))
-    view = spatial.view_vectors(points).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "vx", "vy", "vz")
-    met = spatial.oriented(axes.join(view, (F.col("scan_id") == F.col("_s")) & (F.col("src") == F.col("_p"))))
-    return met.select("src", "n", "curvature", "nx", "ny", "nz")
+    return spatial.surface(points, spatial.nearest(points, points, KNN, RADIUS)).drop("scan_id")
+
+
+def surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten attributes' statistics around each point, those of the surface included."""
+    return spatial.surroundings(cloud(spark, sf_dir), RADIUS).drop("scan_id")
+
+
+def roughness_at_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roughness at several radii of every thirtieth point."""
+    return spatial.roughness_at_radii(ordered.every_nth(cloud(spark, sf_dir), 30, ["point_counter"]), (1.0, 2.5, 5.0, 10.0)).drop("scan_id")
+
+
+def centred_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points relative to their scan's median, the scanner half a unit above it, with their range."""
+    return _rounded(spatial.centred(cloud(spark, sf_dir), "median", 0.5).select("point_counter", "x", "y", "z", spatial.distance_from_origin().alias("rho")))
+
+
+def nearest_result_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a thinned cloud's own predictions and of those of the nearest points in the full cloud, which it does not share ids with."""
+    full = cloud(spark, sf_dir)
+    snapped = spatial.snap_to_points(full, 2.0).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"))
+    three = full.join(snapped, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p", "pred")
+    three = three.withColumn("pred", ((F.col("label") + (F.col("point_counter") % 5 == 0).cast("int")) % 6).cast("int"))
+    two = spatial.nearest_values(full.withColumn("point_counter", F.col("point_counter") + 1_000_000_000), three, ["label", "pred"], RADIUS)
+    return _rounded(metrics.union_reports({"3d": metrics.report(three), "2d": metrics.report(two)}, "id"))
 
 
 def view_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,27 +236,100 @@ def running_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stride_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every thirtieth row of chosen scanlines, as the sampling operator does it."""
-    return stride(scanlines(spark, sf_dir).where(F.col("scanline_id").isin(1, 100, 1000, 2000, 3000, 4000)), 30).select("point_counter", "scanline_id")
+    """The first of every thirty rows of chosen scanlines."""
+    chosen = scanlines(spark, sf_dir).where(F.col("scanline_id").isin(1, 100, 1000, 2000, 3000, 4000))
+    return ordered.every_nth(chosen, 30, ["scan_id", "point_counter"]).select("point_counter", "scanline_id")
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str, thresholds: Sequence[float] = (40.0, 80.0, 120.0)) -> DataFrame:
-    """Number of segments for each threshold; the stages before the break test run once."""
-    lines = scanlines(spark, sf_dir)
-    sweep = [lines.groupBy("scan_id").agg(F.count_if(F.col("rho_diff") > t).alias("breaks"), F.count("*").alias("n")).withColumn("threshold", F.lit(t)) for t in thresholds]
-    out = sweep[0]
-    for more in sweep[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (
-        angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, range_profile, expected_distance, scanline_features,
-        break_segments, knn_break_segments, radius_counts, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals, view_vectors, label_left_join, label_unfold, drop_class_recode,
-        class_weights, stratified_sample, confusion_matrix, classification_report, impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, scaled_top_runs,
-        running_point_ids, stride_rows, threshold_sweep, classify_segments,
-    )
-}
+    """Number of segments of each scan for several thresholds of the range difference, in one pass."""
+    place = F.struct("scanline_id", "vert_angle", "point_counter")
+    flag = lambda t: (F.col("rho_diff") > t).cast("long")
+    cells = [F.struct(F.lit(t).alias("threshold"), (1 + F.sum(flag(t)) - F.max_by(flag(t), place)).alias("segments")) for t in thresholds]
+    swept = scanlines(spark, sf_dir).groupBy("scan_id").agg(F.count("*").alias("n"), F.array(*cells).alias("cells"))
+    return swept.select("scan_id", "n", F.explode("cells").alias("c")).select("scan_id", "n", "c.threshold", "c.segments")
+
+
+def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table of segments: nearest points, statistics of heights above the lowest point, label, impurity and count."""
+    return _rounded(segments.segment_table(segmented(spark, sf_dir), ["z", "rho"], (*segments.STATISTICS, "mean", "var", "median")))
+
+
+def named_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by name of their label, with a key of scan and label."""
+    key = F.concat(F.lit("S"), F.col("scan_id").cast("string"), F.lit("_L"), F.col("label").cast("string"))
+    return cloud(spark, sf_dir).groupBy(columns.mapped(F.col("label"), LABEL_NAMES).alias("label_name"), key.alias("key")).agg(F.count("*").alias("n"))
+
+
+def chosen_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment statistics without percentiles, the label renamed."""
+    table = segments.segment_statistics(segmented(spark, sf_dir), ["z", "rho"])
+    return _rounded(table.select(*columns.matching(table.columns, "perc|skew", keep=False)).withColumnRenamed("n", "points"))
+
+
+def row_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.row_weights(cloud(spark, sf_dir)).select("point_counter", "weight"))
+
+
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.split_rows(cloud(spark, sf_dir), "point_counter").groupBy("label", "part").agg(F.count("*").alias("n"), F.min("point_counter").alias("first_point")).withColumn("label", F.col("label").cast("long"))
+
+
+def fold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every file in each of two fixed folds, by role."""
+    return labels.fold_roles(cloud(spark, sf_dir), "scan_id", [(0, 2), (1, 3)]).groupBy("fold", "scan_id", "role").agg(F.count("*").alias("n")).withColumn("fold", F.col("fold").cast("long"))
+
+
+def inner_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of segments with several points, with their segment's label; points of others go."""
+    points = segmented(spark, sf_dir)
+    named = segments.label_shares(points).where("n > 1").select("scan_id", "segment_id", F.col("mode_label").alias("predicted"))
+    return _rounded(labels.unfold(points.select("scan_id", "segment_id", "point_counter"), named, inner=True).select("point_counter", "predicted"))
+
+
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.stratified_sample(cloud(spark, sf_dir), ["label"], 50, F.col("point_counter").desc(), exact=True).select("point_counter")
+
+
+def summed_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the scans' confusion matrices, each row as shares too."""
+    each = cloud(spark, sf_dir).groupBy("scan_id", F.col("label").alias("truth"), "pred").agg(F.count("*").alias("n"))
+    return _rounded(metrics.summed(each))
+
+
+def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all scans in one table."""
+    return _rounded(metrics.reports_by(cloud(spark, sf_dir), "scan_id", range(4)))
+
+
+def three_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores at three granularities of a segment's most frequent prediction."""
+    points = stage(segmented(spark, sf_dir), "segmented")
+    truth = segments.label_shares(points).select("scan_id", "segment_id", "n", F.col("mode_label").alias("label"))
+    told = segments.label_shares(points, "pred").select("scan_id", "segment_id", F.col("mode_label").alias("predicted"))
+    table = stage(columns.side_by_side(truth, told, ("scan_id", "segment_id")), "told")
+    sample = labels.stratified_sample(table, ["label"], 50, F.struct("scan_id", "segment_id"))
+    return _rounded(training.models.three_reports(sample, table, points.select("scan_id", "segment_id", "label")))
+
+
+def percentage_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.mean_percentage_error(cloud(spark, sf_dir), "label", "pred"))
+
+
+def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.correlations(cloud(spark, sf_dir), ["x", "y", "z", "rho"]))
+
+
+def label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.ranking(cloud(spark, sf_dir), "label", "rho"))
+
+
+_OWN = (
+    angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, segment_table, range_profile, expected_distance, scanline_features,
+    break_segments, knn_break_segments, segmentation_sweep, threshold_sweep, radius_counts, radius_counts_strict, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals,
+    knn_normals, surroundings, roughness_at_radii, view_vectors, centred_by_median, nearest_result_report, label_left_join, label_unfold, inner_unfold, drop_class_recode, named_labels, chosen_columns,
+    class_weights, row_weights, stratified_sample, exact_sample, random_split, fold_roles, confusion_matrix, summed_confusions, classification_report, scan_reports, three_reports, percentage_error,
+    impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, correlation_matrix, label_ranking, scaled_top_runs, running_point_ids, stride_rows,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | files.QUERIES | training.QUERIES
 ORACLES: dict[str, str] = oracles.SQL

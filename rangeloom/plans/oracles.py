@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+_ENDS = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("x", "y", "z", "rho", "horiz_angle"))
 PCD = """pcd AS (
   SELECT event_id AS point_counter, user_id % 4 AS scan_id, user_id % 6 AS label,
          CASE WHEN event_id % 7 = 0 THEN (user_id + 1) % 6 ELSE user_id % 6 END AS pred,
          ((event_id * 7919) % 2001)::DOUBLE / 100.0::DOUBLE AS x, ((event_id * 104729) % 2003)::DOUBLE / 100.0::DOUBLE AS y,
          ((event_id * 1299709) % 997)::DOUBLE / 100.0::DOUBLE AS z, event_id::DOUBLE / 50.0::DOUBLE AS horiz_angle,
-         ((event_id * 29) % 1800)::DOUBLE / 10.0::DOUBLE AS vert_angle, value AS rho, (event_id * 31) % 256 AS red
+         ((event_id * 29) % 1800)::DOUBLE / 10.0::DOUBLE AS vert_angle, value AS rho, (event_id * 31) % 256 AS red, (event_id * 37) % 256 AS green
   FROM events)"""
 LINES = f"""{PCD},
 jumps AS (
@@ -28,9 +29,12 @@ counts AS (SELECT scan_id, segment_id, label, count(*) AS c FROM segs GROUP BY A
 shares AS (
   SELECT scan_id, segment_id, sum(c)::BIGINT AS n, arg_min(label, (-c, label)) AS mode_label, round(1 - sum(c * c)::DOUBLE / (sum(c) * sum(c))::DOUBLE, 4) AS gini
   FROM counts GROUP BY ALL)"""
-PROFILE = f"""{LINES},
-tops AS (SELECT scan_id, greatest(ceil(max(rho) / 5), 1)::BIGINT AS top FROM lines GROUP BY 1),
-stats AS (SELECT scan_id, floor(rho / 5)::BIGINT + 1 AS b, max(rho_diff) AS m, stddev_pop(rho_diff) AS s FROM lines GROUP BY 1, 2),
+
+
+def _profile(lines: str, value: str, size: str) -> str:
+    """Range profile of a column of a relation with scan_id and rho."""
+    return f"""tops AS (SELECT scan_id, greatest(ceil(max(rho) / {size}), 1)::BIGINT AS top FROM {lines} GROUP BY 1),
+stats AS (SELECT scan_id, floor(rho / {size})::BIGINT + 1 AS b, max({value}) AS m, stddev_pop({value}) AS s FROM {lines} GROUP BY 1, 2),
 grid AS (
   SELECT t.scan_id, g.b, CASE WHEN g.b > 0 THEN nullif(m, 0) END AS m, CASE WHEN g.b > 0 THEN nullif(s, 0) END AS s
   FROM tops t, LATERAL (SELECT unnest(range(0, t.top)) AS b) g LEFT JOIN stats ON stats.scan_id = t.scan_id AND stats.b = g.b),
@@ -44,9 +48,12 @@ profile AS (
   SELECT scan_id, b + 1 AS bin, coalesce(m, CASE WHEN m0 IS NULL THEN m1 WHEN m1 IS NULL THEN m0 ELSE m0 + (m1 - m0) * (b - mb0) / greatest(mb1 - mb0, 1) END) AS profile_max,
          coalesce(s, CASE WHEN s0 IS NULL THEN s1 WHEN s1 IS NULL THEN s0 ELSE s0 + (s1 - s0) * (b - sb0) / greatest(sb1 - sb0, 1) END) AS profile_std
   FROM ends)"""
+
+
+PROFILE = f"{LINES},\n{_profile('lines', 'rho_diff', '5')}"
 NEAR = f"""{PCD},
 near AS (
-  SELECT q.scan_id, q.point_counter AS src, p.point_counter AS dst, p.x, p.y, p.z, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS dist
+  SELECT q.scan_id, q.point_counter AS src, p.point_counter AS dst, p.x, p.y, p.z, p.rho, p.red, p.green, p.vert_angle, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS dist
   FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 1)"""
 CONFUSION = f"""{PCD},
 names AS (SELECT label AS v FROM pcd UNION SELECT pred FROM pcd),
@@ -59,11 +66,71 @@ def _statistics(*attributes: str) -> str:
     return ", ".join((one + ", " + skew).format(a=a) for a in attributes)
 
 
+
+def _features(p: str, lines: str) -> str:
+    """``{p}shape`` with slopes and roughness of a relation of scanline points that has the half width ``k``."""
+    return f"""{p}placed AS (SELECT *, row_number() OVER (PARTITION BY scan_id, scanline_id ORDER BY vert_angle, point_counter) - 1 AS i, count(*) OVER (PARTITION BY scan_id, scanline_id) AS n FROM {lines}),
+{p}pairs AS (SELECT *, unnest(range(0, kk)) AS t FROM (SELECT *, least(k, n - 1) AS kk FROM {p}placed) WHERE kk > 0),
+{p}refl AS (SELECT *, CASE WHEN i - kk + t < 0 THEN kk - t - i ELSE i - kk + t END AS ja, CASE WHEN i + 1 + t >= n THEN 2 * (n - 1) - (i + 1 + t) ELSE i + 1 + t END AS jb FROM {p}pairs),
+{p}met AS (SELECT p.scan_id, p.point_counter, p.x, p.y, p.z, {_ENDS} FROM {p}refl p JOIN {p}placed a ON a.scan_id = p.scan_id AND a.scanline_id = p.scanline_id AND a.i = p.ja JOIN {p}placed b ON b.scan_id = p.scan_id AND b.scanline_id = p.scanline_id AND b.i = p.jb),
+{p}line AS (SELECT *, (b_x - a_x) ** 2 + (b_y - a_y) ** 2 + (b_z - a_z) ** 2 AS uu FROM {p}met),
+{p}foot AS (SELECT *, ((x - a_x) * (b_x - a_x) + (y - a_y) * (b_y - a_y) + (z - a_z) * (b_z - a_z)) / nullif(uu, 0) AS u FROM {p}line),
+{p}sums AS (
+  SELECT scan_id, point_counter, median(degrees(atan2(b_z - a_z, sqrt(uu)))) AS slope,
+         avg(coalesce(sqrt((x - a_x - u * (b_x - a_x)) ** 2 + (y - a_y - u * (b_y - a_y)) ** 2 + (z - a_z - u * (b_z - a_z)) ** 2), 0)) AS roughness,
+         2 * count(*) AS m, sum(a_horiz_angle + b_horiz_angle) AS sx, sum(a_rho + b_rho) AS sy, sum(a_horiz_angle ** 2 + b_horiz_angle ** 2) AS sxx, sum(a_horiz_angle * a_rho + b_horiz_angle * b_rho) AS sxy
+  FROM {p}foot GROUP BY 1, 2),
+{p}fit AS (SELECT *, CASE WHEN abs(m * sxx - sx * sx) > 1e-9 THEN (m * sxy - sx * sy) / (m * sxx - sx * sx) ELSE (sx / m) * sy / m / ((sx / m) ** 2 + 1) END AS beta FROM {p}sums),
+{p}shape AS (SELECT l.scan_id, l.point_counter, coalesce(slope, 0) AS slope, coalesce(degrees(atan(beta)), 0) AS slope_lstsq, coalesce(roughness, 0) AS roughness FROM {lines} l LEFT JOIN {p}fit USING (scan_id, point_counter))"""
+
+
+def _bent(p: str, expected: str, multiplier: float) -> str:
+    """``{p}bent``: points with shape and both curvatures, neighbourhoods as wide as expected distances ask for."""
+    return f"""{p}wide AS (SELECT *, round_even(greatest(3, ceil(sqrt(1 / nullif(expected_value / 1000, 0)))) * {multiplier}::DOUBLE, 0)::INT AS k FROM {expected}),
+{_features(p, p + 'wide')},
+{p}bent AS (
+  SELECT *, coalesce((lead(slope_lstsq) OVER w - lag(slope_lstsq) OVER w) / 2, 0) AS curvature_lstsq, coalesce((lead(slope) OVER w - lag(slope) OVER w) / 2, 0) AS curvature
+  FROM {expected} JOIN {p}shape USING (scan_id, point_counter) WINDOW w AS (PARTITION BY scan_id, scanline_id ORDER BY vert_angle, point_counter))"""
+
+
+_FLAG = "coalesce(rho_diff > expected_value + expected_value_std * {std}, false) OR coalesce(abs(curvature_lstsq) > {curvature}, false)"
+
+
+def _broken(bent: str) -> str:
+    return f"""flags AS (SELECT *, ({_FLAG.format(std=1, curvature=30)})::INT AS flag FROM {bent})
+SELECT point_counter, (1 + sum(flag) OVER (PARTITION BY scan_id ORDER BY scanline_id, vert_angle, point_counter ROWS UNBOUNDED PRECEDING) - flag)::BIGINT AS segment_id,
+  round(slope, 4) + 0.0 AS slope, round(curvature, 4) + 0.0 AS curvature, round(roughness, 4) + 0.0 AS roughness FROM flags"""
+
+
+def _report(p: str, rows: str) -> str:
+    """``{p}report`` of a relation (label, pred)."""
+    return f"""{p}names AS (SELECT label AS v FROM {rows} UNION SELECT pred FROM {rows}),
+{p}conf AS (SELECT t.v AS truth, q.v AS pred, count(c.label)::BIGINT AS n FROM {p}names t CROSS JOIN {p}names q LEFT JOIN {rows} c ON c.label = t.v AND c.pred = q.v GROUP BY ALL),
+{p}t AS (SELECT truth, sum(n) AS support, sum(CASE WHEN truth = pred THEN n ELSE 0 END) AS hit FROM {p}conf GROUP BY 1),
+{p}p AS (SELECT pred, sum(n) AS named FROM {p}conf GROUP BY 1),
+{p}s AS (SELECT truth, support, hit, coalesce(hit::DOUBLE / nullif(named, 0), 0) AS precision, coalesce(hit::DOUBLE / nullif(support, 0), 0) AS recall FROM {p}t JOIN {p}p ON truth = pred),
+{p}f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM {p}s),
+{p}report AS (
+  SELECT truth::VARCHAR AS name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM (
+  SELECT truth::VARCHAR AS truth, precision, recall, f1, support FROM {p}f
+  UNION ALL SELECT 'accuracy', sum(hit)::DOUBLE / sum(support), sum(hit)::DOUBLE / sum(support), sum(hit)::DOUBLE / sum(support), sum(support) FROM {p}f
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM {p}f
+  UNION ALL SELECT 'weighted avg', sum(support * precision) / sum(support), sum(support * recall) / sum(support), sum(support * f1) / sum(support), sum(support) FROM {p}f))"""
+
+
+EXPECTED = f"{PROFILE},\nexpected AS (SELECT l.*, profile_max AS expected_value, profile_std AS expected_value_std FROM lines l LEFT JOIN profile p ON p.scan_id = l.scan_id AND p.bin = floor(l.rho / 5)::BIGINT + 1)"
+KNN_EXPECTED = f"""{LINES},
+nearest AS (SELECT q.scan_id, q.point_counter, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), 16) AS d FROM lines q JOIN lines p ON p.scan_id = q.scan_id GROUP BY 1, 2),
+far AS (SELECT l.*, list_sum(d[2:]) / len(d[2:]) AS mean_dist FROM lines l JOIN nearest USING (scan_id, point_counter)),
+{_profile('far', 'mean_dist', '0.5::DOUBLE')},
+expected AS (SELECT l.*, profile_max AS expected_value, profile_std AS expected_value_std FROM far l LEFT JOIN profile p ON p.scan_id = l.scan_id AND p.bin = floor(l.rho / 0.5::DOUBLE)::BIGINT + 1)"""
+RAISED = f"""{SHARES},
+raised AS (SELECT * REPLACE (z - min(z) OVER (PARTITION BY scan_id) AS z) FROM segs),
+means AS (SELECT *, avg(z) OVER (PARTITION BY scan_id, segment_id) AS m_z, avg(rho) OVER (PARTITION BY scan_id, segment_id) AS m_rho FROM raised)"""
 _REPRESENT = ", ".join(
     f"round(arg_min({c}, ((x - x_{t}) ** 2 + (y - y_{t}) ** 2 + (z - z_{t}) ** 2, point_counter)), 6) AS {c}_{t}_nn" for t in ("median", "perc2nd", "perc98th") for c in "xyz"
 )
 _TARGETS = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{t}" for t, p in (("median", 0.5), ("perc2nd", 0.02), ("perc98th", 0.98)) for c in "xyz")
-_ENDS = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("x", "y", "z", "rho", "horiz_angle"))
 
 SQL: dict[str, str] = {
     "angle_adjust": f"WITH {PCD} SELECT point_counter, round(CASE WHEN 360 - 2 * vert_angle > 180 THEN 2 * vert_angle ELSE 360 - 2 * vert_angle END, 6) AS vert_angle, round(CASE WHEN 360 - 2 * vert_angle > 180 THEN horiz_angle - 180 ELSE horiz_angle END, 6) AS horiz_angle FROM pcd",
@@ -75,28 +142,23 @@ SQL: dict[str, str] = {
     "segment_representatives": f"WITH {SEGS}, aim AS (SELECT scan_id, segment_id, {_TARGETS} FROM segs GROUP BY 1, 2) SELECT scan_id, segment_id, {_REPRESENT} FROM segs JOIN aim USING (scan_id, segment_id) GROUP BY 1, 2",
     "range_profile": f"WITH {PROFILE} SELECT scan_id, bin, round(profile_max, 6) AS profile_max, round(profile_std, 6) AS profile_std FROM profile",
     "expected_distance": f"WITH {PROFILE} SELECT point_counter, round(profile_max, 6) AS expected_value, round(profile_std, 6) AS expected_value_std FROM lines l LEFT JOIN profile p ON p.scan_id = l.scan_id AND p.bin = floor(l.rho / 5)::BIGINT + 1",
-    "scanline_features": f"""WITH {LINES},
-placed AS (SELECT *, row_number() OVER (PARTITION BY scan_id, scanline_id ORDER BY vert_angle, point_counter) - 1 AS i, count(*) OVER (PARTITION BY scan_id, scanline_id) AS n FROM lines),
-wide AS (SELECT *, least(3, n - 1) AS k FROM placed),
-pairs AS (SELECT *, unnest(range(0, k)) AS t FROM wide WHERE k > 0),
-refl AS (SELECT *, CASE WHEN i - k + t < 0 THEN k - t - i ELSE i - k + t END AS ja, CASE WHEN i + 1 + t >= n THEN 2 * (n - 1) - (i + 1 + t) ELSE i + 1 + t END AS jb FROM pairs),
-met AS (SELECT p.scan_id, p.point_counter, p.x, p.y, p.z, {_ENDS} FROM refl p JOIN placed a ON a.scan_id = p.scan_id AND a.scanline_id = p.scanline_id AND a.i = p.ja JOIN placed b ON b.scan_id = p.scan_id AND b.scanline_id = p.scanline_id AND b.i = p.jb),
-line AS (SELECT *, (b_x - a_x) ** 2 + (b_y - a_y) ** 2 + (b_z - a_z) ** 2 AS uu FROM met),
-foot AS (SELECT *, coalesce(((x - a_x) * (b_x - a_x) + (y - a_y) * (b_y - a_y) + (z - a_z) * (b_z - a_z)) / nullif(uu, 0), NULL) AS u FROM line),
-sums AS (
-  SELECT scan_id, point_counter, median(degrees(atan2(b_z - a_z, sqrt(uu)))) AS slope,
-         avg(coalesce(sqrt((x - a_x - u * (b_x - a_x)) ** 2 + (y - a_y - u * (b_y - a_y)) ** 2 + (z - a_z - u * (b_z - a_z)) ** 2), 0)) AS roughness,
-         2 * count(*) AS m, sum(a_horiz_angle + b_horiz_angle) AS sx, sum(a_rho + b_rho) AS sy, sum(a_horiz_angle ** 2 + b_horiz_angle ** 2) AS sxx, sum(a_horiz_angle * a_rho + b_horiz_angle * b_rho) AS sxy
-  FROM foot GROUP BY 1, 2),
-fit AS (SELECT *, CASE WHEN abs(m * sxx - sx * sx) > 1e-9 THEN (m * sxy - sx * sy) / (m * sxx - sx * sx) ELSE (sx / m) * sy / m / ((sx / m) ** 2 + 1) END AS beta FROM sums)
-SELECT l.scan_id, l.point_counter, coalesce(round(slope, 4), 0) AS slope, coalesce(round(degrees(atan(beta)), 4), 0) AS slope_lstsq, coalesce(round(roughness, 4), 0) AS roughness FROM lines l LEFT JOIN fit USING (scan_id, point_counter)""",
+    "scanline_features": f"WITH {LINES}, wide3 AS (SELECT *, 3 AS k FROM lines),\n{_features('f_', 'wide3')} SELECT scan_id, point_counter, round(slope, 4) AS slope, round(slope_lstsq, 4) AS slope_lstsq, round(roughness, 4) AS roughness FROM f_shape",
+    "break_segments": f"WITH {EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
+    "knn_break_segments": f"WITH {KNN_EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
+    "segmentation_sweep": f"WITH {EXPECTED},\n" + ",\n".join(_bent(f"b{i}_", "expected", m) for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0))) + f"""
+SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, 1 + sum(flag) - arg_max(flag, (scanline_id, vert_angle, point_counter)) AS segments
+FROM (SELECT *, ({_FLAG.format(std="std_multiplier", curvature="curvature_threshold")})::BIGINT AS flag
+  FROM ({" UNION ALL ".join(f"SELECT *, {m}::DOUBLE AS neighborhood_multiplier FROM b{i}_bent" for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0)))}) b,
+  (SELECT unnest([1, 15, 25, 35, 50, 65, 75, 85, 100])::DOUBLE AS std_multiplier) s, (SELECT unnest([20, 30, 40, 50, 60, 70])::DOUBLE AS curvature_threshold) c)
+GROUP BY ALL""",
     "radius_counts": f"WITH {NEAR} SELECT src, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM near GROUP BY 1",
+    "radius_counts_strict": f"WITH {PCD} SELECT q.point_counter AS src, count(*) AS n FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) < 0.25 GROUP BY 1",
     "neighbour_statistics": f"WITH {NEAR} SELECT src, count(*) AS n, "
     + ", ".join(
-        f"round(avg(o.{a}), 6) AS {a}_mean, round(stddev_pop(o.{a}), 6) AS {a}_std, " + ", ".join(f"round(quantile_cont(o.{a}::DOUBLE, {q}), 6) AS {a}_{t}" for t, q in (("perc2nd", 0.02), ("perc25th", 0.25), ("perc75th", 0.75), ("perc98th", 0.98)))
-        for a in ("rho", "red")
+        f"round(avg({a}), 6) AS {a}_mean, round(stddev_pop({a}), 6) AS {a}_std, " + ", ".join(f"round(quantile_cont({a}::DOUBLE, {q}), 6) AS {a}_{t}" for t, q in (("perc2nd", 0.02), ("perc25th", 0.25), ("perc75th", 0.75), ("perc98th", 0.98)))
+        for a in ("z", "red", "green", "vert_angle", "rho")
     )
-    + " FROM near JOIN pcd o ON o.point_counter = near.dst GROUP BY 1",
+    + " FROM near GROUP BY 1",
     "knn_mean_distance": f"""WITH {PCD},
 d AS (SELECT q.point_counter AS src, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), 16) AS d FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id GROUP BY 1)
 SELECT src, round(list_sum(d[2:]) / len(d[2:]), 6) AS mean_dist, round(d[-1], 6) AS kth_dist FROM d WHERE len(d) > 1""",
@@ -141,6 +203,47 @@ SELECT drop_col, count(*) AS n, round(avg(base - f1), 2) AS importance FROM b WH
 g AS (SELECT *, abs((n - min(n) OVER ())::DOUBLE / nullif(max(n) OVER () - min(n) OVER (), 0) - (mean_price - min(mean_price) OVER ()) / nullif(max(mean_price) OVER () - min(mean_price) OVER (), 0)) AS gap FROM r)
 SELECT o_custkey, n, round(mean_price, 6) AS mean_price, round(gap, 6) AS gap FROM g ORDER BY g.gap, o_custkey LIMIT 15""",
     "running_point_ids": f"WITH {PCD} SELECT point_counter, row_number() OVER (ORDER BY scan_id, point_counter) - 1 AS point_id FROM pcd",
-    "stride_rows": f"WITH {LINES} SELECT point_counter, scanline_id FROM lines WHERE scanline_id IN (1, 100, 1000, 2000, 3000, 4000) AND point_counter % 30 = 0",
-    "threshold_sweep": f"WITH {LINES} SELECT scan_id, count(*) FILTER (rho_diff > t.threshold) AS breaks, count(*) AS n, t.threshold FROM lines, (VALUES (40.0::DOUBLE), (80.0::DOUBLE), (120.0::DOUBLE)) t(threshold) GROUP BY scan_id, t.threshold",
+    "stride_rows": f"WITH {LINES}, r AS (SELECT *, row_number() OVER (ORDER BY scan_id, point_counter) AS r FROM lines WHERE scanline_id IN (1, 100, 1000, 2000, 3000, 4000)) SELECT point_counter, scanline_id FROM r WHERE (r - 1) % 30 = 0",
+    "threshold_sweep": f"WITH {LINES} SELECT scan_id, count(*) AS n, t.threshold, 1 + count(*) FILTER (rho_diff > t.threshold) - arg_max((rho_diff > t.threshold)::BIGINT, (scanline_id, vert_angle, point_counter)) AS segments FROM lines, (VALUES (40.0::DOUBLE), (80.0::DOUBLE), (120.0::DOUBLE)) t(threshold) GROUP BY scan_id, t.threshold",
+    "segment_table": f"WITH {RAISED}, aim AS (SELECT scan_id, segment_id, {_TARGETS} FROM segs GROUP BY 1, 2), near AS (SELECT scan_id, segment_id, {_REPRESENT} FROM segs JOIN aim USING (scan_id, segment_id) GROUP BY 1, 2), "
+    + f"stats AS (SELECT scan_id, segment_id, {_statistics('z', 'rho')}, "
+    + ", ".join(f"round(avg({a}), 6) + 0.0 AS {a}_mean, round(var_pop({a}), 6) + 0.0 AS {a}_var, round(median({a}), 6) + 0.0 AS {a}_median" for a in ("z", "rho"))
+    + " FROM means GROUP BY 1, 2) SELECT * FROM near JOIN stats USING (scan_id, segment_id) JOIN shares USING (scan_id, segment_id)",
+    "centred_by_median": f"WITH {PCD}, c AS (SELECT point_counter, x - median(x) OVER w AS x, y - median(y) OVER w AS y, z - median(z) OVER w - 0.5::DOUBLE AS z FROM pcd WINDOW w AS (PARTITION BY scan_id)) SELECT point_counter, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(sqrt(x * x + y * y + z * z), 6) AS rho FROM c",
+    "nearest_result_report": f"""WITH {PCD}, v AS (SELECT scan_id, floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pcd GROUP BY 1, 2, 3, 4),
+snapped AS (SELECT v.scan_id, vx, vy, vz, arg_min(point_counter, (round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 9), point_counter)) AS point_counter FROM v JOIN pcd p ON p.scan_id = v.scan_id GROUP BY 1, 2, 3, 4),
+three AS (SELECT p.scan_id, p.point_counter, p.x, p.y, p.z, p.label, (p.label + (p.point_counter % 5 = 0)::INT) % 6 AS pred FROM snapped s JOIN pcd p USING (scan_id, point_counter)),
+firsts AS (SELECT scan_id, x, y, z, min(point_counter) AS point_counter FROM pcd GROUP BY ALL),
+two AS (SELECT p.label, p.pred FROM three t JOIN firsts f ON f.scan_id = t.scan_id AND f.x = t.x AND f.y = t.y AND f.z = t.z JOIN pcd p ON p.point_counter = f.point_counter),
+{_report("a_", "three")},
+{_report("b_", "two")}
+SELECT *, '3d' AS id FROM a_report UNION ALL SELECT *, '2d' FROM b_report""",
+    "inner_unfold": f"WITH {SHARES} SELECT point_counter, mode_label AS predicted FROM segs JOIN (SELECT * FROM shares WHERE n > 1) USING (scan_id, segment_id)",
+    "named_labels": f"WITH {PCD} SELECT CASE label WHEN 0 THEN 'unclassified' WHEN 1 THEN 'man-made objects' WHEN 2 THEN 'ground' WHEN 3 THEN 'tree trunk/branches' WHEN 4 THEN 'leaves' WHEN 5 THEN 'low vegetation' END AS label_name, 'S' || scan_id || '_L' || label AS key, count(*) AS n FROM pcd GROUP BY 1, 2",
+    "chosen_columns": f"WITH {SEGS} SELECT scan_id, segment_id, count(*) AS points, round(stddev_pop(z), 6) + 0.0 AS z_std, round(stddev_pop(rho), 6) + 0.0 AS rho_std FROM segs GROUP BY 1, 2",
+    "row_weights": f"WITH {PCD} SELECT point_counter, round((SELECT count(*) FROM pcd)::DOUBLE / ((SELECT count(DISTINCT label) FROM pcd) * count(*) OVER (PARTITION BY label)), 6) AS weight FROM pcd",
+    "exact_sample": f"WITH {PCD} SELECT point_counter FROM pcd QUALIFY row_number() OVER (PARTITION BY label ORDER BY point_counter DESC) <= 50",
+    "random_split": f"WITH {PCD} SELECT label, CASE WHEN ((point_counter * 2654435761 + 42 * 40503) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(point_counter) AS first_point FROM pcd GROUP BY 1, 2",
+    "fold_roles": f"WITH {PCD} SELECT fold, scan_id, CASE WHEN scan_id % 2 = fold - 1 THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM pcd, (SELECT unnest([1, 2])::BIGINT AS fold) GROUP BY ALL",
+    "summed_confusions": f"WITH {PCD} SELECT label AS truth, pred, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY label), 4) AS share FROM pcd GROUP BY 1, 2",
+    "confusion_files": f"WITH {CONFUSION} SELECT truth, pred, n, coalesce(round(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY truth), 0), 4), 0) AS share FROM conf",
+    "scan_reports": f"WITH {PCD}, " + ", ".join(f"rows{i} AS (SELECT * FROM pcd WHERE scan_id = {i}), {_report(f'r{i}_', f'rows{i}')}" for i in range(4)) + " " + " UNION ALL ".join(f"SELECT *, '{i}' AS scan_id FROM r{i}_report" for i in range(4)),
+    "three_reports": f"""WITH {SHARES},
+told AS (SELECT scan_id, segment_id, arg_min(pred, (-c, pred)) AS pred FROM (SELECT scan_id, segment_id, pred, count(*) AS c FROM segs GROUP BY ALL) GROUP BY ALL),
+everything AS (SELECT scan_id, segment_id, mode_label AS label, told.pred FROM shares JOIN told USING (scan_id, segment_id)),
+sample AS (SELECT * FROM everything QUALIFY row_number() OVER (PARTITION BY label ORDER BY scan_id, segment_id) <= 50),
+points AS (SELECT s.label, t.pred FROM segs s JOIN told t USING (scan_id, segment_id)),
+{_report("a_", "sample")},
+{_report("b_", "everything")},
+{_report("c_", "points")}
+SELECT *, 'sample' AS granularity FROM a_report UNION ALL SELECT *, 'segments' FROM b_report UNION ALL SELECT *, 'points' FROM c_report""",
+    "percentage_error": f"WITH {PCD} SELECT count(*) AS n, round(100 * avg(abs(pred - label)::DOUBLE / abs(label)), 6) AS mape FROM pcd WHERE label <> 0",
+    "correlation_matrix": f"WITH {PCD} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM pcd" for a in ("x", "y", "z", "rho") for b in ("x", "y", "z", "rho")),
+    "label_ranking": f"WITH {PCD}, m AS (SELECT label, avg(rho) AS mean FROM pcd GROUP BY 1) SELECT label, round(mean, 6) AS mean, row_number() OVER (ORDER BY mean DESC, label) AS place FROM m",
+    "layout_scans": f"WITH {PCD}, s AS (SELECT count(*) AS n, round(sum(x), 3) AS x, round(sum(z), 3) AS z, round(sum(round(red / 255.0::DOUBLE, 6)), 3) AS intensity, sum(label)::BIGINT AS label FROM pcd) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS layout, n, x, z, {'0.0::DOUBLE' if n == 'CLASSIFIED5' else 'intensity'} AS intensity, {'0' if n == 'RAW11' else 'label'}::BIGINT AS label FROM s" for n in ("RAW11", "ALL12", "ALL22", "LABELED12", "SCANLINE15", "POINT26", "CLASSIFIED13", "CLASSIFIED5")),
+    "segment_file": f"WITH {SEGS}, m AS (SELECT *, avg(z) OVER (PARTITION BY scan_id, segment_id) AS m_z, avg(rho) OVER (PARTITION BY scan_id, segment_id) AS m_rho FROM segs) SELECT scan_id, segment_id, count(*) AS n, {_statistics('z', 'rho').replace(', 6)', ', 4)')} FROM m GROUP BY 1, 2",
+    "parameter_join": f"WITH {SHARES} SELECT 'SM' || (25 + scan_id) || '_CT30_NM2' AS params, sum(n)::BIGINT AS n, round(avg(gini), 6) AS gini FROM shares GROUP BY 1",
+    "partner_files": f"WITH {PCD} SELECT DISTINCT '/lab/Site_A_' || scan_id || '_labelled.asc' AS path, CASE WHEN scan_id <> 3 THEN '/seg/Site_A_' || scan_id || '_b.txt' END AS partner FROM pcd",
+    "classified_points": f"WITH {SHARES} SELECT point_counter, round(x, 4) AS x, label, mode_label AS predicted FROM segs JOIN shares USING (scan_id, segment_id)",
 }

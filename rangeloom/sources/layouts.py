@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -51,6 +52,49 @@ def write_report(report: DataFrame, path: str, append: bool = False) -> None:
     report.write.mode("append" if append else "errorifexists").option("header", True).csv(path)
 
 
-def stride(points: DataFrame, every: int, order: str = "point_counter") -> DataFrame:
-    """Every n-th row by its running id, which needs no global sort."""
-    return points.where(F.col(order) % every == 0)
+def write_header(spark: SparkSession, columns: Sequence[str], path: str) -> None:
+    """Column names of a headerless file, one JSON string a line in order, in a folder beside it."""
+    spark.createDataFrame([(json.dumps(c),) for c in columns], "value string").coalesce(1).write.text(path)
+
+
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names that ``write_header`` has left; a header is a few hundred names."""
+    return [json.loads(r.value) for r in spark.read.text(path).collect()]
+
+
+def stem(path: Column) -> Column:
+    """File name without folder and ending."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def name_prefix(path: Column, tokens: int = 3) -> Column:
+    """The first tokens of a file's name between underscores."""
+    return F.array_join(F.slice(F.split(stem(path), "_"), 1, tokens), "_")
+
+
+def partners(files: DataFrame, others: DataFrame, tokens: int = 3) -> DataFrame:
+    """(path, partner): for each file the first of ``others``, by path, whose name begins with the same tokens; null without one."""
+    first = others.groupBy(name_prefix(F.col("path"), tokens).alias("_prefix")).agg(F.min("path").alias("partner"))
+    return files.join(first, name_prefix(F.col("path"), tokens) == F.col("_prefix"), "left").select("path", "partner")
+
+
+def with_parameters(rows: DataFrame, parameters: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows``, which have a path, with the parameters of the file of the same name (the least row where it has several), and ``params``, which names them all."""
+    own = parameters.groupBy(stem(F.col("path")).alias("_stem")).agg(F.min(F.struct(*names)).alias("_own"))
+    met = rows.join(own, stem(F.col("path")) == F.col("_stem"), "left")
+    parts = [x for n in names for x in (F.lit(("_" if n != names[0] else "") + "".join(w[0] for w in n.split("_")).upper()), F.col(f"_own.{n}").cast("string"))]
+    return met.select(*rows.columns, *[F.col(f"_own.{n}").alias(n) for n in names], F.concat(*parts).alias("params"))
+
+
+def write_confusion(confusion: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Confusion counts (truth, pred, n) as comma-separated lines, truths down and predictions across in order, a folder of files for each key."""
+    lines = confusion.groupBy(*by, "truth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pred", "n"))), lambda c: c["n"].cast("string")), ",").alias("line"))
+    files = lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("truth", "line"))), lambda r: r["line"]), "\n").alias("value"))
+    files.write.partitionBy(*by).text(path) if by else files.write.text(path)
+
+
+def read_confusions(spark: SparkSession, path: str) -> DataFrame:
+    """(path, truth, pred, n) of every file below a folder, classes numbered from 0."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = files.select("path", F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\n+$", "")), "\n")).alias("truth", "line"))
+    return rows.select("path", "truth", F.posexplode(F.split("line", ",")).alias("pred", "n")).withColumn("n", F.col("n").cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.operators import bins, labels, metrics, ordered, segments, spatial
+from rangeloom.operators import bins, columns, labels, metrics, ordered, segments, spatial
 from rangeloom.operators.components import connected_components
 from rangeloom.operators.prefix import running_total
 from rangeloom.sources import layouts
@@ -72,4 +72,34 @@ def test_text_round_trip(spark, tmp_path):
     layouts.write_points(rows, str(tmp_path / "pts"), layouts.LABELED12)
     back = layouts.read_points(spark, str(tmp_path / "pts"), layouts.LABELED12)
     assert back.drop("path").collect() == rows.collect()
-    assert layouts.stride(back, 7).count() == 1
+    layouts.write_header(spark, ["a", 'b "c"', "d"], str(tmp_path / "names"))
+    assert layouts.read_header(spark, str(tmp_path / "names")) == ["a", 'b "c"', "d"]
+
+
+def test_every_nth_takes_the_first_of_each_run(spark):
+    rows = spark.createDataFrame([(i * 7,) for i in range(100)], "o long")
+    assert [r.o for r in ordered.every_nth(rows, 30, ["o"]).orderBy("o").collect()] == [0, 210, 420, 630]
+
+
+def test_reports_append_and_confusions_round_trip(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    for n in (1, 2):
+        layouts.write_report(spark.createDataFrame([(f"r{n}", n)], "name string, n long"), path, append=True)
+    assert sorted(tuple(r) for r in layouts.read_table(spark, path, "name string, n long").collect()) == [("r1", 1), ("r2", 2)]
+    counts = spark.createDataFrame([(t, p, 10 * t + p) for t in range(3) for p in range(3)], "truth int, pred int, n long")
+    layouts.write_confusion(counts, str(tmp_path / "one"))
+    back = layouts.read_confusions(spark, str(tmp_path / "one")).collect()
+    assert sorted((r.truth, r.pred, r.n) for r in back) == sorted(tuple(r) for r in counts.collect())
+
+
+def test_parameters_of_a_file_with_several_rows(spark):
+    rows = spark.createDataFrame([("/d/a_b.txt", 1), ("/d/c.txt", 2)], "path string, v int")
+    own = spark.createDataFrame([("/p/a_b.csv", 2.0, 5), ("/p/a_b.csv", 1.0, 9)], "path string, std_multiplier double, curvature_threshold int")
+    got = {r.v: (r.std_multiplier, r.curvature_threshold, r.params) for r in layouts.with_parameters(rows, own, ("std_multiplier", "curvature_threshold")).collect()}
+    assert got == {1: (1.0, 9, "SM1.0_CT9"), 2: (None, None, None)}
+
+
+def test_columns(spark):
+    assert columns.matching(["a_std", "b_mean"], "std|x") == ["a_std"] and columns.matching(["a_std", "b_mean"], "std|x", keep=False) == ["b_mean"]
+    assert dict(columns.drop_one(["a", "b"], ["s", "t"], "statistic")) == {"none": ["a_s", "a_t", "b_s", "b_t"], "s": ["a_t", "b_t"], "t": ["a_s", "b_s"]}
+    assert [d for d, _ in columns.drop_one(["a", "b"], ["s"], "column")] == ["none", "a_s", "b_s"]
