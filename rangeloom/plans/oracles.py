@@ -146,7 +146,7 @@ SQL: dict[str, str] = {
     "break_segments": f"WITH {EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
     "knn_break_segments": f"WITH {KNN_EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
     "segmentation_sweep": f"WITH {EXPECTED},\n" + ",\n".join(_bent(f"b{i}_", "expected", m) for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0))) + f"""
-SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, 1 + sum(flag) - arg_max(flag, (scanline_id, vert_angle, point_counter)) AS segments
+SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, (1 + sum(flag) - arg_max(flag, (scanline_id, vert_angle, point_counter)))::BIGINT AS segments
 FROM (SELECT *, ({_FLAG.format(std="std_multiplier", curvature="curvature_threshold")})::BIGINT AS flag
   FROM ({" UNION ALL ".join(f"SELECT *, {m}::DOUBLE AS neighborhood_multiplier FROM b{i}_bent" for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0)))}) b,
   (SELECT unnest([1, 15, 25, 35, 50, 65, 75, 85, 100])::DOUBLE AS std_multiplier) s, (SELECT unnest([20, 30, 40, 50, 60, 70])::DOUBLE AS curvature_threshold) c)
