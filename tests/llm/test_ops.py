@@ -69,9 +69,10 @@ def test_tokens_of_odd_rows(spark, odd, tmp_path):
     assert token_output.token_digest(token_output.read_tokens(spark, str(tmp_path / "e"))).count() == 0
 
 
-def test_simhash_equals_brute_force(spark, data, docs):
+def brute_simhash(rows):
+    """{id: (fingerprint, smallest id reachable)} of rows (id, text)."""
     prints = {}
-    for i, text, *_ in docs:
+    for i, text in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         hashes = [xxhash.xxh64_intdigest(b" ".join(w[a : a + 3]), 42) for a in range(max(1, len(w) - 2))] if w else []
         prints[i] = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
@@ -81,7 +82,11 @@ def test_simhash_equals_brute_force(spark, data, docs):
         if new == low:
             break
         low = new
-    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash_pivots(spark, data).collect()} == {i: (f"{prints[i]:016x}", low[i]) for i in prints}
+    return {i: (f"{prints[i]:016x}", low[i]) for i in prints}
+
+
+def test_simhash_equals_brute_force(spark, data, docs):
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash_pivots(spark, data).collect()} == brute_simhash([(i, t) for i, t, *_ in docs])
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 3, 1000])
@@ -545,17 +550,39 @@ def test_images(spark):
 
 
 def test_pipeline_stages_equal_brute_force(spark, data, docs):
+    """Each stage on what its predecessor kept: fit of a language, SimHash groups, repeated windows, DuckDB's mixture, every word packed."""
+    import duckdb
+
     import corpus_pipeline
 
     table = spark.read.parquet(f"{data}/documents.parquet")
     kept = table
     for name, step in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = step(spark, before, data).cache()
+        before = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=lambda r: r[0])
+        kept = step(spark, kept, data).cache()
+        after = sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect())
         assert kept.columns == table.columns, name
-        if name == "near_duplicates":
-            groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(before).collect()}
-            assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in groups.items() if i == c)
+        if name == "language_id":
+            samples = language.labelled_samples(table)
+            fits = language.Parser(samples).judge([t for _, t, _ in before], language.usual_bits(samples))[3]
+            assert [i for i, *_ in after] == [i for (i, *_), ok in zip(before, fits, strict=True) if ok]
+        elif name == "near_duplicates":
+            groups = brute_simhash([(i, t) for i, t, _ in before])
+            assert [i for i, *_ in after] == [i for i, (_, low) in groups.items() if i == low] and len(after) < len(before)
+        elif name == "repeated_passages":
+            gone = removed_by_brute_force([(i, t) for i, t, _ in before])
+            assert sum(gone) and [len(words(t)) for _, t, _ in after] == [len(words(t)) - n for (_, t, _), n in zip(before, gone, strict=True)]
+            assert all(n == len(t) for (_, t, n), cut in zip(after, gone, strict=True) if cut)
+        elif name == "source_mix":
+            import pandas as pd
+
+            con = duckdb.connect()
+            con.register("documents", pd.DataFrame(before, columns=["doc_id", "text", "source"]))
+            want = {r[0]: r[4] for r in con.execute(queries.oracle_sql()["op7_weighted_fair_mix"]).fetchall()}
+            taken = Counter()
+            for i, t, _ in after:
+                taken[i] += len(words(t))
+            assert all(taken[i] == n for i, n in want.items())
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, data)
     assert packed.agg(F.sum("n_words")).first()[0] == sum(len(words(r.text)) for r in kept.collect())
     assert corpus_pipeline.run(spark, data).count() == packed.count()
