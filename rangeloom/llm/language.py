@@ -168,7 +168,7 @@ class ParseTable:
         begun = np.zeros(len(state), kind)
         depth = np.searchsorted(-np.array(live), -np.arange(1, len(state) + 1), side="right")
         while True:
-            want = np.where(after >= 0, state[after], np.where(after == -2, carry, 0)).astype(kind)
+            want = np.where(after >= 0, state[np.maximum(after, 0)], np.where(after == -2, carry, 0)).astype(kind)
             lanes = np.flatnonzero(want != begun)
             if not len(lanes):
                 return (moves & 3).sum(axis=0), state

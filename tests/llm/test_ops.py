@@ -738,3 +738,14 @@ def test_urls_split_at_any_depth(spark):
     assert {r.template for r in got} == {"/*/*/*/*/spam/*", "/*/*/*/*/politics/*", "", "/*"}
     cut = {r.template for r in urls.judge_urls(pages, taught, support=5, depth=4).collect()}
     assert cut == {"/*/*/*/*/*", "", "/*"}
+
+
+@pytest.mark.parametrize("lanes", [1, 2, 3, 7])
+def test_language_parse_goes_on_over_groups_of_stretches(monkeypatch, lanes):
+    """A text of more stretches than are parsed together, whatever is left for the last group, even a single one."""
+    parser = language.Parser((("a", "the quick brown fox jumps over the lazy dog " * 3), ("b", "der schnelle braune fuchs springt " * 3)))
+    texts = ["the lazy fox jumps " * 300, "", "der fuchs " * 57, None, "quick springt dog " * 200, "x" * 513]
+    want = parser.judge(texts)
+    monkeypatch.setattr(language, "_LANES", lanes)
+    got = parser.judge(texts)
+    assert got[0] == want[0] and np.array_equal(got[1], want[1]) and np.array_equal(got[2], want[2])
