@@ -34,7 +34,7 @@ LETTERS_IN_ALL, LEAST_LETTERS = 160_000, 4_000
 STRETCH = 500
 UNDETERMINED = "und"
 _STEP = 512
-_LANES = 8192
+_LANES = 2048
 _DENSE = 1 << 24
 _PIECE, _LEAST_PIECES, _FAR = 64, 32, 6.0
 _LETTER_BITS = float(np.log2(0x110000))
@@ -278,7 +278,7 @@ def usual_bits(samples: tuple[tuple[str, str], ...]) -> tuple[float, float] | No
     return float(rates.mean()), float(rates.std())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 

@@ -49,7 +49,7 @@ _FLUSH = 1 << 20
 _TEXT_FLUSH = 1 << 25
 _ROWS = 1 << 12
 _CHUNK = 1 << 16
-_KNOWN_WORDS, _LONG_WORD = 1 << 20, 64
+_KNOWN_WORDS, _LONG_WORD = 1 << 18, 64
 _LAST_ID = (1 << 63) - 1
 _POSITION = (1 << 24) - 1
 _MIX, _FIRST, _SECOND = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
