@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import images, language, mixing, packing, quality, simhash, substring, token_output, urls, vectors
+from rangeloom.llm import alignment, fill_middle, images, language, learned_partitions, mixing, packing, quality, simhash, substring, token_output, urls, vectors
 from rangeloom.llm.sql import OP4_SQL, OP7_SQL, op8_sql
 from rangeloom.operators.staging import scratch_path
 
@@ -84,6 +84,25 @@ def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), sites)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return learned_partitions.nearest_by_partitions(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's transformed and restored text."""
+    made = fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every numbered query by name."""
     return {
@@ -97,6 +116,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_path_templates": op8_path_templates,
         "op9_substring_suffix_trees": op9_substring_suffix_trees,
         "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_learned_partitions": op12_learned_partitions,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
