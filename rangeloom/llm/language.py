@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 _STEP = 512
 _LANES = 2048
 _DENSE = 1 << 24
-_PIECE, _LEAST_PIECES, _FAR = 64, 32, 6.0
+_PIECE, _PRIOR_PIECES, _FAR = 64, 32, 6.0
 _LETTER_BITS = float(np.log2(0x110000))
 
 
@@ -268,14 +268,15 @@ class Parser:
 def usual_bits(samples: tuple[tuple[str, str], ...]) -> tuple[float, float] | None:
     """Mean and deviation of the bits per letter of pieces of each language's second half, parsed against the first halves.
 
-    None where there are too few pieces to tell, as without any language.
+    The deviation is drawn towards one bit, which counts for ``_PRIOR_PIECES`` pieces, so that little labelled text leaves a wide limit.
+    None without any piece, as without any language.
     """
     halves = [(lang, text[: len(text) // 2], text[len(text) // 2 :]) for lang, text in samples]
     pieces = [rest[i : i + _PIECE] for _, _, rest in halves for i in range(0, len(rest) - _PIECE + 1, _PIECE)]
-    if len(pieces) < _LEAST_PIECES:
+    if not pieces:
         return None
     rates = Parser(tuple((lang, learned) for lang, learned, _ in halves)).judge(pieces)[2]
-    return float(rates.mean()), float(rates.std())
+    return float(rates.mean()), float(np.sqrt((((rates - rates.mean()) ** 2).sum() + _PRIOR_PIECES) / (len(rates) + _PRIOR_PIECES)))
 
 
 @lru_cache(maxsize=1)
@@ -330,7 +331,7 @@ def with_language(
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], fields=list(empty))
 
     new = {lang_out: "lang", score_out: "score"} | ({fits_out: "fits"} if fits_out else {})
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     (found,) = fresh(docs.columns, "_language")
     met = docs.select(*kept, predicted(F.col(f"`{text_col}`").cast("string")).alias(found))
     return met.select(*kept, *[F.col(f"{found}.{c}").alias(out) for out, c in new.items()])

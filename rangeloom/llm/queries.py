@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import alignment, fill_middle, images, language, learned_partitions, mixing, packing, quality, simhash, substring, token_output, urls, vectors
 from rangeloom.llm.sql import OP4_SQL, OP7_SQL, op8_sql
-from rangeloom.operators.staging import scratch_path
+from rangeloom.operators.staging import scoped, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +27,22 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
-    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return scoped(lambda: simhash.simhash_groups(_table(spark, sf_dir, "documents")), "simhash")
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of edited copies among the pictures of all vectors, as no table has images."""
-    return images.image_groups(images.vector_images(_table(spark, sf_dir, "embeddings")))
+    return scoped(lambda: images.image_groups(images.vector_images(_table(spark, sf_dir, "embeddings"))), "images")
 
 
 def op4_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every vector."""
-    return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+    return scoped(lambda: vectors.vector_groups(_table(spark, sf_dir, "embeddings")), "vectors")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return scoped(lambda: packing.pack(_table(spark, sf_dir, "documents")), "packed")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,33 +55,36 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mixture takes."""
     docs = _table(spark, sf_dir, "documents")
-    return mixing.mix(docs).select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken")
-    )
+    size = {"doc_id": F.col("doc_id"), "size": F.col("mix_size"), "source_size": F.col("mix_source_size"), "target": F.col("mix_target"), "taken": F.col("mix_size") * F.col("mix_times")}
+    return scoped(lambda: mixing.mix(docs).select(*[v.alias(c) for c, v in size.items()]), "mix")
 
 
 #: Fixed rules of the query.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
+def page_number() -> Column:
+    """The number of the document that a page shows: the last segment of its ``path`` that is a number, with or without an ending such as ``.html``."""
+    return F.regexp_extract("path", r"(?s).*/([0-9]{1,18})(?:\.[A-Za-z]+)?(?:/|$)", 1).try_cast("long")
+
+
 def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url; a page is labelled through the document whose number its path has."""
     bad = F.greatest(F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0), F.col("toxic"))
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), bad.alias("bad"))
-    return urls.judge_urls(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return scoped(lambda: urls.judge_urls(_table(spark, sf_dir, "pages"), labels, URL_RULES, key=page_number()), "urls")
 
 
 def op9_substring_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without its repeated windows."""
-    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+    return scoped(lambda: substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("text"), "repeats-removed")
 
 
 def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; its site is that of the page whose path has its number."""
-    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z]+)?(?:/|$)", 1).try_cast("long")
     pages = _table(spark, sf_dir, "pages").select(urls.url_host("url").alias("host"), urls.url_path("url").alias("path"))
-    sites = pages.select(number.alias("doc_id"), "host", F.get(F.split("path", "/"), F.lit(1)).alias("path"))
-    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), sites)
+    sites = pages.select(page_number().alias("doc_id"), "host", F.get(F.split("path", "/"), F.lit(1)).alias("path"))
+    return scoped(lambda: quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), sites), "quality")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from rangeloom.llm.words import text_bytes
 from rangeloom.operators.components import connected_components
@@ -241,20 +242,28 @@ def simhash_groups(
     )
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether Spark can sort by a type; it cannot by maps and variants, wherever they are nested."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else kind.typeName() not in ("map", "variant")
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, one row for each id.
 
     Of rows that repeat such an id the first in the order of all orderable columns stays. Rows
-    with a null id stay, as nothing can stand for them.
+    with a null id stay, as nothing can stand for them. Only ids that go or repeat are joined, which are fewer than those that stay.
     """
     groups = simhash_groups(docs, id_col, text_col, width, max_bits)
-    first = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "first-of-group")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    odd = groups.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("n"))
+    odd = stage(odd.where("stays = 0 or n > 1").select(F.col("doc_id").alias("id"), "stays"), "gone-or-repeated")
     doc = F.col(f"`{id_col}`").cast("long")
-    packed = docs.select(doc.alias("id"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]).alias("row"))
-    once = packed.join(first.where("n = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("row")
-    order = [i for i, f in enumerate(docs.schema) if f.dataType.typeName() not in ("map", "variant")]
-    several = packed.join(first.where("n > 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    packed = docs.select(doc.alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    once = packed.join(odd.select("id"), "id", "left_anti").select("row")
+    order = [i for i, f in enumerate(docs.schema) if orderable(f.dataType)]
+    several = packed.join(odd.where("stays = 1").select("id"), "id", "left_semi")
     several = several.groupBy("id").agg(F.min_by("row", F.struct(*[F.col(f"row.c{i}") for i in order])).alias("row")).select("row")
-    kept = once.unionByName(several).unionByName(packed.where("id is null").select("row"))
+    kept = once.unionByName(several)
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -97,7 +97,7 @@ live{k + 1} AS (SELECT *, sum(n) OVER t >= {support} AND sum(bad) OVER t > 0 AND
 WITH rows AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-paths AS (SELECT host, path, count(*) AS n, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[A-Za-z]+)?(?:/|$)', 1) AS BIGINT) AS key FROM rows GROUP BY ALL),
+paths AS (SELECT host, path, count(*) AS n, try_cast(regexp_extract(path, '(?s).*/([0-9]{{1,18}})(?:\\.[A-Za-z]+)?(?:/|$)', 1) AS BIGINT) AS key FROM rows GROUP BY ALL),
 known AS (
   SELECT doc_id AS key, max(greatest(CASE WHEN quality = 0 THEN 1 WHEN quality IS NOT NULL THEN 0 END, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
   HAVING bad IS NOT NULL),
@@ -106,7 +106,7 @@ live0 AS (
   FROM paths LEFT JOIN known USING (key)),{",".join(steps)},
 templates AS ({done}),
 purity AS (
-  SELECT *, sum(bad) OVER (PARTITION BY host) AS host_bad, sum(labelled) OVER (PARTITION BY host) AS host_labelled, (sum(bad) OVER () + 1)::DOUBLE / (sum(labelled) OVER () + 2) AS prior
+  SELECT *, sum(bad) OVER (PARTITION BY host) AS host_bad, sum(labelled) OVER (PARTITION BY host) AS host_labelled, CASE WHEN sum(labelled) OVER () = 0 THEN 0 ELSE (sum(bad) OVER () + 1)::DOUBLE / (sum(labelled) OVER () + 2) END AS prior
   FROM (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM templates GROUP BY ALL)),
 judged AS (
   SELECT host, template, (bad + {w} * ((host_bad + {w} * prior) / (host_labelled + {w}))) / (labelled + {w}) AS purity FROM purity)

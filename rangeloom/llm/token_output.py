@@ -109,7 +109,7 @@ def encode_documents(
 
     ``part_start`` counts the ids before a document in its own partition. Every
     document ends with ``end_id``; a null or empty text is that id alone. Null ids sort
-    first, and rows that repeat an id follow each other, by text.
+    first, dealt out by the first characters of their texts, and rows that repeat an id follow each other, by text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +132,22 @@ def encode_documents(
                 row, start, lo = row + n, start + int(ends[-1]), lo + n
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = picked.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = picked.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), "doc_id", F.when(F.col("doc_id").isNull(), F.substring("text", 1, 32))).sortWithinPartitions("doc_id", "text")
     return ranged.mapInArrow(run, "doc_id long, part int, row long, part_start long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(tokens: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
-    """Write encoded documents as Parquet with the layout of this module."""
+    """Write encoded documents as Parquet with the layout of this module.
+
+    Sizes are looked at after every row, so a row group ends with the document that fills it; one document's ids are never split. An
+    empty table gives a folder without rows.
+    """
     (
         tokens.write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
+        .option("parquet.page.size.row.check.min", 1)
         .option("parquet.dictionary.page.size", DICTIONARY_BYTES)
         .parquet(path)
     )

@@ -128,6 +128,7 @@ def judge_urls(
     rules: Rules = (),
     id_col: str = "page_id",
     url_col: str = "url",
+    key: Column | None = None,
     depth: int | None = None,
     support: int = 20,
     z: float = 2.0,
@@ -136,24 +137,25 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: (page_id, host, path, rule, verdict, template, purity).
 
-    ``labels`` has rows (key, bad); bad is 0, 1 or null, and a page's key is the first run of digits that
-    fills a segment of its path, with or without an ending such as ``.html``. A key with several labels is bad if
-    one of them is. ``weight`` is the number of labels that a prior counts for. A
+    ``labels`` has rows (key, bad); bad is 0, 1 or null. ``key`` is a page's key, an expression of its page_id, host and path (page_id
+    where it is None). A key with several labels is bad if one of them is. ``weight`` is the number of labels that a prior counts for.
+    Without any label the corpus prior is 0, so that only rules block; what has no label itself takes its host's prior, and a host the corpus's. A
     null url, or one without ``://``, has empty host and path, and is judged like others;
     rows that repeat a page each come back; an empty table gives an empty result. Other columns are ignored.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("_url")).select("page_id", url_host("_url").alias("host"), url_path("_url").alias("path"))
-    key = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z]+)?(?:/|$)", 1).try_cast("long")
-    paths = stage(rows.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("_key", key), "paths")
+    own_key = (F.col("page_id") if key is None else key).cast("long").alias("_key")
+    paths = rows.groupBy("host", "path", own_key).agg(F.count("*").alias("n"))
     known = labels.where("key is not null and bad is not null").groupBy(F.col("key").cast("long").alias("_label")).agg(F.max("bad").alias("_bad"))
     counted = paths.join(known, F.col("_key") == F.col("_label"), "left").select(
         "host", "path", "n", F.when(F.col("_bad").isNotNull(), F.col("n")).otherwise(0).cast("long").alias("labelled"), (F.coalesce("_bad", F.lit(0)) * F.col("n")).cast("long").alias("bad")
     )
+    counted = stage(counted.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]), "paths")
     placed = stage(path_templates(counted, depth, support, z, weight), "templates")
     by_template = placed.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     by_template = stage(by_template, "purity")
     total, bad = by_template.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    prior = (bad + 1) / (total + 2)
+    prior = (bad + 1) / (total + 2) if total else 0.0
     by_host = by_template.groupBy(F.col("host").alias("_host")).agg(((F.sum("bad") + F.lit(weight * prior)) / (F.sum("labelled") + weight)).alias("_prior"))
     judged = by_template.join(by_host, F.col("host") == F.col("_host")).select(
         F.col("host").alias("_host"), F.col("template").alias("_template"), ((F.col("bad") + F.lit(weight) * F.col("_prior")) / (F.col("labelled") + weight)).alias("purity")

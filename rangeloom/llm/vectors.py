@@ -28,7 +28,7 @@ from rangeloom.operators.staging import shuffle_partitions, stage
 COSINE = 0.93
 TABLES, HASHES, WIDTH = 40, 16, 2.0
 BLOCK = 256
-_KEYED = "node long, label long, copies long, dim int, keys array<long>, raw binary"
+_KEYED = "node long, label string, copies long, dim int, keys array<long>, raw binary"
 _LINKED = "node long, links long, root long"
 
 
@@ -115,7 +115,8 @@ def _cells(cosine: float):
     def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         keys = t.column(6).flatten().to_numpy().reshape(t.num_rows, -1)
-        found = _cell_links(*(t.column(i).to_numpy() for i in (3, 4, 5)), keys, t.column(7).to_pylist(), t.column(8).to_numpy(), t.column(9).to_numpy(), cosine)
+        labels = t.column(4).dictionary_encode().indices.to_numpy()
+        found = _cell_links(t.column(3).to_numpy(), labels, t.column(5).to_numpy(), keys, t.column(7).to_pylist(), t.column(8).to_numpy(), t.column(9).to_numpy(), cosine)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +158,14 @@ def vector_groups(
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
-    Vectors link when their labels are equal and not null, their dimensions are
+    Vectors link when their labels are equal as text and not null, their dimensions are
     equal and their cosine is at least ``cosine``. Null, empty and zero vectors and those
     with null or non-finite components link with nothing, and so do rows without an id,
     whose component is null and which are not kept. Rows that repeat an id are vectors of
     their own which share a component. An empty table gives an empty result; other columns are ignored.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("long").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), v.alias("v"))
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _finite("v")
     rows = rows.select("vec_id", F.when(sound, F.col("label")).alias("label"), F.when(sound, F.col("v")).alias("v"))
     nodes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))

@@ -729,14 +729,13 @@ def test_urls_equal_sql_on_deep_paths(spark, seed):
 def test_urls_split_at_any_depth(spark):
     rows = [(i, f"http://deep.test/2024/05/12/news/{'spam' if i % 2 else 'politics'}/{i}.html") for i in range(120)] + [(500, "http://deep.test"), (501, "http://deep.test/2024")]
     taught = spark.createDataFrame([(i, i % 2) for i in range(120)], "key long, bad int")
-    # A page's key is the first run of digits that fills a segment, so dates are spelt out here.
-    rows = [(i, u.replace("2024/05/12", "y2024/m05/d12")) for i, u in rows]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = urls.judge_urls(pages, taught, support=5).collect()
+    assert [r.number for r in pages.where("page_id < 500").withColumn("path", urls.url_path("url")).orderBy("page_id").select(queries.page_number().alias("number")).collect()] == list(range(120))
+    got = urls.judge_urls(pages, taught, key=queries.page_number(), support=5).collect()
     assert len(got) == len(rows)
     assert all((r.verdict == "block") == ("/spam/" in r.path) for r in got if r.page_id < 500)
     assert {r.template for r in got} == {"/*/*/*/*/spam/*", "/*/*/*/*/politics/*", "", "/*"}
-    cut = {r.template for r in urls.judge_urls(pages, taught, support=5, depth=4).collect()}
+    cut = {r.template for r in urls.judge_urls(pages, taught, key=queries.page_number(), support=5, depth=4).collect()}
     assert cut == {"/*/*/*/*/*", "", "/*"}
 
 
@@ -749,3 +748,81 @@ def test_language_parse_goes_on_over_groups_of_stretches(monkeypatch, lanes):
     monkeypatch.setattr(language, "_LANES", lanes)
     got = parser.judge(texts)
     assert got[0] == want[0] and np.array_equal(got[1], want[1]) and np.array_equal(got[2], want[2])
+
+
+def test_urls_without_labels_are_allowed(spark):
+    pages = spark.createDataFrame([(i, f"http://a.test/{i % 3}/{i}") for i in range(50)] + [(50, "http://b.com/en/1")], "page_id long, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame([], "key long, bad int"), queries.URL_RULES).collect()
+    assert Counter(r.verdict for r in got) == {"allow": 50, "block": 1} and {r.purity for r in got} == {0.0}
+
+
+def test_dates_are_no_labels(spark):
+    """The year in a path is not the number of its document."""
+    rows = [(i, f"http://a.test/2024/{'spam' if i % 2 else 'news'}/{i}.html") for i in range(200)]
+    taught = spark.createDataFrame([(i, i % 2) for i in range(200)], "key long, bad int")
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("page_id", F.col("page_id") + 7000), taught, key=queries.page_number()).collect()
+    assert all((r.verdict == "block") == ("/spam/" in r.path) for r in got)
+
+
+def test_row_groups_end_by_bytes_whatever_the_rows(spark, tmp_path):
+    """Documents of many ids each fill a row group each, and rows without an id are dealt out."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 30_000))
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string")
+    token_output.write_tokens(token_output.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, partitions=1), str(tmp_path / "t"), row_group_bytes=256 << 10)
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups == 12
+    none = spark.createDataFrame([(None, f"{i} text") for i in range(900)], "doc_id long, text string")
+    parts = Counter(r.part for r in token_output.encode_documents(none, public_tokenizers.path("word_bpe_49k.json"), 1, partitions=4).collect())
+    assert len(parts) == 4 and max(parts.values()) < 450
+
+
+def test_simhash_keeps_rows_with_nested_maps(spark):
+    rows = [(1, "a b c d", ({"k": 1}, [1])), (1, "a b c d", ({"k": 2}, [0])), (2, "a b c d", (None, None)), (3, "other words of a text", (None, None)), (None, "x", (None, None))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, more struct<m: map<string,int>, l: array<int>>")
+    assert sorted((r.doc_id for r in simhash.one_of_each_group(table).collect()), key=str) == [1, 3, None]
+
+
+def test_language_replaces_names_in_any_case(spark):
+    table = spark.createDataFrame([(1, "the text", 5)], "doc_id long, text string, LANG_PRED int")
+    out = language.with_language(table, (("en", "the text of a language"),))
+    assert out.columns == ["doc_id", "text", "lang_pred", "score"] and out.collect()[0].lang_pred == "en"
+
+
+def test_vectors_link_by_labels_of_any_kind(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "x"), (2, [1.01, 2.0, 3.0], "x"), (3, v, "y"), (4, v, None), (5, v, "x ")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_vector_links_among_thousands_equal_all_pairs(spark):
+    """Planted near copies in thousands of vectors: links, counts and groups against all pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 32))
+    for i in range(0, 900, 3):
+        x[i + 1] = x[i] + rng.uniform(0.05, 0.3) * rng.standard_normal(32)
+        x[i + 2] = x[i]
+    label = rng.integers(0, 2, 3000)
+    label[:900] = np.repeat(label[:900:3], 3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None]) & ~np.eye(3000, dtype=bool)
+    got = sorted(vectors.vector_groups(spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")).collect())
+    found, want = sum(r.n_links for r in got), int(near.sum())
+    assert want > 1000 and 0.97 * want <= found <= want
+    assert all(r.n_links <= near[r.vec_id].sum() for r in got)
+
+
+def test_packing_in_several_shards(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(n))) for i, n in enumerate(rng.integers(0, 900, 700))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=50).collect()
+    assert sum(r.n_words for r in got) == sum(len(t.split()) for _, t in rows)
+    filled = Counter()
+    for r in got:
+        filled[r.bin_id] += r.n_words
+    capacity = {r.bin_id: r.capacity for r in got}
+    assert all(filled[b] <= capacity[b] for b in filled)
