@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm import language, mixing, packing, simhash, substring
 from rangeloom.operators.names import fresh
-from rangeloom.operators.staging import release, stage
+from rangeloom.operators.staging import release, scoped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fit a learned language by their bits per letter; gibberish, other languages and those without any letter go.
 
-    Every document stays where too little is labelled to learn from.
+    Every document stays where nothing is labelled to learn from.
     """
     samples = language.labelled_samples(docs)
     lang, score, fits = fresh(docs.columns, "_lang", "_score", "_fits")
@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        done = stage(step(spark, docs, sf_dir), name)
+        done = scoped(lambda step=step, docs=docs: step(spark, docs, sf_dir), name)
         release(docs)
         docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,11 +32,11 @@ def linear_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(y, x).alias("corr"))
 
 
-def impurity_report(segments: DataFrame) -> DataFrame:
-    """One row per scan about its segments (n, gini): counts, small segments and spread of impurity."""
+def impurity_report(segments: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """One row per key about its segments (n, gini): counts, small segments and spread of impurity, which has four places and so 10,001 values at most."""
     g = "gini"
     share = lambda most: F.round(100 * F.count_if(F.col("n") < most) / F.count("*"), 4)
-    return segments.groupBy("scan_id").agg(
+    return segments.groupBy(*keys).agg(
         F.count("*").alias("segments"), F.count_if(F.col("n") < 5).alias("below_5"), F.count_if(F.col("n") < 10).alias("below_10"), share(5).alias("below_5_pct"), share(10).alias("below_10_pct"),
         F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.var_samp(g).alias("var"), (F.max(g) - F.min(g)).alias("ptp"), F.percentile(g, 0.02).alias("p2"), F.percentile(g, 0.98).alias("p98"),
     )

@@ -13,7 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.operators.prefix import ranged, running_total, with_neighbours
+from rangeloom.operators.prefix import ranged, running_total, running_totals, with_neighbours
 from rangeloom.operators.staging import stage
 
 
@@ -96,3 +96,18 @@ def segment_counts(bent: DataFrame, stds: Sequence[float] = SWEEP_STD, curvature
         # The break of the last row begins no segment.
         cells.append(F.struct(F.lit(s).alias("std_multiplier"), F.lit(c).alias("curvature_threshold"), (1 + F.sum(flag) - F.max_by(flag, place)).alias("segments")))
     return bent.groupBy(*keys).agg(F.array(*cells).alias("_cells")).select(*keys, F.explode("_cells").alias("_c")).select(*keys, "_c.*")
+
+
+def sweep_label_counts(bent: DataFrame, stds: Sequence[float] = SWEEP_STD, curvatures: Sequence[float] = SWEEP_CURVATURE, keys: Sequence[str] = ("scan_id",), label: str = "label") -> DataFrame:
+    """(keys, std_multiplier, curvature_threshold, segment_id, label, c): points of each label in every segment of every pair of thresholds.
+
+    The segment ids of all pairs are running totals of one range sort, a counter for each pair. Points become a row for each pair only
+    to be counted, which tasks do before anything is shuffled.
+    """
+    runs = list(product(stds, curvatures))
+    place = ["scanline_id", "vert_angle", "point_counter"]
+    used = bent.select(*keys, *place, label, *[break_flag(s, c).cast("long").alias(f"flag{i}") for i, (s, c) in enumerate(runs)])
+    total = running_totals(used, {f"upto{i}": f"flag{i}" for i in range(len(runs))}, [F.col(c) for c in place], by=keys)
+    cells = [F.struct(F.lit(s).alias("std_multiplier"), F.lit(c).alias("curvature_threshold"), (F.col(f"upto{i}") - F.col(f"flag{i}") + 1).alias("segment_id")) for i, (s, c) in enumerate(runs)]
+    each = total.select(*keys, label, F.explode(F.array(*cells)).alias("_run")).select(*keys, "_run.*", F.col(label).alias("label"))
+    return each.groupBy(*keys, "std_multiplier", "curvature_threshold", "segment_id", "label").agg(F.count("*").alias("c"))

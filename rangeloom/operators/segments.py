@@ -31,8 +31,12 @@ def segment_statistics(points: DataFrame, attributes: Sequence[str], statistics:
 
 def label_shares(points: DataFrame, label: str = "label", keys: Sequence[str] = ("scan_id", "segment_id")) -> DataFrame:
     """(keys, n, mode_label, gini): most frequent label, the smaller of equals, and impurity to 4 places."""
-    counts = points.groupBy(*keys, label).agg(F.count("*").alias("c"))
-    n = F.sum("c")
+    return shares_of_counts(points.groupBy(*keys, F.col(label).alias("label")).agg(F.count("*").alias("c")), keys)
+
+
+def shares_of_counts(counts: DataFrame, keys: Sequence[str] = ("scan_id", "segment_id")) -> DataFrame:
+    """``label_shares`` from counts (keys, label, c)."""
+    n, label = F.sum("c"), "label"
     return counts.groupBy(*keys).agg(
         n.alias("n"), F.min_by(label, F.struct(-F.col("c"), F.col(label))).alias("mode_label"), F.round(1 - F.sum(F.col("c") * F.col("c")) / (n * n), 4).alias("gini")
     )

@@ -11,11 +11,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths that the open scopes, the innermost last, have staged.
+_SCOPES: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ONE_MACHINE = re.compile(r"local(\[.*\])?")
 
 
@@ -47,12 +51,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the scratch folder and read it again."""
+    """Write ``df`` as Parquet into the scratch folder and read it again; what was shuffled for it is deleted from the disks."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return out
+
+
+def scoped(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, staged; every table that was staged on the way to it is deleted."""
+    _SCOPES.append([])
+    try:
+        out = stage(make(), label)
+    finally:
+        made = _SCOPES.pop()
+    own = _PATHS[out]
+    for path in made:
+        if path != own:
+            target, files = _hadoop_path(out.sparkSession, path)
+            files.delete(target, True)
+    if _SCOPES:
+        _SCOPES[-1].append(own)
     return out
 
 

@@ -76,12 +76,20 @@ def with_mean_distance(points: DataFrame) -> DataFrame:
 
 def _bent(points: DataFrame, multiplier: float = 2.0) -> DataFrame:
     """``points`` with slopes, roughness and both curvatures from neighbourhoods as wide as their expected distance asks for."""
-    width = neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0, multiplier)
-    shape = neighbourhood.scanline_features(points, width).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"), "slope", "slope_lstsq", "roughness")
-    met = points.join(shape, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p")
+    met = neighbourhood.with_scanline_features(points, {"": neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0, multiplier)})
     return ordered.gradient(ordered.gradient(met, "slope_lstsq", "curvature_lstsq"), "slope", "curvature")
 
 
+def _bent_at(points: DataFrame, multipliers: Sequence[float]) -> DataFrame:
+    """``points`` once for each multiplier, with curvature_lstsq; one gathering of neighbours serves all."""
+    widths = {str(i): neighbourhood.neighbour_counts(F.col("expected_value") / 1000.0, m) for i, m in enumerate(multipliers)}
+    met = neighbourhood.with_scanline_features(points, widths)
+    for i in widths:
+        met = ordered.gradient(met, f"slope_lstsq{i}", f"bend{i}")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("neighborhood_multiplier"), F.col(f"bend{i}").alias("curvature_lstsq")) for i, m in enumerate(multipliers)]))
+    return met.select(*points.columns, each.alias("_each")).select(*points.columns, "_each.*")
+
+
 def _broken(points: DataFrame) -> DataFrame:
     out = ordered.segment_ids(_bent(points), ordered.break_flag(1.0, 30.0))
     return _rounded(out.select("point_counter", "segment_id", "slope", "curvature", "roughness"), 4)
@@ -89,9 +97,17 @@ def _broken(points: DataFrame) -> DataFrame:
 
 def segmentation_sweep(spark: SparkSession, sf_dir: str, multipliers: Sequence[float] = ordered.SWEEP_NEIGHBOURHOOD) -> DataFrame:
     """Number of segments of each scan for every combination of the three parameters; only the neighbourhoods are computed once a multiplier."""
-    points = stage(bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0), "expected")
-    bent = [_bent(points, m).withColumn("neighborhood_multiplier", F.lit(m)) for m in multipliers]
-    return _rounded(ordered.segment_counts(reduce(DataFrame.unionByName, bent), keys=("scan_id", "neighborhood_multiplier")))
+    points = bins.expected_values(scanlines(spark, sf_dir), "rho_diff", 5.0)
+    return _rounded(ordered.segment_counts(_bent_at(points, multipliers), keys=("scan_id", "neighborhood_multiplier")))
+
+
+def impurity_sweep(spark: SparkSession, sf_dir: str, multipliers: Sequence[float] = ordered.SWEEP_NEIGHBOURHOOD) -> DataFrame:
+    """The whole sweep over the mean distances to the nearest points: for each scan and combination of the three parameters the number of segments, of small ones, and the spread of their impurity."""
+    points = bins.expected_values(with_mean_distance(scanlines(spark, sf_dir)), "mean_dist")
+    runs = ("scan_id", "neighborhood_multiplier")
+    counts = ordered.sweep_label_counts(_bent_at(points, multipliers), keys=runs)
+    runs += ("std_multiplier", "curvature_threshold")
+    return _rounded(analysis.impurity_report(segments.shares_of_counts(counts, (*runs, "segment_id")), runs))
 
 
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +342,7 @@ def label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, segment_table, range_profile, expected_distance, scanline_features,
-    break_segments, knn_break_segments, segmentation_sweep, threshold_sweep, radius_counts, radius_counts_strict, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals,
+    break_segments, knn_break_segments, segmentation_sweep, impurity_sweep, threshold_sweep, radius_counts, radius_counts_strict, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals,
     knn_normals, surroundings, roughness_at_radii, view_vectors, centred_by_median, nearest_result_report, label_left_join, label_unfold, inner_unfold, drop_class_recode, named_labels, chosen_columns,
     class_weights, row_weights, stratified_sample, exact_sample, random_split, fold_roles, confusion_matrix, summed_confusions, classification_report, scan_reports, three_reports, percentage_error,
     impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, correlation_matrix, label_ranking, scaled_top_runs, running_point_ids, stride_rows,

@@ -93,6 +93,7 @@ def _bent(p: str, expected: str, multiplier: float) -> str:
   FROM {expected} JOIN {p}shape USING (scan_id, point_counter) WINDOW w AS (PARTITION BY scan_id, scanline_id ORDER BY vert_angle, point_counter))"""
 
 
+MULTIPLIERS = (1.0, 1.25, 1.5, 1.75, 2.0)
 _FLAG = "coalesce(rho_diff > expected_value + expected_value_std * {std}, false) OR coalesce(abs(curvature_lstsq) > {curvature}, false)"
 
 
@@ -132,6 +133,10 @@ _REPRESENT = ", ".join(
 )
 _TARGETS = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{t}" for t, p in (("median", 0.5), ("perc2nd", 0.02), ("perc98th", 0.98)) for c in "xyz")
 
+_IMPURITY = """count(*) AS segments, count(*) FILTER (n < 5) AS below_5, count(*) FILTER (n < 10) AS below_10,
+  round(100.0::DOUBLE * count(*) FILTER (n < 5) / count(*), 4) AS below_5_pct, round(100.0::DOUBLE * count(*) FILTER (n < 10) / count(*), 4) AS below_10_pct, round(avg(gini), 6) AS mean,
+  round(stddev_samp(gini), 6) AS std, round(var_samp(gini), 6) AS var, round(max(gini) - min(gini), 6) AS ptp, round(quantile_cont(gini, 0.02), 6) AS p2, round(quantile_cont(gini, 0.98), 6) AS p98"""
+
 SQL: dict[str, str] = {
     "angle_adjust": f"WITH {PCD} SELECT point_counter, round(CASE WHEN 360 - 2 * vert_angle > 180 THEN 2 * vert_angle ELSE 360 - 2 * vert_angle END, 6) AS vert_angle, round(CASE WHEN 360 - 2 * vert_angle > 180 THEN horiz_angle - 180 ELSE horiz_angle END, 6) AS horiz_angle FROM pcd",
     "scanline_summary": f"WITH {LINES} SELECT scan_id, scanline_id, count(*) AS n, min(point_counter) AS first_point FROM lines GROUP BY 1, 2",
@@ -145,12 +150,20 @@ SQL: dict[str, str] = {
     "scanline_features": f"WITH {LINES}, wide3 AS (SELECT *, 3 AS k FROM lines),\n{_features('f_', 'wide3')} SELECT scan_id, point_counter, round(slope, 4) AS slope, round(slope_lstsq, 4) AS slope_lstsq, round(roughness, 4) AS roughness FROM f_shape",
     "break_segments": f"WITH {EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
     "knn_break_segments": f"WITH {KNN_EXPECTED},\n{_bent('b_', 'expected', 2.0)},\n{_broken('b_bent')}",
-    "segmentation_sweep": f"WITH {EXPECTED},\n" + ",\n".join(_bent(f"b{i}_", "expected", m) for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0))) + f"""
+    "segmentation_sweep": f"WITH {EXPECTED},\n" + ",\n".join(_bent(f"b{i}_", "expected", m) for i, m in enumerate(MULTIPLIERS)) + f"""
 SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, (1 + sum(flag) - arg_max(flag, (scanline_id, vert_angle, point_counter)))::BIGINT AS segments
 FROM (SELECT *, ({_FLAG.format(std="std_multiplier", curvature="curvature_threshold")})::BIGINT AS flag
-  FROM ({" UNION ALL ".join(f"SELECT *, {m}::DOUBLE AS neighborhood_multiplier FROM b{i}_bent" for i, m in enumerate((1.0, 1.25, 1.5, 1.75, 2.0)))}) b,
+  FROM ({" UNION ALL ".join(f"SELECT *, {m}::DOUBLE AS neighborhood_multiplier FROM b{i}_bent" for i, m in enumerate(MULTIPLIERS))}) b,
   (SELECT unnest([1, 15, 25, 35, 50, 65, 75, 85, 100])::DOUBLE AS std_multiplier) s, (SELECT unnest([20, 30, 40, 50, 60, 70])::DOUBLE AS curvature_threshold) c)
 GROUP BY ALL""",
+    "impurity_sweep": f"WITH {KNN_EXPECTED},\n" + ",\n".join(_bent(f"b{i}_", "expected", m) for i, m in enumerate(MULTIPLIERS)) + f""",
+flags AS (SELECT *, ({_FLAG.format(std="std_multiplier", curvature="curvature_threshold")})::BIGINT AS flag
+  FROM ({" UNION ALL ".join(f"SELECT *, {m}::DOUBLE AS neighborhood_multiplier FROM b{i}_bent" for i, m in enumerate(MULTIPLIERS))}) b,
+  (SELECT unnest([1, 15, 25, 35, 50, 65, 75, 85, 100])::DOUBLE AS std_multiplier) s, (SELECT unnest([20, 30, 40, 50, 60, 70])::DOUBLE AS curvature_threshold) c),
+swept AS (SELECT *, 1 + sum(flag) OVER (PARTITION BY scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold ORDER BY scanline_id, vert_angle, point_counter ROWS UNBOUNDED PRECEDING) - flag AS segment_id FROM flags),
+lab AS (SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, segment_id, label, count(*) AS c FROM swept GROUP BY ALL),
+gin AS (SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, segment_id, sum(c) AS n, round(1 - sum(c * c)::DOUBLE / (sum(c) * sum(c))::DOUBLE, 4) AS gini FROM lab GROUP BY ALL)
+SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, {_IMPURITY} FROM gin GROUP BY ALL""",
     "radius_counts": f"WITH {NEAR} SELECT src, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM near GROUP BY 1",
     "radius_counts_strict": f"WITH {PCD} SELECT q.point_counter AS src, count(*) AS n FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) < 0.25 GROUP BY 1",
     "neighbour_statistics": f"WITH {NEAR} SELECT src, count(*) AS n, "
@@ -188,9 +201,7 @@ r AS (
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
   UNION ALL SELECT 'weighted avg', sum(support * precision) / sum(support), sum(support * recall) / sum(support), sum(support * f1) / sum(support), sum(support) FROM f)
 SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM r""",
-    "impurity_report": f"""WITH {SHARES} SELECT scan_id, count(*) AS segments, count(*) FILTER (n < 5) AS below_5, count(*) FILTER (n < 10) AS below_10,
-  round(100.0::DOUBLE * count(*) FILTER (n < 5) / count(*), 4) AS below_5_pct, round(100.0::DOUBLE * count(*) FILTER (n < 10) / count(*), 4) AS below_10_pct, round(avg(gini), 6) AS mean,
-  round(stddev_samp(gini), 6) AS std, round(var_samp(gini), 6) AS var, round(max(gini) - min(gini), 6) AS ptp, round(quantile_cont(gini, 0.02), 6) AS p2, round(quantile_cont(gini, 0.98), 6) AS p98 FROM shares GROUP BY 1""",
+    "impurity_report": f"WITH {SHARES} SELECT scan_id, {_IMPURITY} FROM shares GROUP BY 1",
     "describe_groups": f"WITH {PCD} SELECT scan_id, label, count(rho) AS n, round(avg(rho), 6) AS mean, round(stddev_samp(rho), 6) AS std, round(min(rho), 6) AS low, round(quantile_cont(rho, 0.25), 6) AS q25, round(quantile_cont(rho, 0.5), 6) AS q50, round(quantile_cont(rho, 0.75), 6) AS q75, round(max(rho), 6) AS high FROM pcd GROUP BY 1, 2",
     "pivot_margins": """WITH t AS (SELECT l_returnflag AS name, avg(l_quantity) FILTER (l_linestatus = 'F') AS "F", avg(l_quantity) FILTER (l_linestatus = 'O') AS "O" FROM lineitem GROUP BY 1),
 s AS (SELECT *, coalesce("F", 0) + coalesce("O", 0) AS row_sum FROM t), u AS (SELECT * FROM s UNION ALL SELECT 'total', sum("F"), sum("O"), sum(row_sum) FROM s)
