@@ -22,9 +22,11 @@ joined by shuffle, where adaptive execution splits frequent pairs.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ from rangeloom.operators.staging import release, stage
 
 BROADCAST_PAIRS = 2_000_000
 _MEMO_ENTRIES = 150_000
+_JOINED = 1 << 15
+_BAR = "\u2581"
+#: Fixed value: how byte-level BPE splits a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BATCH_BYTES = 1 << 22
 #: Beside a space that may end a stretch there is none of these: white space in anyone's reading, controls, marks of no width.
 _ODD = "\\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u2581\u3000\ufeff"
@@ -65,105 +71,131 @@ def group_products(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray,
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and a memo of aligned stretches."""
+    """Both tokenizers, the bytes of their tokens, and a memo of aligned stretches.
+
+    A's vocabulary and the order of its merges come from the tokenizer's file; tiktoken applies them. ``memo`` stretches are kept,
+    those of a batch beyond them only until its end.
+    """
 
     def __init__(self, byte_file: str, piece_file: str, memo: int = _MEMO_ENTRIES):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.a = Tokenizer.from_file(byte_file)
-        self.a.encode_special_tokens = True
         byte_of = {x: b for b, x in enumerate(_byte_letters())}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in token)
+        made = json.loads(Path(byte_file).read_text(encoding="utf-8"))
+        plain = {bytes(byte_of[c] for c in token): i for token, i in made["model"]["vocab"].items() if i not in {t["id"] for t in made["added_tokens"]}}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
+        self.bytes_a = [b""] * (max(plain.values()) + 1)
+        for token, i in plain.items():
+            self.bytes_a[i] = token
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) else p.replace(_BAR, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.cuts = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        self.cuts = not any(_BAR in p.lstrip(_BAR) for p in pieces)
+        #: Each id as text, ended by what stands after it in a group: another of its side, the other side, the next group.
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.shown = [f"{i}{end}" for end in ",|;" for i in range(most)]
         self.most, self.known = memo, {}
-        self.text, self.numbers, self.pairs = [], np.zeros((0, 6), np.int64), np.zeros(0, np.int64)
-
-    def _aligned(self, stretches: Sequence[str]) -> None:
-        """Append the stretches to the memo: their group strings (None where bytes differ), numbers and linked pairs."""
-        coded_a = [e.ids for e in self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)]
-        coded_b = self.b.encode(list(stretches), num_threads=1)
-        whole = [(" " + s).encode() for s in stretches]
-        same = [b"".join([self.bytes_a[i] for i in x]) == w == b"".join([self.bytes_b[i] for i in y]) for x, y, w in zip(coded_a, coded_b, whole, strict=True)]
-        ids_a, ids_b = (np.array([i for x, ok in zip(c, same, strict=True) if ok for i in x], np.int64) for c in (coded_a, coded_b))
+        self.text: list[bytes] = []
+        self.numbers, self.pairs, self.bad = np.zeros((0, 6), np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _coded(self, stretches: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, ids of B, byte sizes, whether bytes agree) of stretches; plain ones are encoded many at a time, joined by the spaces between which they may stand."""
+        sizes = np.fromiter((len(s.encode()) + 1 for s in stretches), np.int64, len(stretches))
+        if plain:
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // _JOINED)) + 1).tolist(), len(stretches)]
+            texts = [" ".join(stretches[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        else:
+            texts = stretches
+        coded_a, coded_b = [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(c), np.int64) for c in (coded_a, coded_b))
+        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == b"".join([(" " + t).encode() for t in texts]) == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())):
+            return ids_a, ids_b, sizes, np.ones(len(stretches), bool)
+        if plain:
+            return self._coded(stretches, False)
+        same = [b"".join([self.bytes_a[i] for i in x]) == (" " + t).encode() == b"".join([self.bytes_b[i] for i in y]) for x, y, t in zip(coded_a, coded_b, texts, strict=True)]
+        kept = [np.array([i for x, ok in zip(c, same, strict=True) if ok for i in x], np.int64) for c in (coded_a, coded_b)]
+        return *kept, sizes, np.array(same)
+
+    def _aligned(self, stretches: list[str], plain: bool) -> None:
+        """Append the stretches to the memo: their group strings, numbers, linked pairs, and whether bytes differ."""
+        ids_a, ids_b, sizes, same = self._coded(stretches, plain)
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         cuts, own_a, own_b, both = intervals(ends_a, ends_b) if len(ids_a) else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
         shared = cuts[both]
         # Where each stretch ends among tokens, intervals and groups.
-        ends = np.cumsum([len(w) * ok for w, ok in zip(whole, same, strict=True)])
+        ends = np.cumsum(sizes * same)
         upto = [np.searchsorted(x, ends, side="right") for x in (ends_a, ends_b, shared, cuts)]
-        group_a, group_b = np.searchsorted(ends_a, shared, side="right"), np.searchsorted(ends_b, shared, side="right")
-        products = np.cumsum(np.diff(group_a, prepend=0) * np.diff(group_b, prepend=0))
-        upto.append(np.concatenate(([0], products))[upto[2]])
+        last_a, last_b = own_a[both], own_b[both]
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        upto.append(np.concatenate(([0], np.cumsum(size_a * size_b)))[upto[2]])
         numbers = np.stack([np.diff(u, prepend=0) for u in upto], 1)
-        lists_a, lists_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        strings, last_a, last_b = [], 0, 0
-        for to_a, to_b in zip(group_a.tolist(), group_b.tolist(), strict=True):
-            strings.append(f"{','.join(lists_a[last_a:to_a])}|{','.join(lists_b[last_b:to_b])}")
-            last_a, last_b = to_a, to_b
-        first = 0
-        for ok, to in zip(same, upto[2].tolist(), strict=True):
-            self.text.append(";".join(strings[first:to]).encode() if ok else None)
+        # Tokens in the order of groups, A's before B's, each with what ends it.
+        group_a, group_b = np.repeat(np.arange(len(shared)), size_a), np.repeat(np.arange(len(shared)), size_b)
+        after = (np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64))
+        after[0][last_a], after[1][last_b] = 1, 2
+        half = len(self.shown) // 3
+        line = np.empty(len(ids_a) + len(ids_b), np.int64)
+        line[np.arange(len(ids_a)) + np.concatenate(([0], np.cumsum(size_b)))[group_a]] = ids_a + half * after[0]
+        line[np.arange(len(ids_b)) + np.cumsum(size_a)[group_b]] = ids_b + half * after[1]
+        names = list(map(self.shown.__getitem__, line.tolist()))
+        tokens, first = (upto[0] + upto[1]).tolist(), 0
+        for to in tokens:
+            self.text.append("".join(names[first:to]).encode())
             first = to
         at = len(self.pairs) + upto[2] - numbers[:, 2]
         self.numbers = np.concatenate([self.numbers, np.concatenate([numbers, at[:, None]], 1)])
-        self.pairs = np.concatenate([self.pairs, ids_a[own_a[both]] << 32 | ids_b[own_b[both]]])
+        self.pairs = np.concatenate([self.pairs, ids_a[last_a] << 32 | ids_b[last_b]])
+        self.bad = np.concatenate([self.bad, ~same])
 
-    def _stretches(self, text: str) -> list[str]:
+    def _stretches(self, text: str) -> tuple[list[str], list[str]]:
+        """The text's stretches, and those of them that may not stand between any two others."""
         if not self.cuts:
-            return [text]
-        parts = text.split(" ")
-        # The memo holds only stretches that may stand between single spaces.
-        return parts if all(p in self.known or _PLAIN.fullmatch(p) for p in parts) else _CUT.split(text)
+            return [text], [text]
+        clear = text.replace("\n", "").isprintable() and not any(x in text for x in ("  ", " \n", "\n ", _BAR)) and text[0] not in " \n" and text[-1] not in " \n"
+        if clear:
+            return text.split(" "), []
+        parts = _CUT.split(text)
+        return parts, [p for p in parts if _BAR in p or not _PLAIN.fullmatch(p)]
 
     def align(self, texts: Sequence[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, n_overlaps, n_products, groups_sha256, pairs, times) of each text; zeros, no hash and no pairs for null, empty or differing ones."""
-        cut = [self._stretches(t) if t else [] for t in texts]
+        cut, odd, new = [], set(), set()
+        for t in texts:
+            parts, some = self._stretches(t) if t else ([], [])
+            cut.append(parts)
+            odd.update(some)
+            new.update(set(parts).difference(self.known))
         kept = len(self.known)
-        new = list(dict.fromkeys(s for parts in cut for s in parts if s not in self.known))
-        if new:
-            self.known.update({s: i for i, s in enumerate(new, kept)})
-            self._aligned(new)
+        mine, rest = sorted(new - odd), sorted(odd)
+        for names, plain in ((mine, True), (rest, False)):
+            if names:
+                at = len(self.text)
+                self._aligned(names, plain)
+                self.known.update(zip(names, range(at, len(self.text)), strict=True))
         out = []
+        none = np.zeros(0, np.int64)
         for parts in cut:
             at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-            strings = [self.text[i] for i in at.tolist()]
-            if not parts or None in strings:
-                out.append((0, 0, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            if not parts or self.bad[at].any():
+                out.append((0, 0, 0, 0, 0, 0, "", none, none))
                 continue
             numbers = self.numbers[at]
             n_a, n_b, groups, overlaps, products, _ = numbers.sum(0).tolist()
             times, start = numbers[:, 2], numbers[:, 5]
             places = np.arange(groups) + np.repeat(start - (np.cumsum(times) - times), times)
             pairs, counts = np.unique(self.pairs[places], return_counts=True)
-            out.append((n_a, n_b, groups, groups, overlaps, products, hashlib.sha256(b";".join(strings)).hexdigest(), pairs, counts))
-        # What cannot stand between spaces could not be found again, and a full memo takes no more.
-        if len(self.known) > self.most or any(not _PLAIN.fullmatch(s) for s in new):
-            room = self.most - kept
-            good = [i for i, s in enumerate(new) if _PLAIN.fullmatch(s)][: max(room, 0)]
-            self._keep(kept, [kept + i for i in good], new)
-        return out
-
-    def _keep(self, kept: int, more: list[int], new: list[str]) -> None:
-        """Of the stretches from place ``kept`` on, keep those at ``more``."""
-        for s in new:
+            shown = b"".join(map(self.text.__getitem__, at.tolist()))
+            out.append((n_a, n_b, groups, groups, overlaps, products, hashlib.sha256(memoryview(shown)[:-1]).hexdigest(), pairs, counts))
+        # Of the new stretches the memo keeps the first plain ones for which it has room.
+        stay = kept + min(len(mine), max(0, self.most - kept))
+        for s in chain(mine[stay - kept :], rest):
             del self.known[s]
-        for i, at in enumerate(more):
-            self.known[new[at - kept]] = kept + i
-        self.text = self.text[:kept] + [self.text[i] for i in more]
-        added = self.numbers[more]
-        last = int(self.numbers[kept, 5])
-        pairs = [self.pairs[s : s + n] for n, s in added[:, [2, 5]].tolist()]
-        added[:, 5] = last + np.cumsum(added[:, 2]) - added[:, 2]
-        self.numbers = np.concatenate([self.numbers[:kept], added])
-        self.pairs = np.concatenate([self.pairs[:last], *pairs])
+        del self.text[stay:]
+        last = int(self.numbers[stay, 5]) if stay < len(self.numbers) else len(self.pairs)
+        self.numbers, self.pairs, self.bad = self.numbers[:stay], self.pairs[:last], self.bad[:stay]
+        return out
 
 
 def _aligner(byte_file: str, piece_file: str) -> Aligner:

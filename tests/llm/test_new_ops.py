@@ -15,7 +15,7 @@ from rangeloom.llm import alignment, fill_middle, learned_partitions, queries
 
 FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
-TEXTS = [None, "", " ", "Hello there  big\n\nworld", "a ▁ b", "<|endoftext|> <s> </s> <0x41>", "it's 12,345.67!  ", "\ttab\x0b and\x1c 　 wide​", "日本語 😀 é ﬁ", "a\x00b ﻿c", "x" * 5000, LONG, "café naïve", " a \xa0b \x85 c", "Hello there  big\n\nworld"]
+TEXTS = [None, "", " ", "Hello there  big\n\nworld", "a ▁ b", "<|endoftext|> <s> </s> <0x41>", "it's 12,345.67!  ", "\ttab\x0b and\x1c 　 wide​", "日本語 😀 é ﬁ", "a\x00b ﻿c", "x" * 5000, "line one\nline two", "▁", "a▁b c", "it'll 9,9 🇫🇷👩‍👩‍👧 ok", LONG, "café naïve", " a \xa0b \x85 c", "Hello there  big\n\nworld"]
 ODD = "doc_id long, text string, row long, pair long, n int, key string, h1 int, form string, cut_1 int, links int, best int"
 
 
@@ -85,7 +85,7 @@ def test_alignment_memo_keeps_its_bound():
     for texts in (["one two three", "two  three", None], ["four five six seven eight", "one nine"], ["one two", "ten eleven \n twelve", "x ▁"]):
         for a, b in zip(few.align(texts), all_.align(texts), strict=True):
             assert a[:7] == b[:7] and a[7].tolist() == b[7].tolist() and a[8].tolist() == b[8].tolist()
-        assert len(few.known) <= 5 and len(few.text) == len(few.numbers) == len(few.known) and len(few.pairs) == few.numbers[:, 2].sum()
+        assert len(few.known) <= 5 and len(few.text) == len(few.numbers) == len(few.known) == len(few.bad) and len(few.pairs) == few.numbers[:, 2].sum()
 
 
 def test_alignment_query_equals_brute_force(spark, data):
