@@ -5,40 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion(rows: DataFrame, truth: str = "label", predicted: str = "pred") -> DataFrame:
-    """(truth, pred, n, share) over the union of both label sets, rows without any count included; share is of the truth's row, to 4 places."""
-    counts = rows.groupBy(F.col(truth).cast("int").alias("_t"), F.col(predicted).cast("int").alias("_p")).agg(F.count("*").alias("c"))
-    names = counts.select(F.col("_t").alias("v")).union(counts.select("_p")).distinct()
-    grid = names.select(F.col("v").alias("truth")).crossJoin(F.broadcast(names.select(F.col("v").alias("pred"))))
-    n = F.coalesce("c", F.lit(0))
-    met = grid.join(counts, (F.col("truth") == F.col("_t")) & (F.col("pred") == F.col("_p")), "left").select("truth", "pred", n.alias("n"))
-    total = F.sum("n").over(Window.partitionBy("truth"))
-    return met.select("truth", "pred", "n", F.round(F.coalesce(F.col("n") / F.nullif(total, F.lit(0)), F.lit(0.0)), 4).alias("share"))
-
-
-def report(rows: DataFrame, truth: str = "label", predicted: str = "pred") -> DataFrame:
-    """(name, precision, recall, f1, support) of each class, then accuracy, macro avg and weighted avg; undefined scores are 0."""
-    c = confusion(rows, truth, predicted)
-    hit = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
-    by_truth = c.groupBy("truth").agg(F.sum("n").alias("support"), hit.alias("hit"))
-    by_pred = c.groupBy(F.col("pred").alias("_p")).agg(F.sum("n").alias("named"))
-    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    per = by_truth.join(by_pred, F.col("truth") == F.col("_p")).select("truth", "support", "hit", share("hit", "named").alias("precision"), share("hit", "support").alias("recall"))
-    f1 = F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0))
-    per = per.withColumn("f1", f1)
+def _share(a: str | Column, b: Column) -> Column:
+    """a over b, 0 where b is 0."""
+    return F.coalesce((F.col(a) if isinstance(a, str) else a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+
+
+def confusion(rows: DataFrame, truth: str = "label", predicted: str = "pred", by: Sequence[str] = ()) -> DataFrame:
+    """(by, truth, pred, n, share) over the union of both label sets of each key, rows without any count included; share is of the truth's row, to 4 places.
+
+    Counts are the only thing that is shuffled. The labels of a key, which are few, come together in one row, and each truth is widened to them. A null label is in neither set.
+    """
+    keys = [F.col(f"`{c}`") for c in by] or [F.lit(0).alias("_all")]
+    counts = rows.groupBy(*keys, F.col(truth).cast("int").alias("truth"), F.col(predicted).cast("int").alias("pred")).agg(F.count("*").alias("n"))
+    names = list(by) or ["_all"]
+    both = F.array_sort(F.array_union(F.collect_set("truth"), F.collect_set("pred")))
+    wide = counts.groupBy(*names).agg(both.alias("_labels"), F.collect_list(F.struct("truth", "pred", "n")).alias("_cells"))
+    each = wide.select(*names, "_labels", "_cells", F.explode("_labels").alias("truth"))
+    each = each.select(*names, "truth", "_labels", F.map_from_entries(F.transform(F.filter("_cells", lambda c: (c["truth"] == F.col("truth")) & c["pred"].isNotNull()), lambda c: F.struct(c["pred"], c["n"]))).alias("_row"))
+    cells = each.select(*names, "truth", "_row", F.aggregate(F.map_values("_row"), F.lit(0).cast("long"), lambda s, n: s + n).alias("_sum"), F.explode("_labels").alias("pred"))
+    n = F.coalesce(F.element_at("_row", F.col("pred")), F.lit(0).cast("long"))
+    return cells.select(*by, "truth", "pred", n.alias("n"), F.round(_share(n, F.col("_sum")), 4).alias("share"))
+
+
+def report(rows: DataFrame, truth: str = "label", predicted: str = "pred", by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, precision, recall, f1, support) of each class, then accuracy, macro avg and weighted avg of each key; undefined scores are 0.
+
+    ``rows`` are read once: one keyed table of counts, a row for each class in it, and grouping sets that sum the classes up.
+    """
+    counts = rows.groupBy(*by, F.col(truth).cast("int").alias("_t"), F.col(predicted).cast("int").alias("_p")).agg(F.count("*").alias("_c")).where("_t is not null and _p is not null")
+    sides = F.explode(F.array(F.struct(F.col("_t").alias("class"), F.col("_c").alias("support"), F.lit(0).cast("long").alias("named")), F.struct(F.col("_p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("_c").alias("named"))))
+    met = counts.select(*by, sides.alias("_side"), F.when(F.col("_t") == F.col("_p"), F.col("_c")).otherwise(0).alias("_hit"))
+    per = met.groupBy(*by, F.col("_side.class").alias("class")).agg(F.sum("_side.support").alias("support"), F.sum("_side.named").alias("named"), (F.sum("_hit") / 2).cast("long").alias("hit"))
+    per = per.select(*by, "class", "support", "hit", _share("hit", F.col("named")).alias("precision"), _share("hit", F.col("support")).alias("recall"))
+    per = per.withColumn("f1", _share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     scores = ("precision", "recall", "f1")
-    all_rows = per.agg(
-        F.sum("support").alias("support"), (F.sum("hit") / F.sum("support")).alias("accuracy"),
-        *[F.avg(s).alias(f"m_{s}") for s in scores], *[(F.sum(F.col("support") * F.col(s)) / F.sum("support")).alias(f"w_{s}") for s in scores],
-    ).where("support > 0")
-    accuracy = all_rows.select(F.lit("accuracy").alias("name"), *[F.col("accuracy").alias(s) for s in scores], "support")
-    means = [all_rows.select(F.lit(n).alias("name"), *[F.col(f"{p}_{s}").alias(s) for s in scores], "support") for n, p in (("macro avg", "m"), ("weighted avg", "w"))]
-    classes = per.select(F.col("truth").cast("string").alias("name"), *scores, "support")
-    return classes.unionByName(accuracy).unionByName(means[0]).unionByName(means[1])
+    # A class is a group of one row, all classes of a key are the other.
+    sums = per.groupingSets([[*[F.col(c) for c in by], F.col("class")], [F.col(c) for c in by]], *by, "class").agg(
+        F.grouping("class").alias("_whole"), F.sum("support").alias("support"), F.sum("hit").alias("_hit"), *[F.avg(s).alias(s) for s in scores], *[F.sum(F.col("support") * F.col(s)).alias(f"_{s}") for s in scores]
+    )
+    line = lambda name, *values: F.struct(name.alias("name"), *[v.alias(s) for s, v in zip(scores, values, strict=True)])
+    accuracy = _share("_hit", F.col("support"))
+    totals = F.array(line(F.lit("accuracy"), accuracy, accuracy, accuracy), line(F.lit("macro avg"), *map(F.col, scores)), line(F.lit("weighted avg"), *[_share(f"_{s}", F.col("support")) for s in scores]))
+    lines = F.when(F.col("_whole") == 0, F.array(line(F.col("class").cast("string"), *map(F.col, scores)))).when(F.col("support") > 0, totals)
+    return sums.select(*by, "support", F.explode(lines).alias("_line")).select(*by, "_line.*", "support")
 
 
 def summed(confusions: DataFrame) -> DataFrame:
@@ -53,9 +66,15 @@ def union_reports(reports: dict[str, DataFrame], name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.withColumn(name, F.lit(k)) for k, r in reports.items()])
 
 
-def reports_by(rows: DataFrame, key: str, values: Sequence, truth: str = "label", predicted: str = "pred") -> DataFrame:
-    """A report for each of a few values of a column."""
-    return union_reports({str(v): report(rows.where(F.col(key) == v), truth, predicted) for v in values}, key)
+def reports_by(rows: DataFrame, key: str, truth: str = "label", predicted: str = "pred") -> DataFrame:
+    """A report for each value of a column, all from one table of counts; the value as text."""
+    return report(rows, truth, predicted, by=[key]).withColumn(key, F.col(key).cast("string"))
+
+
+def reports_of(tables: dict[str, DataFrame], name: str, truth: str = "label", predicted: str = "pred") -> DataFrame:
+    """A report for each of several tables, with its name as column ``name``; every table is read once."""
+    rows = [t.select(F.lit(k).alias(name), F.col(truth).cast("int").alias("_truth"), F.col(predicted).cast("int").alias("_told")) for k, t in tables.items()]
+    return report(reduce(DataFrame.unionByName, rows), "_truth", "_told", by=[name])
 
 
 def mean_percentage_error(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -131,6 +131,17 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spatial.voxel_means(cloud(spark, sf_dir), 2.0))
 
 
+def voxel_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of voxels of four sizes; the cloud is ten times as wide spaced as a scan, and so are the sizes."""
+    return _rounded(spatial.voxel_pyramid(cloud(spark, sf_dir), [10 * e for e in spatial.VOXEL_SIZES]))
+
+
+def voxel_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge, scan_id, voxels, points, snapped, ids): occupied voxels of each of four sizes and the points that stand for them, their different ids counted and all summed."""
+    snapped = spatial.snapped_voxels(cloud(spark, sf_dir), [10 * e for e in spatial.VOXEL_SIZES])
+    return snapped.groupBy("edge", "scan_id").agg(F.count("*").alias("voxels"), F.sum("n").alias("points"), F.count_distinct("point_counter").alias("snapped"), F.sum("point_counter").alias("ids"))
+
+
 def voxel_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.snap_to_points(cloud(spark, sf_dir), 2.0)
 
@@ -148,23 +159,30 @@ def neighbour_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface of each point's neighbours within a radius."""
     points = cloud(spark, sf_dir)
-    return spatial.surface(points, spatial.within_radius(points, points, RADIUS, carry=("x", "y", "z"))).drop("scan_id")
+    return _rounded(spatial.surface(points, spatial.within_radius(points, points, RADIUS, carry=("x", "y", "z"))).drop("scan_id"), 4)
 
 
 def knn_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface of each point's nearest neighbours, itself included."""
     points = cloud(spark, sf_dir)
-    return spatial.surface(points, spatial.nearest(points, points, KNN, RADIUS)).drop("scan_id")
+    return _rounded(spatial.surface(points, spatial.nearest(points, points, KNN, RADIUS)).drop("scan_id"), 4)
+
+
+def radius_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least eigenvalue's share of each point's neighbours within a radius, from two neighbours on."""
+    points = cloud(spark, sf_dir)
+    cov = spatial.covariances(points, spatial.within_radius(points, points, RADIUS, carry=("x", "y", "z")))
+    return _rounded(spatial.principal_axes(cov, few=1).select("src", "n", "curvature"))
 
 
 def surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten attributes' statistics around each point, those of the surface included."""
-    return spatial.surroundings(cloud(spark, sf_dir), RADIUS).drop("scan_id")
+    return _rounded(spatial.surroundings(cloud(spark, sf_dir), RADIUS).drop("scan_id"), 4)
 
 
 def roughness_at_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roughness at several radii of every thirtieth point."""
-    return spatial.roughness_at_radii(ordered.every_nth(cloud(spark, sf_dir), 30, ["point_counter"]), (1.0, 2.5, 5.0, 10.0)).drop("scan_id")
+    return _rounded(spatial.roughness_at_radii(ordered.every_nth(cloud(spark, sf_dir), 30, ["point_counter"]), (1.0, 2.5, 5.0, 10.0)).drop("scan_id"), 4)
 
 
 def centred_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +197,7 @@ def nearest_result_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = full.join(snapped, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p", "pred")
     three = three.withColumn("pred", ((F.col("label") + (F.col("point_counter") % 5 == 0).cast("int")) % 6).cast("int"))
     two = spatial.nearest_values(full.withColumn("point_counter", F.col("point_counter") + 1_000_000_000), three, ["label", "pred"], RADIUS)
-    return _rounded(metrics.union_reports({"3d": metrics.report(three), "2d": metrics.report(two)}, "id"))
+    return _rounded(metrics.reports_of({"3d": three, "2d": two}, "id"))
 
 
 def view_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +333,7 @@ def summed_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all scans in one table."""
-    return _rounded(metrics.reports_by(cloud(spark, sf_dir), "scan_id", range(4)))
+    return _rounded(metrics.reports_by(cloud(spark, sf_dir), "scan_id"))
 
 
 def three_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +360,8 @@ def label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     angle_adjust, scanline_summary, rho_diff, gradient_curvature, segment_stats, segment_labels, segment_representatives, segment_table, range_profile, expected_distance, scanline_features,
-    break_segments, knn_break_segments, segmentation_sweep, impurity_sweep, threshold_sweep, radius_counts, radius_counts_strict, knn_mean_distance, voxels, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals,
-    knn_normals, surroundings, roughness_at_radii, view_vectors, centred_by_median, nearest_result_report, label_left_join, label_unfold, inner_unfold, drop_class_recode, named_labels, chosen_columns,
+    break_segments, knn_break_segments, segmentation_sweep, impurity_sweep, threshold_sweep, radius_counts, radius_counts_strict, knn_mean_distance, voxels, voxel_pyramid, voxel_sweep, voxel_snap, neighbour_covariance, neighbour_statistics, pca_normals,
+    radius_curvature, knn_normals, surroundings, roughness_at_radii, view_vectors, centred_by_median, nearest_result_report, label_left_join, label_unfold, inner_unfold, drop_class_recode, named_labels, chosen_columns,
     class_weights, row_weights, stratified_sample, exact_sample, random_split, fold_roles, confusion_matrix, summed_confusions, classification_report, scan_reports, three_reports, percentage_error,
     impurity_report, describe_groups, pivot_margins, drop_one_importance, linear_fits, correlation_matrix, label_ranking, scaled_top_runs, running_point_ids, stride_rows,
 )

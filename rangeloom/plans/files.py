@@ -50,8 +50,8 @@ def parameter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares.select("scan", "n", "gini").write.partitionBy("scan").csv(tables, header=True)
     runs = spark.range(4).select(F.concat(F.lit("scan"), "id").alias("scan"), (25 + F.col("id")).alias("std_multiplier"), F.lit(30).cast("long").alias("curvature_threshold"), F.lit(2).cast("long").alias("neighborhood_multiplier"))
     names = ("std_multiplier", "curvature_threshold", "neighborhood_multiplier")
-    layouts.write_report(runs, params)
-    layouts.write_report(runs.limit(0), params, append=True)
+    layouts.write_report(runs.where("scan < 'scan2'"), params)
+    layouts.write_report(runs.where("scan >= 'scan2'"), params, append=True)
     # Spark names its files itself, so the run's name stands for the file's.
     named = lambda df: df.withColumn("path", F.concat(F.lit("/gini/"), "scan", F.lit(".txt")))
     rows = named(spark.read.schema("n long, gini double, scan string").option("header", True).csv(tables))
@@ -71,8 +71,7 @@ def confusion_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the confusion matrices that a folder holds, one file for each scan."""
     path = scratch_path(spark, "confusions")
     points = cloud(spark, sf_dir)
-    each = [metrics.confusion(points.where(F.col("scan_id") == i)).withColumn("scan", F.lit(i)) for i in range(4)]
-    layouts.write_confusion(reduce(DataFrame.unionByName, each), path, by=["scan"])
+    layouts.write_confusion(metrics.confusion(points, by=["scan_id"]), path, by=["scan_id"])
     return rounded(metrics.summed(layouts.read_confusions(spark, path)))
 
 
@@ -85,4 +84,12 @@ def classified_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layouts.read_points(spark, path, layouts.CLASSIFIED13).select("point_counter", "x", "label", "predicted"), 4)
 
 
-QUERIES = {f.__name__: f for f in (layout_scans, segment_file, parameter_join, partner_files, confusion_files, classified_points)}
+def file_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the lines of files without a counter, over the files in name order; a point is known again by its angle."""
+    points = cloud(spark, sf_dir).withColumns({"intensity": F.lit(0.5), "blue": F.lit(7)})
+    path = scratch_path(spark, "raw10")
+    layouts.write_points(points.repartitionByRange("scan_id", "point_counter").sortWithinPartitions("scan_id", "point_counter"), path, layouts.RAW10)
+    return layouts.numbered_points(spark, path, layouts.RAW10).select(F.round(F.col("horiz_angle") * 50).cast("long").alias("point_counter"), "point_id")
+
+
+QUERIES = {f.__name__: f for f in (layout_scans, segment_file, parameter_join, partner_files, confusion_files, classified_points, file_point_ids)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rangeloom.operators.axes import CELLS, axis_steps
+
 _ENDS = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("x", "y", "z", "rho", "horiz_angle"))
 PCD = """pcd AS (
   SELECT event_id AS point_counter, user_id % 4 AS scan_id, user_id % 6 AS label,
@@ -133,6 +135,34 @@ _REPRESENT = ", ".join(
 )
 _TARGETS = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{t}" for t, p in (("median", 0.5), ("perc2nd", 0.02), ("perc98th", 0.98)) for c in "xyz")
 
+_CELLS = ", ".join(f"covar_samp({c[1]}, {c[2]}) AS {c}" for c in CELLS)
+_CENTRED = """centred AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz FROM pcd WINDOW w AS (PARTITION BY scan_id)),
+views AS (SELECT scan_id, point_counter, x AS ox, y AS oy, z AS oz, red, green, vert_angle, coalesce(-dx / r, 0) AS lx, coalesce(-dy / r, 0) AS ly, coalesce(-dz / r, 0) AS lz FROM (SELECT *, nullif(sqrt(dx * dx + dy * dy + dz * dz), 0) AS r FROM centred))"""
+
+
+def _axes(name: str, of: str, prefix: str = "", few: int = 2) -> str:
+    """Relation ``name``: ``of`` with curvature and normal, through the steps of the closed form."""
+    steps = axis_steps(prefix, few)
+    chain = [f"{name}{i} AS (SELECT *, {', '.join(f'{v} AS {c}' for c, v in step.items())} FROM {f'{name}{i - 1}' if i else of})" for i, step in enumerate(steps)]
+    return ",\n".join([*chain, f"{name} AS (SELECT o.*, {', '.join(f'l.{c}' for c in steps[-1])} FROM {of} o JOIN {name}{len(steps) - 1} l USING (scan_id, src))"])
+
+
+def _surface(near: str) -> str:
+    """``surface`` of a relation of neighbours (scan_id, src, x, y, z)."""
+    return f"""cov AS (SELECT scan_id, src, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {_CELLS} FROM {near} GROUP BY 1, 2),
+{_axes("axes", "cov")},
+{_CENTRED},
+turns AS (SELECT a.scan_id, src, n, curvature, mx, my, mz, ox, oy, oz, red, green, vert_angle, CASE WHEN nx * lx + ny * ly + nz * lz < 0 THEN -1 ELSE 1 END AS t, nx, ny, nz FROM axes a JOIN views v ON v.scan_id = a.scan_id AND v.point_counter = a.src),
+surface AS (
+  SELECT scan_id, src, n, curvature, t * nx AS nx, t * ny AS ny, t * nz AS nz, abs((ox - mx) * nx + (oy - my) * ny + (oz - mz) * nz) AS roughness,
+         CASE WHEN n > 2 THEN degrees(acos(least(greatest(t * nz, -1), 1))) ELSE 0 END AS zenith_angle, ox AS x, oy AS y, oz AS z, red, green, vert_angle FROM turns)"""
+
+
+_SURFACE = "SELECT src, n, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("curvature", "nx", "ny", "nz", "roughness", "zenith_angle")) + " FROM surface"
+_AROUND = ("z", "red", "green", "vert_angle", "zenith_angle", "curvature", "roughness", "nx", "ny", "nz")
+_RADII = (1.0, 2.5, 5.0, 10.0)
+
+
 _IMPURITY = """count(*) AS segments, count(*) FILTER (n < 5) AS below_5, count(*) FILTER (n < 10) AS below_10,
   round(100.0::DOUBLE * count(*) FILTER (n < 5) / count(*), 4) AS below_5_pct, round(100.0::DOUBLE * count(*) FILTER (n < 10) / count(*), 4) AS below_10_pct, round(avg(gini), 6) AS mean,
   round(stddev_samp(gini), 6) AS std, round(var_samp(gini), 6) AS var, round(max(gini) - min(gini), 6) AS ptp, round(quantile_cont(gini, 0.02), 6) AS p2, round(quantile_cont(gini, 0.98), 6) AS p98"""
@@ -176,11 +206,44 @@ SELECT scan_id, neighborhood_multiplier, std_multiplier, curvature_threshold, {_
 d AS (SELECT q.point_counter AS src, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), 16) AS d FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id GROUP BY 1)
 SELECT src, round(list_sum(d[2:]) / len(d[2:]), 6) AS mean_dist, round(d[-1], 6) AS kth_dist FROM d WHERE len(d) > 1""",
     "voxels": f"WITH {PCD} SELECT scan_id, floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM pcd GROUP BY 1, 2, 3, 4",
+    "voxel_pyramid": f"WITH {PCD}, cells AS (" + " UNION ALL ".join(
+        f"SELECT {e}::DOUBLE AS edge, scan_id, " + ", ".join(f"floor(floor({c} / {b}::DOUBLE) / {r})::BIGINT AS v{c}" for c in "xyz") + ", x, y, z FROM pcd" for e, b, r in ((2.0, 0.5, 4), (1.0, 0.5, 2), (0.5, 0.5, 1), (0.3, 0.3, 1))
+    ) + ") SELECT edge, scan_id, vx, vy, vz, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM cells GROUP BY 1, 2, 3, 4, 5",
+    "voxel_sweep": f"WITH {PCD}, v AS (" + " UNION ALL ".join(
+        f"SELECT {e}::DOUBLE AS edge, scan_id, " + ", ".join(f"floor(floor({c} / {b}::DOUBLE) / {r})::BIGINT AS v{c}" for c in "xyz") + ", count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pcd GROUP BY 1, 2, 3, 4, 5" for e, b, r in ((2.0, 0.5, 4), (1.0, 0.5, 2), (0.5, 0.5, 1), (0.3, 0.3, 1))
+    ) + """),
+near AS (SELECT edge, v.scan_id, vx, vy, vz, n, arg_min(point_counter, (round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 9), point_counter)) AS p FROM v JOIN pcd ON pcd.scan_id = v.scan_id
+  AND abs(x - mx) <= 2 * edge AND abs(y - my) <= 2 * edge AND abs(z - mz) <= 2 * edge GROUP BY ALL)
+SELECT edge, scan_id, count(*) AS voxels, sum(n)::BIGINT AS points, count(DISTINCT p) AS snapped, sum(p)::BIGINT AS ids FROM near GROUP BY 1, 2""",
     "voxel_snap": f"""WITH {PCD}, v AS (SELECT scan_id, floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pcd GROUP BY 1, 2, 3, 4)
 SELECT v.scan_id, vx, vy, vz, arg_min(point_counter, (round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 9), point_counter)) AS point_counter FROM v JOIN pcd p ON p.scan_id = v.scan_id GROUP BY 1, 2, 3, 4""",
     "neighbour_covariance": f"WITH {NEAR} SELECT src, count(*) AS n, round(avg(x), 9) AS mx, round(avg(y), 9) AS my, round(avg(z), 9) AS mz, "
     + ", ".join(f"round(covar_samp({a}, {b}), 9) + 0.0 AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
     + " FROM near GROUP BY 1",
+    "pca_normals": f"WITH {NEAR},\n{_surface('near')}\n{_SURFACE}",
+    "radius_curvature": f"WITH {NEAR}, cov AS (SELECT scan_id, src, count(*) AS n, {_CELLS} FROM near GROUP BY 1, 2),\n{_axes('axes', 'cov', few=1)} SELECT src, n, round(curvature, 6) + 0.0 AS curvature FROM axes",
+    "knn_normals": f"""WITH {PCD},
+kth AS (SELECT q.scan_id, q.point_counter, max(d) AS far FROM (SELECT q.scan_id, q.point_counter, unnest(min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)), 16)) AS d FROM pcd q JOIN pcd p ON p.scan_id = q.scan_id GROUP BY 1, 2) q GROUP BY 1, 2),
+pairs AS (SELECT q.scan_id, q.point_counter AS src, p.point_counter AS dst, p.x, p.y, p.z, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS dist, far
+  FROM pcd q JOIN kth k ON k.scan_id = q.scan_id AND k.point_counter = q.point_counter JOIN pcd p ON p.scan_id = q.scan_id),
+knn AS (SELECT * FROM pairs WHERE dist <= far QUALIFY row_number() OVER (PARTITION BY scan_id, src ORDER BY dist, (src <> dst)::INT, dst) <= 16),
+{_surface('knn')}
+{_SURFACE}""",
+    "surroundings": f"WITH {NEAR},\n{_surface('near')},\naround AS (SELECT q.scan_id, q.src, {', '.join('p.' + a for a in _AROUND)} FROM surface q JOIN surface p ON p.scan_id = q.scan_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 1)\nSELECT src, count(*) AS n, "
+    + ", ".join(
+        f"round(CASE WHEN count(*) > 2 THEN {v} ELSE 0 END, 4) + 0.0 AS {a}_{t}"
+        for a in _AROUND
+        for t, v in (("mean", f"avg({a})"), ("std", f"stddev_pop({a})"), *((t, f"quantile_cont({a}::DOUBLE, {q})") for t, q in (("perc2nd", 0.02), ("perc25th", 0.25), ("perc75th", 0.75), ("perc98th", 0.98))))
+    )
+    + " FROM around GROUP BY scan_id, src",
+    "roughness_at_radii": f"WITH {PCD}, thinned AS (SELECT * FROM pcd QUALIFY row_number() OVER (ORDER BY point_counter) % 30 = 1),\nnear AS (SELECT q.scan_id, q.point_counter AS src, q.x AS ox, q.y AS oy, q.z AS oz, p.x, p.y, p.z, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS dist FROM thinned q JOIN thinned p ON p.scan_id = q.scan_id),\n"
+    + ",\n".join(
+        f"cov_{i}_ AS (SELECT scan_id, src, any_value(ox) AS ox, any_value(oy) AS oy, any_value(oz) AS oz, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {_CELLS} FROM near WHERE dist < {r} GROUP BY 1, 2),\n{_axes(f'axes_{i}_', f'cov_{i}_')}"
+        for i, r in enumerate(_RADII)
+    )
+    + "\nSELECT src, "
+    + ", ".join(f"round(abs((a{i}.ox - a{i}.mx) * a{i}.nx + (a{i}.oy - a{i}.my) * a{i}.ny + (a{i}.oz - a{i}.mz) * a{i}.nz), 4) + 0.0 AS roughness_{i}" for i in range(4))
+    + " FROM axes_0_ a0 " + " ".join(f"JOIN axes_{i}_ a{i} USING (scan_id, src)" for i in range(1, 4)),
     "view_vectors": f"WITH {PCD}, c AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz FROM pcd WINDOW w AS (PARTITION BY scan_id)), l AS (SELECT *, nullif(sqrt(dx * dx + dy * dy + dz * dz), 0) AS r FROM c) SELECT point_counter, "
     + ", ".join(f"coalesce(round(-d{c} / r, 6), 0) + 0.0 AS v{c}" for c in "xyz")
     + " FROM l",
@@ -214,6 +277,7 @@ SELECT drop_col, count(*) AS n, round(avg(base - f1), 2) AS importance FROM b WH
 g AS (SELECT *, abs((n - min(n) OVER ())::DOUBLE / nullif(max(n) OVER () - min(n) OVER (), 0) - (mean_price - min(mean_price) OVER ()) / nullif(max(mean_price) OVER () - min(mean_price) OVER (), 0)) AS gap FROM r)
 SELECT o_custkey, n, round(mean_price, 6) AS mean_price, round(gap, 6) AS gap FROM g ORDER BY g.gap, o_custkey LIMIT 15""",
     "running_point_ids": f"WITH {PCD} SELECT point_counter, row_number() OVER (ORDER BY scan_id, point_counter) - 1 AS point_id FROM pcd",
+    "file_point_ids": f"WITH {PCD} SELECT point_counter, row_number() OVER (ORDER BY scan_id, point_counter) - 1 AS point_id FROM pcd",
     "stride_rows": f"WITH {LINES}, r AS (SELECT *, row_number() OVER (ORDER BY scan_id, point_counter) AS r FROM lines WHERE scanline_id IN (1, 100, 1000, 2000, 3000, 4000)) SELECT point_counter, scanline_id FROM r WHERE (r - 1) % 30 = 0",
     "threshold_sweep": f"WITH {LINES} SELECT scan_id, count(*) AS n, t.threshold, 1 + count(*) FILTER (rho_diff > t.threshold) - arg_max((rho_diff > t.threshold)::BIGINT, (scanline_id, vert_angle, point_counter)) AS segments FROM lines, (VALUES (40.0::DOUBLE), (80.0::DOUBLE), (120.0::DOUBLE)) t(threshold) GROUP BY scan_id, t.threshold",
     "segment_table": f"WITH {RAISED}, aim AS (SELECT scan_id, segment_id, {_TARGETS} FROM segs GROUP BY 1, 2), near AS (SELECT scan_id, segment_id, {_REPRESENT} FROM segs JOIN aim USING (scan_id, segment_id) GROUP BY 1, 2), "

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from rangeloom.operators.names import fresh
+from rangeloom.operators.staging import stage
+
 _KINDS = {**dict.fromkeys(("red", "green", "blue", "label", "predicted"), IntegerType()), **dict.fromkeys(("point_counter", "scanline_id", "segment_id"), LongType())}
 # Columns of the layouts and print formats.
 RAW10 = ("x", "y", "z", "intensity", "red", "green", "blue", "rho", "horiz_angle", "vert_angle")
@@ -29,11 +32,29 @@ def layout_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, _KINDS.get(c, DoubleType())) for c in columns])
 
 
-def read_points(spark: SparkSession, path: str, columns: Sequence[str], sep: str = " ") -> DataFrame:
-    """Headerless text in a layout, file or folder, with the path of each row's file; NaN becomes null and blanks are left out."""
+def read_points(spark: SparkSession, path: str, columns: Sequence[str], sep: str = " ", more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Headerless text in a layout, file or folder, with the path of each row's file and ``more`` columns that are known in the scan; NaN becomes null and blanks are left out."""
     raw = spark.read.schema(layout_schema(columns)).option("sep", sep).option("nanValue", "nan").csv(path)
     kept = [F.nanvl(c, F.lit(None).cast("double")).alias(c) if raw.schema[c].dataType == DoubleType() else F.col(c) for c in columns if not c.startswith("blank")]
-    return raw.select(*kept, F.col("_metadata.file_path").alias("path"))
+    return raw.select(*kept, F.col("_metadata.file_path").alias("path"), *[v.alias(c) for c, v in (more or {}).items()])
+
+
+def numbered_points(spark: SparkSession, path: str, columns: Sequence[str], sep: str = " ", out: str = "point_id") -> DataFrame:
+    """``read_points`` with the number of each row from 0 over all files in the order of their paths and lines, for files that hold no counter.
+
+    Files may be cut into any number of splits. A split's rows come in order, so a row's number is its place in the split and the rows of the splits
+    before, of which there is one row each; no row of points is shuffled or sorted. Blank lines have no number.
+    """
+    block, at, first, base = fresh(columns, "_block", "_at", "_first", "_base")
+    raw = read_points(spark, path, columns, sep, {block: F.col("_metadata.file_block_start"), at: F.monotonically_increasing_id()})
+    # Written once: numbers within a split must be those of the scan that counted it.
+    rows = stage(raw, "numbered")
+    splits = rows.groupBy("path", block).agg(F.count("*").alias("n"), F.min(at).alias(first))
+    before = Window.orderBy("path", block).rowsBetween(Window.unboundedPreceding, -1)
+    names = fresh([*rows.columns, first, base], "_path", "_split")
+    splits = stage(splits.select(F.col("path").alias(names[0]), F.col(block).alias(names[1]), first, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base)), "splits")
+    met = rows.join(splits, (F.col("path") == F.col(names[0])) & (F.col(block) == F.col(names[1])))
+    return met.select(*[F.col(c) for c in rows.columns if c not in (block, at, out)], (F.col(base) + F.col(at) - F.col(first)).alias(out))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
