@@ -31,12 +31,12 @@ def confusion(rows: DataFrame, truth: str = "label", predicted: str = "pred", by
     return cells.select(*by, "truth", "pred", n.alias("n"), F.round(_share(n, F.col("_sum")), 4).alias("share"))
 
 
-def report(rows: DataFrame, truth: str = "label", predicted: str = "pred", by: Sequence[str] = ()) -> DataFrame:
+def report(rows: DataFrame, truth: str = "label", predicted: str = "pred", by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """(by, name, precision, recall, f1, support) of each class, then accuracy, macro avg and weighted avg of each key; undefined scores are 0.
 
-    ``rows`` are read once: one keyed table of counts, a row for each class in it, and grouping sets that sum the classes up.
+    ``count`` names a column of how often a row counts. ``rows`` are read once: one keyed table of counts, a row for each class in it, and grouping sets that sum the classes up.
     """
-    counts = rows.groupBy(*by, F.col(truth).cast("int").alias("_t"), F.col(predicted).cast("int").alias("_p")).agg(F.count("*").alias("_c")).where("_t is not null and _p is not null")
+    counts = rows.groupBy(*by, F.col(truth).cast("int").alias("_t"), F.col(predicted).cast("int").alias("_p")).agg((F.sum(count) if count else F.count("*")).alias("_c")).where("_t is not null and _p is not null")
     sides = F.explode(F.array(F.struct(F.col("_t").alias("class"), F.col("_c").alias("support"), F.lit(0).cast("long").alias("named")), F.struct(F.col("_p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("_c").alias("named"))))
     met = counts.select(*by, sides.alias("_side"), F.when(F.col("_t") == F.col("_p"), F.col("_c")).otherwise(0).alias("_hit"))
     per = met.groupBy(*by, F.col("_side.class").alias("class")).agg(F.sum("_side.support").alias("support"), F.sum("_side.named").alias("named"), (F.sum("_hit") / 2).cast("long").alias("hit"))

@@ -42,7 +42,7 @@ def running_totals(df: DataFrame, values: Mapping[str, Column | str], order: Seq
         (slot,) = fresh(df.columns, "_total_slot")
         df = ranged(df, order, by, slot)
     summed = {c: F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)) for c, v in values.items()}
-    names, same, used = _of_slot(df.columns, slot, by)
+    names, same, used = _of_slot([*df.columns, *values], slot, by)
     (base,) = fresh([*df.columns, *used, *values], "_base")
     sums = df.groupBy(slot, *keys).agg(*[F.sum(v).alias(f"{base}{i}") for i, v in enumerate(summed.values())])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +62,7 @@ def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str,
 def with_neighbours(df: DataFrame, value: str, order: Sequence[str], before: str, after: str, by: Sequence[str] = (), slot: str = "_slot") -> DataFrame:
     """``df``, which ``ranged`` has made in this total order, with ``value`` of the row before and after each row of its key; null at the ends."""
     keys = [F.col(f"`{c}`") for c in by]
-    names, same, used = _of_slot(df.columns, slot, by)
+    names, same, used = _of_slot([*df.columns, before, after], slot, by)
     held, place = F.struct(F.col(value).alias("v")), F.struct(*order)
     prior, later = fresh([*df.columns, *used, before, after], "_before", "_after")
     ends = df.groupBy(slot, *keys).agg(F.min_by(held, place).alias("_first"), F.max_by(held, place).alias("_last"))

@@ -34,9 +34,9 @@ def classify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boosted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted boosted models, one per class, trained on three scans; predictions for the fourth's segments."""
+    """A weighted model boosted on the softmax loss, trained on three scans; predictions for the fourth's segments."""
     train, test = _train_test(spark, sf_dir)
-    return models.predict(models.fit(train, FEATURES, kind="boosted", weight="weight", trees=3, depth=3), test).select("scan_id", "segment_id", "label", "predicted")
+    return models.predict(models.fit(train, FEATURES, kind="boosted", weight="weight", trees=4, depth=3), test).select("scan_id", "segment_id", "label", "predicted")
 
 
 def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,20 +50,48 @@ def fold_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.unionByName(models.validation_report(model, table).withColumn("fold", F.lit("validation")))
 
 
+def boosted_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's share of the gain of a boosted model's splits."""
+    return models.importances(models.fit(labelled_segments(spark, sf_dir), FEATURES, kind="boosted", weight="weight", trees=3, depth=3))
+
+
+def boosted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two folds whose boosted models train together."""
+    return models.fold_runs(labelled_segments(spark, sf_dir), FEATURES, "scan_id", labels.fold_pairs(range(4), 2), weight="weight", trees=3, depth=3)
+
+
 def drop_one_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.drop_one_runs(*_train_test(spark, sf_dir), ATTRIBUTES, STATISTICS, by="attribute", trees=5, depth=4)
+    """Scores with each attribute left out."""
+    return models.drop_one_runs(*_train_test(spark, sf_dir), ATTRIBUTES, STATISTICS, by="attribute", trees=3, depth=3)
+
+
+def drop_statistic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with each statistic left out."""
+    return models.drop_one_runs(*_train_test(spark, sf_dir), ATTRIBUTES, STATISTICS, by="statistic", trees=3, depth=3)
+
+
+def drop_column_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with each single column left out."""
+    return models.drop_one_runs(*_train_test(spark, sf_dir), ATTRIBUTES, STATISTICS, by="column", trees=3, depth=3)
 
 
 def drop_class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.drop_class_runs(*_train_test(spark, sf_dir), FEATURES, (1, 2), trees=5, depth=4)
+    """Reports with each of the six classes left out."""
+    return models.drop_class_runs(*_train_test(spark, sf_dir), FEATURES, range(6), trees=3, depth=3)
 
 
 def parameter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.parameter_runs(*_train_test(spark, sf_dir), FEATURES, {"trees": [2, 5], "depth": [2, 4]}, kind="forest")
+    """Scores of twelve combinations of boosting parameters; four runs train together."""
+    return models.parameter_runs(*_train_test(spark, sf_dir), FEATURES, {"trees": [1, 2, 4], "depth": [2, 4], "rate": [0.1, 0.3]}, weight="weight")
 
 
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.random_search(labelled_segments(spark, sf_dir), FEATURES, {"numTrees": [2, 5, 8], "maxDepth": [2, 4, 6]}, candidates=3)[1]
 
 
-QUERIES = {f.__name__: f for f in (classify_segments, boosted_segments, forest_importances, fold_reports, drop_one_runs, drop_class_runs, parameter_runs, random_search)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        classify_segments, boosted_segments, forest_importances, boosted_importances, fold_reports, boosted_folds, drop_one_runs, drop_statistic_runs, drop_column_runs, drop_class_runs, parameter_runs, random_search,
+    )
+}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.operators import labels, spatial
+from rangeloom.operators import labels, ordered, spatial
 from rangeloom.plans import catalogue, models, training
 from rangeloom.plans.cloud import cloud
 
@@ -61,7 +61,8 @@ def test_radius_surface_equals_brute_force(spark, data, points):
 
 
 def test_knn_surface_equals_brute_force(spark, data, points):
-    check_surface(catalogue.knn_normals(spark, data).collect(), points, lambda d: np.argsort(d, kind="stable")[: catalogue.KNN])
+    wide = cloud(spark, data)
+    check_surface(spatial.surface(wide, spatial.nearest(wide, wide, catalogue.KNN, catalogue.RADIUS)).collect(), points, lambda d: np.argsort(d, kind="stable")[: catalogue.KNN])
 
 
 def test_surroundings_equal_brute_force(spark, data, points):
@@ -84,7 +85,8 @@ def test_surroundings_equal_brute_force(spark, data, points):
 
 
 def test_roughness_at_radii_equals_brute_force(spark, data, points):
-    got = {r.src: r for r in catalogue.roughness_at_radii(spark, data).collect()}
+    thinned = ordered.every_nth(cloud(spark, data), 30, ["point_counter"])
+    got = {r.src: r for r in spatial.roughness_at_radii(thinned, (1.0, 2.5, 5.0, 10.0)).collect()}
     kept = sorted(r.point_counter for rows in points.values() for r in rows)[::30]
     assert sorted(got) == kept
     for rows in points.values():
@@ -124,7 +126,7 @@ def test_models_find_planted_labels(planted, kind, weight):
 
 
 def test_training_runs_find_planted_labels(spark, planted):
-    features, how = ["z_std", "rho_std", "red_std"], {"trees": 8, "depth": 4}
+    features, how = ["z_std", "rho_std", "red_std"], {"trees": 6, "depth": 3}
     reports, model = models.fold_reports(planted, features, "scan_id", [(0, 1), (2, 3)], **how)
     right = {(r.fold, r.name): r.f1 for r in reports.collect()}
     assert len(right) == 14 and all(v == 1 for v in right.values())
@@ -136,8 +138,11 @@ def test_training_runs_find_planted_labels(spark, planted):
     assert runs["none"] == (1, 1) and runs["z"] == runs["rho"] == runs["red"] == (0, 1)
     dropped = models.drop_class_runs(train, test, features, (1,), **how).collect()
     assert {r.name for r in dropped} == {"0", "1", "2", "accuracy", "macro avg", "weighted avg"} and all(r.f1 == 1 for r in dropped)
-    grid = models.parameter_runs(train, test, features, {"trees": [3], "depth": [1, 3]}, kind="boosted").collect()
-    assert {(r.trees, r.depth): r.f1 for r in grid}[(3, 3)] == 1
+    grid = {(r.trees, r.depth): r.f1 for r in models.parameter_runs(train, test, features, {"trees": [1, 4], "depth": [1, 3]}).collect()}
+    assert set(grid) == {(1, 1), (1, 3), (4, 1), (4, 3)} and grid[(4, 3)] == 1
+    together = {(r.fold, r.name): r.f1 for r in models.fold_runs(planted, features, "scan_id", [(0, 1), (2, 3)], weight="weight", trees=4, depth=3).collect()}
+    assert len(together) == 14 and all(v == 1 for v in together.values())
+    assert models.importances(models.fit(planted, features, kind="boosted", trees=3, depth=3)).collect()[-1].feature == "red_std"
     best, tried = models.random_search(train, features, {"numTrees": [3, 6], "maxDepth": [1, 4]}, candidates=3)
     assert tried.count() == 3 and best["maxDepth"] == 4 and max(r.f1 for r in tried.collect()) > 0.99
 
@@ -160,8 +165,6 @@ def test_long_scans_are_many_tasks(spark, data):
     """Scanline ids of one scan over more partitions than scans, as those of a single window."""
     from pyspark.sql import Window
 
-    from rangeloom.operators import ordered
-
     one = cloud(spark, data).withColumn("scan_id", F.lit(0).cast("long"))
     w = Window.orderBy("horiz_angle", "point_counter")
     jump = F.coalesce(F.abs(F.lead("vert_angle").over(w) - F.col("vert_angle")), F.abs(F.col("vert_angle") - F.lag("vert_angle").over(w)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rangeloom.operators import bins, columns, labels, metrics, ordered, segments, spatial
 from rangeloom.operators.components import connected_components
-from rangeloom.operators.prefix import running_total
+from rangeloom.operators.axes import principal_axes
+from rangeloom.operators.prefix import running_total, running_totals
 from rangeloom.sources import layouts
 
 
@@ -103,3 +105,122 @@ def test_columns(spark):
     assert columns.matching(["a_std", "b_mean"], "std|x") == ["a_std"] and columns.matching(["a_std", "b_mean"], "std|x", keep=False) == ["b_mean"]
     assert dict(columns.drop_one(["a", "b"], ["s", "t"], "statistic")) == {"none": ["a_s", "a_t", "b_s", "b_t"], "s": ["a_t", "b_t"], "t": ["a_s", "b_s"]}
     assert [d for d, _ in columns.drop_one(["a", "b"], ["s"], "column")] == ["none", "a_s", "b_s"]
+
+
+def test_several_totals_from_one_sort(spark):
+    """Counters of a key with most rows, null values and keys, and columns that have the names of working ones."""
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 10 == 0 else int(i % 3 == 0), i, int(rng.integers(0, 5)), None if i % 7 == 0 else 1, i, -i, 0) for i in range(300)]
+    table = spark.createDataFrame(rows, "k int, at int, v int, w int, _s int, _k0 int, _base int").repartition(5)
+    got = running_totals(table, {"v_sum": "v", "both": F.col("v") + F.col("w"), "_s_": "w"}, [F.col("at")], by=["k"])
+    assert got.columns == [*table.columns, "v_sum", "both", "_s_"]
+    by = {}
+    for r in got.orderBy("at").collect():
+        v, both, w = by.get(r.k, (0, 0, 0))
+        by[r.k] = now = (v + r.v, both + (r.v + r.w if r.w is not None else 0), w + (r.w or 0))
+        assert (r.v_sum, r.both, r._s_, r._s, r._k0) == (*now, r.at, -r.at)
+    assert running_totals(table.limit(0), {"n": "v"}, [F.col("at")]).count() == 0
+
+
+def test_lines_are_numbered_over_files_cut_into_splits(spark, tmp_path):
+    """Files of unequal length, one of them gzipped and one empty, read in many splits."""
+    import gzip
+
+    path, n = tmp_path / "scans", 0
+    path.mkdir()
+    for name, rows in (("b_2.asc", 40), ("a 1.asc", 700), ("c.asc.gz", 30), ("a_0.asc", 0), ("d.asc", 1)):
+        with (gzip.open if name.endswith("gz") else open)(path / name, "wt") as f:
+            f.writelines(f"{i}.0 {rows}.0 0.5\n" + "\n" * (i % 5 == 0) for i in range(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = layouts.numbered_points(spark, str(path), ("x", "_block", "z")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = sorted((r.point_id, r._block, r.x) for r in got)
+    assert [r[0] for r in rows] == list(range(771))
+    for size in (700.0, 40.0, 30.0, 1.0):
+        assert [r[1:] for r in rows[n : n + int(size)]] == [(size, float(i)) for i in range(int(size))]
+        n += int(size)
+
+
+def test_voxels_of_all_sizes_equal_each_alone(spark):
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate([rng.uniform(-3, 3, (400, 3)), np.tile(rng.uniform(-3, 3, 3), (200, 1))])
+    points = spark.createDataFrame([(i % 2, i, *map(float, p)) for i, p in enumerate(xyz)], "scan_id int, point_counter long, x double, y double, z double")
+    sizes = (2.0, 1.0, 0.5, 0.75)
+    assert spatial.voxel_bases(sizes) == {2.0: (0.5, 4), 1.0: (0.5, 2), 0.5: (0.5, 1), 0.75: (0.75, 1)}
+    got = {(r.edge, r.scan_id, r.vx, r.vy, r.vz): (r.n, r.x, r.y, r.z) for r in spatial.voxel_pyramid(points, sizes).collect()}
+    want = {}
+    for e in sizes:
+        for i, p in enumerate(xyz):
+            want.setdefault((e, i % 2, *map(int, np.floor(p / e))), []).append(p)
+    assert set(got) == set(want)
+    assert all(got[k][0] == len(v) and np.allclose(got[k][1:], np.mean(v, axis=0)) for k, v in want.items())
+    snapped = {(r.edge, r.scan_id, r.vx, r.vy, r.vz): r.point_counter for r in spatial.snapped_voxels(points, sizes).collect()}
+    for k, v in want.items():
+        own = np.flatnonzero(np.arange(len(xyz)) % 2 == k[1])
+        far = np.round(np.linalg.norm(xyz[own] - np.mean(v, axis=0), axis=1), 9)
+        assert snapped[k] == own[np.argmin(far)]
+
+
+def test_axes_equal_an_eigensolver(spark):
+    """Random, flat, straight, round and tiny matrices; where eigenvalues are equal any of their axes will do."""
+    rng = np.random.default_rng(8)
+    made = []
+    for scale in (1.0, 1e-8, 1e6):
+        for values in ((3, 2, 1), (3, 2, 0), (5, 0, 0), (1, 1, 1), (2, 2, 1), (2, 1, 1), (1, 1, 0), (1, 1 - 1e-6, 0.5), (0, 0, 0)):
+            for turn in (np.eye(3), np.linalg.qr(rng.normal(size=(3, 3)))[0], np.array([[1, 1, 0], [-1, 1, 0], [0, 0, 2**0.5]]) / 2**0.5):
+                made.append(scale * turn @ np.diag(values) @ turn.T)
+    rows = [(i, *map(float, (m[0, 0], m[0, 1], m[0, 2], m[1, 1], m[1, 2], m[2, 2])), 9, 1.0) for i, m in enumerate(made)] + [(-1, *[None] * 6, 9, 1.0), (-2, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 2, 1.0)]
+    table = spark.createDataFrame(rows, "src int, cxx double, cxy double, cxz double, cyy double, cyz double, czz double, n int, a double")
+    got = {r.src: r for r in principal_axes(table).collect()}
+    assert principal_axes(table).columns == [*table.columns, "curvature", "nx", "ny", "nz"] and got[0].a == 1.0
+    for i, m in enumerate(made):
+        r, values = got[i], np.linalg.eigvalsh(m)
+        axis, trace = np.array([r.nx, r.ny, r.nz]), max(np.trace(m), 1e-300)
+        assert np.linalg.norm(axis) == pytest.approx(1) and np.linalg.norm(m @ axis - values[0] * axis) <= 1e-7 * trace
+        assert r.curvature == pytest.approx(values[0] / trace if values.any() else 0.0, abs=1e-9)
+        assert axis[np.flatnonzero(np.abs(axis) > 1e-9)[0]] > 0
+    assert (got[-2].curvature, got[-2].nx, got[-2].nz) == (0, 0, 0) and got[-1].curvature == 0
+
+
+def test_keyed_reports_equal_each_alone(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a" if i % 3 else "b", int(rng.integers(0, 4)), int(rng.integers(1, 5))) for i in range(200)] + [("c", 1, 1), ("d", None, 2), ("e", 2, 0)]
+    table = spark.createDataFrame(rows, "part string, label int, pred int")
+    near = lambda values: tuple(round(v, 12) for v in values)
+    got = {(r.part, r.name): near(tuple(r)[2:]) for r in metrics.reports_by(table, "part").collect()}
+    for part in "abcde":
+        alone = {r.name: near(tuple(r)[1:]) for r in metrics.report(table.where(F.col("part") == part)).collect()}
+        assert {k[1]: v for k, v in got.items() if k[0] == part} == alone and (part != "d" or not alone)
+    pairs = [(t, p) for part, t, p in rows if part == "a"]
+    n = len(pairs)
+    assert got["a", "accuracy"][0] == pytest.approx(sum(t == p for t, p in pairs) / n)
+    for c in range(5):
+        hit, named, support = (sum(f(t, p) for t, p in pairs) for f in (lambda t, p, c=c: t == p == c, lambda t, p, c=c: p == c, lambda t, p, c=c: t == c))
+        assert got["a", str(c)][:2] == pytest.approx((hit / named if named else 0, hit / support if support else 0)) and got["a", str(c)][3] == support
+    f1 = [got["a", str(c)][2] for c in range(5)]
+    assert got["a", "macro avg"][2] == pytest.approx(np.mean(f1))
+    assert got["a", "weighted avg"][2] == pytest.approx(sum(f * sum(t == c for t, _ in pairs) for c, f in enumerate(f1)) / n)
+    counts = table.groupBy("part", "label", "pred").count()
+    assert {(r.part, r.name): near(tuple(r)[2:]) for r in metrics.report(counts.withColumnRenamed("count", "n"), by=["part"], count="n").select("part", "name", "precision", "recall", "f1", "support").collect()} == got
+    grid = {(r.part, r.truth, r.pred): r.n for r in metrics.confusion(table, by=["part"]).collect()}
+    assert sum(n for (p, _, _), n in grid.items() if p == "a") == n and len([k for k in grid if k[0] == "a"]) == 25 and grid["e", 2, 0] == 1 and grid["e", 0, 0] == 0
+
+
+def test_scanline_pairs_over_batches_and_widths(spark, monkeypatch):
+    """Several widths in one pass, bounded pairs at a time and columns with the names of working ones give what each width gives alone."""
+    from rangeloom.operators import neighbourhood
+
+    rng = np.random.default_rng(10)
+    rows = [(i % 3, i % 7, i, float(rng.normal()), float(rng.normal()), None if i % 50 == 0 else float(rng.normal()), float(rng.uniform(1, 9)), float(i), float(rng.normal()), "own") for i in range(500)]
+    points = spark.createDataFrame(rows, "scan_id int, scanline_id long, point_counter long, x double, y double, z double, rho double, horiz_angle double, vert_angle double, _line string").repartition(4)
+    monkeypatch.setattr(neighbourhood, "_PAIRS", 17)
+    both = neighbourhood.with_scanline_features(points, {"0": F.lit(3), "1": F.col("point_counter") % 6})
+    assert both.columns == [*points.columns, *[f"{v}{w}" for w in "01" for v in ("slope", "slope_lstsq", "roughness")]]
+    monkeypatch.setattr(neighbourhood, "_PAIRS", 1 << 19)
+    for w, width in (("0", F.lit(3)), ("1", F.col("point_counter") % 6)):
+        alone = {r.point_counter: (r.slope, r.slope_lstsq, r.roughness) for r in neighbourhood.scanline_features(points, width).collect()}
+        assert {r.point_counter: (r[f"slope{w}"], r[f"slope_lstsq{w}"], r[f"roughness{w}"]) for r in both.collect()} == alone and len(alone) == 500
+    assert neighbourhood.with_scanline_features(points.limit(0), {"": F.lit(2)}).count() == 0
