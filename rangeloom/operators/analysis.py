@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.operators.quantiles import quantiles, with_quantiles
+
 
 def describe(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of each group."""
-    quarter = {f"q{p}": F.percentile(value, p / 100) for p in (25, 50, 75)}
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), *[v.alias(k) for k, v in quarter.items()], F.max(value).alias("high"))
+    """(keys, n, mean, std, low, high, q25, q50, q75): count, mean, sample std, least, largest and quartiles of each group, which may be large."""
+    table = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    found = quantiles(rows, keys, [value], {f"q{p}": p / 100 for p in (25, 50, 75)})
+    return with_quantiles(table, found.select(*keys, *[F.col(f"{value}_q{p}").alias(f"q{p}") for p in (25, 50, 75)]), keys)
 
 
 def pivot_with_margins(rows: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:

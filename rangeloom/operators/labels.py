@@ -31,11 +31,7 @@ def drop_class(points: DataFrame, dropped: int, label: str = "label") -> DataFra
     """Rows of other classes, with ``code``: the rank of their label among those left, from 0."""
     left = points.where(F.col(label) != dropped)
     codes = left.select(F.col(label).alias("_l")).distinct().withColumn("code", (F.dense_rank().over(Window.orderBy("_l")) - 1).cast("int"))
-    return left.join(F.broadcast(codes) if _few(codes) else codes, F.col(label) == F.col("_l")).drop("_l")
-
-
-def _few(table: DataFrame, most: int = 10_000) -> bool:
-    return table.limit(most + 1).count() <= most
+    return left.join(codes, F.col(label) == F.col("_l")).drop("_l")
 
 
 def class_weights(points: DataFrame, label: str = "label") -> DataFrame:
@@ -62,8 +58,9 @@ def row_weights(points: DataFrame, label: str = "label") -> DataFrame:
 
 
 def drawn_share(key: Column, seed: int = 42) -> Column:
-    """A fixed number from 0 to 1 for each integer key, spread evenly over consecutive keys."""
-    return F.pmod(key.cast("long") * F.lit(2_654_435_761) + F.lit(seed * 40_503), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    """A fixed number from 0 to 1 for each key: the first eight hexadecimal digits of the md5 of seed and key, as DuckDB has them too. Null keys draw as if empty."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def split_rows(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -298,7 +298,7 @@ SELECT *, '3d' AS id FROM a_report UNION ALL SELECT *, '2d' FROM b_report""",
     "chosen_columns": f"WITH {SEGS} SELECT scan_id, segment_id, count(*) AS points, round(stddev_pop(z), 6) + 0.0 AS z_std, round(stddev_pop(rho), 6) + 0.0 AS rho_std FROM segs GROUP BY 1, 2",
     "row_weights": f"WITH {PCD} SELECT point_counter, round((SELECT count(*) FROM pcd)::DOUBLE / ((SELECT count(DISTINCT label) FROM pcd) * count(*) OVER (PARTITION BY label)), 6) AS weight FROM pcd",
     "exact_sample": f"WITH {PCD} SELECT point_counter FROM pcd QUALIFY row_number() OVER (PARTITION BY label ORDER BY point_counter DESC) <= 50",
-    "random_split": f"WITH {PCD} SELECT label, CASE WHEN ((point_counter * 2654435761 + 42 * 40503) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(point_counter) AS first_point FROM pcd GROUP BY 1, 2",
+    "random_split": f"WITH {PCD} SELECT label, CASE WHEN ('0x' || md5('42:' || point_counter)[1:8])::BIGINT::DOUBLE / 4294967296.0::DOUBLE < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(point_counter) AS first_point FROM pcd GROUP BY 1, 2",
     "fold_roles": f"WITH {PCD} SELECT fold, scan_id, CASE WHEN scan_id % 2 = fold - 1 THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM pcd, (SELECT unnest([1, 2])::BIGINT AS fold) GROUP BY ALL",
     "summed_confusions": f"WITH {PCD} SELECT label AS truth, pred, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY label), 4) AS share FROM pcd GROUP BY 1, 2",
     "confusion_files": f"WITH {CONFUSION} SELECT truth, pred, n, coalesce(round(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY truth), 0), 4), 0) AS share FROM conf",
