@@ -41,7 +41,7 @@ def impurity_report(segments: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
     share = lambda most: F.round(100 * F.count_if(F.col("n") < most) / F.count("*"), 4)
     return segments.groupBy(*keys).agg(
         F.count("*").alias("segments"), F.count_if(F.col("n") < 5).alias("below_5"), F.count_if(F.col("n") < 10).alias("below_10"), share(5).alias("below_5_pct"), share(10).alias("below_10_pct"),
-        F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.var_samp(g).alias("var"), (F.max(g) - F.min(g)).alias("ptp"), F.percentile(g, 0.02).alias("p2"), F.percentile(g, 0.98).alias("p98"),
+        (F.sum(F.round(F.col(g) * 10_000).cast("long")) / F.count("*") / 10_000).alias("mean"), F.stddev_samp(g).alias("std"), F.var_samp(g).alias("var"), (F.max(g) - F.min(g)).alias("ptp"), F.percentile(g, 0.02).alias("p2"), F.percentile(g, 0.98).alias("p98"),
     )
 
 

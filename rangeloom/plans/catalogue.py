@@ -70,7 +70,7 @@ def knn_break_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_mean_distance(points: DataFrame) -> DataFrame:
     """``points`` with the mean distance to the nearest ``KNN`` points of their scan, less the point itself."""
-    near = spatial.nearest(points, points, KNN, RADIUS).where("rank > 0").groupBy(F.col("scan_id").alias("_s"), F.col("src").alias("_p")).agg(F.avg("dist").alias("mean_dist"))
+    near = spatial.nearest(points, points, KNN).where("rank > 0").groupBy(F.col("scan_id").alias("_s"), F.col("src").alias("_p")).agg(F.avg("dist").alias("mean_dist"))
     return points.join(near, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p")), "left").drop("_s", "_p")
 
 
@@ -123,7 +123,7 @@ def radius_counts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
-    near = spatial.nearest(points, points, KNN, RADIUS).where("rank > 0")
+    near = spatial.nearest(points, points, KNN).where("rank > 0")
     return _rounded(near.groupBy("src").agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("kth_dist")))
 
 
@@ -165,7 +165,7 @@ def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface of each point's nearest neighbours, itself included."""
     points = cloud(spark, sf_dir)
-    return _rounded(spatial.surface(points, spatial.nearest(points, points, KNN, RADIUS)).drop("scan_id"), 4)
+    return _rounded(spatial.surface(points, spatial.nearest(points, points, KNN)).drop("scan_id"), 4)
 
 
 def radius_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +196,7 @@ def nearest_result_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapped = spatial.snap_to_points(full, 2.0).select(F.col("scan_id").alias("_s"), F.col("point_counter").alias("_p"))
     three = full.join(snapped, (F.col("scan_id") == F.col("_s")) & (F.col("point_counter") == F.col("_p"))).drop("_s", "_p", "pred")
     three = three.withColumn("pred", ((F.col("label") + (F.col("point_counter") % 5 == 0).cast("int")) % 6).cast("int"))
-    two = spatial.nearest_values(full.withColumn("point_counter", F.col("point_counter") + 1_000_000_000), three, ["label", "pred"], RADIUS)
+    two = spatial.nearest_values(full.withColumn("point_counter", F.col("point_counter") + 1_000_000_000), three, ["label", "pred"])
     return _rounded(metrics.reports_of({"3d": three, "2d": two}, "id"))
 
 

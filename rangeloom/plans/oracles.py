@@ -164,7 +164,7 @@ _RADII = (1.0, 2.5, 5.0, 10.0)
 
 
 _IMPURITY = """count(*) AS segments, count(*) FILTER (n < 5) AS below_5, count(*) FILTER (n < 10) AS below_10,
-  round(100.0::DOUBLE * count(*) FILTER (n < 5) / count(*), 4) AS below_5_pct, round(100.0::DOUBLE * count(*) FILTER (n < 10) / count(*), 4) AS below_10_pct, round(avg(gini), 6) AS mean,
+  round(100.0::DOUBLE * count(*) FILTER (n < 5) / count(*), 4) AS below_5_pct, round(100.0::DOUBLE * count(*) FILTER (n < 10) / count(*), 4) AS below_10_pct, round(sum(round(gini * 10000)::BIGINT)::DOUBLE / count(*) / 10000, 6) AS mean,
   round(stddev_samp(gini), 6) AS std, round(var_samp(gini), 6) AS var, round(max(gini) - min(gini), 6) AS ptp, round(quantile_cont(gini, 0.02), 6) AS p2, round(quantile_cont(gini, 0.98), 6) AS p98"""
 
 SQL: dict[str, str] = {

@@ -62,7 +62,7 @@ def test_radius_surface_equals_brute_force(spark, data, points):
 
 def test_knn_surface_equals_brute_force(spark, data, points):
     wide = cloud(spark, data)
-    check_surface(spatial.surface(wide, spatial.nearest(wide, wide, catalogue.KNN, catalogue.RADIUS)).collect(), points, lambda d: np.argsort(d, kind="stable")[: catalogue.KNN])
+    check_surface(spatial.surface(wide, spatial.nearest(wide, wide, catalogue.KNN)).collect(), points, lambda d: np.argsort(d, kind="stable")[: catalogue.KNN])
 
 
 def test_surroundings_equal_brute_force(spark, data, points):

@@ -41,7 +41,7 @@ def test_planar_patch(spark):
 
 def test_nearest_grows_its_cell_and_keeps_duplicates(spark):
     rows = spark.createDataFrame([(0, 1, 0.0), (0, 2, 0.0), (0, 3, 50.0)], "scan_id long, point_counter long, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
-    got = {(r.src, r["rank"]): (r.dst, r.dist) for r in spatial.nearest(rows, rows, 2, 1.0).collect()}
+    got = {(r.src, r["rank"]): (r.dst, r.dist) for r in spatial.nearest(rows, rows, 2).collect()}
     assert got == {(1, 0): (1, 0.0), (1, 1): (2, 0.0), (2, 0): (2, 0.0), (2, 1): (1, 0.0), (3, 0): (3, 0.0), (3, 1): (1, 50.0)}
 
 
@@ -224,3 +224,53 @@ def test_scanline_pairs_over_batches_and_widths(spark, monkeypatch):
         alone = {r.point_counter: (r.slope, r.slope_lstsq, r.roughness) for r in neighbourhood.scanline_features(points, width).collect()}
         assert {r.point_counter: (r[f"slope{w}"], r[f"slope_lstsq{w}"], r[f"roughness{w}"]) for r in both.collect()} == alone and len(alone) == 500
     assert neighbourhood.with_scanline_features(points.limit(0), {"": F.lit(2)}).count() == 0
+
+
+def test_nearest_in_uneven_clouds(spark):
+    """A cell that holds a third of the points, equal points, lone ones, queries outside the cloud, and a scan of a few points."""
+    rng = np.random.default_rng(11)
+    xyz = np.concatenate([rng.uniform(0, 100, (200, 3)), 50 + rng.uniform(0, 0.05, (120, 3)), np.tile([[1.0, 2.0, 3.0]], (30, 1)), [[1e4, 0, 0]]])
+    rows = [(0, i, *map(float, p)) for i, p in enumerate(xyz)] + [(1, 1000 + i, float(i), 0.0, 0.0) for i in range(3)] + [(0, 999, None, 0.0, 0.0)]
+    asked = [(0, 5000, -500.0, 20.0, 30.0), (0, 5001, 2e4, 2e4, 0.0), (0, 5002, 50.02, 50.02, 50.02), (2, 5003, 0.0, 0.0, 0.0), (1, 5004, 9.0, 9.0, 9.0)]
+    schema = "scan_id int, point_counter long, x double, y double, z double"
+    points, queries = spark.createDataFrame(rows, schema).repartition(4), spark.createDataFrame(rows + asked, schema)
+    got = {}
+    for r in spatial.nearest(points, queries, 5).orderBy("scan_id", "src", "rank").collect():
+        got.setdefault((r.scan_id, r.src), []).append((r["rank"], r.dst, r.dist))
+    want = {}
+    for scan, src, *q in rows + asked:
+        own = [r for r in rows if r[0] == scan and r[2] is not None]
+        if q[0] is not None and own:
+            apart = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(r[2:], q, strict=True)))), r[1] != src, r[1]) for r in own)[:5]
+            want[scan, src] = [(i, dst, d) for i, (d, _, dst) in enumerate(apart)]
+    assert {k: [x[:2] for x in v] for k, v in got.items()} == {k: [x[:2] for x in v] for k, v in want.items()}
+    assert all(a[2] == pytest.approx(b[2]) for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert spatial.nearest(points, queries.limit(0), 5).count() == 0 and spatial.nearest(points.limit(0), queries, 5).count() == 0
+
+
+def test_quantiles_of_large_groups(spark):
+    """A group with most rows in many partitions, a value that half of a group shares, NaN, nulls, null keys and clashing names."""
+    from rangeloom.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(12)
+    rows = [("big", float(v), 1, 2) for v in rng.normal(size=700)] + [("ties", 7.0, 1, 2)] * 100 + [("ties", float(v), 1, 2) for v in rng.normal(7, 1, 99)]
+    rows += [(None, float(v), 1, 2) for v in range(4)] + [("one", 3.0, 1, 2), ("none", None, 1, 2), ("nan", 1.0, 1, 2), ("nan", float("nan"), 1, 2)]
+    table = spark.createDataFrame(rows, "v string, slot double, of int, n int").repartition(6)
+    shares = {"lo": 0.02, "q1": 0.25, "mid": 0.5, "hi": 0.98, "top": 1.0}
+    got = {r.v: tuple(r)[1:] for r in quantiles(table, ["v"], ["slot", "n"], shares).collect()}
+    assert set(got) == {"big", "ties", None, "one", "none", "nan"} and got["none"] == (None,) * 5 + (2.0,) * 5
+    for name in ("big", "ties", None, "one"):
+        values = [r[1] for r in rows if r[0] == name]
+        assert np.allclose(got[name][:5], np.percentile(values, [100 * p for p in shares.values()])) and got[name][5:] == (2.0,) * 5
+    assert got["nan"][1] != got["nan"][1] or got["nan"][1] >= 1.0
+    assert quantiles(table.limit(0), ["v"], ["slot"], shares).count() == 0
+    whole = quantiles(table.where("slot is not null and not isnan(slot)"), [], ["slot"], {"mid": 0.5}).collect()
+    assert [r.slot_mid for r in whole] == [np.median([r[1] for r in rows if r[1] is not None and r[1] == r[1]])]
+
+
+def test_draws_have_no_period_and_take_any_key(spark):
+    keys = [*range(20_000), 4 * 10**9, 2**62, -5]
+    got = {r.k: r.part for r in labels.split_rows(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
+    test = [k for k in range(20_000) if got[k] == "test"]
+    assert 3700 < len(test) < 4300 and len(set(np.diff(test))) > 15
+    assert all(0.15 < sum(k % m == 0 for k in test) * m / 20_000 < 0.25 for m in (2, 3, 5, 8, 13)) and len(got) == len(keys)
