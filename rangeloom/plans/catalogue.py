@@ -177,7 +177,7 @@ def radius_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten attributes' statistics around each point, those of the surface included."""
-    return _rounded(spatial.surroundings(cloud(spark, sf_dir), RADIUS).drop("scan_id"), 4)
+    return _rounded(spatial.surroundings(cloud(spark, sf_dir), RADIUS).drop("scan_id"), 5)
 
 
 def roughness_at_radii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ knn AS (SELECT * FROM pairs WHERE dist <= far QUALIFY row_number() OVER (PARTITI
 {_SURFACE}""",
     "surroundings": f"WITH {NEAR},\n{_surface('near')},\naround AS (SELECT q.scan_id, q.src, {', '.join('p.' + a for a in _AROUND)} FROM surface q JOIN surface p ON p.scan_id = q.scan_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 1)\nSELECT src, count(*) AS n, "
     + ", ".join(
-        f"round(CASE WHEN count(*) > 2 THEN {v} ELSE 0 END, 4) + 0.0 AS {a}_{t}"
+        f"round(CASE WHEN count(*) > 2 THEN {v} ELSE 0 END, 5) + 0.0 AS {a}_{t}"
         for a in _AROUND
         for t, v in (("mean", f"avg({a})"), ("std", f"stddev_pop({a})"), *((t, f"quantile_cont({a}::DOUBLE, {q})") for t, q in (("perc2nd", 0.02), ("perc25th", 0.25), ("perc75th", 0.75), ("perc98th", 0.98))))
     )
