@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.llm.token_output import _byte_letters
+from rangeloom.llm.workers import held
 from rangeloom.operators.staging import release, stage
 
 BROADCAST_PAIRS = 2_000_000
@@ -48,7 +49,6 @@ _BATCH_BYTES = 1 << 22
 _ODD = "\\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u2581\u3000\ufeff"
 _CUT = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
 _PLAIN = re.compile(f"[^{_ODD}](.*[^{_ODD}])?", re.DOTALL)
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
 _COUNTED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, n_products long, groups_sha256 string, links array<struct<pair:long,n:int>>"
 
 
@@ -199,10 +199,7 @@ class Aligner:
 
 
 def _aligner(byte_file: str, piece_file: str) -> Aligner:
-    key = (byte_file, piece_file)
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(*key)
-    return _ALIGNERS[key]
+    return held(("aligner", byte_file, piece_file, _MEMO_ENTRIES), lambda: Aligner(byte_file, piece_file, _MEMO_ENTRIES))
 
 
 def _counted(byte_file: str, piece_file: str):

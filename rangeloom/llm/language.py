@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.llm.workers import held
 from rangeloom.operators.names import fresh
 from rangeloom.operators.staging import stage
 
@@ -279,9 +280,8 @@ def usual_bits(samples: tuple[tuple[str, str], ...]) -> tuple[float, float] | No
     return float(rates.mean()), float(np.sqrt((((rates - rates.mean()) ** 2).sum() + _PRIOR_PIECES) / (len(rates) + _PRIOR_PIECES)))
 
 
-@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+    return held(("parser", samples), lambda: Parser(samples))
 
 
 def labelled_samples(

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rangeloom.llm.words import text_bytes
+from rangeloom.llm.workers import held
 from rangeloom.operators.staging import release, shuffle_partitions, stage
 
 WINDOW = 20
@@ -76,9 +77,6 @@ class _Codes(dict):
         return found
 
 
-_WORDS = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -89,10 +87,10 @@ def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gone = np.concatenate(([True], _SPACE[np.frombuffer(buf, np.uint8)], [True]))
     turn = np.flatnonzero(gone[1:] != gone[:-1])
     begin, end = turn[::2], turn[1::2]
-    hashes = np.empty(len(begin), np.uint64)
+    hashes, known = np.empty(len(begin), np.uint64), held("word-hashes", _Hashes)
     for lo in range(0, len(begin), _CHUNK):
         hi = min(lo + _CHUNK, len(begin))
-        hashes[lo:hi] = np.fromiter(map(_WORDS.__getitem__, buf[begin[lo] : end[hi - 1]].split()), np.uint64, hi - lo)
+        hashes[lo:hi] = np.fromiter(map(known.__getitem__, buf[begin[lo] : end[hi - 1]].split()), np.uint64, hi - lo)
     return begin, end, hashes
 
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rangeloom.llm.workers import held
 from rangeloom.operators.staging import shuffle_partitions, stage
 
 ROW_GROUP_BYTES = 16 << 20
@@ -33,7 +34,6 @@ _CACHE_ENTRIES = 400_000
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%#&*|$]*)")
 #: Python splits words at these, the tokenizer's pattern does not.
 _UNLIKE = re.compile("[\x1c-\x1f]")
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -96,10 +96,7 @@ class Encoder:
 
 
 def _encoder(path: str, by_words: bool) -> Encoder:
-    key = (path, by_words)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, by_words)
-    return _ENCODERS[key]
+    return held(("encoder", path, by_words), lambda: Encoder(path, by_words))
 
 
 def encode_documents(
