@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import alignment, fill_middle, images, language, learned_partitions, mixing, packing, quality, simhash, substring, token_output, urls, vectors
-from rangeloom.llm.sql import OP4_SQL, OP7_SQL, op8_sql
+from rangeloom.llm.sql import OP4_SQL, OP7_SQL, OP13_SQL, op8_sql
 from rangeloom.operators.staging import scoped, scratch_path
 
 
@@ -127,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op4_pstable_vectors": OP4_SQL, "op7_weighted_fair_mix": OP7_SQL, "op8_path_templates": op8_sql(URL_RULES)}
+    return {"op4_pstable_vectors": OP4_SQL, "op7_weighted_fair_mix": OP7_SQL, "op8_path_templates": op8_sql(URL_RULES), "op13_fill_middle": OP13_SQL}

@@ -114,3 +114,22 @@ SELECT page_id, host, path, CASE {rule(0)} END AS rule,
        coalesce(CASE {rule(1)} END, CASE WHEN purity >= {limit} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
 FROM rows LEFT JOIN templates USING (host, path) LEFT JOIN judged USING (host, template)
 """
+
+
+OP13_SQL = r"""
+WITH keyed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+drawn AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, ('0x' || k[1:8])::BIGINT AS h1, ('0x' || k[9:16])::BIGINT AS h2, ('0x' || k[17:24])::BIGINT AS h3,
+         ('0x' || k[25:32])::BIGINT AS h4
+  FROM keyed),
+cut AS (
+  SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS one, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, coalesce(array_to_string(tokens[1:one], ''), '') AS prefix, coalesce(array_to_string(tokens[one + 1:two], ''), '') AS middle, coalesce(array_to_string(tokens[two + 1:n], ''), '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""
