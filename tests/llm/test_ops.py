@@ -614,16 +614,12 @@ def test_images_that_share_a_corner_set(spark):
     assert [(r.n_copies, r.component_id) for r in got] == [(199, 0)] * 200
 
 
-def test_image_links_equal_brute_force(spark, data):
-    """Links of drawn vectors and planted edits against all pairs of corners of all images."""
-    rng = np.random.default_rng(10)
-    made = [np.clip(images._resize(np.random.default_rng(i).uniform(0, 255, (9, 9)), 8), 0, 255) for i in range(12)]
-    made += [np.rot90(made[0]), made[1] + rng.normal(0, 3, made[1].shape), made[2][5:, 4:], made[3] * 0.7 + 10]
-    rows = [(i, a.shape[1], np.rint(np.clip(a, 0, 255)).astype(np.uint8)) for i, a in enumerate(made)]
-    seen = [images.describe(p) for _, _, p in rows]
+def brute_image_links(pictures):
+    """Pairs of places of pictures that are linked, from all pairs of corners of all pictures."""
+    seen = [images.describe(p) for p in pictures]
     want = set()
-    for i in range(len(rows)):
-        for j in range(i + 1, len(rows)):
+    for i in range(len(pictures)):
+        for j in range(i + 1, len(pictures)):
             (ax, ay, ascale, aturn, abits), (bx, by, bscale, bturn, bbits) = ([c.astype(np.float32) if c.dtype != bool else c for c in s] for s in (seen[i], seen[j]))
             votes = {}
             for a, b in zip(*np.nonzero((abits[:, None] != bbits[None]).sum(2) <= 7), strict=True):
@@ -636,6 +632,16 @@ def test_image_links_equal_brute_force(spark, data):
                         votes.setdefault((*key, x, y), set()).add(a)
             if any(len(v) >= 6 for v in votes.values()):
                 want.add((i, j))
+    return want
+
+
+def test_image_links_equal_brute_force(spark, data):
+    """Links of drawn vectors and planted edits against all pairs of corners of all images."""
+    rng = np.random.default_rng(10)
+    made = [np.clip(images._resize(np.random.default_rng(i).uniform(0, 255, (9, 9)), 8), 0, 255) for i in range(12)]
+    made += [np.rot90(made[0]), made[1] + rng.normal(0, 3, made[1].shape), made[2][5:, 4:], made[3] * 0.7 + 10]
+    rows = [(i, a.shape[1], np.rint(np.clip(a, 0, 255)).astype(np.uint8)) for i, a in enumerate(made)]
+    want = brute_image_links([p for _, _, p in rows])
     assert want >= {(0, 12), (1, 13), (2, 14), (3, 15)}
     table = spark.createDataFrame([(i, w, p.tobytes()) for i, w, p in rows], "image_id long, width int, pixels binary")
     degree = Counter(i for pair in want for i in pair)
@@ -826,3 +832,19 @@ def test_packing_in_several_shards(spark):
         filled[r.bin_id] += r.n_words
     capacity = {r.bin_id: r.capacity for r in got}
     assert all(filled[b] <= capacity[b] for b in filled)
+
+
+def test_image_query_equals_brute_force(spark, tmp_path):
+    """The query over vectors of which some are equal, nearly equal or scaled, against all pairs of their pictures."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((24, 64))
+    x[20], x[21], x[22] = x[3], x[4] + 0.02 * rng.standard_normal(64), 0.5 * x[5]
+    table = spark.createDataFrame([(100 + i, v.tolist(), 1) for i, v in enumerate(x)] + [(200, None, 1)], "vec_id long, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    drawn = {r.image_id: np.frombuffer(r.pixels, np.uint8).reshape(-1, r.width) for r in images.vector_images(table).collect() if r.pixels is not None}
+    links = brute_image_links([drawn[100 + i] for i in range(24)]) | {(i, j) for i in range(24) for j in range(i + 1, 24) if np.array_equal(drawn[100 + i], drawn[100 + j])}
+    assert links >= {(3, 20), (4, 21), (5, 22)}
+    degree = Counter(i for pair in links for i in pair)
+    got = {r.image_id: (r.n_copies, r.component_id) for r in queries.op3_image_copies(spark, str(tmp_path)).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {100 + i: degree[i] for i in range(24)} | {200: 0}
+    assert (got[120][1], got[121][1], got[122][1], got[200][1]) == (103, 104, 105, 200)
