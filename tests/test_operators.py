@@ -274,3 +274,21 @@ def test_draws_have_no_period_and_take_any_key(spark):
     test = [k for k in range(20_000) if got[k] == "test"]
     assert 3700 < len(test) < 4300 and len(set(np.diff(test))) > 15
     assert all(0.15 < sum(k % m == 0 for k in test) * m / 20_000 < 0.25 for m in (2, 3, 5, 8, 13)) and len(got) == len(keys)
+
+
+@pytest.mark.parametrize("search", [lambda p: spatial.within_radius(p, p, 0.5), lambda p: spatial.nearest(p, p, 5), lambda p: spatial.covariances(p, spatial.within_radius(p, p, 0.5))], ids=["radius", "nearest", "covariances"])
+def test_searches_broadcast_no_points(spark, tmp_path, search):
+    at = [F.floor(F.col("id") / s % 20).cast("double") for s in (1, 20, 400)]
+    spark.range(8000).select(F.lit(0).alias("scan_id"), F.col("id").alias("point_counter"), *[v.alias(c) for v, c in zip(at, "xyz", strict=True)]).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize", None)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", str(6 << 20))
+    try:
+        rows = search(points)
+        assert rows.count() == 8000 * (5 if "rank" in rows.columns else 1)
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        else:
+            spark.conf.set("spark.sql.maxBroadcastTableSize", before)
