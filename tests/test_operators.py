@@ -292,3 +292,26 @@ def test_searches_broadcast_no_points(spark, tmp_path, search):
             spark.conf.unset("spark.sql.maxBroadcastTableSize")
         else:
             spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
+def test_moments_at_radii_equal_brute_force_and_make_no_pair_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    xyz = np.round(rng.uniform(0, 6, (400, 3)), 2)
+    rows = [(i % 2, i, *map(float, v)) for i, v in enumerate(xyz)] + [(0, 900, None, 1.0, 1.0), (0, 901, 1.0, float("nan"), 1.0)]
+    table = spark.createDataFrame(rows, "scan_id long, point_counter long, x double, y double, z double")
+    monkeypatch.setattr(spatial, "_TILE", 30)
+    monkeypatch.setattr(spatial, "_AT_ONCE", 7)
+    found = spatial._moments_within(table, (0.5, 2.0))
+    got = {r.src: r for r in found.collect()}
+    assert set(got) == set(range(400))
+    for i in range(400):
+        own = xyz[i % 2 :: 2]
+        dist = np.sqrt(((own - xyz[i]) ** 2).sum(1))
+        for k, radius in enumerate((0.5, 2.0)):
+            near = own[dist < radius]
+            r = got[i].asDict()
+            assert r[f"r{k}n"] == len(near) and np.allclose([r[f"r{k}m{c}"] for c in "xyz"], near.mean(0), atol=1e-12)
+            if len(near) > 1:
+                cov = np.cov(near.T)
+                assert np.allclose([r[f"r{k}c{a}{b}"] for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")], cov[np.triu_indices(3)], atol=1e-12)
+    assert spatial.roughness_at_radii(table.limit(0), (0.5, 2.0)).count() == 0
