@@ -11,7 +11,8 @@ votes are copies.
 
 Images with the same pixels are one node, and equal descriptors are one entry of the tables, whose members all
 vote. A bucket with many entries is dealt into blocks of ``bucket_rows`` rows, and every pair of
-blocks is compared, so no pair is missed however crowded a bucket is.
+blocks is compared, so no pair is missed however crowded a bucket is. Images are dealt into blocks as well; two blocks'
+images vote in one group, from arrays of the corners that share a descriptor, so no pair of corners or images is a row.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators.components import connected_components
@@ -118,19 +119,18 @@ def _bits_apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
 
 
-def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
-    """(a_node, a_corner, b_node, b_corner): corners of different images within ``max_bits`` bits, a's node before b's.
+def near_descriptors(corners: DataFrame, max_bits: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(one, two): entries of different descriptors within ``max_bits`` bits, once each, and each entry that several corners share with itself; and ``corners`` with their entry.
 
     Equal descriptors are one entry of the tables. Every bucket is compared whole: its entries are dealt into
     blocks of about ``bucket_rows``, and each pair of blocks is joined by itself, so the result does not depend on
-    ``bucket_rows``. A pair that meets in several tables counts in the first of them. Each pair of
-    corners comes out, so the rows grow as the square of the different images that share one descriptor.
+    ``bucket_rows``. A pair that meets in several tables counts in the first of them.
     """
     if not 0 <= max_bits < PARTS:
         raise ValueError(f"max_bits must be below {PARTS}")
     words = [f"w{i}" for i in range(WORDS)]
     described = stage(corners.groupBy(*words).agg(F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "descriptors")
-    members = stage(corners.join(described, words).select("entry", "node", "corner"), "members")
+    members = stage(corners.join(described.drop("n"), words).drop(*words), "members")
     tables = described.select("entry", *words, F.posexplode(_parts()).alias("tab", "part"))
     tables = tables.select(F.col("tab").cast("byte").alias("tab"), "part", "entry", *words)
     sizes = stage(tables.groupBy("tab", "part").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
@@ -147,6 +147,15 @@ def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> D
     equal = described.where("n > 1").select(F.col("entry").alias("one"), F.col("entry").alias("two"))
     pairs = stage(near.unionByName(equal), "near-descriptors")
     release(dealt, sizes)
+    return pairs, members
+
+
+def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """(a_node, a_corner, b_node, b_corner): corners of different images within ``max_bits`` bits, a's node before b's.
+
+    Each pair of corners comes out, so the rows grow as the square of the different images that share one descriptor; ``image_links`` makes none.
+    """
+    pairs, members = near_descriptors(corners, max_bits, bucket_rows)
     for t in ("one", "two"):
         pairs = pairs.join(members.select(F.col("entry").alias(t), F.struct("node", "corner").alias(f"{t}_of")), t)
     first = F.col("one_of.node") < F.col("two_of.node")
@@ -155,12 +164,105 @@ def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> D
     return pairs.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("node", "corner")])
 
 
-def _placed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
-    """``pairs`` with place, scale and turn of both corners."""
-    for t in "ab":
-        of = corners.select(*[F.col(c).alias(f"{t}_{c}") for c in ("node", "corner", "x", "y", "scale", "turn")])
-        pairs = pairs.join(of, [f"{t}_node", f"{t}_corner"])
-    return pairs
+#: Images of a block, most blocks, and pairs of corners that a task holds at a time.
+_IMAGES, _BLOCKS, _PAIRS = 512, 1024, 1 << 18
+_MEMBER = ("node", "copies", "corner", "x", "y", "scale", "turn")
+_LINK = "src long, dst long, linked long"
+
+
+def _agreed(a: dict[str, np.ndarray], b: dict[str, np.ndarray], votes: int, cell: float) -> np.ndarray:
+    """Places of one match of each pair of images whose matches agree; ``a`` and ``b`` hold the matching corners, a's node before b's."""
+    turn = b["turn"] - a["turn"]
+    ratio = a["scale"].astype(float) / b["scale"]
+    cos, sin = np.cos(turn.astype(float)), np.sin(turn.astype(float))
+    whole = lambda v: (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+    shift = lambda p, q, sign: np.floor((b[p] - ratio * (cos * a[p] + sign * sin * a[q])) / cell).astype(np.int64)
+    key = np.unique(np.stack([a["node"], b["node"]]), axis=1, return_inverse=True)[1].ravel()
+    for v in (whole(turn / float(np.pi / 6)) % 12, whole(2 * np.log2(ratio))):
+        key = key * (np.ptp(v) + 1) + v - v.min()
+    dx, dy = shift("x", "y", -1), shift("y", "x", 1)
+    across = [(v - v.min(), int(np.ptp(v)) + 2) for v in (dx, dy)]
+    near = np.stack([(key * across[0][1] + across[0][0] + i) * across[1][1] + across[1][0] + j for i in (0, 1) for j in (0, 1)], 1).ravel()
+    cells = np.unique(near, return_inverse=True)[1].ravel()
+    corner = np.unique(a["corner"], return_inverse=True)[1].ravel()
+    single, at = np.unique(cells * (corner.max() + 1) + np.repeat(corner, 4), return_index=True)
+    counts = np.bincount(single // (corner.max() + 1))
+    found = at[counts[cells[at]] >= votes] // 4
+    return found[np.unique(np.stack([a["node"][found], b["node"][found]]), axis=1, return_index=True)[1]]
+
+
+def _block_links(votes: int, cell: float):
+    """For images of two blocks, whose matching entries are the rows of a group: each linked image, one that it is connected with, and the number of images that it is linked with there."""
+
+    def side(group: pa.Table, name: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        held = group.column(name).combine_chunks()
+        held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+        values = held.flatten()
+        return {c: values.field(c).to_numpy(zero_copy_only=False) for c in _MEMBER}, np.diff(held.offsets.to_numpy())
+
+    def run(group: pa.Table) -> pa.Table:
+        (left, n_left), (right, n_right) = side(group, "left"), side(group, "right")
+        within = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
+        row = np.repeat(np.arange(len(n_left)), n_left)
+        order = np.argsort(left["node"], kind="stable")
+        left, row = {c: v[order] for c, v in left.items()}, row[order]
+        first, width = (np.cumsum(n_right) - n_right)[row], n_right[row]
+        ends, last = np.cumsum(width), np.flatnonzero(np.append(np.diff(left["node"]) != 0, True)) + 1
+        top: dict[int, int] = {}
+        linked: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while top.setdefault(n, n) != n:
+                top[n] = n = top[top[n]]
+            return n
+
+        lo = 0
+        while lo < len(row):
+            # Whole images only, as all votes of a pair count together.
+            want = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PAIRS, side="right"))
+            fits = last[(last > lo) & (last <= want)]
+            hi = int(fits[-1] if len(fits) else last[last > lo][0])
+            of = np.repeat(np.arange(lo, hi), width[lo:hi])
+            start = np.repeat(np.cumsum(width[lo:hi]) - width[lo:hi], width[lo:hi])
+            to = first[of] + np.arange(len(of)) - start
+            if within:
+                kept = left["node"][of] < right["node"][to]
+                of, to = of[kept], to[kept]
+            lo = hi
+            if len(of) < votes:
+                continue
+            swap = left["node"][of] > right["node"][to]
+            a, b = ({c: np.where(swap == turned, left[c][of], right[c][to]) for c in _MEMBER} for turned in (False, True))
+            for i in _agreed(a, b, votes, cell).tolist():
+                x, y = int(a["node"][i]), int(b["node"][i])
+                linked[x], linked[y] = linked.get(x, 0) + int(b["copies"][i]), linked.get(y, 0) + int(a["copies"][i])
+                x, y = sorted((root(x), root(y)))
+                top[y] = x
+        nodes = sorted(linked)
+        return pa.table([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64()), pa.array([linked[n] for n in nodes], pa.int64())], ["src", "dst", "linked"])
+
+    return run
+
+
+def image_links(corners: DataFrame, max_bits: int, bucket_rows: int, votes: int, cell: float, block_images: int = _IMAGES) -> DataFrame:
+    """(src, dst, linked): images whose corners agree with others', by part: ``linked`` adds up to the other images (``copies`` of each) that src is linked with, and dst is one that src is connected with, or src.
+
+    Images are dealt into blocks by a hash. Entries hold an array of corners for each block, and each pair of blocks is one group, which has all
+    votes of its pairs of images and compares a bounded number of corners at a time. The links are those of all pairs, whatever ``block_images`` is.
+    """
+    pairs, members = near_descriptors(corners, max_bits, bucket_rows)
+    blocks = max(1, min(_BLOCKS, -(-members.agg(F.count_distinct("node")).first()[0] // block_images)))
+    held = members.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("entry", "block").agg(F.collect_list(F.struct(*_MEMBER)).alias("held"))
+    held = stage(held, "entry-blocks")
+    met = pairs
+    for t in ("one", "two"):
+        met = met.join(held.select(F.col("entry").alias(t), F.col("block").alias(f"{t}_block"), F.col("held").alias(f"{t}_held")), t)
+    same, before, level = F.col("one") == F.col("two"), F.col("one_block") < F.col("two_block"), F.col("one_block") == F.col("two_block")
+    way = lambda a, b: F.struct(F.col(f"{a}_block").alias("_i"), F.col(f"{b}_block").alias("_j"), F.col(f"{a}_held").alias("left"), F.col(f"{b}_held").alias("right"))
+    # Within a block images of both entries are left ones; an entry with itself meets each other block once.
+    ways = F.when(before | (level & same), F.array(way("one", "two"))).when(level, F.array(way("one", "two"), way("two", "one"))).when(~same, F.array(way("two", "one")))
+    met = met.where(~same | before | level).select(F.explode(ways).alias("_way")).select("_way.*")
+    return met.groupBy("_i", "_j").applyInArrow(_block_links(votes, cell), _LINK)
 
 
 def image_groups(
@@ -178,25 +280,17 @@ def image_groups(
     rows = images.select(F.col(f"`{id_col}`").cast("long").alias("image_id"), F.col(f"`{width_col}`").cast("int").alias("width"), F.col(f"`{pixels_col}`").cast("binary").alias("pixels"))
     sound = F.col("image_id").isNotNull() & F.col("width").isNotNull() & F.col("pixels").isNotNull()
     rows = rows.withColumn("print", F.when(sound, F.sha2(F.concat(F.col("width").cast("string").cast("binary"), F.lit(b"x"), F.col("pixels")), 256)))
-    nodes = stage(rows.where("print is not null").groupBy("print").agg(F.min("image_id").alias("node"), F.count("*").alias("copies")), "image-nodes")
+    nodes = rows.where("print is not null").groupBy("print").agg(F.min("image_id").alias("node"), F.count("*").alias("copies"))
+    # Pictures that share their least id are one node.
+    nodes = stage(nodes.withColumn("shared", F.sum("copies").over(Window.partitionBy("node"))), "image-nodes")
     usable = (F.col("width") > 0) & (F.length("pixels") > 0) & (F.length("pixels") % F.greatest("width", F.lit(1)) == 0)
     # Corners move, not pixels; those of copies with other ids are dealt by their own id before they leave.
     every = rows.where(usable & F.col("print").isNotNull()).select("print", F.col("image_id").alias("node"), "width", "pixels").mapInArrow(_corners, _CORNER)
-    every = every.join(nodes.select("print", "node"), ["print", "node"], "left_semi").dropDuplicates(["print", "node", "corner"])
+    every = every.join(nodes.select("print", "node", F.col("shared").alias("copies")), ["print", "node"]).dropDuplicates(["print", "node", "corner"])
     corners = stage(every.drop("print").withColumn("corner", F.monotonically_increasing_id()), "corners")
-    match = _placed(descriptor_matches(corners, max_bits, bucket_rows), corners)
-    turn = F.col("b_turn") - F.col("a_turn")
-    ratio = F.col("a_scale") / F.col("b_scale")
-    shift = lambda p, q, sign: F.floor((F.col(f"b_{p}") - ratio * (F.cos(turn) * F.col(f"a_{p}") + sign * F.sin(turn) * F.col(f"a_{q}"))) / cell)
-    quarter = F.pmod(F.round(turn / float(np.pi / 6)).cast("int"), F.lit(12))
-    vote = match.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"), "a_corner", quarter.alias("turned"), F.round(2 * F.log2(ratio)).cast("int").alias("scaled"), shift("x", "y", -1).alias("dx"), shift("y", "x", 1).alias("dy"))
-    near = vote.withColumn("dx", F.explode(F.array(F.col("dx"), F.col("dx") + 1))).withColumn("dy", F.explode(F.array(F.col("dy"), F.col("dy") + 1)))
-    agreed = near.groupBy("src", "dst", "turned", "scaled", "dx", "dy").agg(F.count_distinct("a_corner").alias("n")).where(F.col("n") >= votes)
-    links = stage(agreed.select("src", "dst").distinct(), "image-links")
-    groups = connected_components(links)
-    copies = nodes.select(F.col("node").alias("_of"), "copies")
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = both.join(copies, F.col("dst") == F.col("_of")).groupBy(F.col("src").alias("_src")).agg(F.sum("copies").alias("linked"))
+    links = stage(image_links(corners, max_bits, bucket_rows, votes, cell), "image-links")
+    groups = connected_components(links.where("src <> dst").select("src", "dst"))
+    degree = links.groupBy(F.col("src").alias("_src")).agg(F.sum("linked").alias("linked"))
     known = nodes.join(degree, F.col("node") == F.col("_src"), "left").join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     known = stage(known.select(F.col("print").alias("_print"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_copies"), F.coalesce("component", "node").alias("component")), "image-classes")
     out = rows.select("image_id", "print").join(known, F.col("print") == F.col("_print"), "left")

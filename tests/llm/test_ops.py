@@ -614,6 +614,31 @@ def test_images_that_share_a_corner_set(spark):
     assert [(r.n_copies, r.component_id) for r in got] == [(199, 0)] * 200
 
 
+@pytest.mark.parametrize("block_images", [3, 16, 256])
+def test_links_of_a_crowd_are_no_rows(spark, monkeypatch, block_images):
+    """Near copies in blocks of any size have the links of all pairs, and rows for images and blocks only, not for pairs of images or corners."""
+    rng, held, staged = np.random.default_rng(21), images.stage, {}
+
+    def counted(df, label):
+        out = held(df, label)
+        staged[label] = out.count()
+        return out
+
+    patch = np.clip(images._resize(rng.uniform(0, 255, (9, 9)), 8), 0, 255)
+    made = [np.clip(patch + rng.normal(0, 0.5, patch.shape), 0, 255) for _ in range(40)] + [np.clip(images._resize(rng.uniform(0, 255, (9, 9)), 8), 0, 255) for _ in range(4)]
+    made.append(np.rot90(made[40]))
+    pictures = [np.rint(a).astype(np.uint8) for a in made]
+    want = brute_image_links(pictures)
+    assert len(want) == 40 * 39 // 2 + 1
+    table = spark.createDataFrame([(i, p.shape[1], p.tobytes()) for i, p in enumerate(pictures)], "image_id long, width int, pixels binary")
+    monkeypatch.setattr(images, "stage", counted)
+    monkeypatch.setattr(images.image_links, "__defaults__", (block_images,))
+    got = {r.image_id: (r.n_copies, r.component_id) for r in images.image_groups(table).collect()}
+    degree = Counter(i for pair in want for i in pair)
+    assert got == {i: (degree[i], 0 if i < 40 else 40 if i in (40, 44) else i) for i in range(45)}
+    assert staged["image-links"] <= 45 * -(-45 // block_images) < 780
+
+
 def brute_image_links(pictures):
     """Pairs of places of pictures that are linked, from all pairs of corners of all pictures."""
     seen = [images.describe(p) for p in pictures]
