@@ -33,6 +33,23 @@ def test_single_point_and_ties(spark):
     assert shares[2].mode_label == 1 and shares[2].gini == 0.5 and shares[1].gini == 0
 
 
+def test_percentiles_of_a_segment_come_from_one_list(spark):
+    """Percentiles are exactly Spark's own, nulls and NaN left out, and the plan holds one buffer an attribute."""
+    rng = np.random.default_rng(8)
+    values = [None, float("nan"), -0.0, 0.0, *np.round(rng.normal(0, 9, 200), 1).tolist()]
+    rows = [(0, int(i ** 0.5 * 3), values[int(rng.integers(0, len(values)))], int(rng.integers(0, 4))) for i in range(400)] + [(1, 1, None, 2), (1, 1, float("nan"), None)]
+    table = spark.createDataFrame(rows, "scan_id long, segment_id long, z double, red int").repartition(3)
+    names = (*segments.STATISTICS, "median")
+    got = segments.segment_statistics(table, ["z", "red", "z"], names)
+    want = table.groupBy("scan_id", "segment_id").agg(F.count("*").alias("n"), *[segments.statistic(a, s).alias(f"{a}_{s}") for a in ("z", "red") for s in names])
+    assert got.columns == want.columns
+    exact = [c for c in got.columns if "perc" in c or "median" in c]
+    found, told = ({(r.scan_id, r.segment_id): r for r in df.collect()} for df in (got, want))
+    assert found.keys() == told.keys() and all(found[k][c] == told[k][c] for k in told for c in exact)
+    assert found[1, 1].z_perc2nd is None and found[1, 1].red_perc98th == 2
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_planar_patch(spark):
     rows = spark.createDataFrame([(0, i * 10 + j, float(i), float(j), 0.0) for i in range(10) for j in range(10)], "scan_id long, point_counter long, x double, y double, z double")
     axes = spatial.principal_axes(spatial.covariances(rows, spatial.within_radius(rows, rows, 1.5))).collect()
