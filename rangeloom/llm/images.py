@@ -17,7 +17,7 @@ images vote in one group, from arrays of the corners that share a descriptor, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators.components import connected_components
-from rangeloom.operators.staging import release, stage
+from rangeloom.operators.staging import release, shuffled, stage
 
 SCALES = (1.0, 0.75, 0.5)
 BITS, PARTS = 256, 8
@@ -108,48 +108,82 @@ def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([same.as_py()] * n, pa.string()), pa.array([node.as_py()] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), *floats, *[pa.array(w) for w in words.T]], names)
 
 
-def _parts() -> Column:
+def _parts(word: Callable[[int], Column] = lambda i: F.col(f"w{i}")) -> Column:
     """The descriptor's parts as an array, first bits first."""
     each = BITS // PARTS
     held = 64 // each
-    return F.array(*[F.shiftrightunsigned(f"w{t // held}", 64 - each * (t % held + 1)).bitwiseAND(F.lit((1 << each) - 1)) for t in range(PARTS)])
+    return F.array(*[F.shiftrightunsigned(word(t // held), 64 - each * (t % held + 1)).bitwiseAND(F.lit((1 << each) - 1)) for t in range(PARTS)])
 
 
 def _bits_apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
 
 
-def near_descriptors(corners: DataFrame, max_bits: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(one, two): entries of different descriptors within ``max_bits`` bits, once each, and each entry that several corners share with itself; and ``corners`` with their entry.
-
-    Equal descriptors are one entry of the tables. Every bucket is compared whole: its entries are dealt into
-    blocks of about ``bucket_rows``, and each pair of blocks is joined by itself, so the result does not depend on
-    ``bucket_rows``. A pair that meets in several tables counts in the first of them.
-    """
-    if not 0 <= max_bits < PARTS:
-        raise ValueError(f"max_bits must be below {PARTS}")
+def _tables(corners: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Different descriptors as entries, ``corners`` with their entry, and the rows (tab, part, n, own, entry, words) of every bucket with several entries, dealt into blocks of about ``bucket_rows``."""
     words = [f"w{i}" for i in range(WORDS)]
     described = stage(corners.groupBy(*words).agg(F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "descriptors")
     members = stage(corners.join(described.drop("n"), words).drop(*words), "members")
     tables = described.select("entry", *words, F.posexplode(_parts()).alias("tab", "part"))
     tables = tables.select(F.col("tab").cast("byte").alias("tab"), "part", "entry", *words)
     sizes = stage(tables.groupBy("tab", "part").agg(F.count("*").alias("n")).where("n > 1"), "entry-sizes")
-    split = F.ceil(F.col("n") / bucket_rows).cast("int")
-    dealt = tables.join(sizes, ["tab", "part"]).withColumn("own", F.pmod(F.xxhash64("entry"), split).cast("int"))
+    dealt = tables.join(sizes, ["tab", "part"]).withColumn("own", F.pmod(F.xxhash64("entry"), _split(bucket_rows)).cast("int"))
     dealt = stage(dealt.select("tab", "part", "n", "own", "entry", *words), "dealt")
+    release(sizes)
+    return described, members, dealt
+
+
+def _split(bucket_rows: int) -> Column:
+    """Blocks of a bucket of n entries."""
+    return F.ceil(F.col("n") / bucket_rows).cast("int")
+
+
+def _meeting(max_bits: int) -> Column:
+    """Rows a and b of one pair of a bucket's blocks are near, and this table is the first in which they meet."""
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tab", "part", "i", "j")])
+    apart = F.array(*[F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}")) for i in range(WORDS)])
+    first = F.array_position(_parts(lambda i: apart[i]), F.lit(0).cast("long")) == F.col("a.tab") + 1
+    return same & (_bits_apart("a", "b") <= max_bits) & first
+
+
+def _near_pairs(described: DataFrame, dealt: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """(one, two): near entries of ``dealt``, once each, and each entry that several corners share with itself."""
+    words, split = [f"w{i}" for i in range(WORDS)], _split(bucket_rows)
     a = dealt.select("tab", "part", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), split - 1)).alias("j"), "entry", *words).alias("a")
     b = dealt.select("tab", "part", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
-    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tab", "part", "i", "j")])
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.entry") < F.col("b.entry"))
-    near = a.join(b, same & once & (_bits_apart("a", "b") <= max_bits))
-    near = near.select(F.col("a.tab").alias("tab"), F.col("a.entry").alias("one"), F.col("b.entry").alias("two"), *[F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).alias(w) for w in words])
-    near = near.where(F.array_position(_parts(), F.lit(0).cast("long")) == F.col("tab") + 1).select("one", "two")
+    near = a.join(b, _meeting(max_bits) & once).select(F.col("a.entry").alias("one"), F.col("b.entry").alias("two"))
     equal = described.where("n > 1").select(F.col("entry").alias("one"), F.col("entry").alias("two"))
-    pairs = stage(near.unionByName(equal), "near-descriptors")
-    release(dealt, sizes)
+    return near.unionByName(equal)
+
+
+def _near_some(dealt: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """(tab, part, entry, words): entries of ``dealt`` that are near another one of their bucket, once a bucket."""
+    words = [f"w{i}" for i in range(WORDS)]
+    a = dealt.select("tab", "part", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), _split(bucket_rows) - 1)).alias("j"), "entry", *words).alias("a")
+    b = dealt.select("tab", "part", F.explode(F.sequence(F.lit(0), _split(bucket_rows) - 1)).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
+    return a.join(b, _meeting(max_bits) & (F.col("a.entry") != F.col("b.entry")), "left_semi").select("tab", "part", "entry", *words).distinct()
+
+
+def near_descriptors(corners: DataFrame, max_bits: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(one, two): entries of different descriptors within ``max_bits`` bits, once each, and each entry that several corners share with itself; and ``corners`` with their entry.
+
+    Equal descriptors are one entry of the tables. Every bucket is compared whole: its entries are dealt into
+    blocks of about ``bucket_rows``, and each pair of blocks is joined by itself, so the result does not depend on
+    ``bucket_rows``. A pair that meets in several tables counts in the first of them.
+    """
+    _check_bits(max_bits)
+    described, members, dealt = _tables(corners, bucket_rows)
+    pairs = stage(_near_pairs(described, dealt, max_bits, bucket_rows), "near-descriptors")
+    release(dealt)
     return pairs, members
 
 
+def _check_bits(max_bits: int) -> None:
+    if not 0 <= max_bits < PARTS:
+        raise ValueError(f"max_bits must be below {PARTS}")
+
+
 def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
     """(a_node, a_corner, b_node, b_corner): corners of different images within ``max_bits`` bits, a's node before b's.
 
@@ -164,8 +198,8 @@ def descriptor_matches(corners: DataFrame, max_bits: int, bucket_rows: int) -> D
     return pairs.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("node", "corner")])
 
 
-#: Images of a block, most blocks, and pairs of corners that a task holds at a time.
-_IMAGES, _BLOCKS, _PAIRS = 512, 1024, 1 << 18
+#: Images of a block, most blocks, pairs of corners that a task holds at a time, and most entries of a bucket whose near pairs are rows.
+_IMAGES, _BLOCKS, _PAIRS, _FEW = 512, 1024, 1 << 18, 16
 _MEMBER = ("node", "copies", "corner", "x", "y", "scale", "turn")
 _LINK = "src long, dst long, linked long"
 
@@ -191,18 +225,20 @@ def _agreed(a: dict[str, np.ndarray], b: dict[str, np.ndarray], votes: int, cell
     return found[np.unique(np.stack([a["node"][found], b["node"][found]]), axis=1, return_index=True)[1]]
 
 
-def _block_links(votes: int, cell: float):
-    """For images of two blocks, whose matching entries are the rows of a group: each linked image, one that it is connected with, and the number of images that it is linked with there."""
+def _block_links(max_bits: int, votes: int, cell: float):
+    """For images of two blocks, whose matching entries are the rows of a group, ``sure`` where all of a row's corners match each other: each linked image, one that it is connected with, and the number of images that it is linked with there."""
+    words = [f"w{i}" for i in range(WORDS)]
 
     def side(group: pa.Table, name: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
         held = group.column(name).combine_chunks()
         held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
         values = held.flatten()
-        return {c: values.field(c).to_numpy(zero_copy_only=False) for c in _MEMBER}, np.diff(held.offsets.to_numpy())
+        return {c: values.field(c).to_numpy(zero_copy_only=False) for c in (*_MEMBER, *words)}, np.diff(held.offsets.to_numpy())
 
     def run(group: pa.Table) -> pa.Table:
         (left, n_left), (right, n_right) = side(group, "left"), side(group, "right")
         within = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
+        sure = np.asarray(group.column("sure").to_pylist(), bool)
         row = np.repeat(np.arange(len(n_left)), n_left)
         order = np.argsort(left["node"], kind="stable")
         left, row = {c: v[order] for c, v in left.items()}, row[order]
@@ -228,6 +264,9 @@ def _block_links(votes: int, cell: float):
             if within:
                 kept = left["node"][of] < right["node"][to]
                 of, to = of[kept], to[kept]
+            apart = sum(np.bitwise_count((left[w][of] ^ right[w][to]).view(np.uint64)).astype(np.int64) for w in words)
+            kept = sure[row[of]] | (apart <= max_bits)
+            of, to = of[kept], to[kept]
             lo = hi
             if len(of) < votes:
                 continue
@@ -244,25 +283,36 @@ def _block_links(votes: int, cell: float):
     return run
 
 
-def image_links(corners: DataFrame, max_bits: int, bucket_rows: int, votes: int, cell: float, block_images: int = _IMAGES) -> DataFrame:
+def image_links(corners: DataFrame, max_bits: int, bucket_rows: int, votes: int, cell: float, block_images: int = _IMAGES, *, few: int = _FEW) -> DataFrame:
     """(src, dst, linked): images whose corners agree with others', by part: ``linked`` adds up to the other images (``copies`` of each) that src is linked with, and dst is one that src is connected with, or src.
 
     Images are dealt into blocks by a hash. Entries hold an array of corners for each block, and each pair of blocks is one group, which has all
-    votes of its pairs of images and compares a bounded number of corners at a time. The links are those of all pairs, whatever ``block_images`` is.
+    votes of its pairs of images and compares a bounded number of corners at a time. Near pairs of entries are rows in buckets of ``few`` entries at most; of a larger
+    bucket the entries that are near any other come as one array for each block, and two blocks compare theirs. The links are those of all pairs, whatever ``block_images`` and ``few`` are.
     """
-    pairs, members = near_descriptors(corners, max_bits, bucket_rows)
+    _check_bits(max_bits)
+    words = [f"w{i}" for i in range(WORDS)]
+    described, members, dealt = _tables(corners, bucket_rows)
+    pairs = stage(_near_pairs(described, dealt.where(F.col("n") <= few), max_bits, bucket_rows), "near-descriptors")
+    crowded = stage(_near_some(dealt.where(F.col("n") > few), max_bits, bucket_rows), "near-some")
+    release(dealt)
     blocks = max(1, min(_BLOCKS, -(-members.agg(F.count_distinct("node")).first()[0] // block_images)))
     held = members.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("entry", "block").agg(F.collect_list(F.struct(*_MEMBER)).alias("held"))
     held = stage(held, "entry-blocks")
-    met = pairs
+    worded = lambda each: F.transform("held", lambda m: F.struct(*[m[c].alias(c) for c in _MEMBER], *[w.alias(c) for c, w in zip(words, each, strict=True)])).alias("held")
+    met, plain = pairs, held.select("entry", "block", worded([F.lit(0).cast("long")] * WORDS))
     for t in ("one", "two"):
-        met = met.join(held.select(F.col("entry").alias(t), F.col("block").alias(f"{t}_block"), F.col("held").alias(f"{t}_held")), t)
+        met = met.join(shuffled(plain.select(F.col("entry").alias(t), F.col("block").alias(f"{t}_block"), F.col("held").alias(f"{t}_held"))), t)
     same, before, level = F.col("one") == F.col("two"), F.col("one_block") < F.col("two_block"), F.col("one_block") == F.col("two_block")
-    way = lambda a, b: F.struct(F.col(f"{a}_block").alias("_i"), F.col(f"{b}_block").alias("_j"), F.col(f"{a}_held").alias("left"), F.col(f"{b}_held").alias("right"))
+    way = lambda a, b, sure=True: F.struct(F.col(f"{a}_block").alias("_i"), F.col(f"{b}_block").alias("_j"), F.col(f"{a}_held").alias("left"), F.col(f"{b}_held").alias("right"), F.lit(sure).alias("sure"))
     # Within a block images of both entries are left ones; an entry with itself meets each other block once.
     ways = F.when(before | (level & same), F.array(way("one", "two"))).when(level, F.array(way("one", "two"), way("two", "one"))).when(~same, F.array(way("two", "one")))
     met = met.where(~same | before | level).select(F.explode(ways).alias("_way")).select("_way.*")
-    return met.groupBy("_i", "_j").applyInArrow(_block_links(votes, cell), _LINK)
+    crowds = crowded.join(shuffled(held), "entry").select("tab", "part", "block", worded([F.col(w) for w in words]))
+    crowds = stage(crowds.groupBy("tab", "part", "block").agg(F.flatten(F.collect_list("held")).alias("held")), "crowds")
+    one, two = (crowds.select("tab", "part", F.col("block").alias(f"{t}_block"), F.col("held").alias(f"{t}_held")) for t in ("one", "two"))
+    across = one.join(shuffled(two), ["tab", "part"]).where(before | level).select(way("one", "two", False).alias("_way")).select("_way.*")
+    return met.unionByName(across).groupBy("_i", "_j").applyInArrow(_block_links(max_bits, votes, cell), _LINK)
 
 
 def image_groups(

@@ -639,6 +639,32 @@ def test_links_of_a_crowd_are_no_rows(spark, monkeypatch, block_images):
     assert staged["image-links"] <= 45 * -(-45 // block_images) < 780
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_near_descriptors_of_a_crowd_are_no_rows(spark, monkeypatch, few):
+    """Crowded buckets give rows for entries and blocks, not for their near pairs, and the links are those of all pairs."""
+    rng, held, staged = np.random.default_rng(22), images.stage, {}
+
+    def counted(df, label):
+        out = held(df, label)
+        staged[label] = out.count()
+        return out
+
+    patch = np.clip(images._resize(rng.uniform(0, 255, (9, 9)), 8), 0, 255)
+    pictures = [np.rint(np.clip(patch + rng.normal(0, 0.5, patch.shape), 0, 255)).astype(np.uint8) for _ in range(60)]
+    pictures += [np.rint(np.clip(images._resize(rng.uniform(0, 255, (9, 9)), 8), 0, 255)).astype(np.uint8) for _ in range(4)]
+    want = brute_image_links(pictures)
+    table = spark.createDataFrame([(i, p.shape[1], p.tobytes()) for i, p in enumerate(pictures)], "image_id long, width int, pixels binary")
+    monkeypatch.setattr(images, "stage", counted)
+    monkeypatch.setattr(images.image_links, "__defaults__", (20,))
+    monkeypatch.setattr(images.image_links, "__kwdefaults__", {"few": few})
+    got = {r.image_id: r.n_copies for r in images.image_groups(table).collect()}
+    degree = Counter(i for pair in want for i in pair)
+    assert got == {i: degree[i] for i in range(64)}
+    # Each entry meets fewer than ``few`` others in each of the tables, however many images there are.
+    assert staged["near-descriptors"] <= staged["descriptors"] * (few - 1) * images.PARTS / 2
+    assert staged["near-descriptors"] + staged["near-some"] + staged["crowds"] < len(want) * 2
+
+
 def brute_image_links(pictures):
     """Pairs of places of pictures that are linked, from all pairs of corners of all pictures."""
     seen = [images.describe(p) for p in pictures]
