@@ -332,3 +332,17 @@ def test_moments_at_radii_equal_brute_force_and_make_no_pair_rows(spark, monkeyp
                 cov = np.cov(near.T)
                 assert np.allclose([r[f"r{k}c{a}{b}"] for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")], cov[np.triu_indices(3)], atol=1e-12)
     assert spatial.roughness_at_radii(table.limit(0), (0.5, 2.0)).count() == 0
+
+
+def test_nearest_of_tiles(spark, monkeypatch):
+    """Cells of more points than a tile holds, crowds of one place among them, have the nearest points of brute force."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.uniform(0, 1, (300, 3)), np.full((60, 3), 0.5)]).round(3)
+    points = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(at)], "scan_id long, point_counter long, x double, y double, z double")
+    monkeypatch.setattr(spatial, "_TILE", 16)
+    rows = {(r.src, r["rank"]): (r.dst, r.dist) for r in spatial.nearest(points, points, 7).collect()}
+    for i, v in enumerate(at):
+        d = np.sqrt(((at - v) ** 2).sum(1))
+        want = sorted(range(len(at)), key=lambda j: (d[j], j != i, j))[:7]
+        assert [rows[i, r][0] for r in range(7)] == want
+    assert len(rows) == 7 * len(at)
