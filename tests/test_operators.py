@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.operators import bins, columns, labels, metrics, ordered, segments, spatial
+from rangeloom.operators import bins, columns, labels, metrics, ordered, segments, spatial, vicinity
 from rangeloom.operators.components import connected_components
 from rangeloom.operators.axes import principal_axes
 from rangeloom.operators.prefix import running_total, running_totals
@@ -346,3 +346,48 @@ def test_nearest_of_tiles(spark, monkeypatch):
         want = sorted(range(len(at)), key=lambda j: (d[j], j != i, j))[:7]
         assert [rows[i, r][0] for r in range(7)] == want
     assert len(rows) == 7 * len(at)
+
+
+@pytest.mark.parametrize("crowd", [0, 80])
+def test_vicinity_equals_brute_force(spark, monkeypatch, crowd):
+    """Blocks, their borders, crowds of one place, points at the very radius, and gaps in coordinates and attributes."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.integers(-20, 21, (500, 3)) / 10, np.full((crowd, 3), 0.3)])
+    red = np.where(rng.uniform(size=len(at)) < 0.1, np.nan, rng.integers(0, 50, len(at)))
+    rows = [(i % 2, i, *map(float, v), None if np.isnan(r) and i % 3 else float(r)) for i, (v, r) in enumerate(zip(at, red, strict=True))]
+    rows += [(0, 9000, None, 0.0, 0.0, 1.0), (0, 9001, float("nan"), 0.0, 0.0, 1.0), (None, 9002, 0.0, 0.0, 0.0, 1.0), (5, 9003, 50.0, 50.0, 50.0, None)]
+    table = spark.createDataFrame(rows, "scan_id long, point_counter long, x double, y double, z double, red double")
+    monkeypatch.setattr(vicinity, "_BLOCK", 40)
+    monkeypatch.setattr(vicinity, "_QUERIES", 64)
+    for strict in (False, True):
+        got = {r.src: r.asDict() for r in vicinity.around(table, table, 0.5, strict, True, ["red"]).collect()}
+        assert set(got) == {*range(len(at)), 9003}
+        for i, v in enumerate(at):
+            mine = np.arange(i % 2, len(at), 2)
+            square = ((at[mine] - v) ** 2)
+            square = square[:, 0] + square[:, 1] + square[:, 2]
+            near = mine[square < 0.25 if strict else square <= 0.25]
+            r = got[i]
+            assert r["n"] == len(near) and np.isclose(r["total"], np.sqrt(((at[near] - v) ** 2).sum(1)).sum())
+            assert np.allclose([r[f"m{c}"] for c in "xyz"], at[near].mean(0), atol=1e-12)
+            if len(near) > 1:
+                assert np.allclose([r[f"c{c}"] for c in ("xx", "xy", "xz", "yy", "yz", "zz")], np.cov(at[near].T)[np.triu_indices(3)], atol=1e-12)
+            else:
+                assert r["cxx"] is None
+            known = red[near][~np.isnan(red[near])]
+            want = [known.mean(), known.std(), *np.percentile(known, [2, 25, 75, 98])] if len(known) else None
+            found = [r[f"red_{s}"] for s in vicinity.STATISTICS]
+            assert np.allclose(found, want) if want else found == [None] * 6
+    assert got[9003]["n"] == 1 and got[9003]["red_mean"] is None
+    assert vicinity.around(table.limit(0), table, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["neighbour_covariance", "neighbour_statistics", "radius_counts", "radius_counts_strict", "radius_curvature", "pca_normals", "surroundings"])
+def test_no_pair_of_near_points_is_a_row(spark, data, monkeypatch, name):
+    from rangeloom.plans import catalogue
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(spatial, "within_radius", pairs)
+    assert catalogue.QUERIES[name](spark, data).columns
