@@ -138,6 +138,19 @@ def _split(bucket_rows: int) -> Column:
     return F.ceil(F.col("n") / bucket_rows).cast("int")
 
 
+def _paired(dealt: DataFrame, bucket_rows: int, pairs: Column) -> DataFrame:
+    """Rows of ``dealt`` once for each of the ``pairs`` (i, j) of blocks that they take part in. A bucket of one block is one pair, and its rows stay as they are."""
+    kept = ("tab", "part", "entry", *[f"w{k}" for k in range(WORDS)])
+    single = dealt.where(F.col("n") <= bucket_rows).select(*kept, F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return single.unionByName(dealt.where(F.col("n") > bucket_rows).select(*kept, F.explode(pairs).alias("_pair")).select(*kept, "_pair.i", "_pair.j"))
+
+
+def _with_own(others: Column, first: bool) -> Column:
+    """Pairs of a row's own block, as their ``first``, with other blocks."""
+    own = F.col("own")
+    return F.transform(others, lambda x: F.struct((own if first else x).alias("i"), (x if first else own).alias("j")))
+
+
 def _meeting(max_bits: int) -> Column:
     """Rows a and b of one pair of a bucket's blocks are near, and this table is the first in which they meet."""
     same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tab", "part", "i", "j")])
@@ -148,9 +161,8 @@ def _meeting(max_bits: int) -> Column:
 
 def _near_pairs(described: DataFrame, dealt: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
     """(one, two): near entries of ``dealt``, once each, and each entry that several corners share with itself."""
-    words, split = [f"w{i}" for i in range(WORDS)], _split(bucket_rows)
-    a = dealt.select("tab", "part", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), split - 1)).alias("j"), "entry", *words).alias("a")
-    b = dealt.select("tab", "part", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
+    a = _paired(dealt, bucket_rows, _with_own(F.sequence(F.col("own"), _split(bucket_rows) - 1), True)).alias("a")
+    b = _paired(dealt, bucket_rows, _with_own(F.sequence(F.lit(0), F.col("own")), False)).alias("b")
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.entry") < F.col("b.entry"))
     near = a.join(b, _meeting(max_bits) & once).select(F.col("a.entry").alias("one"), F.col("b.entry").alias("two"))
     equal = described.where("n > 1").select(F.col("entry").alias("one"), F.col("entry").alias("two"))
@@ -160,8 +172,8 @@ def _near_pairs(described: DataFrame, dealt: DataFrame, max_bits: int, bucket_ro
 def _near_some(dealt: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
     """(tab, part, entry, words): entries of ``dealt`` that are near another one of their bucket, once a bucket."""
     words = [f"w{i}" for i in range(WORDS)]
-    a = dealt.select("tab", "part", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), _split(bucket_rows) - 1)).alias("j"), "entry", *words).alias("a")
-    b = dealt.select("tab", "part", F.explode(F.sequence(F.lit(0), _split(bucket_rows) - 1)).alias("i"), F.col("own").alias("j"), "entry", *words).alias("b")
+    every = F.sequence(F.lit(0), _split(bucket_rows) - 1)
+    a, b = (_paired(dealt, bucket_rows, _with_own(every, first)).alias(t) for t, first in (("a", True), ("b", False)))
     return a.join(b, _meeting(max_bits) & (F.col("a.entry") != F.col("b.entry")), "left_semi").select("tab", "part", "entry", *words).distinct()
 
 

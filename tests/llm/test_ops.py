@@ -665,6 +665,21 @@ def test_near_descriptors_of_a_crowd_are_no_rows(spark, monkeypatch, few):
     assert staged["near-descriptors"] + staged["near-some"] + staged["crowds"] < len(want) * 2
 
 
+def test_only_buckets_of_several_blocks_are_dealt_to_pairs(spark):
+    """Rows of a bucket that is one block go to the join as they are, so no generator's rows follow the number of crowded buckets."""
+    words = [f"w{i}" for i in range(images.WORDS)]
+    rows = [(0, 1, 5, 0, i, *[0] * len(words)) for i in range(5)] + [(0, 2, 8, i % 2, 10 + i, *[0] * len(words)) for i in range(8)]
+    dealt = spark.createDataFrame(rows, "tab byte, part long, n long, own int, entry long, " + ", ".join(f"{w} long" for w in words))
+    every = F.sequence(F.lit(0), images._split(5) - 1)
+    a, b = (images._paired(dealt, 5, images._with_own(every, first)) for first in (True, False))
+    got = Counter((r.part, r.i, r.j) for r in a.collect())
+    assert got == {(1, 0, 0): 5, **{(2, i, j): 4 for i in (0, 1) for j in (0, 1)}}
+    assert Counter((r.part, r.i, r.j) for r in b.collect()) == got
+    near = images._near_some(dealt, 7, 5)
+    assert "> 5" in near._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1].split("Generate")[0]
+    assert near.count() == 13
+
+
 def brute_image_links(pictures):
     """Pairs of places of pictures that are linked, from all pairs of corners of all pictures."""
     seen = [images.describe(p) for p in pictures]
