@@ -391,3 +391,32 @@ def test_no_pair_of_near_points_is_a_row(spark, data, monkeypatch, name):
 
     monkeypatch.setattr(spatial, "within_radius", pairs)
     assert catalogue.QUERIES[name](spark, data).columns
+
+
+def test_snapping_and_few_queries_make_no_row_for_each_pair(spark, monkeypatch):
+    """Points meet their own voxel's mean, and others only within the ball that is left; few queries count the cells around them only."""
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate([rng.uniform(-3, 3, (900, 3)), [[2.0, 0.5, 0.5], [3.9, 0.5, 0.5], [1.999, 0.5, 1.0]]]).round(3)
+    points = spark.createDataFrame([(i % 2, i, *map(float, v)) for i, v in enumerate(xyz)], "scan_id long, point_counter long, x double, y double, z double").cache()
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(spatial, "within_radius", pairs)
+    for cells in (100_000, 0):
+        monkeypatch.setattr(spatial, "_CELLS", cells)
+        got = {(r.scan_id, r.vx, r.vy, r.vz): r.point_counter for r in spatial.snap_to_points(points, 2.0).collect()}
+        assert len(got) == len({(i % 2, *np.floor(v / 2)) for i, v in enumerate(xyz)})
+        for (scan, *cell), found in got.items():
+            own = np.arange(scan, len(xyz), 2)
+            mean = xyz[own][(np.floor(xyz[own] / 2) == cell).all(1)].mean(0)
+            assert found == own[np.argmin(np.round(np.sqrt(((xyz[own] - mean) ** 2).sum(1)), 9))]
+        queries = points.where("point_counter % 60 = 0").select("scan_id", "point_counter", *[(F.col(c) * 1.1 + 0.01).alias(c) for c in "xyz"])
+        near = {}
+        for r in spatial.nearest(points, queries, 5).collect():
+            near.setdefault(r.src, []).append((r["rank"], r.dst))
+        assert len(near) == queries.count()
+        for i, found in near.items():
+            own = np.arange(i % 2, len(xyz), 2)
+            d = np.sqrt(((xyz[own] - (xyz[i] * 1.1 + 0.01)) ** 2).sum(1))
+            assert [x for _, x in sorted(found)] == own[np.argsort(d, kind="stable")[:5]].tolist()
