@@ -22,7 +22,9 @@ def range_profile(points: DataFrame, value: str, size: float = 0.5, aligned: boo
     bin to the left of its own unless ``aligned``. The farthest bin is not filled by points.
     """
     top = points.groupBy(F.col("scan_id").alias("_scan")).agg(F.greatest(F.ceil(F.max("rho") / size), F.lit(1)).cast("long").alias("top"))
-    stats = points.groupBy(F.col("scan_id").alias("_s"), range_bin("rho", size).alias("_b")).agg(F.max(value).alias("_max"), F.stddev_pop(value).alias("_std"))
+    # Spark's deviation of equal values in several tasks may be 1e-14, which would be no hole.
+    spread = F.when(F.min(value) == F.max(value), F.lit(0.0)).otherwise(F.stddev_pop(value))
+    stats = points.groupBy(F.col("scan_id").alias("_s"), range_bin("rho", size).alias("_b")).agg(F.max(value).alias("_max"), spread.alias("_std"))
     grid = top.select(F.col("_scan").alias("scan_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1)).alias("b"))
     met = grid.join(stats, (F.col("scan_id") == F.col("_s")) & (F.col("b") == F.col("_b")) & (F.col("b") > 0), "left")
     before = Window.partitionBy("scan_id").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)

@@ -59,13 +59,15 @@ def _shapes(at: dict[str, np.ndarray], start: np.ndarray, n: np.ndarray, k: np.n
         order = np.lexsort((rise, of))  # NaN comes last
         known = np.bincount(of, ~np.isnan(rise), len(rows)).astype(np.int64)
         middle = [rise[order[first + np.maximum(m, 0)]] for m in ((known - 1) // 2, known // 2)]
-        sums = lambda v: np.add.reduceat(np.nan_to_num(v), first)
-        phi, rho = at["horiz_angle"], at["rho"]
+        # Far along a scan the terms below cancel, and the last bit of a sum shows in the angle: pairs are added one after the other, the farthest end first, as SQL's joins do.
+        by = np.argsort(of * (int(n[rows].max()) + 1) - (b - start[rows][of]), kind="stable")
+        sums = lambda v: np.bincount(of, np.nan_to_num(v)[by], len(rows))
+        phi, rho, turn = at["horiz_angle"], at["rho"], at["turn"]
         m = 2.0 * width
         sx, sy = sums(phi[a] + phi[b]), sums(rho[a] + rho[b])
-        sxx, sxy = sums(phi[a] * phi[a] + phi[b] * phi[b]), sums(phi[a] * rho[a] + phi[b] * rho[b])
+        sxx, sxy = sums(turn[a] + turn[b]), sums(phi[a] * rho[a] + phi[b] * rho[b])
         spread, mean = m * sxx - sx * sx, sx / m
-        flat = mean * sy / m / (mean * mean + 1)
+        flat = mean * sy / m / (np.float_power(mean, 2.0) + 1)
         beta = np.where(np.abs(spread) > 1e-9, (m * sxy - sx * sy) / np.where(np.abs(spread) > 1e-9, spread, 1.0), flat)
         for v, found in zip(out, (np.where(known > 0, (middle[0] + middle[1]) / 2, 0.0), np.degrees(np.arctan(beta)), sums(off) / width), strict=True):
             v[rows] = found
@@ -80,6 +82,8 @@ def _gathered(widths: int, names: list[str]):
         own = len(names) - 3 * widths
         value = lambda i: batch.column(own + i).to_numpy(zero_copy_only=False).astype(float)
         at = {c: value(i) for i, c in enumerate(("x", "y", "z", "rho", "horiz_angle"))}
+        # The power of the C library, as SQL's: some squares differ from products by a last bit.
+        at["turn"] = np.float_power(at["horiz_angle"], 2.0)
         line = batch.column(batch.num_columns - 1).to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1, [len(line)]))
         size = np.repeat(np.diff(cuts), np.diff(cuts))
