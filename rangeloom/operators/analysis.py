@@ -45,6 +45,22 @@ def impurity_report(segments: DataFrame, keys: Sequence[str] = ("scan_id",)) ->
     )
 
 
+def impurity_report_of(kinds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``impurity_report`` of counted segments (keys, n, gini, c): c segments each of n points and that impurity, which has four places."""
+    places = F.round(F.col("gini") * 10_000).cast("long")
+    values = kinds.groupBy(*keys, "gini").agg(F.sum("c").alias("c"), *[F.sum(F.when(F.col("n") < most, F.col("c")).otherwise(0)).alias(f"_below{most}") for most in (5, 10)])
+    whole = lambda v: v.cast("decimal(38,0)")
+    held = values.groupBy(*keys).agg(
+        F.sum("c").alias("segments"), F.sum("_below5").alias("below_5"), F.sum("_below10").alias("below_10"), F.sum(places * F.col("c")).alias("_one"), whole(F.sum(whole(places * places * F.col("c")))).alias("_two"),
+        (F.max("gini") - F.min("gini")).alias("ptp"), F.percentile("gini", 0.02, F.col("c")).alias("p2"), F.percentile("gini", 0.98, F.col("c")).alias("p98"),
+    )
+    n, share = F.col("segments"), lambda c: F.round(100 * F.col(c) / F.col("segments"), 4)
+    # Sums of whole numbers, so nothing is lost where all values are near each other.
+    off = (whole(n) * F.col("_two") - whole(F.col("_one")) * whole(F.col("_one"))).cast("double")
+    var = F.when(n > 1, off / n / (n - 1) / 1e8)
+    return held.select(*keys, "segments", "below_5", "below_10", share("below_5").alias("below_5_pct"), share("below_10").alias("below_10_pct"), (F.col("_one") / n / 10_000).alias("mean"), F.sqrt(var).alias("std"), var.alias("var"), "ptp", "p2", "p98")
+
+
 def closest_by_scaled_difference(runs: DataFrame, a: str, b: str, most: int, tie: str) -> DataFrame:
     """The ``most`` runs where two columns, each scaled to 0..1, differ least."""
     ends = runs.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for f, n in ((F.min, "lo"), (F.max, "hi"))])
